@@ -88,16 +88,14 @@ def threshold_bars(df: DataFrame, keys: Sequence[str], measure, threshold: float
         t = term[j]
         co = total - L[t]
         cl = steps[j]
-        # merge neighbouring candidates that lead to the same terminal close
-        brk = np.concatenate(([True], t[1:] != t[:-1]))
+        # merge neighbouring candidates that end on the same close after the same number of closes
+        brk = np.concatenate(([True], (t[1:] != t[:-1]) | (cl[1:] != cl[:-1])))
         gid = np.cumsum(brk) - 1
         g_lo = pd.Series(lo).groupby(gid).min().to_numpy()
         g_hi = pd.Series(hi).groupby(gid).max().to_numpy()
         g_first = np.flatnonzero(brk)
         rows = pd.DataFrame({"lo": g_lo, "hi": g_hi, "closes": cl[g_first].astype(np.int64),
                              "carry_out": co[g_first]})
-        valid = L[j] >= 0  # always true; keeps dtype handling simple
-        del valid
         none_hi = thr - total
         if none_hi > 0:  # carry small enough that the day closes no bar
             rows = pd.concat([rows, pd.DataFrame({"lo": [-np.inf], "hi": [none_hi], "closes": [0],

@@ -75,3 +75,350 @@ def q_dollar_bars(spark: SparkSession, sf: str) -> DataFrame:
 def q_volume_bars(spark: SparkSession, sf: str) -> DataFrame:
     from tessera.operators.bars import volume_bars
     return _bar_cols(volume_bars(trades_from_events(spark, sf), VOLUME_BAR_THRESHOLD))
+
+
+# ---------------------------------------------------------------------------- shared inputs
+SERIES_BAR_THRESHOLD = 20_000.0   # dollar bars feeding the bar-series operators
+
+
+def ticks(spark: SparkSession, sf: str) -> DataFrame:
+    """Tick close series: (symbol, time, seq, close)."""
+    return trades_from_events(spark, sf).select("symbol", F.col("ts").alias("time"), "seq",
+                                                F.col("price").alias("close"))
+
+
+def series_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """Dollar bars used as a bar series: (symbol, bar, time=closing tick ts, open, high, low, close, volume)."""
+    from tessera.operators.bars import dollar_bars
+    b = dollar_bars(trades_from_events(spark, sf), SERIES_BAR_THRESHOLD)
+    return b.select("symbol", "bar", F.col("end_ts").alias("time"), "open", "high", "low", "close", "volume")
+
+
+TICKS_CTE = TRADES_CTE + """,
+ticks AS (SELECT symbol, ts AS time, seq, price AS close FROM trades)"""
+
+
+def bars_sql(thr: float = SERIES_BAR_THRESHOLD) -> str:
+    """WITH RECURSIVE prefix defining ``trades`` and ``bars`` (the series bars) for DuckDB."""
+    return f"""WITH RECURSIVE {TRADES_CTE},
+t AS (SELECT symbol, ts, seq, price, size, price * size AS m,
+             row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS rn FROM trades),
+r AS (SELECT symbol, rn, m AS cum, CAST(0 AS BIGINT) AS bar FROM t WHERE rn = 1
+      UNION ALL
+      SELECT t.symbol, t.rn, CASE WHEN r.cum >= {thr} THEN t.m ELSE r.cum + t.m END,
+             CASE WHEN r.cum >= {thr} THEN r.bar + 1 ELSE r.bar END
+      FROM r JOIN t ON t.symbol = r.symbol AND t.rn = r.rn + 1),
+lab AS (SELECT t.*, r.bar, r.cum >= {thr} AS closes FROM t JOIN r USING (symbol, rn)),
+bars AS (SELECT symbol, bar, max(ts) AS time, arg_min(price, rn) AS open, max(price) AS high,
+                min(price) AS low, arg_max(price, rn) AS close, sum(size) AS volume
+         FROM lab GROUP BY symbol, bar HAVING bool_or(closes))"""
+
+
+def ewm_sql(src: str, key: str, order: str, x: str, a: float, out: str = "e") -> str:
+    """Closed-form adjust=True EWM statistics by self-join (oracle only): mean ``{out}_mean`` and
+    bias-corrected variance ``{out}_var`` per row of ``src``; ``x`` null rows keep their position."""
+    return f"""{out}_n AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS _i FROM {src}),
+{out} AS (SELECT a.*, 
+    sum(CASE WHEN b.{x} IS NOT NULL THEN pow({1 - a!r}, a._i - b._i) END) AS _s0,
+    sum(pow({1 - a!r}, a._i - b._i) * b.{x}) AS _s1,
+    sum(pow({1 - a!r}, a._i - b._i) * b.{x} * b.{x}) AS _s2,
+    sum(CASE WHEN b.{x} IS NOT NULL THEN pow({1 - a!r}, 2 * (a._i - b._i)) END) AS _q0,
+    count(b.{x}) AS _cnt
+  FROM {out}_n a JOIN {out}_n b ON a.{key} = b.{key} AND b._i <= a._i GROUP BY ALL),
+{out}_f AS (SELECT * EXCLUDE (_s0, _s1, _s2, _q0, _cnt, _i),
+    _s1 / _s0 AS {out}_mean,
+    CASE WHEN _cnt >= 2 AND _s0 * _s0 - _q0 > 0
+         THEN greatest(_s2 / _s0 - (_s1 / _s0) * (_s1 / _s0), 0) * _s0 * _s0 / (_s0 * _s0 - _q0) END AS {out}_var
+  FROM {out})"""
+
+
+# ============================================================================ more bars
+@register("b1_tick_bars", f"""WITH {TRADES_CTE},
+t AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) - 1 AS pos,
+             count(*) OVER (PARTITION BY symbol) AS n FROM trades)
+SELECT symbol, CAST(pos // {TICK_BAR_FREQ} AS BIGINT) AS bar, arg_max(ts, pos) AS time,
+       round(arg_min(price, pos), 6) AS open, round(max(price), 6) AS high, round(min(price), 6) AS low,
+       round(arg_max(price, pos), 6) AS close, round(sum(size), 6) AS volume
+FROM t GROUP BY symbol, pos // {TICK_BAR_FREQ}, n HAVING (pos // {TICK_BAR_FREQ} + 1) * {TICK_BAR_FREQ} < n""")
+def q_tick_bars(spark, sf):
+    from tessera.operators.bars import tick_bars
+    b = tick_bars(trades_from_events(spark, sf), TICK_BAR_FREQ)
+    return b.select("symbol", "bar", "time", r6("open").alias("open"), r6("high").alias("high"),
+                    r6("low").alias("low"), r6("close").alias("close"), r6("volume").alias("volume"))
+
+
+@register("b4_daily_threshold", f"""WITH {TRADES_CTE},
+d AS (SELECT symbol, CAST(ts AS DATE) AS date, sum(price * size) AS dv FROM trades GROUP BY ALL),
+{ewm_sql('d', 'symbol', 'date', 'dv', 0.4)},
+l AS (SELECT *, lag(e_mean) OVER (PARTITION BY symbol ORDER BY date) AS lg FROM e_f)
+SELECT symbol, date, round(dv, 6) AS dollar_volume,
+       round(coalesce(lg, first_value(lg IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date
+             ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS daily_threshold FROM l""")
+def q_daily_threshold(spark, sf):
+    from tessera.operators.bars import daily_dollar_volume
+    d = daily_dollar_volume(trades_from_events(spark, sf))
+    return d.select("symbol", "date", r6("dollar_volume").alias("dollar_volume"),
+                    r6("daily_threshold").alias("daily_threshold"))
+
+
+@register("b7_tick_rule", f"""WITH {TRADES_CTE},
+t AS (SELECT *, lag(price) OVER (PARTITION BY symbol ORDER BY ts, seq) AS pp FROM trades),
+s AS (SELECT *, CASE WHEN pp IS NULL THEN 1 ELSE nullif(CAST(sign(price - pp) AS INTEGER), 0) END AS s0 FROM t)
+SELECT symbol, ts, seq, CAST(last_value(s0 IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts, seq
+       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS price_diff FROM s""")
+def q_tick_rule(spark, sf):
+    from tessera.operators.bars import tick_rule
+    return tick_rule(trades_from_events(spark, sf)).select("symbol", "ts", "seq", F.col("price_diff").cast("int"))
+
+
+@register("b15_dedupe_bars", bars_sql() + """
+SELECT symbol, time, min(bar) AS bar FROM bars GROUP BY symbol, time""")
+def q_dedupe(spark, sf):
+    from tessera.operators.bars import dedupe_by_time
+    b = dedupe_by_time(series_bars(spark, sf), time_col="time")
+    return b.select("symbol", "time", "bar")
+
+
+# ============================================================================ sessions
+_NY = "timezone('America/New_York', timezone('UTC', ts))"
+
+
+@register("p1_regular_session", f"""WITH {TRADES_CTE}
+SELECT symbol, ts, seq FROM trades
+WHERE CAST({_NY} AS TIME) BETWEEN TIME '09:30:00' AND TIME '16:00:00'""")
+def q_regular_session(spark, sf):
+    from tessera.operators.sessions import ny_wall, regular_session
+    t = trades_from_events(spark, sf).withColumn("ny", ny_wall("ts"))
+    return regular_session(t, "ny").select("symbol", "ts", "seq")
+
+
+@register("p3_split_intervals", f"""WITH {TRADES_CTE},
+n AS (SELECT symbol, seq, {_NY} AS ny FROM trades),
+m AS (SELECT symbol, seq, epoch_us(ny) - epoch_us(date_trunc('day', ny)) - 34200000000 AS rel FROM n),
+k AS (SELECT symbol, seq, rel, CAST(floor(rel / 1800000000) AS INTEGER) AS k FROM m
+      WHERE rel BETWEEN 0 AND 23400000000),
+u AS (SELECT symbol, seq, unnest([k, CASE WHEN rel % 1800000000 = 0 THEN k - 1 END]) AS interval_id FROM k)
+SELECT symbol, seq, interval_id FROM u WHERE interval_id BETWEEN 0 AND 12""")
+def q_split_intervals(spark, sf):
+    from datetime import timedelta
+    from tessera.operators.sessions import ny_wall, split_intervals
+    t = trades_from_events(spark, sf).withColumn("ny", ny_wall("ts"))
+    return split_intervals(t, "ny", timedelta(minutes=30)).select("symbol", "seq", "interval_id")
+
+
+@register("p5_interval_close_std", bars_sql() + """,
+n AS (SELECT *, timezone('America/New_York', timezone('UTC', time)) AS ny FROM bars),
+m AS (SELECT *, epoch_us(ny) - epoch_us(date_trunc('day', ny)) - 34200000000 AS rel FROM n),
+k AS (SELECT *, CAST(floor(rel / 1800000000) AS INTEGER) AS k FROM m WHERE rel BETWEEN 0 AND 23400000000),
+u AS (SELECT symbol, bar, close, CAST(ny AS DATE) AS date,
+             unnest([k, CASE WHEN rel % 1800000000 = 0 THEN k - 1 END]) AS interval_id FROM k),
+v AS (SELECT * FROM u WHERE interval_id BETWEEN 0 AND 12)
+SELECT symbol, bar, date, interval_id,
+       round(stddev_samp(close) OVER (PARTITION BY symbol, date, interval_id), 6) AS std FROM v""")
+def q_interval_std(spark, sf):
+    from tessera.operators.sessions import interval_close_std
+    d = interval_close_std(series_bars(spark, sf), 30)
+    return d.select("symbol", "bar", "date", "interval_id", r6("std").alias("std"))
+
+
+@register("p6_weekly_bar_counts", bars_sql() + """,
+c AS (SELECT symbol, CAST(date_trunc('week', time) AS DATE) + 6 AS week, count(*) AS n FROM bars GROUP BY ALL),
+s AS (SELECT symbol, min(week) AS a, max(week) AS b FROM c GROUP BY symbol),
+w AS (SELECT symbol, CAST(unnest(generate_series(a, b, INTERVAL 7 DAY)) AS DATE) AS week FROM s),
+j AS (SELECT w.symbol, w.week, coalesce(c.n, 0) AS n FROM w LEFT JOIN c USING (symbol, week))
+SELECT symbol, week, n, round(CASE WHEN max(n) OVER (PARTITION BY symbol) > min(n) OVER (PARTITION BY symbol)
+  THEN (n - min(n) OVER (PARTITION BY symbol)) / (max(n) OVER (PARTITION BY symbol) - min(n) OVER (PARTITION BY symbol))
+  ELSE 0.0 END, 6) AS scaled FROM j""")
+def q_weekly_counts(spark, sf):
+    from tessera.operators.sessions import weekly_bar_counts
+    d = weekly_bar_counts(series_bars(spark, sf))
+    return d.select("symbol", "week", F.col("n").cast("long").alias("n"), r6("scaled").alias("scaled"))
+
+
+_BAR_RET_SQL = """,
+br AS (SELECT *, (close - lag(close) OVER (PARTITION BY symbol ORDER BY bar)) / close AS ret FROM bars),
+rets AS (SELECT * FROM br WHERE ret IS NOT NULL)"""
+
+
+@register("p7_monthly_return_std", bars_sql() + _BAR_RET_SQL + """,
+m AS (SELECT symbol, date_trunc('month', time) AS month, stddev_samp(ret) AS month_std FROM rets GROUP BY ALL)
+SELECT symbol, round(stddev_samp(month_std), 6) AS std_of_monthly_std, count(*) AS months FROM m GROUP BY symbol""")
+def q_monthly_std(spark, sf):
+    from tessera.operators.filters import bar_returns
+    from tessera.operators.sessions import monthly_return_std
+    r = bar_returns(series_bars(spark, sf), order=("bar",))
+    d = monthly_return_std(r)
+    return d.select("symbol", r6("std_of_monthly_std").alias("std_of_monthly_std"), "months")
+
+
+# ============================================================================ filters
+CUSUM_H = 150.0
+
+
+@register("f1_cusum_events", f"""WITH RECURSIVE {TRADES_CTE},
+f AS (SELECT symbol, ts, arg_min(price, seq) AS x FROM trades GROUP BY symbol, ts),
+d AS (SELECT symbol, ts, x - lag(x) OVER (PARTITION BY symbol ORDER BY ts) AS dx FROM f),
+t AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM d WHERE dx IS NOT NULL),
+r AS (SELECT symbol, rn, ts,
+        CASE WHEN least(0, dx) < -{CUSUM_H} THEN greatest(0, dx)
+             WHEN greatest(0, dx) > {CUSUM_H} THEN 0 ELSE greatest(0, dx) END AS sp,
+        CASE WHEN least(0, dx) < -{CUSUM_H} THEN 0 ELSE least(0, dx) END AS sn,
+        CASE WHEN least(0, dx) < -{CUSUM_H} THEN -1 WHEN greatest(0, dx) > {CUSUM_H} THEN 1 ELSE 0 END AS side
+      FROM t WHERE rn = 1
+      UNION ALL
+      SELECT t.symbol, t.rn, t.ts,
+        CASE WHEN least(0, r.sn + t.dx) < -{CUSUM_H} THEN greatest(0, r.sp + t.dx)
+             WHEN greatest(0, r.sp + t.dx) > {CUSUM_H} THEN 0 ELSE greatest(0, r.sp + t.dx) END,
+        CASE WHEN least(0, r.sn + t.dx) < -{CUSUM_H} THEN 0 ELSE least(0, r.sn + t.dx) END,
+        CASE WHEN least(0, r.sn + t.dx) < -{CUSUM_H} THEN -1
+             WHEN greatest(0, r.sp + t.dx) > {CUSUM_H} THEN 1 ELSE 0 END
+      FROM r JOIN t ON t.symbol = r.symbol AND t.rn = r.rn + 1)
+SELECT symbol, ts AS time, CAST(side AS INTEGER) AS side FROM r WHERE side <> 0""")
+def q_cusum(spark, sf):
+    from tessera.operators.filters import cusum_events
+    return cusum_events(ticks(spark, sf), CUSUM_H).select("symbol", "time", "side")
+
+
+@register("f2_bar_returns", bars_sql() + _BAR_RET_SQL + """
+SELECT symbol, bar, round(ret, 6) AS ret FROM rets""")
+def q_bar_returns(spark, sf):
+    from tessera.operators.filters import bar_returns
+    return bar_returns(series_bars(spark, sf), order=("bar",)).select("symbol", "bar", r6("ret").alias("ret"))
+
+
+@register("f3_flipped_returns", bars_sql() + """,
+p AS (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY bar) - 1 AS r FROM bars)
+SELECT symbol, bar, round(CASE WHEN year(time) % 2 = 1 THEN -r ELSE r END, 6) AS ret FROM p WHERE r IS NOT NULL""")
+def q_flipped(spark, sf):
+    from tessera.operators.filters import flipped_returns
+    return flipped_returns(series_bars(spark, sf), order=("bar",)).select("symbol", "bar", r6("ret").alias("ret"))
+
+
+def _bb_sql(window: int, minp: int, alpha: float, first_zero: bool) -> str:
+    sd = f"stddev_samp(close) OVER w"
+    if first_zero:
+        sd = f"CASE WHEN row_number() OVER (PARTITION BY symbol ORDER BY bar) = 1 THEN 0.0 ELSE {sd} END"
+    return f""",
+bb0 AS (SELECT symbol, bar, open, close,
+          CASE WHEN count(close) OVER w >= {minp} THEN avg(close) OVER w END AS ma,
+          CASE WHEN count(close) OVER w >= {minp} THEN {sd} END AS sd
+        FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW)),
+bb AS (SELECT *, ma + {alpha} * sd AS b_upper, ma - {alpha} * sd AS b_lower FROM bb0)"""
+
+
+@register("f4_bollinger20", bars_sql() + _bb_sql(20, 20, 2.0, False) + """
+SELECT symbol, bar, round(ma, 6) AS ma, round(b_upper, 6) AS b_upper, round(b_lower, 6) AS b_lower FROM bb""")
+def q_bollinger20(spark, sf):
+    from tessera.operators.filters import bollinger
+    d = bollinger(series_bars(spark, sf), 2.0, 20, order=("bar",))
+    return d.select("symbol", "bar", r6("ma").alias("ma"), r6("b_upper").alias("b_upper"), r6("b_lower").alias("b_lower"))
+
+
+@register("f5_bollinger30", bars_sql() + _bb_sql(30, 1, 1.5, True) + """
+SELECT symbol, bar, round(ma, 6) AS ma, round(b_upper, 6) AS b_upper, round(b_lower, 6) AS b_lower FROM bb""")
+def q_bollinger30(spark, sf):
+    from tessera.operators.filters import bollinger
+    d = bollinger(series_bars(spark, sf), 1.5, 30, min_periods=1, order=("bar",), first_std_zero=True)
+    return d.select("symbol", "bar", r6("ma").alias("ma"), r6("b_upper").alias("b_upper"), r6("b_lower").alias("b_lower"))
+
+
+@register("f6_band_breakouts", bars_sql() + _bb_sql(30, 1, 1.5, True) + """
+SELECT symbol, bar, 1 AS side FROM bb WHERE open < b_upper AND close > b_upper
+UNION ALL SELECT symbol, bar, -1 AS side FROM bb WHERE open > b_lower AND close < b_lower""")
+def q_breakouts(spark, sf):
+    from tessera.operators.filters import band_breakouts, bollinger
+    d = bollinger(series_bars(spark, sf), 1.5, 30, min_periods=1, order=("bar",), first_std_zero=True)
+    up = band_breakouts(d, "up").select("symbol", "bar", F.lit(1).alias("side"))
+    dn = band_breakouts(d, "down").select("symbol", "bar", F.lit(-1).alias("side"))
+    return up.unionByName(dn)
+
+
+@register("f7_count_breakouts", bars_sql() + _bb_sql(30, 1, 1.5, True) + """
+SELECT symbol, CAST(count_if((open < b_upper AND close > b_upper) OR (open > b_lower AND close < b_lower)) AS BIGINT) AS num_intersect
+FROM bb GROUP BY symbol""")
+def q_count_breakouts(spark, sf):
+    from tessera.operators.filters import bollinger, count_breakouts
+    d = bollinger(series_bars(spark, sf), 1.5, 30, min_periods=1, order=("bar",), first_std_zero=True)
+    return count_breakouts(d)
+
+
+@register("f8_ma_crossings", bars_sql() + """,
+m AS (SELECT symbol, bar, close, avg(close) OVER (PARTITION BY symbol ORDER BY bar
+        ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS ma FROM bars),
+n AS (SELECT *, lead(close) OVER (PARTITION BY symbol ORDER BY bar) AS c2,
+             lead(ma) OVER (PARTITION BY symbol ORDER BY bar) AS m2 FROM m)
+SELECT symbol, bar, CASE WHEN close < ma AND c2 > m2 THEN 1 ELSE -1 END AS side FROM n
+WHERE (close < ma AND c2 > m2) OR (close > ma AND c2 < m2)""")
+def q_ma_crossings(spark, sf):
+    from tessera.operators.filters import ma_crossings
+    return ma_crossings(series_bars(spark, sf), 30, order=("bar",)).select("symbol", "bar", "side")
+
+
+@register("f10_rolling_autocorr", bars_sql() + _BAR_RET_SQL + """,
+l AS (SELECT *, lag(ret) OVER (PARTITION BY symbol ORDER BY bar) AS lg FROM rets),
+c AS (SELECT symbol, bar, corr(ret, lg) OVER (PARTITION BY symbol ORDER BY bar
+        ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS ac FROM l)
+SELECT symbol, bar, round(CASE WHEN isnan(ac) THEN NULL ELSE ac END, 6) AS autocorr FROM c""")
+def q_rolling_autocorr(spark, sf):
+    from tessera.operators.filters import bar_returns, rolling_autocorr
+    r = bar_returns(series_bars(spark, sf), order=("bar",))
+    return rolling_autocorr(r, 20, order=("bar",)).select("symbol", "bar", r6("autocorr").alias("autocorr"))
+
+
+ACF_LAGS = (1, 2, 3, 5, 10)
+
+
+@register("f11_autocorr", bars_sql() + _BAR_RET_SQL + """,
+l AS (SELECT *, lag(ret) OVER (PARTITION BY symbol ORDER BY bar) AS lg FROM rets)
+SELECT symbol, round(corr(ret, lg), 6) AS autocorr FROM l GROUP BY symbol""")
+def q_autocorr(spark, sf):
+    from tessera.operators.filters import autocorr, bar_returns
+    r = bar_returns(series_bars(spark, sf), order=("bar",))
+    return autocorr(r, (1,), order=("bar",)).select("symbol", r6("autocorr").alias("autocorr"))
+
+
+@register("f12_acf", bars_sql() + _BAR_RET_SQL + """,
+m AS (SELECT *, avg(ret) OVER (PARTITION BY symbol) AS mu,
+             row_number() OVER (PARTITION BY symbol ORDER BY bar) AS i FROM rets),
+lg AS (SELECT unnest([1, 2, 3, 5, 10]) AS lag),
+p AS (SELECT a.symbol, g.lag, sum((a.ret - a.mu) * (b.ret - b.mu)) AS num
+      FROM m a CROSS JOIN lg g JOIN m b ON b.symbol = a.symbol AND b.i = a.i - g.lag GROUP BY ALL),
+q AS (SELECT symbol, sum((ret - mu) * (ret - mu)) AS den FROM m GROUP BY symbol)
+SELECT p.symbol, CAST(p.lag AS INTEGER) AS lag, round(num / den, 6) AS autocorr FROM p JOIN q USING (symbol)""")
+def q_acf(spark, sf):
+    from tessera.operators.filters import autocorr, bar_returns
+    r = bar_returns(series_bars(spark, sf), order=("bar",))
+    return autocorr(r, ACF_LAGS, order=("bar",), form="acf").select(
+        "symbol", F.col("lag").cast("int"), r6("autocorr").alias("autocorr"))
+
+
+@register("f13_jarque_bera", bars_sql() + _BAR_RET_SQL + """,
+m AS (SELECT symbol, ret, avg(ret) OVER (PARTITION BY symbol) AS mu FROM rets),
+s AS (SELECT symbol, count(*) AS n, avg(pow(ret - mu, 2)) AS m2, avg(pow(ret - mu, 3)) AS m3,
+             avg(pow(ret - mu, 4)) AS m4 FROM m GROUP BY symbol)
+SELECT symbol, n, round(n / 6.0 * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4), 6) AS jb FROM s""")
+def q_jarque_bera(spark, sf):
+    from tessera.operators.filters import bar_returns, jarque_bera
+    r = bar_returns(series_bars(spark, sf), order=("bar",))
+    return jarque_bera(r).select("symbol", "n", r6("jb").alias("jb"))
+
+
+@register("f14_daily_vol", f"""WITH {TICKS_CTE},
+j AS (SELECT a.symbol, a.time, a.seq, a.close / b.close - 1 AS r
+      FROM ticks a ASOF JOIN ticks b ON a.symbol = b.symbol AND a.time - INTERVAL 1 DAY > b.time),
+{ewm_sql('j', 'symbol', 'time, seq', 'r', 2 / 21)}
+SELECT symbol, time, seq, round(sqrt(e_var), 6) AS vol FROM e_f""")
+def q_daily_vol(spark, sf):
+    from tessera.operators.filters import daily_vol
+    return daily_vol(ticks(spark, sf)).select("symbol", "time", "seq", r6("vol").alias("vol"))
+
+
+@register("f15_basic_ml_table", bars_sql() + """,
+n AS (SELECT symbol, bar, close, lag(close) OVER w AS prev_close, lead(close) OVER w AS nx
+      FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar))
+SELECT symbol, bar, round(prev_close, 6) AS prev_close, CAST(nx > close AS INTEGER) AS label FROM n
+WHERE prev_close IS NOT NULL AND nx IS NOT NULL""")
+def q_basic_ml(spark, sf):
+    from tessera.operators.filters import basic_ml_table
+    d = basic_ml_table(series_bars(spark, sf), order=("bar",))
+    return d.select("symbol", "bar", r6("prev_close").alias("prev_close"), F.col("label").cast("int"))
