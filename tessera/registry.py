@@ -422,3 +422,112 @@ def q_basic_ml(spark, sf):
     from tessera.operators.filters import basic_ml_table
     d = basic_ml_table(series_bars(spark, sf), order=("bar",))
     return d.select("symbol", "bar", r6("prev_close").alias("prev_close"), F.col("label").cast("int"))
+
+
+# ============================================================================ labels
+LABEL_PT_SL = (0.05, 0.05)
+LABEL_MIN_RET = 0.0
+LABEL_DAYS = 1
+
+
+def _cusum_sql(src: str = "ticks") -> str:
+    """CTE text (no WITH) producing ``cus(symbol, t0, side)``; needs ``ticks``."""
+    h = CUSUM_H
+    return f"""cf AS (SELECT symbol, time, arg_min(close, seq) AS x FROM {src} GROUP BY symbol, time),
+cd AS (SELECT symbol, time, x - lag(x) OVER (PARTITION BY symbol ORDER BY time) AS dx FROM cf),
+ct AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY time) AS rn FROM cd WHERE dx IS NOT NULL),
+cr AS (SELECT symbol, rn, time,
+        CASE WHEN least(0, dx) < -{h} THEN greatest(0, dx) WHEN greatest(0, dx) > {h} THEN 0 ELSE greatest(0, dx) END AS sp,
+        CASE WHEN least(0, dx) < -{h} THEN 0 ELSE least(0, dx) END AS sn,
+        CASE WHEN least(0, dx) < -{h} THEN -1 WHEN greatest(0, dx) > {h} THEN 1 ELSE 0 END AS side
+      FROM ct WHERE rn = 1
+      UNION ALL
+      SELECT ct.symbol, ct.rn, ct.time,
+        CASE WHEN least(0, cr.sn + ct.dx) < -{h} THEN greatest(0, cr.sp + ct.dx)
+             WHEN greatest(0, cr.sp + ct.dx) > {h} THEN 0 ELSE greatest(0, cr.sp + ct.dx) END,
+        CASE WHEN least(0, cr.sn + ct.dx) < -{h} THEN 0 ELSE least(0, cr.sn + ct.dx) END,
+        CASE WHEN least(0, cr.sn + ct.dx) < -{h} THEN -1 WHEN greatest(0, cr.sp + ct.dx) > {h} THEN 1 ELSE 0 END
+      FROM cr JOIN ct ON ct.symbol = cr.symbol AND ct.rn = cr.rn + 1),
+cus AS (SELECT symbol, time AS t0, CAST(side AS INTEGER) AS side FROM cr WHERE side <> 0)"""
+
+
+def _label_sql() -> str:
+    """WITH RECURSIVE prefix defining ticks, cus, vol(symbol,time,trgt), vball(symbol,t0,t1),
+    ev(symbol,t0,trgt,t1 first touch), touch(symbol,t0,pt,sl), bins(symbol,t0,ret,bin)."""
+    pt, sl = LABEL_PT_SL[0], LABEL_PT_SL[0]
+    return f"""WITH RECURSIVE {TICKS_CTE},
+{_cusum_sql()},
+dj AS (SELECT a.symbol, a.time, a.seq, a.close / b.close - 1 AS r
+       FROM ticks a ASOF JOIN ticks b ON a.symbol = b.symbol AND a.time - INTERVAL 1 DAY > b.time),
+{ewm_sql('dj', 'symbol', 'time, seq', 'r', 2 / 21)},
+vol AS (SELECT symbol, time, sqrt(e_var) AS trgt FROM e_f),
+vball AS (SELECT c.symbol, c.t0, k.time AS t1 FROM cus c
+          ASOF LEFT JOIN ticks k ON c.symbol = k.symbol AND c.t0 + INTERVAL {LABEL_DAYS} DAY <= k.time),
+ev0 AS (SELECT c.symbol, c.t0, v.trgt, b.t1 FROM cus c JOIN vol v ON v.symbol = c.symbol AND v.time = c.t0
+        JOIN vball b ON b.symbol = c.symbol AND b.t0 = c.t0 WHERE v.trgt > {LABEL_MIN_RET}),
+lst AS (SELECT symbol, max(time) AS last FROM ticks GROUP BY symbol),
+p0 AS (SELECT ev0.*, k.close AS p0, lst.last FROM ev0 JOIN ticks k ON k.symbol = ev0.symbol AND k.time = ev0.t0
+       JOIN lst ON lst.symbol = ev0.symbol),
+touch AS (SELECT p0.symbol, p0.t0,
+            min(CASE WHEN k.close / p0.p0 - 1 > {pt} * p0.trgt THEN k.time END) AS pt,
+            min(CASE WHEN k.close / p0.p0 - 1 < -{sl} * p0.trgt THEN k.time END) AS sl
+          FROM p0 JOIN ticks k ON k.symbol = p0.symbol AND k.time BETWEEN p0.t0 AND coalesce(p0.t1, p0.last)
+          GROUP BY p0.symbol, p0.t0),
+ev AS (SELECT ev0.symbol, ev0.t0, ev0.trgt, least(ev0.t1, touch.sl, touch.pt) AS t1
+       FROM ev0 LEFT JOIN touch ON touch.symbol = ev0.symbol AND touch.t0 = ev0.t0),
+bins0 AS (SELECT ev.symbol, ev.t0, ev.t1, k1.close / k0.close - 1 AS ret FROM ev
+          JOIN ticks k0 ON k0.symbol = ev.symbol AND k0.time = ev.t0
+          JOIN ticks k1 ON k1.symbol = ev.symbol AND k1.time = ev.t1 WHERE ev.t1 IS NOT NULL),
+bins AS (SELECT symbol, t0, ret,
+           CASE WHEN EXISTS (SELECT 1 FROM vball v WHERE v.symbol = bins0.symbol AND v.t1 = bins0.t1) THEN 0
+                ELSE CAST(sign(ret) AS INTEGER) END AS bin FROM bins0)"""
+
+
+def label_inputs(spark, sf):
+    from tessera.operators.filters import cusum_events, daily_vol
+    from tessera.operators.labels import get_bins, get_events, vertical_barrier
+    tk = ticks(spark, sf)
+    cus = cusum_events(tk, CUSUM_H).select("symbol", F.col("time").alias("t0"), "side")
+    vol = daily_vol(tk).select("symbol", "time", F.col("vol").alias("trgt"))
+    vb = vertical_barrier(tk, cus.select("symbol", "t0"), LABEL_DAYS)
+    ev = get_events(tk, cus, LABEL_PT_SL, vol, LABEL_MIN_RET, t1=vb)
+    return tk, cus, vol, vb, ev
+
+
+@register("l1_triple_barrier", _label_sql() + f"""
+SELECT symbol, t0, pt, sl FROM touch""")
+def q_triple_barrier(spark, sf):
+    from tessera.operators.labels import triple_barrier
+    tk, cus, vol, vb, _ = label_inputs(spark, sf)
+    ev = cus.select("symbol", "t0").join(vol.withColumnRenamed("time", "t0"), ["symbol", "t0"]) \
+            .where(F.col("trgt") > LABEL_MIN_RET).join(vb.select("symbol", "t0", "t1"), ["symbol", "t0"])
+    w = LABEL_PT_SL[0]
+    return triple_barrier(tk, ev, [w, w]).select("symbol", "t0", "pt", "sl")
+
+
+@register("l2_events", _label_sql() + """
+SELECT symbol, t0, t1, round(trgt, 6) AS trgt FROM ev""")
+def q_events(spark, sf):
+    _, _, _, _, ev = label_inputs(spark, sf)
+    return ev.select("symbol", "t0", "t1", r6("trgt").alias("trgt"))
+
+
+@register("l3_bins", _label_sql() + """
+SELECT symbol, t0, round(ret, 6) AS ret, bin FROM bins""")
+def q_bins(spark, sf):
+    from tessera.operators.labels import get_bins
+    tk, _, _, vb, ev = label_inputs(spark, sf)
+    return get_bins(tk, ev, t1=vb).select("symbol", "t0", r6("ret").alias("ret"), F.col("bin").cast("int"))
+
+
+@register("l4_drop_labels", _label_sql() + """,
+c AS (SELECT bin, count(*) AS n FROM bins GROUP BY bin),
+s AS (SELECT bin, n, n * 1.0 / sum(n) OVER () AS share, count(*) OVER () AS k,
+             row_number() OVER (ORDER BY n, bin) AS rk FROM c)
+SELECT b.symbol, b.t0, b.bin FROM bins b
+WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.rk = 1 AND s.k >= 3 AND s.share <= 0.05 AND s.bin = b.bin)""")
+def q_drop_labels(spark, sf):
+    # at most one round can fire on {-1, 0, 1}; the oracle encodes exactly that round
+    from tessera.operators.labels import drop_rare_labels, get_bins
+    tk, _, _, vb, ev = label_inputs(spark, sf)
+    return drop_rare_labels(get_bins(tk, ev, t1=vb), 0.05).select("symbol", "t0", F.col("bin").cast("int"))
