@@ -486,11 +486,13 @@ bins AS (SELECT symbol, t0, ret,
 def label_inputs(spark, sf):
     from tessera.operators.filters import cusum_events, daily_vol
     from tessera.operators.labels import get_bins, get_events, vertical_barrier
+    from tessera.session import cut_lineage
     tk = ticks(spark, sf)
-    cus = cusum_events(tk, CUSUM_H).select("symbol", F.col("time").alias("t0"), "side")
-    vol = daily_vol(tk).select("symbol", "time", F.col("vol").alias("trgt"))
-    vb = vertical_barrier(tk, cus.select("symbol", "t0"), LABEL_DAYS)
-    ev = get_events(tk, cus, LABEL_PT_SL, vol, LABEL_MIN_RET, t1=vb)
+    # shared intermediates are checkpointed once (reliable checkpoint in spark.checkpoint.dir)
+    cus = cut_lineage(cusum_events(tk, CUSUM_H).select("symbol", F.col("time").alias("t0"), "side"))
+    vol = cut_lineage(daily_vol(tk).select("symbol", "time", F.col("vol").alias("trgt")))
+    vb = cut_lineage(vertical_barrier(tk, cus.select("symbol", "t0"), LABEL_DAYS))
+    ev = cut_lineage(get_events(tk, cus, LABEL_PT_SL, vol, LABEL_MIN_RET, t1=vb))
     return tk, cus, vol, vb, ev
 
 
@@ -531,3 +533,117 @@ def q_drop_labels(spark, sf):
     from tessera.operators.labels import drop_rare_labels, get_bins
     tk, _, _, vb, ev = label_inputs(spark, sf)
     return drop_rare_labels(get_bins(tk, ev, t1=vb), 0.05).select("symbol", "t0", F.col("bin").cast("int"))
+
+
+# ============================================================================ weights
+TIME_DECAY_LAST = 0.5
+
+_W_SQL = """,
+wev AS (SELECT ev.symbol, ev.t0, coalesce(ev.t1, lst.last) AS t1 FROM ev JOIN lst USING (symbol)),
+span AS (SELECT symbol, min(t0) AS a, max(t1) AS b FROM wev GROUP BY symbol),
+conc AS (SELECT k.symbol, k.time, k.close, count(w.t0) AS c FROM ticks k JOIN span s ON s.symbol = k.symbol
+         AND k.time BETWEEN s.a AND s.b
+         LEFT JOIN wev w ON w.symbol = k.symbol AND k.time BETWEEN w.t0 AND w.t1 GROUP BY ALL),
+uniq AS (SELECT w.symbol, w.t0, avg(1.0 / c.c) AS tw FROM wev w JOIN conc c ON c.symbol = w.symbol
+         AND c.time BETWEEN w.t0 AND w.t1 GROUP BY ALL)"""
+
+
+def weight_events(spark, sf):
+    tk, _, _, _, ev = label_inputs(spark, sf)
+    return tk, ev.select("symbol", "t0", "t1")
+
+
+@register("w1_num_concurrent", _label_sql() + _W_SQL + """
+SELECT symbol, time, c FROM conc""")
+def q_num_concurrent(spark, sf):
+    from tessera.operators.weights import num_concurrent
+    tk, ev = weight_events(spark, sf)
+    return num_concurrent(tk, ev).select("symbol", "time", "c")
+
+
+@register("w2_avg_uniqueness", _label_sql() + _W_SQL + """
+SELECT symbol, t0, round(tw, 6) AS tw FROM uniq""")
+def q_avg_uniqueness(spark, sf):
+    from tessera.operators.weights import avg_uniqueness
+    tk, ev = weight_events(spark, sf)
+    return avg_uniqueness(tk, ev).select("symbol", "t0", r6("tw").alias("tw"))
+
+
+@register("w3_indicator_matrix", _label_sql() + _W_SQL + """
+SELECT w.symbol, w.t0, k.time FROM wev w JOIN ticks k ON k.symbol = w.symbol AND k.time BETWEEN w.t0 AND w.t1""")
+def q_indicator(spark, sf):
+    from tessera.operators.weights import indicator_matrix
+    tk, ev = weight_events(spark, sf)
+    return indicator_matrix(tk, ev)
+
+
+@register("w4_uniqueness_from_indicator", _label_sql() + _W_SQL + """,
+ind AS (SELECT w.symbol, w.t0, k.time FROM wev w JOIN ticks k ON k.symbol = w.symbol AND k.time BETWEEN w.t0 AND w.t1),
+ic AS (SELECT symbol, time, count(*) AS c FROM ind GROUP BY ALL)
+SELECT i.symbol, i.t0, round(avg(1.0 / ic.c), 6) AS avg_uniqueness FROM ind i JOIN ic USING (symbol, time) GROUP BY ALL""")
+def q_uniq_indicator(spark, sf):
+    from tessera.operators.weights import avg_uniqueness_from_indicator, indicator_matrix
+    tk, ev = weight_events(spark, sf)
+    u = avg_uniqueness_from_indicator(indicator_matrix(tk, ev))
+    return u.select("symbol", "t0", r6("avg_uniqueness").alias("avg_uniqueness"))
+
+
+@register("w5_return_weights", _label_sql() + _W_SQL + """,
+lr AS (SELECT symbol, time, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY time, seq)) AS r FROM ticks)
+SELECT w.symbol, w.t0, round(abs(sum(lr.r / c.c)), 6) AS w FROM wev w
+JOIN conc c ON c.symbol = w.symbol AND c.time BETWEEN w.t0 AND w.t1
+JOIN lr ON lr.symbol = c.symbol AND lr.time = c.time GROUP BY ALL""")
+def q_return_weights(spark, sf):
+    from tessera.operators.weights import return_weights
+    tk, ev = weight_events(spark, sf)
+    return return_weights(tk, ev).select("symbol", "t0", r6("w").alias("w"))
+
+
+@register("w8_time_decay", _label_sql() + _W_SQL + f""",
+cu AS (SELECT symbol, t0, sum(tw) OVER (PARTITION BY symbol ORDER BY t0) AS cum,
+              sum(tw) OVER (PARTITION BY symbol) AS tot FROM uniq)
+SELECT symbol, t0, round(greatest(0.0, (1.0 - (1.0 - {TIME_DECAY_LAST}) / tot * tot)
+                                   + (1.0 - {TIME_DECAY_LAST}) / tot * cum), 6) AS decay FROM cu""")
+def q_time_decay(spark, sf):
+    from tessera.operators.weights import avg_uniqueness, time_decay
+    tk, ev = weight_events(spark, sf)
+    d = time_decay(avg_uniqueness(tk, ev), TIME_DECAY_LAST)
+    return d.select("symbol", "t0", r6("decay").alias("decay"))
+
+
+@register("w6_sequential_bootstrap")
+def q_seq_bootstrap(spark, sf):
+    from tessera.operators.weights import indicator_matrix, sequential_bootstrap
+    tk, ev = weight_events(spark, sf)
+    return sequential_bootstrap(indicator_matrix(tk, ev), replicates=2, seed=7)
+
+
+@register("w7_bootstrap_uniqueness")
+def q_bootstrap_uniq(spark, sf):
+    from tessera.operators.weights import indicator_matrix, sequential_bootstrap
+    tk, ev = weight_events(spark, sf)
+    b = sequential_bootstrap(indicator_matrix(tk, ev), replicates=4, seed=11)
+    return (b.groupBy("symbol", "replicate").agg(F.first("std_uniq").alias("std_uniq"),
+                                                 F.first("seq_uniq").alias("seq_uniq"))
+             .groupBy("symbol").agg(F.avg("std_uniq").alias("std_uniq"), F.avg("seq_uniq").alias("seq_uniq")))
+
+
+@register("w9_weighted_training_table", _label_sql() + _W_SQL + """,
+lr AS (SELECT symbol, time, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY time, seq)) AS r FROM ticks),
+rw AS (SELECT w.symbol, w.t0, abs(sum(lr.r / c.c)) AS w FROM wev w
+       JOIN conc c ON c.symbol = w.symbol AND c.time BETWEEN w.t0 AND w.t1
+       JOIN lr ON lr.symbol = c.symbol AND lr.time = c.time GROUP BY ALL)
+SELECT v.symbol, v.time AS t0, round(v.trgt, 6) AS vol, round(rw.w, 6) AS w, b.bin
+FROM vol v JOIN cus ON cus.symbol = v.symbol AND cus.t0 = v.time
+LEFT JOIN rw ON rw.symbol = v.symbol AND rw.t0 = v.time
+LEFT JOIN bins b ON b.symbol = v.symbol AND b.t0 = v.time
+WHERE v.trgt IS NOT NULL AND rw.w IS NOT NULL AND b.bin IS NOT NULL""")
+def q_weighted_table(spark, sf):
+    from tessera.operators.labels import get_bins
+    from tessera.operators.weights import return_weights, weighted_training_table
+    tk, cus, vol, vb, ev = label_inputs(spark, sf)
+    feats = vol.join(cus.select("symbol", F.col("t0").alias("time")), ["symbol", "time"]) \
+               .select("symbol", F.col("time").alias("t0"), r6("trgt").alias("vol"))
+    w = return_weights(tk, ev.select("symbol", "t0", "t1")).select("symbol", "t0", r6("w").alias("w"))
+    b = get_bins(tk, ev, t1=vb).select("symbol", "t0", F.col("bin").cast("int"))
+    return weighted_training_table(feats, w, b).select("symbol", "t0", "vol", "w", "bin")
