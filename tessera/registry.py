@@ -647,3 +647,213 @@ def q_weighted_table(spark, sf):
     w = return_weights(tk, ev.select("symbol", "t0", "t1")).select("symbol", "t0", r6("w").alias("w"))
     b = get_bins(tk, ev, t1=vb).select("symbol", "t0", F.col("bin").cast("int"))
     return weighted_training_table(feats, w, b).select("symbol", "t0", "vol", "w", "bin")
+
+
+# ============================================================================ fractional differentiation
+FFD_D, FFD_THRES = 0.4, 1e-3
+FD_D, FD_THRES = 0.4, 0.01
+MIN_FFD_GRID = tuple(round(0.1 * i, 1) for i in range(21))
+MIN_FFD_THRES = 0.01
+
+
+def _weights_values(w) -> str:
+    return ", ".join(f"({k}, {float(x)!r})" for k, x in enumerate(w))
+
+
+def _ffd_sql(d: float, thres: float, src: str = "ticks", tag: str = "") -> str:
+    from tessera.operators.fracdiff import weights_ffd
+    w = weights_ffd(d, thres)
+    return f"""fw{tag} AS (SELECT * FROM (VALUES {_weights_values(w)}) t(lag, w)),
+fx{tag} AS (SELECT symbol, time, seq, close, row_number() OVER (PARTITION BY symbol ORDER BY time, seq) AS i FROM {src}),
+ffd{tag} AS (SELECT a.symbol, a.time, a.seq, a.i, a.close, sum(fw{tag}.w * b.close) AS ffd, count(*) AS n
+        FROM fx{tag} a CROSS JOIN fw{tag} JOIN fx{tag} b ON b.symbol = a.symbol AND b.i = a.i - fw{tag}.lag
+        GROUP BY ALL HAVING count(*) = {len(w)})"""
+
+
+@register("d3_frac_diff_ffd", f"""WITH {TICKS_CTE},
+{_ffd_sql(FFD_D, FFD_THRES)}
+SELECT symbol, time, seq, round(ffd, 6) AS ffd FROM ffd""")
+def q_ffd(spark, sf):
+    from tessera.operators.fracdiff import frac_diff_ffd
+    return frac_diff_ffd(ticks(spark, sf), FFD_D, FFD_THRES).select("symbol", "time", "seq", r6("ffd").alias("ffd"))
+
+
+def _fd_sql() -> str:
+    from tessera.operators.fracdiff import weights
+    w = weights(FD_D, 2200)
+    return f"""WITH {TICKS_CTE},
+w AS (SELECT * FROM (VALUES {_weights_values(w)}) t(lag, w)),
+x AS (SELECT symbol, time, seq, close, row_number() OVER (PARTITION BY symbol ORDER BY time, seq) - 1 AS i,
+             count(*) OVER (PARTITION BY symbol) AS n FROM ticks),
+nn AS (SELECT DISTINCT symbol, n FROM x),
+tail AS (SELECT nn.symbol, w.lag, sum(abs(w.w)) OVER (PARTITION BY nn.symbol ORDER BY w.lag DESC) AS t,
+                sum(abs(w.w)) OVER (PARTITION BY nn.symbol) AS tot
+         FROM nn JOIN w ON w.lag < nn.n),
+sk AS (SELECT symbol, count(*) FILTER (WHERE t / tot > {FD_THRES}) AS skip FROM tail GROUP BY symbol),
+fd AS (SELECT a.symbol, a.time, a.seq, a.i, sum(w.w * b.close) AS fd FROM x a JOIN x b ON b.symbol = a.symbol AND b.i <= a.i
+       JOIN w ON w.lag = a.i - b.i GROUP BY ALL)
+SELECT fd.symbol, fd.time, fd.seq, round(fd.fd, 6) AS fd FROM fd JOIN sk USING (symbol) WHERE fd.i >= sk.skip"""
+
+
+@register("d4_frac_diff_expanding", _fd_sql())
+def q_fd(spark, sf):
+    from tessera.operators.fracdiff import frac_diff_expanding
+    return frac_diff_expanding(ticks(spark, sf), FD_D, FD_THRES).select("symbol", "time", "seq", r6("fd").alias("fd"))
+
+
+def _adf_sql(src: str, key: str, order: str, x: str, regression: str = "c") -> str:
+    """CTE text producing adf_{src}(key cols, adf_stat, nobs, crit_5pct)."""
+    from tessera.functions.ols import adf_crit_5pct_sql, moment_aggs, ols_exprs
+    xs = ["l1", "dl"] + (["1.0"] if regression == "c" else [])
+    k = len(xs)
+    ms = ", ".join(f"sum({e}) AS {n}" for n, e in moment_aggs(xs, "dy"))
+    ex = ols_exprs(k)
+    return f"""a1_{src} AS (SELECT {key}, {x} AS v, lag({x}) OVER (PARTITION BY {key} ORDER BY {order}) AS l1,
+                lag({x}, 2) OVER (PARTITION BY {key} ORDER BY {order}) AS l2 FROM {src}),
+a2_{src} AS (SELECT {key}, v - l1 AS dy, l1, l1 - l2 AS dl FROM a1_{src} WHERE l2 IS NOT NULL),
+a3_{src} AS (SELECT {key}, {ms} FROM a2_{src} GROUP BY {key}),
+adf_{src} AS (SELECT {key}, {ex['t_0']} AS adf_stat, m_n AS nobs, {adf_crit_5pct_sql(regression, 'm_n')} AS crit_5pct
+              FROM a3_{src})"""
+
+
+@register("d5_adf", f"""WITH {TICKS_CTE},
+{_ffd_sql(FFD_D, FFD_THRES)},
+{_adf_sql('ffd', 'symbol', 'time, seq', 'ffd')}
+SELECT symbol, round(adf_stat, 6) AS adf_stat, nobs, round(crit_5pct, 6) AS crit_5pct FROM adf_ffd""")
+def q_adf(spark, sf):
+    from tessera.operators.fracdiff import adf, frac_diff_ffd
+    f = frac_diff_ffd(ticks(spark, sf), FFD_D, FFD_THRES)
+    return adf(f, value="ffd").select("symbol", r6("adf_stat").alias("adf_stat"), "nobs",
+                                      r6("crit_5pct").alias("crit_5pct"))
+
+
+def _min_ffd_sql() -> str:
+    from tessera.operators.fracdiff import weights_ffd
+    rows = []
+    for dv in MIN_FFD_GRID:
+        w = weights_ffd(dv, MIN_FFD_THRES)
+        rows += [f"({dv!r}, {k}, {float(x)!r}, {len(w)})" for k, x in enumerate(w)]
+    return f"""WITH {TICKS_CTE},
+fw AS (SELECT * FROM (VALUES {', '.join(rows)}) t(d, lag, w, nw)),
+fx AS (SELECT symbol, time, seq, close, row_number() OVER (PARTITION BY symbol ORDER BY time, seq) AS i FROM ticks),
+ffd AS (SELECT a.symbol, fw.d, a.time, a.seq, sum(fw.w * b.close) AS ffd
+        FROM fx a CROSS JOIN fw JOIN fx b ON b.symbol = a.symbol AND b.i = a.i - fw.lag
+        GROUP BY a.symbol, fw.d, a.time, a.seq, fw.nw HAVING count(*) = fw.nw),
+{_adf_sql('ffd', 'symbol, d', 'time, seq', 'ffd')},
+best AS (SELECT symbol, min(d) AS min_d FROM adf_ffd WHERE adf_stat <= crit_5pct GROUP BY symbol)
+SELECT a.symbol, a.d, round(a.adf_stat, 6) AS adf_stat, a.nobs, a.adf_stat <= a.crit_5pct AS passes, b.min_d
+FROM adf_ffd a LEFT JOIN best b USING (symbol)"""
+
+
+@register("d6_min_ffd", _min_ffd_sql())
+def q_min_ffd(spark, sf):
+    from tessera.operators.fracdiff import min_ffd
+    r = min_ffd(ticks(spark, sf), MIN_FFD_GRID, MIN_FFD_THRES)
+    return r.select("symbol", "d", r6("adf_stat").alias("adf_stat"), "nobs", "passes", "min_d")
+
+
+def _ffd_pair(spark, sf):
+    from tessera.operators.fracdiff import frac_diff_ffd
+    return frac_diff_ffd(ticks(spark, sf), FFD_D, FFD_THRES).select("symbol", "time", "seq",
+                                                                     F.col("ffd").alias("y"), F.col("close").alias("x"))
+
+
+@register("d7_ffd_level_corr", f"""WITH {TICKS_CTE},
+{_ffd_sql(FFD_D, FFD_THRES)}
+SELECT symbol, round(corr(close, ffd), 6) AS corr FROM ffd GROUP BY symbol""")
+def q_ffd_corr(spark, sf):
+    from tessera.operators.fracdiff import correlation
+    return correlation(_ffd_pair(spark, sf)).select("symbol", r6("corr").alias("corr"))
+
+
+@register("d8_engle_granger", f"""WITH {TICKS_CTE},
+{_ffd_sql(FFD_D, FFD_THRES)},
+fit AS (SELECT symbol, regr_slope(ffd, close) AS b, regr_intercept(ffd, close) AS a FROM ffd GROUP BY symbol),
+res AS (SELECT f.symbol, f.time, f.seq, f.ffd - fit.a - fit.b * f.close AS e FROM ffd f JOIN fit USING (symbol)),
+{_adf_sql('res', 'symbol', 'time, seq', 'e', 'n')}
+SELECT symbol, round(adf_stat, 6) AS eg_stat, nobs FROM adf_res""")
+def q_engle_granger(spark, sf):
+    from tessera.operators.fracdiff import engle_granger
+    return engle_granger(_ffd_pair(spark, sf)).select("symbol", r6("eg_stat").alias("eg_stat"), "nobs")
+
+
+@register("d9_r_squared", f"""WITH {TICKS_CTE},
+{_ffd_sql(FFD_D, FFD_THRES)}
+SELECT symbol, round(regr_r2(ffd, close), 6) AS r2 FROM ffd GROUP BY symbol""")
+def q_r2(spark, sf):
+    from tessera.operators.fracdiff import r_squared
+    return r_squared(_ffd_pair(spark, sf)).select("symbol", r6("r2").alias("r2"))
+
+
+# ============================================================================ structural breaks
+def _ols3():
+    from tessera.functions.ols import ols_exprs
+    return ols_exprs(3)
+
+
+_OLS3 = _ols3()
+SADF_MIN_SL = 20
+
+
+def _logbars_sql() -> str:
+    return bars_sql() + """,
+lb AS (SELECT symbol, bar, ln(close) AS x FROM bars),
+ds AS (SELECT symbol, bar, x, lag(x) OVER (PARTITION BY symbol ORDER BY bar) AS lvl FROM lb),
+dy AS (SELECT *, x - lvl AS y FROM ds),
+dz AS (SELECT *, lag(y) OVER (PARTITION BY symbol ORDER BY bar) AS dx_1 FROM dy),
+design AS (SELECT symbol, bar, y, lvl AS level, dx_1, 1.0 AS const FROM dz
+           WHERE lvl IS NOT NULL AND dx_1 IS NOT NULL)"""
+
+
+def _log_bars(spark, sf):
+    return series_bars(spark, sf).select("symbol", "bar", F.ln("close").alias("x"))
+
+
+@register("x1_betas", _logbars_sql() + """,
+m AS (SELECT symbol, sum(level * level) AS m_xx_0_0, sum(level * dx_1) AS m_xx_0_1, sum(level) AS m_xx_0_2,
+             sum(dx_1 * dx_1) AS m_xx_1_1, sum(dx_1) AS m_xx_1_2, sum(1.0) AS m_xx_2_2,
+             sum(level * y) AS m_xy_0, sum(dx_1 * y) AS m_xy_1, sum(y) AS m_xy_2, sum(y * y) AS m_yy,
+             count(*) AS m_n FROM design GROUP BY symbol)
+SELECT symbol, round(""" + _OLS3["beta_0"] + """, 6) AS b_level, round(""" + _OLS3["var_0"] + """, 6) AS var_level FROM m""")
+def q_betas(spark, sf):
+    from tessera.operators.breaks import adf_design, betas
+    d = adf_design(_log_bars(spark, sf), "x", 1, "c", order=("bar",))
+    b = betas(d, "y", ["level", "dx_1", "const"])
+    return b.select("symbol", r6("b_level").alias("b_level"), r6("var_level").alias("var_level"))
+
+
+@register("x2_lagged_columns", _logbars_sql() + """
+SELECT symbol, bar, round(x, 6) AS x_0, round(lag(x) OVER w, 6) AS x_1, round(lag(x, 2) OVER w, 6) AS x_2
+FROM lb WINDOW w AS (PARTITION BY symbol ORDER BY bar)""")
+def q_lagged(spark, sf):
+    from tessera.operators.breaks import lagged
+    d = lagged(_log_bars(spark, sf), ["x"], 2, order=("bar",))
+    return d.select("symbol", "bar", r6("x_0").alias("x_0"), r6("x_1").alias("x_1"), r6("x_2").alias("x_2"))
+
+
+@register("x3_adf_design", _logbars_sql() + """
+SELECT symbol, bar, round(y, 6) AS y, round(level, 6) AS level, round(dx_1, 6) AS dx_1 FROM design""")
+def q_design(spark, sf):
+    from tessera.operators.breaks import adf_design
+    d = adf_design(_log_bars(spark, sf), "x", 1, "c", order=("bar",))
+    return d.select("symbol", "bar", r6("y").alias("y"), r6("level").alias("level"), r6("dx_1").alias("dx_1"))
+
+
+def _bsadf_sql() -> str:
+    from tessera.functions.ols import moment_aggs, ols_exprs
+    xs = ["level", "dx_1", "const"]
+    sums = ", ".join(f"sum({e}) OVER w AS {n}" for n, e in moment_aggs(xs, "y"))
+    return _logbars_sql() + f""",
+dn AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar) - 1 AS st,
+              count(*) OVER (PARTITION BY symbol) AS rows FROM design),
+suf AS (SELECT symbol, st, rows, {sums} FROM dn
+        WINDOW w AS (PARTITION BY symbol ORDER BY st DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+bt AS (SELECT symbol, {ols_exprs(3)['t_0']} AS adf FROM suf WHERE st <= rows + 1 - {SADF_MIN_SL})
+SELECT symbol, round(max(adf), 6) AS bsadf, count(*) AS starts FROM bt GROUP BY symbol"""
+
+
+@register("x4_bsadf", _bsadf_sql())
+def q_bsadf(spark, sf):
+    from tessera.operators.breaks import bsadf
+    b = bsadf(_log_bars(spark, sf), "x", SADF_MIN_SL, "c", 1, order=("bar",))
+    return b.select("symbol", r6("bsadf").alias("bsadf"), "starts")
