@@ -90,8 +90,10 @@ def ticks(spark: SparkSession, sf: str) -> DataFrame:
 def series_bars(spark: SparkSession, sf: str) -> DataFrame:
     """Dollar bars used as a bar series: (symbol, bar, time=closing tick ts, open, high, low, close, volume)."""
     from tessera.operators.bars import dollar_bars
+    from tessera.session import cut_lineage
     b = dollar_bars(trades_from_events(spark, sf), SERIES_BAR_THRESHOLD)
-    return b.select("symbol", "bar", F.col("end_ts").alias("time"), "open", "high", "low", "close", "volume")
+    # the bar series feeds several downstream plans: materialise it once (reliable checkpoint)
+    return cut_lineage(b.select("symbol", "bar", F.col("end_ts").alias("time"), "open", "high", "low", "close", "volume"))
 
 
 TICKS_CTE = TRADES_CTE + """,
@@ -857,3 +859,167 @@ def q_bsadf(spark, sf):
     from tessera.operators.breaks import bsadf
     b = bsadf(_log_bars(spark, sf), "x", SADF_MIN_SL, "c", 1, order=("bar",))
     return b.select("symbol", r6("bsadf").alias("bsadf"), "starts")
+
+
+# ============================================================================ backtest statistics
+from tessera.functions.normal import norm_cdf_sql as _phi  # noqa: E402
+
+
+def positions(spark, sf):
+    """Strategy positions per symbol: running sum of +1 (even size) / -1 (odd size) over ticks."""
+    from tessera.plans.sequence import cumulative
+    t = trades_from_events(spark, sf).withColumn(
+        "_step", F.when(F.col("size") % 2 == 0, F.lit(1)).otherwise(F.lit(-1)))
+    p = cumulative(t, ["symbol"], ["ts", "seq"], {"position": ("sum", "_step")})
+    return p.select("symbol", F.col("ts").alias("time"), "seq", F.col("position").cast("long").alias("position"))
+
+
+POS_CTE = TRADES_CTE + """,
+pos AS (SELECT symbol, ts AS time, seq, CAST(sum(CASE WHEN size % 2 = 0 THEN 1 ELSE -1 END)
+        OVER (PARTITION BY symbol ORDER BY ts, seq) AS BIGINT) AS position FROM trades)"""
+
+
+def strat_returns(spark, sf):
+    from tessera.operators.filters import bar_returns
+    return bar_returns(series_bars(spark, sf), order=("bar",), base="previous").select("symbol", "bar", "time", "ret")
+
+
+_SRET_SQL = """,
+sr0 AS (SELECT symbol, bar, time, close / lag(close) OVER (PARTITION BY symbol ORDER BY bar) - 1 AS ret FROM bars),
+sret AS (SELECT * FROM sr0 WHERE ret IS NOT NULL)"""
+
+
+@register("k1_bets_timing", f"""WITH {POS_CTE},
+l AS (SELECT *, lag(position) OVER w AS prev, lead(position) OVER w AS nxt FROM pos
+      WINDOW w AS (PARTITION BY symbol ORDER BY time, seq))
+SELECT symbol, time, seq FROM l
+WHERE (position = 0 AND (prev IS NULL OR prev <> 0)) OR position * prev < 0 OR nxt IS NULL""")
+def q_bets_timing(spark, sf):
+    from tessera.operators.stats import bets_timing
+    return bets_timing(positions(spark, sf)).select("symbol", "time", "seq")
+
+
+@register("k2_holding_period")
+def q_holding(spark, sf):
+    from tessera.operators.stats import holding_period
+    return holding_period(positions(spark, sf))
+
+
+_HHI_SQL = """CASE WHEN {n} > 2 THEN ({q} / ({s} * {s}) - 1.0 / {n}) / (1.0 - 1.0 / {n}) END"""
+
+
+@register("k3_hhi", bars_sql() + _SRET_SQL + """,
+a AS (SELECT symbol, count_if(ret >= 0) AS np, sum(CASE WHEN ret >= 0 THEN ret END) AS sp,
+             sum(CASE WHEN ret >= 0 THEN ret * ret END) AS qp, count_if(ret < 0) AS nn,
+             sum(CASE WHEN ret < 0 THEN ret END) AS sn, sum(CASE WHEN ret < 0 THEN ret * ret END) AS qn FROM sret GROUP BY symbol)
+SELECT symbol, round(""" + _HHI_SQL.format(n="np", s="sp", q="qp") + """, 6) AS hhi_pos,
+       round(""" + _HHI_SQL.format(n="nn", s="sn", q="qn") + """, 6) AS hhi_neg FROM a""")
+def q_hhi(spark, sf):
+    from tessera.operators.stats import hhi
+    h = hhi(strat_returns(spark, sf))
+    return h.select("symbol", r6("hhi_pos").alias("hhi_pos"), r6("hhi_neg").alias("hhi_neg"))
+
+
+_DD_SQL = """,
+eq AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY symbol ORDER BY bar)) AS equity FROM sret),
+hw AS (SELECT *, max(equity) OVER (PARTITION BY symbol ORDER BY bar) AS hwm FROM eq),
+g AS (SELECT symbol, hwm, min(equity) AS mn, arg_min(time, bar) AS time FROM hw GROUP BY symbol, hwm HAVING hwm > min(equity)),
+dd AS (SELECT symbol, time, hwm, mn, 1 - mn / hwm AS dd,
+              (epoch_us(lead(time) OVER (PARTITION BY symbol ORDER BY time)) - epoch_us(time)) / (365.2425 * 86400e6) AS tuw
+       FROM g)"""
+
+
+@register("k4_drawdowns", bars_sql() + _SRET_SQL + _DD_SQL + """
+SELECT symbol, time, round(dd, 6) AS dd, round(tuw, 6) AS tuw FROM dd""")
+def q_drawdowns(spark, sf):
+    from tessera.operators.stats import drawdowns, equity_curve
+    e = equity_curve(strat_returns(spark, sf), order=("bar",))
+    d = drawdowns(e, order=("bar",))
+    return d.select("symbol", "time", r6("dd").alias("dd"), r6("tuw").alias("tuw"))
+
+
+def _stats_sql() -> str:
+    import math
+    from tessera.functions.normal import norm_ppf
+    from tessera.operators.stats import EULER_GAMMA
+    sr_star = math.sqrt(0.5) * ((1 - EULER_GAMMA) * norm_ppf(1 - 1.0 / 100) + EULER_GAMMA * norm_ppf(1 - 1.0 / (100 * math.e)))
+    psr0 = _phi("(sr * sqrt(n - 1) / sqrt(1 - sk * sr + (ku + 2) / 4.0 * sr * sr))")
+    psr1 = _phi(f"((sr - {sr_star!r}) * sqrt(n - 1) / sqrt(1 - sk * sr + (ku + 2) / 4.0 * sr * sr))")
+    return bars_sql() + _SRET_SQL + _DD_SQL + f""",
+mu AS (SELECT symbol, avg(ret) AS m FROM sret GROUP BY symbol),
+mo AS (SELECT s.symbol, count(*) AS n, avg(ret) AS mean, stddev_samp(ret) AS sd,
+              avg(pow(ret - m, 2)) AS m2, avg(pow(ret - m, 3)) AS m3, avg(pow(ret - m, 4)) AS m4,
+              avg(CASE WHEN ret >= 0 THEN ret END) AS avg_hit, avg(CASE WHEN ret < 0 THEN ret END) AS avg_miss,
+              sum(ln(1 + ret)) AS slr,
+              count_if(ret >= 0) AS np, sum(CASE WHEN ret >= 0 THEN ret END) AS sp, sum(CASE WHEN ret >= 0 THEN ret * ret END) AS qp,
+              count_if(ret < 0) AS nn, sum(CASE WHEN ret < 0 THEN ret END) AS sn, sum(CASE WHEN ret < 0 THEN ret * ret END) AS qn
+       FROM sret s JOIN mu USING (symbol) GROUP BY s.symbol),
+py AS (SELECT symbol, avg(c) AS per_year FROM (SELECT symbol, year(time) AS y, count(*) AS c FROM sret GROUP BY ALL) GROUP BY symbol),
+mt AS (SELECT symbol, count(*) AS n, sum(c) AS s, sum(c * c) AS q FROM
+        (SELECT symbol, date_trunc('month', time) AS mth, count(*) AS c FROM sret GROUP BY ALL) GROUP BY symbol),
+dq AS (SELECT symbol, quantile_cont(dd, 0.95) AS dd95, quantile_cont(tuw, 0.95) AS tuw95 FROM dd GROUP BY symbol),
+fin AS (SELECT mo.*, py.per_year, mean / sd AS sr, m3 / pow(m2, 1.5) AS sk, m4 / (m2 * m2) - 3 AS ku,
+               {_HHI_SQL.format(n='np', s='sp', q='qp')} AS hhi_pos, {_HHI_SQL.format(n='nn', s='sn', q='qn')} AS hhi_neg,
+               {_HHI_SQL.format(n='mt.n', s='CAST(mt.s AS DOUBLE)', q='mt.q')} AS hhi_time, dq.dd95, dq.tuw95
+        FROM mo JOIN py USING (symbol) JOIN mt USING (symbol) LEFT JOIN dq USING (symbol))
+SELECT symbol, round(hhi_pos, 6) AS hhi_pos, round(hhi_neg, 6) AS hhi_neg, round(hhi_time, 6) AS hhi_time,
+       round(dd95, 6) AS dd95, round(tuw95, 6) AS tuw95, round(exp(slr / (n / per_year)) - 1, 6) AS ann_return,
+       round(avg_hit, 6) AS avg_hit, round(avg_miss, 6) AS avg_miss, round(sr * sqrt(per_year), 6) AS ann_sr,
+       round({psr0}, 6) AS psr, round({sr_star!r}, 6) AS sr_star, round({psr1}, 6) AS dsr FROM fin"""
+
+
+@register("k5_stats_sheet", _stats_sql())
+def q_stats(spark, sf):
+    from tessera.operators.stats import stats_sheet
+    s = stats_sheet(strat_returns(spark, sf), order=("bar",))
+    return s.select("symbol", *[r6(c).alias(c) for c in ["hhi_pos", "hhi_neg", "hhi_time", "dd95", "tuw95", "ann_return",
+                                                          "avg_hit", "avg_miss", "ann_sr", "psr", "sr_star", "dsr"]])
+
+
+@register("k6_equity_curve", bars_sql() + _SRET_SQL + """
+SELECT symbol, bar, round(exp(sum(ln(1 + ret)) OVER (PARTITION BY symbol ORDER BY bar)), 6) AS equity FROM sret""")
+def q_equity(spark, sf):
+    from tessera.operators.stats import equity_curve
+    return equity_curve(strat_returns(spark, sf), order=("bar",)).select("symbol", "bar", r6("equity").alias("equity"))
+
+
+def _risk_sql() -> str:
+    def bs(p, sl, pt):
+        return f"((({pt}) - ({sl})) * ({p}) + ({sl})) / ((({pt}) - ({sl})) * sqrt(({p}) * (1 - ({p})))) * sqrt(freq)"
+    need = "((-(2 * freq * sl - 4.0 * (pt - sl)) * (pt - sl) + sqrt(pow((2 * freq * sl - 4.0 * (pt - sl)) * (pt - sl), 2) - 4 * (freq + 4.0) * pow(pt - sl, 2) * freq * sl * sl)) / (2.0 * (freq + 4.0) * pow(pt - sl, 2)))"
+    return bars_sql() + _SRET_SQL + f""",
+st AS (SELECT a.*, b.freq FROM
+        (SELECT symbol, avg(CAST(ret > 0 AS DOUBLE)) AS p, avg(CASE WHEN ret > 0 THEN ret END) AS pt,
+                avg(CASE WHEN ret <= 0 THEN ret END) AS sl FROM sret GROUP BY symbol) a
+        JOIN (SELECT symbol, avg(c) AS freq FROM (SELECT symbol, year(time) AS y, count(*) AS c FROM sret GROUP BY ALL)
+              GROUP BY symbol) b USING (symbol)),
+k AS (SELECT *, {need} AS need FROM st)
+SELECT symbol, round(p, 6) AS p, round(pt, 6) AS pt, round(sl, 6) AS sl, round(freq, 6) AS freq,
+       round({bs('p', 'sl', 'pt')}, 6) AS sr,
+       round({bs('p * 1.01', 'sl', 'pt')} - {bs('p', 'sl', 'pt')}, 6) AS d_sr_p,
+       round({bs('p', 'sl', 'pt * 1.01')} - {bs('p', 'sl', 'pt')}, 6) AS d_sr_pt,
+       round({bs('p', 'sl * 1.01', 'pt')} - {bs('p', 'sl', 'pt')}, 6) AS d_sr_sl,
+       round(need, 6) AS min_precision,
+       round(pow(2.0 * (pt - sl), 2) * p * (1 - p) / pow((pt - sl) * p + sl, 2), 6) AS min_freq,
+       round({_phi('((need - p) / (p * (1 - p)))')}, 6) AS prob_failure FROM k"""
+
+
+@register("k7_k9_strategy_risk", _risk_sql())
+def q_risk(spark, sf):
+    from tessera.operators.stats import strategy_risk
+    s = strategy_risk(strat_returns(spark, sf), 2.0)
+    return s.select("symbol", *[r6(c).alias(c) for c in ["p", "pt", "sl", "freq", "sr", "d_sr_p", "d_sr_pt", "d_sr_sl",
+                                                          "min_precision", "min_freq", "prob_failure"]])
+
+
+@register("k10_probabilistic_sharpe", bars_sql() + _SRET_SQL + f""",
+mu AS (SELECT symbol, avg(ret) AS m FROM sret GROUP BY symbol),
+mo AS (SELECT s.symbol, count(*) AS n, avg(ret) / stddev_pop(ret) AS sr, avg(pow(ret - m, 2)) AS m2,
+              avg(pow(ret - m, 3)) AS m3, avg(pow(ret - m, 4)) AS m4 FROM sret s JOIN mu USING (symbol) GROUP BY s.symbol),
+f AS (SELECT *, m3 / pow(m2, 1.5) AS sk, m4 / (m2 * m2) - 3 AS ku FROM mo)
+SELECT symbol, round(sr, 6) AS sr,
+       round({_phi('((sr - 1.0) * sqrt(n - 1) / sqrt(1 - sk * sr + (ku + 2) / 4.0 * sr * sr))')}, 6) AS psr FROM f""")
+def q_psr(spark, sf):
+    from tessera.operators.stats import probabilistic_sharpe
+    p = probabilistic_sharpe(strat_returns(spark, sf), 1.0)
+    return p.select("symbol", r6("sr").alias("sr"), r6("psr").alias("psr"))
