@@ -102,31 +102,52 @@ def chunk_window(keys: Sequence[str]):
 
 def shift(df: DataFrame, keys: Sequence[str], order: Sequence, cols: dict[str, str], k: int = 1,
           chunk_rows: int = DEFAULT_CHUNK_ROWS, keep_pos: bool = False) -> DataFrame:
-    """``lag`` (k > 0) or ``lead`` (k < 0) of several columns within each key, via a halo window."""
+    """``lag`` (k > 0) or ``lead`` (k < 0) of several columns within each key.
+
+    k = ±1: window lag/lead inside (key, block); the first (last) row of a block takes the last
+    (first) row of the previous (next) non-empty block from a one-row-per-block edge table.
+    Other k: halo window over position chunks."""
+    keys = list(keys)
     has_pos = POS in df.columns
-    d = halo_chunks(df, keys, order, before=max(k, 0), after=max(-k, 0), chunk_rows=chunk_rows,
-                    has_pos=has_pos)
-    w = chunk_window(keys)
+    if abs(k) != 1 or (keep_pos and not has_pos):
+        d = halo_chunks(df, keys, order, before=max(k, 0), after=max(-k, 0), chunk_rows=chunk_rows,
+                        has_pos=has_pos)
+        w = chunk_window(keys)
+        for src, dst in cols.items():
+            d = d.withColumn(dst, F.lag(src, k).over(w) if k > 0 else F.lead(src, -k).over(w))
+        d = d.where(~F.col(HALO)).drop(HALO, CHUNK)
+        if not keep_pos and not has_pos:
+            d = d.drop(POS)
+        return d
+    o = _cols(order)
+    d = df.withColumn(BLOCK, default_block(df, order))
+    w = W.partitionBy(*keys, BLOCK).orderBy(*o)
+    vals = F.struct(*[F.col(src).alias(dst) for src, dst in cols.items()])
+    edge = F.max_by(vals, F.struct(*o)) if k > 0 else F.min_by(vals, F.struct(*o))
+    edges = d.groupBy(*keys, BLOCK).agg(edge.alias("_edge"))
+    bw = W.partitionBy(*keys).orderBy(BLOCK)  # one row per key and block
+    nb = edges.select(*keys, BLOCK, (F.lag("_edge").over(bw) if k > 0 else F.lead("_edge").over(bw)).alias("_nb"))
+    d = d.withColumn("_at_edge", (F.lag(F.lit(1)).over(w) if k > 0 else F.lead(F.lit(1)).over(w)).isNull())
+    for src, dst in cols.items():
+        d = d.withColumn(dst, F.lag(src, 1).over(w) if k > 0 else F.lead(src, 1).over(w))
+    d = d.join(nb, [*keys, BLOCK], "left")
     for src, dst in cols.items():
-        d = d.withColumn(dst, F.lag(src, k).over(w) if k > 0 else F.lead(src, -k).over(w))
-    d = d.where(~F.col(HALO)).drop(HALO, CHUNK)
-    if not keep_pos and not has_pos:
-        d = d.drop(POS)
-    return d
+        d = d.withColumn(dst, F.when(F.col("_at_edge"), F.col(f"_nb.{dst}")).otherwise(F.col(dst)))
+    return d.drop("_nb", "_at_edge", BLOCK)
 
 
 # --------------------------------------------------------------------------- cumulative
 def cumulative(df: DataFrame, keys: Sequence[str], order: Sequence, aggs: dict[str, tuple[str, str]],
                chunk_rows: int = DEFAULT_CHUNK_ROWS, keep_pos: bool = False,
-               exclusive: bool = False) -> DataFrame:
+               exclusive: bool = False, block: Column | None = None) -> DataFrame:
     """Running aggregates (``sum``, ``max``, ``min``, ``count``) from the first row of the key to the
-    current row (or the row before, when ``exclusive``): inside-chunk running value combined with
-    the prefix over earlier chunks' totals (one row per key and chunk)."""
+    current row (or the row before, when ``exclusive``): inside-block running value combined with
+    the prefix over earlier blocks' totals (one row per key and block).  ``order`` should be
+    unique within a key."""
     keys = list(keys)
-    has_pos = POS in df.columns
-    d = df if has_pos else with_pos(df, keys, order)
-    d = d.withColumn(CHUNK, F.floor(F.col(POS) / F.lit(chunk_rows)).cast("long"))
-    frame = (W.partitionBy(*keys, CHUNK).orderBy(POS)
+    blk = block if block is not None else default_block(df, order)
+    d = df.withColumn(BLOCK, blk)
+    frame = (W.partitionBy(*keys, BLOCK).orderBy(*_cols(order))
              .rowsBetween(W.unboundedPreceding, -1 if exclusive else 0))
     totals = []
     combine = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
@@ -136,23 +157,20 @@ def cumulative(df: DataFrame, keys: Sequence[str], order: Sequence, aggs: dict[s
     for name, (how, col) in aggs.items():
         d = d.withColumn(f"_in_{name}", fn[how](col).over(frame))
         totals.append(fn[how](col).alias(f"_tot_{name}"))
-    tot = d.groupBy(*keys, CHUNK).agg(*totals)
-    prior = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
-    sel = [*keys, CHUNK]
+    tot = d.groupBy(*keys, BLOCK).agg(*totals)
+    prior = W.partitionBy(*keys).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
+    sel = [*keys, BLOCK]
     for name, (how, _) in aggs.items():
         agg = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}[how]
         sel.append(agg(f"_tot_{name}").over(prior).alias(f"_pre_{name}"))
     tot = tot.select(*sel)
-    d = d.join(tot, [*keys, CHUNK], "left")
+    d = d.join(tot, [*keys, BLOCK], "left")
     for name, (how, _) in aggs.items():
         v = combine[how](F.col(f"_pre_{name}"), F.col(f"_in_{name}"))
         if how == "sum" and not exclusive:
             v = F.when(F.col(f"_pre_{name}").isNull() & F.col(f"_in_{name}").isNull(), F.lit(None)).otherwise(v)
         d = d.withColumn(name, v).drop(f"_pre_{name}", f"_in_{name}")
-    d = d.drop(CHUNK)
-    if not keep_pos and not has_pos:
-        d = d.drop(POS)
-    return d
+    return d.drop(BLOCK)
 
 
 # --------------------------------------------------------------------------- fills
