@@ -60,9 +60,11 @@ def interval_join(intervals: DataFrame, points: DataFrame, keys: Sequence[str],
 def overlap_counts(intervals: DataFrame, keys: Sequence[str], start: str, end: str, times: DataFrame,
                    time_col: str, value: str | None = None, end_inclusive: bool = True) -> DataFrame:
     """Sweep: for each row of ``times`` the number of intervals (and Σ``value``) alive at that time.
-    Alive means start <= t <= end (``end_inclusive``) or start <= t < end; a null end never closes."""
+    Alive means start <= t <= end (``end_inclusive``) or start <= t < end; a null end never closes.
+    Values are accumulated as DECIMAL(38, 18): a running sum of +v / -v over a long series must not
+    drift, and an exact sum makes the result independent of the order of additions."""
     keys = list(keys)
-    v = F.col(value).cast("double") if value else F.lit(1.0)
+    v = F.col(value).cast("decimal(38,18)") if value else F.lit(1).cast("decimal(38,18)")
     plus = intervals.select(*keys, F.col(start).alias("_t"), F.lit(0).alias("_k"), F.lit(1).alias("_dc"),
                             v.alias("_dv"))
     # an interval ending at e leaves after every time <= e (inclusive) or before e (exclusive)
@@ -70,7 +72,8 @@ def overlap_counts(intervals: DataFrame, keys: Sequence[str], start: str, end: s
         *keys, F.col(end).alias("_t"), F.lit(2 if end_inclusive else -1).alias("_k"),
         F.lit(-1).alias("_dc"), (-v).alias("_dv"))
     probes = times.select(*keys, F.col(time_col).alias("_t"), F.lit(1).alias("_k"), F.lit(0).alias("_dc"),
-                          F.lit(0.0).alias("_dv"))
+                          F.lit(0).cast("decimal(38,18)").alias("_dv"))
     u = plus.unionByName(minus).unionByName(probes)
     u = cumulative(u, keys, ["_t", "_k"], {"alive": ("sum", "_dc"), "alive_sum": ("sum", "_dv")})
-    return u.where(F.col("_k") == 1).select(*keys, F.col("_t").alias(time_col), "alive", "alive_sum").distinct()
+    return u.where(F.col("_k") == 1).select(*keys, F.col("_t").alias(time_col), "alive",
+                                             F.col("alive_sum").cast("double").alias("alive_sum")).distinct()

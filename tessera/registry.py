@@ -1023,3 +1023,145 @@ def q_psr(spark, sf):
     from tessera.operators.stats import probabilistic_sharpe
     p = probabilistic_sharpe(strat_returns(spark, sf), 1.0)
     return p.select("symbol", r6("sr").alias("sr"), r6("psr").alias("psr"))
+
+
+# ============================================================================ bet sizing
+SIGNAL_STEP = 0.1
+SIZING_MAX_POS = 100
+SIZING_W_X, SIZING_W_M = 10.0, 0.95
+
+
+def signals(spark, sf):
+    """Signals from trades: signal = clip((price - 250)/250, -1, 1), t0 = ts, t1 = ts + size hours
+    (open when size is a multiple of 10), side = sign(signal)."""
+    t = trades_from_events(spark, sf)
+    sig = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), (F.col("price") - 250.0) / 250.0))
+    t1 = F.when(F.col("size") % 10 != 0, F.col("ts") + F.make_dt_interval(hours=F.col("size").cast("int")))
+    return t.select("symbol", F.col("ts").alias("t0"), t1.alias("t1"), sig.alias("signal"),
+                    F.signum(sig).alias("side"))
+
+
+SIG_CTE = TRADES_CTE + """,
+sig AS (SELECT symbol, ts AS t0,
+               CASE WHEN size % 10 <> 0 THEN ts + to_hours(CAST(size AS INTEGER)) END AS t1,
+               least(1.0, greatest(-1.0, (price - 250.0) / 250.0)) AS signal,
+               sign(least(1.0, greatest(-1.0, (price - 250.0) / 250.0))) AS side FROM trades),
+probe AS (SELECT DISTINCT symbol, t0 AS time FROM sig UNION SELECT DISTINCT symbol, t1 FROM sig WHERE t1 IS NOT NULL),
+act AS (SELECT p.symbol, p.time,
+               coalesce(CAST(sum(CAST(s.signal AS DECIMAL(38, 18))) AS DOUBLE) / count(s.signal), 0.0) AS signal FROM probe p
+        LEFT JOIN sig s ON s.symbol = p.symbol AND s.t0 <= p.time AND (p.time < s.t1 OR s.t1 IS NULL)
+        GROUP BY p.symbol, p.time)"""
+
+
+@register("z1_avg_active_signals", f"""WITH {SIG_CTE}
+SELECT symbol, time, round(signal, 9) AS signal FROM act""")
+def q_active(spark, sf):
+    # averages of signals on a 4e-5 lattice hit exact 6-decimal ties; compare at 9 decimals
+    from tessera.operators.sizing import avg_active_signals
+    return avg_active_signals(signals(spark, sf)).select("symbol", "time", F.round("signal", 9).alias("signal"))
+
+
+@register("z2_discrete_signal", f"""WITH {SIG_CTE}
+SELECT symbol, time, round(least(1.0, greatest(-1.0, round_even(signal / {SIGNAL_STEP}, 0) * {SIGNAL_STEP})), 6) AS signal
+FROM act""")
+def q_discrete(spark, sf):
+    from tessera.operators.sizing import avg_active_signals, discrete_signal
+    a = avg_active_signals(signals(spark, sf))
+    return a.select("symbol", "time", F.round(discrete_signal(F.col("signal"), SIGNAL_STEP), 6).alias("signal"))
+
+
+def _z3_sql() -> str:
+    base = _label_sql()
+    return base + f""",
+tr0 AS (SELECT symbol, time, seq, lag(close) OVER (PARTITION BY symbol ORDER BY time, seq) AS pp, close FROM ticks),
+tr1 AS (SELECT *, CASE WHEN pp IS NULL THEN 1 ELSE nullif(CAST(sign(close - pp) AS INTEGER), 0) END AS s0 FROM tr0),
+tr AS (SELECT symbol, time, seq, CAST(last_value(s0 IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY time, seq
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS pd FROM tr1),
+trb AS (SELECT symbol, time, seq, floor((pd + 1) / 2) AS buy FROM tr),
+{ewm_sql('trb', 'symbol', 'time, seq', 'buy', 2 / 1001, out='pb')},
+pr AS (SELECT ev.symbol, ev.t0, ev.t1, greatest(pb_mean, 1 - pb_mean) AS prob,
+              CASE WHEN pb_mean >= 0.5 THEN 1.0 ELSE -1.0 END AS pred
+       FROM ev JOIN pb_f ON pb_f.symbol = ev.symbol AND pb_f.time = ev.t0),
+sg AS (SELECT symbol, t0, t1, pred * (2 * {_phi('((prob - 0.5) / sqrt(prob * (1 - prob)))')} - 1) AS signal FROM pr),
+zp AS (SELECT DISTINCT symbol, t0 AS time FROM sg UNION SELECT DISTINCT symbol, t1 FROM sg WHERE t1 IS NOT NULL),
+za AS (SELECT p.symbol, p.time, coalesce(avg(s.signal), 0.0) AS signal FROM zp p
+       LEFT JOIN sg s ON s.symbol = p.symbol AND s.t0 <= p.time AND (p.time < s.t1 OR s.t1 IS NULL)
+       GROUP BY p.symbol, p.time)
+SELECT symbol, time, round(least(1.0, greatest(-1.0, round_even(signal / {SIGNAL_STEP}, 0) * {SIGNAL_STEP})), 6) AS signal
+FROM za"""
+
+
+@register("z3_signal_from_probability", _z3_sql())
+def q_signal_prob(spark, sf):
+    from tessera.operators.bars import tick_rule
+    from tessera.operators.sizing import signal_from_probability
+    from tessera.plans import ewm as E
+    tk, _, _, _, ev = label_inputs(spark, sf)
+    tr = tick_rule(trades_from_events(spark, sf)).select("symbol", F.col("ts").alias("time"), "seq",
+                                                         F.floor((F.col("price_diff") + 1) / 2).cast("double").alias("buy"))
+    pb = E.ewm(tr, ["symbol"], ["time", "seq"], "buy", out_mean="pbuy", span=1000)
+    e = ev.join(pb.select("symbol", F.col("time").alias("t0"), "pbuy"), ["symbol", "t0"])
+    e = e.withColumn("prob", F.greatest("pbuy", 1 - F.col("pbuy"))) \
+         .withColumn("pred", F.when(F.col("pbuy") >= 0.5, F.lit(1.0)).otherwise(F.lit(-1.0)))
+    s = signal_from_probability(e, SIGNAL_STEP)
+    return s.select("symbol", "time", F.round("signal", 6).alias("signal"))
+
+
+def _z4_sql() -> str:
+    from tessera.operators.sizing import calibrate_w
+    w = calibrate_w(SIZING_W_X, SIZING_W_M)
+    return f"""WITH {TICKS_CTE},
+{ewm_sql('ticks', 'symbol', 'time, seq', 'close', 2 / 21)},
+z AS (SELECT symbol, time, seq, close AS price, e_mean AS forecast,
+             (e_mean - close) / sqrt({w!r} + (e_mean - close) * (e_mean - close)) AS size FROM e_f),
+t AS (SELECT *, CAST(trunc(size * {SIZING_MAX_POS}) AS INTEGER) AS target_pos FROM z),
+u AS (SELECT *, coalesce(lag(target_pos) OVER (PARTITION BY symbol ORDER BY time, seq), 0) AS pos FROM t),
+v AS (SELECT *, abs(pos + CASE WHEN target_pos >= pos THEN 1 ELSE -1 END) AS lo, abs(target_pos + 1) AS hi FROM u)
+SELECT symbol, time, seq, round(size, 6) AS size, target_pos, pos,
+       round(CASE WHEN target_pos <> pos THEN coalesce(list_sum(list_transform(range(lo, hi),
+             lambda j: forecast - (j / {float(SIZING_MAX_POS)}) * sqrt({w!r} / (1 - (j / {float(SIZING_MAX_POS)}) * (j / {float(SIZING_MAX_POS)}))))), 0.0)
+             / (target_pos - pos) END, 6) AS limit_price FROM v"""
+
+
+@register("z4_sigmoid_sizing", _z4_sql())
+def q_sigmoid(spark, sf):
+    from tessera.operators.sizing import calibrate_w, sigmoid_sizing
+    from tessera.plans import ewm as E
+    tk = ticks(spark, sf)
+    f = E.ewm(tk, ["symbol"], ["time", "seq"], "close", out_mean="forecast", span=20).withColumnRenamed("close", "price")
+    z = sigmoid_sizing(f, calibrate_w(SIZING_W_X, SIZING_W_M), SIZING_MAX_POS)
+    return z.select("symbol", "time", "seq", r6("size").alias("size"), "target_pos", "pos", r6("limit_price").alias("limit_price"))
+
+
+_CONC_SQL = """,
+dts AS (SELECT DISTINCT symbol, t0 AS time FROM sig),
+conc AS (SELECT d.symbol, d.time, count(s.t0) FILTER (WHERE s.side > 0) AS long,
+                count(s.t0) FILTER (WHERE s.side <= 0) AS short FROM dts d
+         LEFT JOIN sig s ON s.symbol = d.symbol AND s.t0 <= d.time AND (d.time <= s.t1 OR s.t1 IS NULL)
+         GROUP BY d.symbol, d.time)"""
+
+
+@register("z5_concurrent_bets", f"""WITH {SIG_CTE}{_CONC_SQL}
+SELECT symbol, time, long, short FROM conc""")
+def q_conc(spark, sf):
+    from tessera.operators.sizing import concurrent_bets
+    c = concurrent_bets(signals(spark, sf))
+    return c.select("symbol", "time", F.col("long").cast("long"), F.col("short").cast("long"))
+
+
+@register("z6_size_from_concurrency", f"""WITH {SIG_CTE}{_CONC_SQL},
+m AS (SELECT symbol, max(long) AS ml, max(short) AS ms FROM conc GROUP BY symbol)
+SELECT c.symbol, c.time, round(CASE WHEN ml > 0 THEN long / ml ELSE 0.0 END - CASE WHEN ms > 0 THEN short / ms ELSE 0.0 END, 6) AS size
+FROM conc c JOIN m USING (symbol)""")
+def q_conc_size(spark, sf):
+    from tessera.operators.sizing import concurrent_bets, size_from_concurrency
+    s = size_from_concurrency(concurrent_bets(signals(spark, sf)))
+    return s.select("symbol", "time", r6("size").alias("size"))
+
+
+@register("z7_size_from_mixture")
+def q_mixture(spark, sf):
+    from tessera.operators.sizing import concurrent_bets, size_from_mixture
+    from tessera.session import cut_lineage
+    c = cut_lineage(concurrent_bets(signals(spark, sf)))
+    return size_from_mixture(c).select("symbol", "time", "c", r6("size").alias("size"))
