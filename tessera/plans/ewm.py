@@ -106,3 +106,24 @@ def ewm(df: DataFrame, keys: Sequence[str], order: Sequence, col: str, out_mean:
     if not keep_pos and not has_pos:
         d = d.drop(POS)
     return d
+
+
+def decayed_sum(df: DataFrame, keys: Sequence[str], order: Sequence, col: str, out: str, decay: float) -> DataFrame:
+    """Σ_k decay^(i-k)·x_k per key (a first-order linear recurrence y = decay·y_prev + x),
+    computed like the EWM numerator: chunked scaled sums plus the previous chunk's carry."""
+    keys = list(keys)
+    a = 1.0 - float(decay)
+    has_pos = POS in df.columns
+    d = df if has_pos else with_pos(df, keys, order)
+    C = chunk_rows_for(a)
+    lam = -math.log(decay)
+    d = d.withColumn(CHUNK, F.floor(F.col(POS) / F.lit(C)).cast("long"))
+    j = (F.col(POS) - F.col(CHUNK) * F.lit(C)).cast("double")
+    g = F.exp(j * F.lit(lam))
+    w = W.partitionBy(*keys, CHUNK).orderBy(POS).rowsBetween(W.unboundedPreceding, 0)
+    d = d.withColumn("_s", F.sum(F.coalesce(F.col(col).cast("double"), F.lit(0.0)) * g).over(w) / g)
+    tail = d.groupBy(*keys, CHUNK).agg(F.max_by("_s", F.col(POS)).alias("_cs"), F.max(POS).alias("_lp"))
+    d = d.join(tail.withColumn(CHUNK, F.col(CHUNK) + 1), [*keys, CHUNK], "left")
+    carry = F.coalesce(F.col("_cs") * F.exp(-(F.col(POS) - F.col("_lp")).cast("double") * F.lit(lam)), F.lit(0.0))
+    d = d.withColumn(out, F.col("_s") + carry).drop("_s", "_cs", "_lp", CHUNK)
+    return d if has_pos else d.drop(POS)

@@ -1166,3 +1166,163 @@ def q_mixture(spark, sf):
     from tessera.session import cut_lineage
     c = cut_lineage(concurrent_bets(signals(spark, sf)))
     return size_from_mixture(c).select("symbol", "time", "c", r6("size").alias("size"))
+
+
+# ============================================================================ allocation
+def brand_returns(spark, sf):
+    """Daily return per part brand: average unit price (extendedprice / quantity) per ship date,
+    then price / previous price - 1 (5 x 5 brands)."""
+    from tessera.plans.sequence import shift
+    li = table(spark, sf, "lineitem").select("l_partkey", "l_shipdate", "l_extendedprice", "l_quantity")
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    px = (li.join(p, "l_partkey").groupBy(F.col("p_brand").alias("asset"), F.col("l_shipdate").alias("date"))
+            .agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("price")))
+    r = shift(px, ["asset"], ["date"], {"price": "_prev"}, 1)
+    return r.where(F.col("_prev").isNotNull()).select("date", "asset", (F.col("price") / F.col("_prev") - 1).alias("ret"))
+
+
+BRAND_RET_CTE = """br0 AS (SELECT p.p_brand AS asset, l.l_shipdate AS date, avg(l.l_extendedprice / l.l_quantity) AS price
+        FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey GROUP BY ALL),
+br1 AS (SELECT *, lag(price) OVER (PARTITION BY asset ORDER BY date) AS prev FROM br0),
+bret AS (SELECT date, asset, price / prev - 1 AS ret FROM br1 WHERE prev IS NOT NULL),
+cov AS (SELECT a.asset AS a, b.asset AS b, covar_samp(a.ret, b.ret) AS cov, corr(a.ret, b.ret) AS corr
+        FROM bret a JOIN bret b ON a.date = b.date GROUP BY ALL)"""
+
+
+@register("a1_covariance", f"""WITH {BRAND_RET_CTE}
+SELECT a, b, round(cov, 9) AS cov, round(corr, 6) AS corr FROM cov""")
+def q_cov(spark, sf):
+    from tessera.operators.allocation import covariance
+    c = covariance(brand_returns(spark, sf))
+    return c.select("a", "b", F.round("cov", 9).alias("cov"), r6("corr").alias("corr"))
+
+
+@register("a2_correlation_distance", f"""WITH {BRAND_RET_CTE}
+SELECT a, b, round(sqrt(greatest(0.0, (1 - corr) / 2.0)), 6) AS dist FROM cov""")
+def q_dist(spark, sf):
+    from tessera.operators.allocation import correlation_distance, covariance
+    return correlation_distance(covariance(brand_returns(spark, sf))).select("a", "b", r6("dist").alias("dist"))
+
+
+@register("a3_ivp_weights", f"""WITH {BRAND_RET_CTE}
+SELECT a AS asset, round((1.0 / cov) / sum(1.0 / cov) OVER (), 6) AS weight FROM cov WHERE a = b""")
+def q_ivp(spark, sf):
+    from tessera.operators.allocation import covariance, ivp_weights
+    return ivp_weights(covariance(brand_returns(spark, sf))).select("asset", r6("weight").alias("weight"))
+
+
+@register("a4_cluster_variance", f"""WITH {BRAND_RET_CTE},
+cl AS (SELECT DISTINCT substr(asset, 7, 1) AS cluster, asset FROM bret),
+iv AS (SELECT cl.cluster, cl.asset, 1.0 / cov.cov AS iv FROM cl JOIN cov ON cov.a = cl.asset AND cov.b = cl.asset),
+w AS (SELECT cluster, asset, iv / sum(iv) OVER (PARTITION BY cluster) AS w FROM iv)
+SELECT wa.cluster, round(sum(wa.w * cov.cov * wb.w), 9) AS cluster_var FROM cov
+JOIN w wa ON wa.asset = cov.a JOIN w wb ON wb.asset = cov.b AND wb.cluster = wa.cluster GROUP BY wa.cluster""")
+def q_cluster_var(spark, sf):
+    from tessera.operators.allocation import cluster_variance, covariance
+    r = brand_returns(spark, sf)
+    cl = r.select(F.substring("asset", 7, 1).alias("cluster"), "asset").distinct()
+    return cluster_variance(covariance(r), cl).select("cluster", F.round("cluster_var", 9).alias("cluster_var"))
+
+
+@register("a5_hrp_weights")
+def q_hrp(spark, sf):
+    from tessera.operators.allocation import covariance, hrp_weights
+    return hrp_weights(covariance(brand_returns(spark, sf))).select("asset", r6("hrp").alias("hrp"), r6("ivp").alias("ivp"))
+
+
+@register("a6_rolling_rebalance")
+def q_rebalance(spark, sf):
+    from tessera.operators.allocation import rolling_rebalance
+    return rolling_rebalance(brand_returns(spark, sf), s_length=260, rebal=22)
+
+
+@register("a7_pca_weights")
+def q_pca(spark, sf):
+    from tessera.operators.allocation import covariance, pca_weights
+    return pca_weights(covariance(brand_returns(spark, sf))).select("asset", r6("weight").alias("weight"))
+
+
+# ============================================================================ entropy
+_CODES_SQL = _SRET_SQL + """,
+q1 AS (SELECT symbol, bar, CASE WHEN ret >= 0 THEN '1' ELSE '0' END AS code FROM sret)"""
+
+
+def bar_codes(spark, sf, kind: str = "binary"):
+    from tessera.operators.entropy import binary_code, quantile_code, sigma_code
+    r = strat_returns(spark, sf)
+    if kind == "binary":
+        return r.withColumn("code", binary_code(F.col("ret")))
+    if kind == "quantile":
+        return quantile_code(r, 10)
+    return sigma_code(r)
+
+
+@register("q1_binary_code", bars_sql() + _CODES_SQL + """
+SELECT symbol, bar, code FROM q1""")
+def q_q1(spark, sf):
+    return bar_codes(spark, sf, "binary").select("symbol", "bar", "code")
+
+
+@register("q2_quantile_code", bars_sql() + _SRET_SQL + """,
+e AS (SELECT symbol, quantile_cont(ret, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS edges FROM sret GROUP BY symbol)
+SELECT s.symbol, s.bar, chr(CAST(48 + len(list_filter(e.edges, lambda x: x < s.ret)) AS INTEGER)) AS code
+FROM sret s JOIN e USING (symbol)""")
+def q_q2(spark, sf):
+    return bar_codes(spark, sf, "quantile").select("symbol", "bar", "code")
+
+
+@register("q3_sigma_code", bars_sql() + _SRET_SQL + """,
+st AS (SELECT symbol, min(ret) AS mn, max(ret) AS mx, stddev_samp(ret) AS sd FROM sret GROUP BY symbol)
+SELECT s.symbol, s.bar, chr(CAST(48 + least(floor((s.ret - st.mn) / st.sd), ceil((st.mx - st.mn) / st.sd) - 1) AS INTEGER)) AS code
+FROM sret s JOIN st USING (symbol)""")
+def q_q3(spark, sf):
+    return bar_codes(spark, sf, "sigma").select("symbol", "bar", "code")
+
+
+PMF_W = 2
+ENTROPY_W = 3
+
+
+def _words_sql(w: int) -> str:
+    lead = " || ".join(["code"] + [f"lead(code, {k}) OVER o" for k in range(1, w)])
+    return f""",
+wd0 AS (SELECT symbol, bar, {lead} AS word, lead(code, {w}) OVER o AS nxt FROM q1 WINDOW o AS (PARTITION BY symbol ORDER BY bar)),
+wd AS (SELECT symbol, word FROM wd0 WHERE nxt IS NOT NULL),
+pm AS (SELECT symbol, word, count(*) AS n, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY symbol) AS p
+       FROM wd GROUP BY symbol, word)"""
+
+
+@register("n1_word_pmf", bars_sql() + _CODES_SQL + _words_sql(PMF_W) + """
+SELECT symbol, word, n, round(p, 6) AS p FROM pm""")
+def q_pmf(spark, sf):
+    from tessera.operators.entropy import pmf
+    return pmf(bar_codes(spark, sf), PMF_W).select("symbol", "word", "n", r6("p").alias("p"))
+
+
+@register("n2_plug_in_entropy", bars_sql() + _CODES_SQL + _words_sql(ENTROPY_W) + f"""
+SELECT symbol, round(sum(-p * log2(p)) / {ENTROPY_W}, 6) AS entropy FROM pm GROUP BY symbol""")
+def q_plugin(spark, sf):
+    from tessera.operators.entropy import plug_in_entropy
+    return plug_in_entropy(bar_codes(spark, sf), ENTROPY_W).select("symbol", r6("entropy").alias("entropy"))
+
+
+@register("n3_lempel_ziv")
+def q_lz(spark, sf):
+    from tessera.operators.entropy import lempel_ziv
+    return lempel_ziv(bar_codes(spark, sf, "quantile"))
+
+
+@register("n5_kontoyiannis")
+def q_konto(spark, sf):
+    from tessera.operators.entropy import kontoyiannis
+    k = kontoyiannis(bar_codes(spark, sf), 10)
+    return k.select("symbol", r6("h").alias("h"), r6("r").alias("r"), "n", "points")
+
+
+@register("n6_ar1", bars_sql() + _SRET_SQL + """,
+xi AS (SELECT symbol, bar, ret, row_number() OVER (PARTITION BY symbol ORDER BY bar) AS i FROM sret)
+SELECT a.symbol, a.bar, round(sum(pow(0.5, a.i - b.i) * b.ret), 6) AS y
+FROM xi a JOIN xi b ON b.symbol = a.symbol AND b.i <= a.i GROUP BY a.symbol, a.bar""")
+def q_ar1(spark, sf):
+    from tessera.operators.entropy import ar1
+    return ar1(strat_returns(spark, sf), 0.5, value="ret").select("symbol", "bar", r6("y").alias("y"))
