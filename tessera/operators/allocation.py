@@ -35,9 +35,8 @@ def ivp_weights(cov: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Inverse-variance weights 1/σ²_i / Σ 1/σ²_j per universe."""
     keys = list(keys)
     v = cov.where(F.col("a") == F.col("b")).select(*keys, F.col("a").alias("asset"), (1.0 / F.col("cov")).alias("_iv"))
-    tot = v.groupBy(*keys).agg(F.sum("_iv").alias("_t")) if keys else v.agg(F.sum("_iv").alias("_t"))
-    d = v.join(tot, keys) if keys else v.crossJoin(tot)  # one row per universe
-    return d.select(*keys, "asset", (F.col("_iv") / F.col("_t")).alias("weight"))
+    tot = F.sum("_iv").over(W.partitionBy(*keys))  # one row per asset of the universe
+    return v.select(*keys, "asset", (F.col("_iv") / tot).alias("weight"))
 
 
 def cluster_variance(cov: DataFrame, clusters: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

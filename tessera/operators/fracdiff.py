@@ -131,7 +131,6 @@ def min_ffd(series: DataFrame, d_values: Sequence[float], thres: float = 0.01, k
     differences at t, t-1, t-2 are slices of that frame, so all d are tested in one pass.
     Inputs are taken finite after the forward fill."""
     keys = list(keys)
-    spark = series.sparkSession
     grid = []
     for dv in d_values:
         w = weights_ffd(float(dv), thres)
@@ -142,8 +141,10 @@ def min_ffd(series: DataFrame, d_values: Sequence[float], thres: float = 0.01, k
     h = halo_chunks(d0.select(*keys, *order, "_xf"), keys, list(order), before=reach)
     frame = W.partitionBy(*keys, CHUNK).orderBy(POS).rowsBetween(-reach, 0)
     h = h.withColumn("_xs", F.collect_list("_xf").over(frame)).where(~F.col(HALO))
-    g = spark.createDataFrame(grid, "d double, _w array<double>, _width int")
-    j = h.crossJoin(F.broadcast(g)).where(F.col(POS) >= F.col("_width") + 2)  # grid: a few constant rows
+    spec = F.array(*[F.struct(F.lit(dv).alias("d"), F.array(*[F.lit(x) for x in wl]).alias("_w"),
+                              F.lit(wd).alias("_width")) for dv, wl, wd in grid])
+    j = h.withColumn("_g", F.explode(spec)).select("*", "_g.*").drop("_g")  # one row per (row, d)
+    j = j.where(F.col(POS) >= F.col("_width") + 2)
     L = F.size("_xs")
 
     def ffd_at(s: int):

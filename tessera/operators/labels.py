@@ -156,8 +156,8 @@ def barrier_mesh(close: DataFrame, starts: DataFrame, r_pt: Sequence[float], r_s
     c = with_pos(close.select(*keys, time_col, seq, value), keys, [time_col, seq])
     st = starts.select(*keys, F.col(time_col)).join(c, [*keys, time_col]).select(*keys, F.col(POS).alias("_p0"),
                                                                                 F.col(value).alias("_v0"))
-    hs = st.sparkSession.range(1, max_hp + 2).select(F.col("id").cast("long").alias("h"))
-    steps = st.crossJoin(F.broadcast(hs)).withColumn(POS, F.col("_p0") + F.col("h"))  # max_hp+1 rows per start
+    steps = st.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(max_hp + 1))).cast("long"))  # max_hp+1 per start
+    steps = steps.withColumn(POS, F.col("_p0") + F.col("h"))
     path = steps.join(c.select(*keys, POS, value), [*keys, POS])
     path = path.groupBy(*keys, "_p0").agg(
         F.count(F.lit(1)).alias("_n"),
@@ -165,8 +165,8 @@ def barrier_mesh(close: DataFrame, starts: DataFrame, r_pt: Sequence[float], r_s
     path = path.where(F.col("_n") == max_hp + 1)
     diffs = shift(c, keys, [time_col, seq], {value: "_prev"}, 1)
     sig = diffs.groupBy(*keys).agg(F.stddev_samp(F.col(value) - F.col("_prev")).alias("_sig"))
-    mesh = st.sparkSession.createDataFrame([(float(a), float(b)) for a in r_pt for b in r_sl], "pt double, sl double")
-    m = path.join(sig, keys).crossJoin(F.broadcast(mesh))
+    mesh = F.array(*[F.struct(F.lit(float(a)).alias("pt"), F.lit(float(b)).alias("sl")) for a in r_pt for b in r_sl])
+    m = path.join(sig, keys).withColumn("_m", F.explode(mesh)).select("*", "_m.*").drop("_m")  # rules per start
     up = F.col("pt") * F.col("_sig")
     dn = F.col("sl") * F.col("_sig")
     hit = F.filter("_path", lambda s: (s["cp"] > up) | (s["cp"] < -dn) | (s["h"] > F.lit(max_hp)))

@@ -117,8 +117,8 @@ def sequential_bootstrap(ind: DataFrame, replicates: int = 1, sample_length: int
     replicate).  Output: keys, replicate, draw, t0, plus the standard (uniform) bootstrap's
     mean uniqueness ``std_uniq`` and the sequential one's ``seq_uniq`` per replicate."""
     keys = list(keys)
-    reps = ind.sparkSession.range(replicates).select(F.col("id").cast("int").alias("replicate"))
-    d = ind.select(*keys, "t0", time_col).crossJoin(F.broadcast(reps))  # replicates: small constant
+    d = ind.select(*keys, "t0", time_col).withColumn(
+        "replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))  # one copy per replicate
     key_fields = [f for f in d.schema.fields if f.name in keys]
     ts_type = d.schema["t0"].dataType
     schema = T.StructType(key_fields + [

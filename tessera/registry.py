@@ -1326,3 +1326,204 @@ FROM xi a JOIN xi b ON b.symbol = a.symbol AND b.i <= a.i GROUP BY a.symbol, a.b
 def q_ar1(spark, sf):
     from tessera.operators.entropy import ar1
     return ar1(strat_returns(spark, sf), 0.5, value="ret").select("symbol", "bar", r6("y").alias("y"))
+
+
+# ============================================================================ cross-validation and importance
+CV_FOLDS = 3
+CV_EMBARGO = 0.01
+ML_FEATURES = ["f_vol", "f_autocorr", "f_side", "N_noise"]
+
+
+def ml_table(spark, sf):
+    """Meta-label training table on the label events: features (daily vol, rolling tick-return
+    autocorrelation, CUSUM side, a hash noise column), label = bin > 0, weight = average
+    uniqueness, t0/t1 for purging; checkpointed once (several fits read it)."""
+    from tessera.operators.filters import bar_returns, rolling_autocorr
+    from tessera.operators.labels import get_bins
+    from tessera.operators.weights import avg_uniqueness
+    from tessera.session import cut_lineage
+    tk, cus, vol, vb, ev = label_inputs(spark, sf)
+    ac = rolling_autocorr(bar_returns(tk), 20).select("symbol", F.col("time").alias("t0"), "autocorr")
+    b = get_bins(tk, ev, t1=vb).select("symbol", "t0", "bin")
+    w = avg_uniqueness(tk, ev.select("symbol", "t0", "t1")).select("symbol", "t0", "tw")
+    d = (ev.join(cus, ["symbol", "t0"]).join(ac, ["symbol", "t0"], "left").join(b, ["symbol", "t0"])
+           .join(w, ["symbol", "t0"], "left"))
+    d = d.select("symbol", "t0", "t1", F.col("trgt").alias("f_vol"),
+                 F.coalesce("autocorr", F.lit(0.0)).alias("f_autocorr"), F.col("side").cast("double").alias("f_side"),
+                 (F.pmod(F.xxhash64("symbol", "t0"), F.lit(1000)) / 1000.0).alias("N_noise"),
+                 (F.col("bin") > 0).cast("double").alias("label"), F.coalesce("tw", F.lit(1.0)).alias("w"))
+    from tessera.plans.sequence import POS, with_pos
+    d = with_pos(d, [], ["t0", "symbol"]).withColumnRenamed(POS, "row_id")
+    return cut_lineage(d)
+
+
+def ml_folds(spark, sf):
+    from tessera.operators.cv import purged_kfold
+    from tessera.session import cut_lineage
+    data = ml_table(spark, sf)
+    return data, cut_lineage(purged_kfold(data, CV_FOLDS, CV_EMBARGO))
+
+
+_EV_ORDER_SQL = """,
+evo AS (SELECT symbol, t0, t1, row_number() OVER (ORDER BY t0, symbol) - 1 AS pos,
+               ntile(""" + str(CV_FOLDS) + """) OVER (ORDER BY t0, symbol) - 1 AS tfold, count(*) OVER () AS n FROM ev),
+fs AS (SELECT tfold AS fold, arg_min(t0, pos) AS t0s, max(t1) AS mt1 FROM evo GROUP BY tfold),
+fsi AS (SELECT fs.*, (SELECT count(*) FROM evo WHERE evo.t0 < fs.mt1) AS mi FROM fs)"""
+
+
+@register("m1_purge_train", _label_sql() + _EV_ORDER_SQL + """,
+tt AS (SELECT min(t0) AS s, max(t1) AS e FROM evo WHERE tfold = 0)
+SELECT symbol, t0 FROM evo WHERE NOT EXISTS (SELECT 1 FROM tt WHERE evo.t0 <= tt.e AND evo.t1 >= tt.s)""")
+def q_purge(spark, sf):
+    from tessera.operators.cv import purge_train
+    from tessera.plans.sequence import POS, with_pos
+    _, _, _, _, ev = label_inputs(spark, sf)
+    d = with_pos(ev.select("symbol", "t0", "t1"), [], ["t0", "symbol"])
+    n = d.count()
+    q, r = divmod(n, CV_FOLDS)
+    first = d.where(F.col(POS) < (q + 1 if r else q))  # test block of fold 0
+    tt = first.agg(F.min("t0").alias("start"), F.max("t1").alias("end"))
+    return purge_train(d, tt).select("symbol", "t0")
+
+
+@register("m2_embargo_times", _label_sql() + f""",
+tm AS (SELECT DISTINCT t0 AS time FROM ev),
+ti AS (SELECT time, row_number() OVER (ORDER BY time) - 1 AS i FROM tm),
+st AS (SELECT CAST(floor(count(*) * {CV_EMBARGO}) AS BIGINT) AS step, max(time) AS last FROM tm)
+SELECT a.time, coalesce(b.time, st.last) AS embargo FROM ti a CROSS JOIN st LEFT JOIN ti b ON b.i = a.i + st.step""")
+def q_embargo(spark, sf):
+    from tessera.operators.cv import embargo_times
+    _, _, _, _, ev = label_inputs(spark, sf)
+    return embargo_times(ev.select(F.col("t0").alias("time")), CV_EMBARGO)
+
+
+@register("m3_purged_kfold", _label_sql() + _EV_ORDER_SQL + f"""
+SELECT f.fold, e.symbol, e.t0,
+       CASE WHEN e.tfold = f.fold THEN 'test'
+            WHEN e.t1 <= f.t0s THEN 'train'
+            WHEN f.mi < e.n AND e.pos >= f.mi + CAST(floor(e.n * {CV_EMBARGO}) AS BIGINT) THEN 'train' END AS role
+FROM evo e CROSS JOIN fsi f
+WHERE e.tfold = f.fold OR e.t1 <= f.t0s OR (f.mi < e.n AND e.pos >= f.mi + CAST(floor(e.n * {CV_EMBARGO}) AS BIGINT))""")
+def q_kfold(spark, sf):
+    from tessera.operators.cv import purged_kfold
+    _, _, _, _, ev = label_inputs(spark, sf)
+    k = purged_kfold(ev.select("symbol", "t0", "t1"), CV_FOLDS, CV_EMBARGO)
+    return k.select(F.col("fold").cast("int").alias("fold"), "symbol", "t0", "role")
+
+
+@register("m4_cv_score")
+def q_cv_score(spark, sf):
+    from tessera.operators.cv import cv_score_table, cv_scores
+    data, folds = ml_folds(spark, sf)
+    return cv_score_table(spark, cv_scores(data, folds, ML_FEATURES, "neg_log_loss", num_trees=20))
+
+
+@register("m5_importance_mdi")
+def q_mdi(spark, sf):
+    from tessera.operators.cv import forest, importance_mdi
+    data = ml_table(spark, sf)
+    return importance_mdi(spark, forest(ML_FEATURES, num_trees=30).fit(data), ML_FEATURES)
+
+
+@register("m6_importance_mda")
+def q_mda(spark, sf):
+    from tessera.operators.cv import importance_mda
+    data, folds = ml_folds(spark, sf)
+    imp, _ = importance_mda(spark, data, folds, ML_FEATURES, "neg_log_loss", num_trees=20)
+    return imp
+
+
+@register("m7_importance_sfi")
+def q_sfi(spark, sf):
+    from tessera.operators.cv import importance_sfi
+    data, folds = ml_folds(spark, sf)
+    return importance_sfi(spark, data, folds, ML_FEATURES, "accuracy", num_trees=10)
+
+
+@register("m8_orthogonal_features")
+def q_ortho(spark, sf):
+    from tessera.operators.cv import orthogonal_features
+    return orthogonal_features(ml_table(spark, sf), ML_FEATURES, 0.95).select("row_id", "pc")
+
+
+@register("m9_feature_importance")
+def q_feat_imp(spark, sf):
+    from tessera.operators.cv import importance_mda
+    data, folds = ml_folds(spark, sf)
+    imp, oos = importance_mda(spark, data, folds, ML_FEATURES, "accuracy", num_trees=20, subsampling=0.8)
+    return imp.withColumn("oos_score", F.lit(float(oos)))
+
+
+@register("m10_family_importance")
+def q_family(spark, sf):
+    from tessera.operators.cv import family_importance, forest, importance_mdi
+    data = ml_table(spark, sf)
+    return family_importance(importance_mdi(spark, forest(ML_FEATURES, num_trees=30).fit(data), ML_FEATURES))
+
+
+@register("m11_sliced_importance")
+def q_sliced(spark, sf):
+    from tessera.operators.cv import forest, importance_mdi
+    data = ml_table(spark, sf)
+    syms = [r[0] for r in data.select("symbol").distinct().collect()]  # the slice ids
+    parts = [importance_mdi(spark, forest(ML_FEATURES, num_trees=20).fit(data.where(F.col("symbol") == s)),
+                            ML_FEATURES).withColumn("slice", F.lit(s)) for s in sorted(syms)]
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    whole = importance_mdi(spark, forest(ML_FEATURES, num_trees=20).fit(data), ML_FEATURES)
+    return (u.groupBy("feature").agg(F.avg("mean").alias("sliced_mean"))
+             .join(whole.select("feature", F.col("mean").alias("whole_mean")), "feature"))
+
+
+@register("m12_fold_metrics")
+def q_fold_metrics(spark, sf):
+    from tessera.operators.cv import cv_scores, fold_metrics
+    data, folds = ml_folds(spark, sf)
+    return fold_metrics(spark, cv_scores(data, folds, ML_FEATURES, "accuracy", num_trees=20))
+
+
+GRID = [{"num_trees": 10, "max_depth": 3}, {"num_trees": 10, "max_depth": 5}, {"num_trees": 20, "max_depth": 3}]
+
+
+@register("m13_grid_search")
+def q_grid(spark, sf):
+    from tessera.operators.cv import grid_search
+    data, folds = ml_folds(spark, sf)
+    return grid_search(spark, data, folds, ML_FEATURES, GRID, "neg_log_loss")
+
+
+@register("m14_random_search")
+def q_random(spark, sf):
+    from tessera.operators.cv import grid_search, log_uniform
+    data, folds = ml_folds(spark, sf)
+    pts = [{"num_trees": 10, "subsampling": round(min(1.0, s), 4)} for s in log_uniform(0.1, 1.0, 3, seed=5)]
+    return grid_search(spark, data, folds, ML_FEATURES, pts, "neg_log_loss")
+
+
+@register("m15_is_sharpe")
+def q_is_sharpe(spark, sf):
+    from tessera.operators.cv import grid_search, is_sharpe
+    data, folds = ml_folds(spark, sf)
+    return is_sharpe(grid_search(spark, data, folds, ML_FEATURES, GRID, "neg_log_loss"))
+
+
+@register("m16_chronological_split")
+def q_chrono(spark, sf):
+    from tessera.operators.cv import chronological_split, forest
+    data = ml_table(spark, sf)
+    tr, te = chronological_split(data, 0.3)
+    pred = forest(ML_FEATURES, num_trees=20).fit(tr).transform(te)
+    return pred.agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"),
+                    F.count(F.lit(1)).alias("test_rows"))
+
+
+@register("m17_bagged_one_vs_rest")
+def q_ovr(spark, sf):
+    from tessera.operators.cv import bagged_one_vs_rest, chronological_split
+    data = ml_table(spark, sf)
+    mean_u = data.agg(F.avg("w")).first()[0]
+    tr, te = chronological_split(data, 0.3)
+    pred = bagged_one_vs_rest(tr, ML_FEATURES, subsampling=float(mean_u)).transform(te)
+    return pred.agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"),
+                    F.lit(float(mean_u)).alias("subsampling"))

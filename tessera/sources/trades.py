@@ -108,10 +108,9 @@ def ingest_backlog(spark: SparkSession, symbols: DataFrame, year: int, month: in
     (symbol, date) pairs already ingested."""
     start = _dt.date(year, month, 1)
     end = (_dt.date(year + (month == 12), month % 12 + 1, 1) - _dt.timedelta(days=1))
-    days = (spark.range(1)
-            .select(F.explode(F.sequence(F.lit(start), F.lit(end), F.expr("interval 1 day"))).alias("date"))
-            .where(F.weekday("date") <= 4))
-    out = symbols.select("symbol").distinct().crossJoin(F.broadcast(days))  # days: <= 31 rows
+    out = (symbols.select("symbol").distinct()
+           .withColumn("date", F.explode(F.sequence(F.lit(start), F.lit(end), F.expr("interval 1 day"))))
+           .where(F.weekday("date") <= 4))  # at most 31 days per symbol
     out = (out.withColumn("start_ns", ny_to_sip(F.col("date").cast("timestamp")))
               .withColumn("end_ns", ny_to_sip(F.date_add("date", 1).cast("timestamp"))))
     if existing is not None:
