@@ -16,7 +16,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -38,6 +37,11 @@ def ingest_stream(spark, src: str, schema: T.StructType, dst: str, checkpoint: s
     return w.trigger(availableNow=True).start() if trigger_once else w.start()
 
 
+def _event_time(trades: DataFrame) -> DataFrame:
+    """Watermarks need TIMESTAMP; wall-clock NTZ times are read as UTC instants."""
+    return trades.withColumn("_et", F.col("ts").cast("timestamp"))
+
+
 # --------------------------------------------------------------------------- ST2
 BAR_STATE = T.StructType([
     T.StructField("cum", T.DoubleType()), T.StructField("bar", T.LongType()),
@@ -85,7 +89,7 @@ def _bar_updater(threshold: float, dollar: bool):
 
 def live_threshold_bars(trades: DataFrame, threshold: float, dollar: bool = True, watermark: str = "1 hour"):
     """Streaming volume / dollar bars per symbol (input: symbol, ts, seq, price, size)."""
-    t = trades.withWatermark("ts", watermark)
+    t = _event_time(trades).withWatermark("_et", watermark)
     return t.groupBy("symbol").applyInPandasWithState(
         _bar_updater(float(threshold), dollar), BAR_OUT, BAR_STATE, "append", GroupStateTimeout.NoTimeout)
 
@@ -121,7 +125,7 @@ def _cusum_updater(h: float):
 
 
 def live_cusum(trades: DataFrame, h: float, watermark: str = "1 hour"):
-    t = trades.withWatermark("ts", watermark)
+    t = _event_time(trades).withWatermark("_et", watermark)
     return t.groupBy("symbol").applyInPandasWithState(
         _cusum_updater(float(h)), CUSUM_OUT, CUSUM_STATE, "append", GroupStateTimeout.NoTimeout)
 
@@ -130,13 +134,11 @@ def live_cusum(trades: DataFrame, h: float, watermark: str = "1 hour"):
 def interval_stats_stream(trades: DataFrame, minutes: int = 30, watermark: str = "1 hour"):
     """Tumbling ``minutes`` windows per symbol: ticks, volume, mean price, price std, first/last
     (by time) prices; emitted once the watermark passes the window end."""
-    t = trades.withWatermark("ts", watermark)
-    return (t.groupBy("symbol", F.window("ts", f"{minutes} minutes"))
+    t = _event_time(trades).withWatermark("_et", watermark)
+    return (t.groupBy("symbol", F.window("_et", f"{minutes} minutes"))
              .agg(F.count(F.lit(1)).alias("ticks"), F.sum("size").alias("volume"), F.avg("price").alias("mean"),
                   F.stddev_samp("price").alias("std"), F.min_by("price", F.struct("ts", "seq")).alias("open"),
                   F.max_by("price", F.struct("ts", "seq")).alias("close"))
              .select("symbol", F.col("window.start").alias("start"), F.col("window.end").alias("end"),
                      "ticks", "volume", "mean", "std", "open", "close"))
 
-
-_ = np
