@@ -79,7 +79,7 @@ def bar_returns(bars: DataFrame, keys: Sequence[str] = ("symbol",), order: Seque
     keys = list(keys)
     d = shift(bars, keys, list(order), {close: "_prev_close"}, 1)
     den = F.col(close) if base == "current" else F.col("_prev_close")
-    return d.withColumn(out, (F.col(close) - F.col("_prev_close")) / den).where(F.col("_prev_close").isNotNull()) \
+    return d.withColumn(out, F.try_divide(F.col(close) - F.col("_prev_close"), den)).where(F.col("_prev_close").isNotNull()) \
             .drop("_prev_close")
 
 
@@ -202,7 +202,7 @@ def daily_vol(close: DataFrame, span: int = 20, keys=("symbol",), time_col="time
     j = asof(left, close.select(*keys, F.col(time_col).alias("_rt"), F.col(value).alias("_rv"), F.col(seq).alias("_rs")),
              keys, F.col(time_col) - F.expr("INTERVAL 1 DAY"), "_rt", {"_rv": "_prev_close"},
              direction="backward", inclusive=False, right_order=["_rs"])
-    j = j.where(F.col("_prev_close").isNotNull()).withColumn("_r", F.col(value) / F.col("_prev_close") - 1)
+    j = j.where(F.col("_prev_close").isNotNull()).withColumn("_r", F.try_divide(F.col(value), F.col("_prev_close")) - 1)
     return E.ewm(j, keys, [time_col, seq], "_r", out_std="vol", span=span).drop("_r", "_prev_close")
 
 

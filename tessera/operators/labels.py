@@ -39,7 +39,7 @@ def triple_barrier(close: DataFrame, events: DataFrame, pt_sl: Sequence[float],
                 .join(pts.select(*keys, F.col("_pt").alias("t0"), F.col("_px").alias("_p0")), [*keys, "t0"], "left"))
     j = interval_join(ev, pts, keys, "t0", "t1", "_pt", open_end=F.col("_last"))
     side = F.coalesce(F.col("side").cast("double"), F.lit(1.0)) if "side" in events.columns else F.lit(1.0)
-    r = (F.col("_px") / F.col("_p0") - 1) * side
+    r = (F.try_divide(F.col("_px"), F.col("_p0")) - 1) * side
     pt_w, sl_w = float(pt_sl[0]), float(pt_sl[1])
     aggs = [F.min(F.when(r > F.lit(pt_w) * F.col("trgt"), F.col("_pt"))).alias("pt") if pt_w > 0
             else F.lit(None).cast(tt).alias("pt"),
@@ -85,7 +85,7 @@ def get_bins(close: DataFrame, events: DataFrame, t1: DataFrame | None = None, k
     px = close.select(*keys, F.col(time_col).alias("_rt"), F.col(value).alias("_px"))
     a = asof(ev, px, keys, "t0", "_rt", {"_px": "_p0"}, direction="forward")
     a = asof(a, px.withColumnRenamed("_px", "_px1"), keys, "t1", "_rt", {"_px1": "_p1"}, direction="forward")
-    ret = F.col("_p1") / F.col("_p0") - 1
+    ret = F.try_divide(F.col("_p1"), F.col("_p0")) - 1
     has_side = "side" in events.columns
     if has_side:
         ret = ret * F.col("side")

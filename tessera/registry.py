@@ -23,7 +23,7 @@ TICK_BAR_FREQ = 50
 TRADES_CTE = """trades AS (
   SELECT event_type AS symbol, ts, event_id AS seq, value AS price,
          CAST(json_extract_string(props, '$.k') AS DOUBLE) AS size
-  FROM events WHERE CAST(json_extract_string(props, '$.k') AS DOUBLE) > 0)"""
+  FROM events WHERE CAST(json_extract_string(props, '$.k') AS DOUBLE) > 0 AND value > 0)"""
 
 
 def register(name: str, sql: str | None = None):

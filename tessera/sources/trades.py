@@ -30,12 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def trades_from_events(spark: SparkSession, sf_dir: str, symbol_col: str = "event_type") -> DataFrame:
     """Stand-in trade table built from the driver's ``events`` table:
     symbol=event_type (or user_id), ts=ts, seq=event_id, price=value, size=props.k; rows with
-    size <= 0 are dropped (as the tick cleaning step does).  Only the five needed columns are read."""
+    size <= 0 are dropped (as the tick cleaning step does), and so are rows with price <= 0 (no
+    return, log return or log dollar value exists for them).  Only the five needed columns are read."""
     ev = table(spark, sf_dir, "events")
     size = F.get_json_object("props", "$.k").cast("double")
     return (ev.select(F.col(symbol_col).cast("string").alias("symbol"), F.col("ts"),
                       F.col("event_id").alias("seq"), F.col("value").alias("price"), size.alias("size"))
-              .where(F.col("size") > 0))
+              .where((F.col("size") > 0) & (F.col("price") > 0)))
 
 
 # --------------------------------------------------------------------------- S4
