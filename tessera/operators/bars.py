@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from tessera.plans import ewm as E
 from tessera.plans.segment import threshold_bars
-from tessera.plans.sequence import BLOCK, POS, default_block, fill, shift, with_pos
+from tessera.plans.sequence import POS, fill, shift, with_pos
+from tessera.session import cut_lineage
 
 ORDER = ("ts", "seq")
 
@@ -173,7 +174,10 @@ def imbalance_thresholds(trades: DataFrame, keys: Sequence[str] = ("symbol",), e
     keys = list(keys)
     d = tick_rule(trades, keys, first_sign)
     if ewm:
-        d = add_pbuy_psell(d, keys)
+        # each step is a two-level plan that reads its input twice; a reliable checkpoint between
+        # steps keeps the plan linear instead of doubling the upstream work at every step
+        d = cut_lineage(d)
+        d = cut_lineage(add_pbuy_psell(d, keys))
         d = add_log_dollars(d)
         d = add_log_dollars_ewm(d, keys)
         d = add_expected_log_dollars(d)
@@ -190,7 +194,7 @@ def imbalance_bars(trades: DataFrame, bar_starting_len: float, keys: Sequence[st
     ``daily_reset`` for hot keys.  The EWM std of the signed log dollars (first value counts as 0)
     and all other inputs are computed on Spark beforehand."""
     keys = list(keys)
-    d = imbalance_thresholds(trades, keys, ewm=True, first_sign=first_sign)
+    d = cut_lineage(imbalance_thresholds(trades, keys, ewm=True, first_sign=first_sign))
     d = E.ewm(d, keys, list(ORDER), "log_dollars_exchanged", out_std="_ldstd", alpha=alpha)
     gkeys = keys + (["_day"] if daily_reset else [])
     if daily_reset:

@@ -156,7 +156,7 @@ def barrier_mesh(close: DataFrame, starts: DataFrame, r_pt: Sequence[float], r_s
     c = with_pos(close.select(*keys, time_col, seq, value), keys, [time_col, seq])
     st = starts.select(*keys, F.col(time_col)).join(c, [*keys, time_col]).select(*keys, F.col(POS).alias("_p0"),
                                                                                 F.col(value).alias("_v0"))
-    steps = st.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(max_hp + 1))).cast("long"))  # max_hp+1 per start
+    steps = st.withColumn("h", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(max_hp + 1).cast("long"))))
     steps = steps.withColumn(POS, F.col("_p0") + F.col("h"))
     path = steps.join(c.select(*keys, POS, value), [*keys, POS])
     path = path.groupBy(*keys, "_p0").agg(

@@ -124,12 +124,16 @@ def shift(df: DataFrame, keys: Sequence[str], order: Sequence, cols: dict[str, s
     w = W.partitionBy(*keys, BLOCK).orderBy(*o)
     vals = F.struct(*[F.col(src).alias(dst) for src, dst in cols.items()])
     edge = F.max_by(vals, F.struct(*o)) if k > 0 else F.min_by(vals, F.struct(*o))
+    d = d.withColumn("_at_edge", (F.lag(F.lit(1)).over(w) if k > 0 else F.lead(F.lit(1)).over(w)).isNull())
+    for src, dst in cols.items():
+        d = d.withColumn(f"_sh_{dst}", F.lag(src, 1).over(w) if k > 0 else F.lead(src, 1).over(w))
+    # the edge table is aggregated from the windowed frame, so both branches share one exchange
     edges = d.groupBy(*keys, BLOCK).agg(edge.alias("_edge"))
     bw = W.partitionBy(*keys).orderBy(BLOCK)  # one row per key and block
     nb = edges.select(*keys, BLOCK, (F.lag("_edge").over(bw) if k > 0 else F.lead("_edge").over(bw)).alias("_nb"))
-    d = d.withColumn("_at_edge", (F.lag(F.lit(1)).over(w) if k > 0 else F.lead(F.lit(1)).over(w)).isNull())
     for src, dst in cols.items():
-        d = d.withColumn(dst, F.lag(src, 1).over(w) if k > 0 else F.lead(src, 1).over(w))
+        d = d.withColumnRenamed(f"_sh_{dst}", dst) if dst not in df.columns else \
+            d.withColumn(dst, F.col(f"_sh_{dst}")).drop(f"_sh_{dst}")
     d = d.join(nb, [*keys, BLOCK], "left")
     for src, dst in cols.items():
         d = d.withColumn(dst, F.when(F.col("_at_edge"), F.col(f"_nb.{dst}")).otherwise(F.col(dst)))

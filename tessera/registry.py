@@ -1527,3 +1527,120 @@ def q_ovr(spark, sf):
     pred = bagged_one_vs_rest(tr, ML_FEATURES, subsampling=float(mean_u)).transform(te)
     return pred.agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"),
                     F.lit(float(mean_u)).alias("subsampling"))
+
+
+# ============================================================================ exponential windows
+@register("e1_ewm_mean", f"""WITH {TICKS_CTE},
+{ewm_sql('ticks', 'symbol', 'time, seq', 'close', 2 / 21)}
+SELECT symbol, time, seq, round(e_mean, 6) AS ewm_mean FROM e_f""")
+def q_ewm_mean(spark, sf):
+    from tessera.plans import ewm as E
+    d = E.ewm(ticks(spark, sf), ["symbol"], ["time", "seq"], "close", out_mean="m", span=20)
+    return d.select("symbol", "time", "seq", r6("m").alias("ewm_mean"))
+
+
+@register("e2_ewm_std", f"""WITH {TICKS_CTE},
+{ewm_sql('ticks', 'symbol', 'time, seq', 'close', 2 / 21)}
+SELECT symbol, time, seq, round(sqrt(e_var), 6) AS ewm_std FROM e_f""")
+def q_ewm_std(spark, sf):
+    from tessera.plans import ewm as E
+    d = E.ewm(ticks(spark, sf), ["symbol"], ["time", "seq"], "close", out_std="s", span=20)
+    return d.select("symbol", "time", "seq", r6("s").alias("ewm_std"))
+
+
+# ============================================================================ imbalance inputs
+def _imb_sql() -> str:
+    return f"""WITH {TRADES_CTE},
+tr0 AS (SELECT *, lag(price) OVER (PARTITION BY symbol ORDER BY ts, seq) AS pp FROM trades),
+tr1 AS (SELECT *, CASE WHEN pp IS NULL THEN 1 ELSE nullif(CAST(sign(price - pp) AS INTEGER), 0) END AS s0 FROM tr0),
+tr AS (SELECT symbol, ts, seq, price, size, CAST(last_value(s0 IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts, seq
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS price_diff FROM tr1),
+ti AS (SELECT *, floor((price_diff + 1) / 2) AS buy, floor((1 - price_diff) / 2) AS sell,
+              price_diff * ln(size * price) AS ld FROM tr),
+{ewm_sql('ti', 'symbol', 'ts, seq', 'buy', 2 / 1001, out='pb')},
+{ewm_sql('ti', 'symbol', 'ts, seq', 'sell', 2 / 1001, out='ps')},
+sd AS (SELECT *, symbol || ':' || CAST(price_diff AS VARCHAR) AS sk FROM ti),
+{ewm_sql('sd', 'sk', 'ts, seq', 'ld', 0.01, out='sl')},
+j AS (SELECT t.symbol, t.ts, t.seq, t.ld, pb.pb_mean AS pbuy, ps.ps_mean AS psell,
+             CASE WHEN t.price_diff = 1 THEN sl.sl_mean END AS b_ewm, CASE WHEN t.price_diff = -1 THEN sl.sl_mean END AS s_ewm
+      FROM ti t JOIN pb_f pb USING (symbol, ts, seq) JOIN ps_f ps USING (symbol, ts, seq)
+      JOIN sl_f sl ON sl.symbol = t.symbol AND sl.ts = t.ts AND sl.seq = t.seq),
+f AS (SELECT *, last_value(b_ewm IGNORE NULLS) OVER w AS buy_ewm, last_value(s_ewm IGNORE NULLS) OVER w AS sell_ewm
+      FROM j WINDOW w AS (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT symbol, ts, seq, round(pbuy, 6) AS pbuy_ewm, round(psell, 6) AS psell_ewm, round(ld, 6) AS log_dollars,
+       round(buy_ewm, 6) AS buy_ewm, round(sell_ewm, 6) AS sell_ewm,
+       round(coalesce(buy_ewm, 0.0) * pbuy + coalesce(sell_ewm, 0.0) * psell, 6) AS expected FROM f"""
+
+
+@register("b12_imbalance_thresholds", _imb_sql())
+def q_imbalance_thresholds(spark, sf):
+    from tessera.operators.bars import imbalance_thresholds
+    d = imbalance_thresholds(trades_from_events(spark, sf), ewm=True)
+    return d.select("symbol", "ts", "seq", r6("pbuy_ewm").alias("pbuy_ewm"), r6("psell_ewm").alias("psell_ewm"),
+                    r6("log_dollars_exchanged").alias("log_dollars"),
+                    r6("log_dollars_buy_exchanged_ewm").alias("buy_ewm"),
+                    r6("log_dollars_sell_exchanged_ewm").alias("sell_ewm"),
+                    r6("expected_log_dollars_exchanged").alias("expected"))
+
+
+@register("b14_imbalance_bars")
+def q_imbalance_bars(spark, sf):
+    from tessera.operators.bars import imbalance_bars
+    b = imbalance_bars(trades_from_events(spark, sf), 50.0)
+    return b.select("symbol", "group", "time", r6("open").alias("open"), r6("high").alias("high"), r6("low").alias("low"),
+                    r6("close").alias("close"), r6("volume").alias("volume"), "tick_count")
+
+
+@register("b6_daily_dollar_bars")
+def q_daily_dollar_bars(spark, sf):
+    from tessera.operators.bars import daily_dollar_bars
+    b = daily_dollar_bars(trades_from_events(spark, sf))
+    return b.select("symbol", "date", "group_id", "time", r6("open").alias("open"), r6("close").alias("close"),
+                    r6("high").alias("high"), r6("low").alias("low"), r6("volume").alias("volume"),
+                    r6("price_std").alias("price_std"), r6("log_range").alias("log_range"), "count",
+                    r6("volatility").alias("volatility"))
+
+
+# ============================================================================ more labelling
+@register("l5_meta_features")
+def q_meta_features(spark, sf):
+    from tessera.operators.filters import bar_returns, rolling_autocorr
+    from tessera.operators.labels import meta_features
+    tk, cus, vol, _, ev = label_inputs(spark, sf)
+    ac = rolling_autocorr(bar_returns(tk), 20)
+    x = meta_features(vol.withColumnRenamed("trgt", "vol"), ac, ev.join(cus, ["symbol", "t0"]))
+    return x.select("symbol", "t0", r6("vol").alias("vol"), r6("autocorr").alias("autocorr"), "side")
+
+
+@register("l6_primary_scores")
+def q_primary(spark, sf):
+    from tessera.operators.labels import get_bins, get_events, primary_scores
+    tk, cus, vol, vb, _ = label_inputs(spark, sf)
+    side = cus.select("symbol", "t0", F.col("side").cast("double").alias("side"))
+    ev = get_events(tk, cus, LABEL_PT_SL, vol, LABEL_MIN_RET, t1=vb, side=side)
+    return primary_scores(ev, get_bins(tk, ev, t1=vb))
+
+
+@register("l7_barrier_mesh")
+def q_mesh(spark, sf):
+    from tessera.operators.labels import barrier_mesh
+    tk, cus, _, _, _ = label_inputs(spark, sf)
+    grid = [0.5 * i for i in range(1, 5)]
+    m = barrier_mesh(tk, cus.select("symbol", F.col("t0").alias("time")), grid, grid, max_hp=20)
+    return m.select("symbol", "pt", "sl", r6("mean").alias("mean"), r6("std").alias("std"), "n", r6("sharpe").alias("sharpe"))
+
+
+# ============================================================================ sources
+@register("s6_weekly_last_returns", """WITH br0 AS (SELECT p.p_brand AS asset, l.l_shipdate AS date,
+          avg(l.l_extendedprice / l.l_quantity) AS price FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey GROUP BY ALL),
+br1 AS (SELECT *, price / lag(price) OVER (PARTITION BY asset ORDER BY date) - 1 AS ret FROM br0)
+SELECT asset, CAST(date_trunc('week', date) AS DATE) + 6 AS week, round(arg_max(ret, date), 6) AS ret
+FROM br1 WHERE ret IS NOT NULL GROUP BY ALL""")
+def q_weekly(spark, sf):
+    from tessera.sources.trades import weekly_last_returns
+    li = table(spark, sf, "lineitem").select("l_partkey", "l_shipdate", "l_extendedprice", "l_quantity")
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    px = (li.join(p, "l_partkey").groupBy(F.col("p_brand").alias("asset"), F.col("l_shipdate").alias("date"))
+            .agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("price")))
+    w = weekly_last_returns(px, keys=("asset",))
+    return w.select("asset", "week", r6("ret").alias("ret"))
