@@ -1,0 +1,29 @@
+"""tessera: market-data research operators on Spark."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import zipfile
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark) -> None:
+    """Make the package importable in the Python workers of ``spark`` (the ``--py-files`` step):
+    zip the package once per SparkContext and ``addPyFile`` it."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    fd, path = tempfile.mkstemp(prefix="tessera-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.join("tessera", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    _SHIPPED.add(app)

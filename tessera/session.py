@@ -36,6 +36,8 @@ def get_session(master: str | None = None, app: str = "tessera", shuffle_partiti
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    from tessera import ship
+    ship(spark)
     return spark
 
 
