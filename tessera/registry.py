@@ -1035,7 +1035,10 @@ def signals(spark, sf):
     """Signals from trades: signal = clip((price - 250)/250, -1, 1), t0 = ts, t1 = ts + size hours
     (open when size is a multiple of 10), side = sign(signal)."""
     t = trades_from_events(spark, sf)
-    sig = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), (F.col("price") - 250.0) / 250.0))
+    # prices carry cents, so the signal is an exact decimal: (price - 250) * 0.004
+    px = F.col("price").cast("decimal(12,2)")
+    sig = F.least(F.lit(1).cast("decimal(12,6)"), F.greatest(F.lit(-1).cast("decimal(12,6)"),
+                                                            (px - F.lit(250)) * F.lit(0.004).cast("decimal(4,3)")))
     t1 = F.when(F.col("size") % 10 != 0, F.col("ts") + F.make_dt_interval(hours=F.col("size").cast("int")))
     return t.select("symbol", F.col("ts").alias("t0"), t1.alias("t1"), sig.alias("signal"),
                     F.signum(sig).alias("side"))
@@ -1044,22 +1047,24 @@ def signals(spark, sf):
 SIG_CTE = TRADES_CTE + """,
 sig AS (SELECT symbol, ts AS t0,
                CASE WHEN size % 10 <> 0 THEN ts + to_hours(CAST(size AS INTEGER)) END AS t1,
-               least(1.0, greatest(-1.0, (price - 250.0) / 250.0)) AS signal,
-               sign(least(1.0, greatest(-1.0, (price - 250.0) / 250.0))) AS side FROM trades),
+               least(1.0, greatest(-1.0, (CAST(price AS DECIMAL(12, 2)) - 250) * 0.004)) AS signal,
+               sign(CAST(price AS DECIMAL(12, 2)) - 250) AS side FROM trades),
 probe AS (SELECT DISTINCT symbol, t0 AS time FROM sig UNION SELECT DISTINCT symbol, t1 FROM sig WHERE t1 IS NOT NULL),
 act AS (SELECT p.symbol, p.time,
-               coalesce(CAST(sum(CAST(s.signal AS DECIMAL(38, 18))) AS DOUBLE) / count(s.signal), 0.0) AS signal FROM probe p
+               coalesce(CAST(CAST(sum(CAST(s.signal AS DECIMAL(38, 18))) AS VARCHAR) AS DOUBLE) / count(s.signal), 0.0)
+               AS signal FROM probe p
         LEFT JOIN sig s ON s.symbol = p.symbol AND s.t0 <= p.time AND (p.time < s.t1 OR s.t1 IS NULL)
         GROUP BY p.symbol, p.time)"""
 
 
 @register("z1_avg_active_signals", f"""WITH {SIG_CTE}
-SELECT symbol, time, round(signal, 6) AS signal FROM act""")
+SELECT symbol, time, signal FROM act""")
 def q_active(spark, sf):
-    # both sides sum exactly (DECIMAL) and divide once; the doubles still differ by an ulp where the
-    # casts round differently, and a signal lattice of 4e-5 makes a few 6-decimal ties possible
+    # signals sit on a 4e-5 lattice, so averages hit exact 6-decimal rounding ties; both sides sum
+    # exactly (DECIMAL), convert that sum to the nearest double and divide once, so the unrounded
+    # doubles are identical and are compared as they are
     from tessera.operators.sizing import avg_active_signals
-    return avg_active_signals(signals(spark, sf)).select("symbol", "time", r6("signal").alias("signal"))
+    return avg_active_signals(signals(spark, sf)).select("symbol", "time", "signal")
 
 
 @register("z2_discrete_signal", f"""WITH {SIG_CTE}
