@@ -198,3 +198,56 @@ def threshold_bars(df: DataFrame, keys: Sequence[str], measure, threshold: float
     if not keep_tail:
         bars = bars.where(F.col("bar") < F.col("_bars_total"))
     return bars.drop("_bars_total")
+
+
+# ============================================================================ clamped accumulators
+def clamped_transfer(y: np.ndarray, h: float):
+    """Transfer table of one day for the accumulator s <- max(0, s + y); s > h trips and resets
+    to 0, as a function of the entry state c in [0, h].
+
+    While no clamp or reset has touched it, s = c + L (L = running sum of y): the *live* interval
+    of c.  Every clamp or reset moves a slice of that interval onto a concrete state (0), and
+    concrete states evolve alike and merge when equal.  Returns rows
+    (lo, lo_closed, hi, hi_closed, live, value): for live rows the exit is c + value, for the
+    others the exit is value."""
+    live = (0.0, True, h, True)
+    dead: dict[float, list] = {}
+    L = 0.0
+    for x in y:
+        L += x
+        nd: dict[float, list] = {}
+        for v, ivs in dead.items():
+            v2 = v + x
+            v2 = 0.0 if v2 <= 0.0 or v2 > h else v2
+            nd.setdefault(v2, []).extend(ivs)
+        if live is not None:
+            lo, lc, hi, hc = live
+            # c + L <= 0  -> clamped to 0
+            cut = -L
+            if lo < cut or (lo == cut and lc):
+                seg_hi, seg_hc = (cut, True) if hi > cut else (hi, hc)
+                nd.setdefault(0.0, []).append((lo, lc, seg_hi, seg_hc))
+                lo, lc = cut, False
+            # c + L > h   -> trips and resets to 0
+            top = h - L
+            if hi > top:
+                seg_lo, seg_lc = (top, False) if lo <= top else (lo, lc)
+                if seg_lo < hi or (seg_lo == hi and seg_lc and hc):
+                    nd.setdefault(0.0, []).append((seg_lo, seg_lc, hi, hc))
+                hi, hc = top, True
+            live = (lo, lc, hi, hc) if (lo < hi or (lo == hi and lc and hc)) else None
+        dead = nd
+    rows = []
+    if live is not None:
+        rows.append((live[0], live[1], live[2], live[3], True, L))
+    for v, ivs in dead.items():
+        for lo, lc, hi, hc in ivs:
+            rows.append((lo, lc, hi, hc, False, v))
+    return rows
+
+
+def transfer_apply(rows, c: float) -> float:
+    for lo, lc, hi, hc, live, v in rows:
+        if (lo < c or (lo == c and lc)) and (c < hi or (c == hi and hc)):
+            return c + v if live else v
+    return c  # unreachable for c in [0, h]

@@ -57,3 +57,31 @@ def test_tick_rule_fixture(make_trades):
     t = make_trades([("A", i, i, p, 1) for i, p in enumerate([5, 5, 6, 6, 4])])
     r = [x.price_diff for x in tick_rule(t).orderBy("seq").collect()]
     assert r == [1, 1, 1, 1, -1]
+
+
+def test_cusum_day_split_matches_loop(spark, make_trades):
+    from tessera.operators.filters import cusum_events
+    rng = np.random.default_rng(5)
+    rows = []
+    for sym in ["A", "B"]:
+        p = 100.0
+        for i in range(800):
+            p += float(rng.normal())
+            rows.append((sym, i * 20, i, p, 1.0, i // 70))
+    t = make_trades(rows).select("symbol", F.col("ts").alias("time"), "seq", F.col("price").alias("close"))
+    for h in [0.7, 3.0, 25.0]:
+        got = cusum_events(t.repartition(3), h).orderBy("symbol", "time").toPandas()
+        for sym in ["A", "B"]:
+            x = np.diff([r[3] for r in rows if r[0] == sym])
+            pos = neg = 0.0
+            exp = []
+            for i, dx in enumerate(x):
+                pos, neg = max(0.0, pos + dx), min(0.0, neg + dx)
+                if neg < -h:
+                    neg = 0.0
+                    exp.append((i + 1, -1))
+                elif pos > h:
+                    pos = 0.0
+                    exp.append((i + 1, 1))
+            g = got[got.symbol == sym]
+            assert list(g.side) == [s for _, s in exp]
