@@ -14,6 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
+from tessera.session import cut_lineage
+
 
 # --------------------------------------------------------------------------- A1 / A2
 def covariance(returns: DataFrame, keys: Sequence[str] = (), date="date", asset="asset", ret="ret") -> DataFrame:
@@ -42,6 +44,7 @@ def ivp_weights(cov: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def cluster_variance(cov: DataFrame, clusters: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """wᵀΣw with w the IVP weights inside each cluster.  clusters: keys, cluster, asset."""
     keys = list(keys)
+    cov = cut_lineage(cov)  # read three times
     iv = cov.where(F.col("a") == F.col("b")).select(*keys, F.col("a").alias("asset"), (1.0 / F.col("cov")).alias("_iv"))
     c = clusters.join(iv, [*keys, "asset"])
     w = c.withColumn("w", F.col("_iv") / F.sum("_iv").over(W.partitionBy(*keys, "cluster")))  # one row per asset

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.functions.ols import moment_aggs, ols_exprs
 from tessera.plans.sequence import POS, cumulative, shift, with_pos
+from tessera.session import cut_lineage
 
 
 # --------------------------------------------------------------------------- X1
@@ -84,7 +85,7 @@ def bsadf(series: DataFrame, value: str, min_sl: int, constant: str = "c", lags:
     starts 0 .. rows + lags - min_sl.  The regression moments of [start, end] are suffix sums
     (accumulated from the end, so nothing is subtracted), one pass for all start points."""
     keys = list(keys)
-    d = adf_design(series, value, lags, constant, keys, order)
+    d = cut_lineage(adf_design(series, value, lags, constant, keys, order))
     xs = design_columns(lags, constant)
     k = len(xs)
     n_rows = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))

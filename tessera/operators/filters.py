@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from tessera.plans import ewm as E
 from tessera.plans.sequence import CHUNK, HALO, POS, halo_chunks, shift, with_pos
 from tessera.plans.timejoin import asof
+from tessera.session import cut_lineage
 
 
 def _rolling(df: DataFrame, keys, order, n: int) -> tuple[DataFrame, W]:
@@ -211,7 +212,7 @@ def autocorr(returns: DataFrame, lags: Sequence[int] = (1,), keys=("symbol",), o
     pairs (pandas ``autocorr``); ``acf``: Σ(x-m)(x_lag-m)/Σ(x-m)² with the global mean (the
     statsmodels form)."""
     keys = list(keys)
-    d = with_pos(returns, keys, list(order))
+    d = cut_lineage(with_pos(returns.select(*keys, *order, ret), keys, list(order)))  # read once per lag
     out = []
     for k in lags:
         lagged = d.select(*keys, (F.col(POS) + k).alias(POS), F.col(ret).alias("_lag"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from tessera.functions.ols import adf_crit_5pct_sql, moment_aggs, ols_exprs
 from tessera.plans.sequence import CHUNK, HALO, POS, fill, halo_chunks, shift
+from tessera.session import cut_lineage
 
 
 # --------------------------------------------------------------------------- D1 / D2
@@ -115,7 +116,8 @@ def adf(series: DataFrame, keys=("symbol",), order: Sequence[str] = ("time", "se
     """ADF statistic with one lag and a constant (autolag off), the observation count and the
     5% critical value; ``passes`` = statistic <= critical value.  p-values are not built."""
     k = 3 if regression == "c" else 2
-    m = adf_moments(series, keys, order, value, regression)
+    # the series is read by two lags and the positions: materialise it once
+    m = adf_moments(cut_lineage(series.select(*keys, *order, value)), keys, order, value, regression)
     ex = ols_exprs(k)
     return m.select(*keys, F.expr(ex["t_0"]).alias("adf_stat"), F.col("m_n").alias("nobs"),
                     F.expr(adf_crit_5pct_sql(regression, "m_n")).alias("crit_5pct")) \
@@ -171,6 +173,7 @@ def engle_granger(a: DataFrame, keys=("symbol",), order: Sequence[str] = ("time"
     """Engle-Granger statistic: residuals of y on x (with constant), then the one-lag DF
     regression on the residuals without constant."""
     keys = list(keys)
+    a = cut_lineage(a.select(*keys, *order, y, x))
     fit = a.groupBy(*keys).agg(F.regr_slope(y, x).alias("_b"), F.regr_intercept(y, x).alias("_a"))
     r = a.join(fit, keys).withColumn("_e", F.col(y) - F.col("_a") - F.col("_b") * F.col(x))
     out = adf(r.select(*keys, *order, "_e"), keys, order, "_e", regression="n")

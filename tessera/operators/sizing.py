@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions.normal import norm_cdf
 from tessera.plans.timejoin import overlap_counts
+from tessera.session import cut_lineage
 
 
 # --------------------------------------------------------------------------- Z1
@@ -15,6 +16,7 @@ def avg_active_signals(signals: DataFrame, keys=("symbol",), start="t0", end="t1
     """At every distinct start or end time, the mean signal of those active (start <= t < end,
     or end unknown); 0 when none is active.  A sweep, not a loop over times."""
     keys = list(keys)
+    signals = cut_lineage(signals.select(*keys, start, end, value))  # four branches read it
     times = (signals.select(*keys, F.col(start).alias("time"))
              .unionByName(signals.where(F.col(end).isNotNull()).select(*keys, F.col(end).alias("time"))).distinct())
     c = overlap_counts(signals, keys, start, end, times, "time", value=value, end_inclusive=False)
@@ -85,6 +87,7 @@ def concurrent_bets(signals: DataFrame, keys=("symbol",), start="t0", end="t1",
     """Long and short bets alive at each date (start <= date <= end, end included; open bets stay
     alive).  Dates default to the signals' start times."""
     keys = list(keys)
+    signals = cut_lineage(signals.select(*keys, start, end, side))  # three branches read it
     probes = dates if dates is not None else signals.select(*keys, F.col(start).alias(time_col)).distinct()
     sides = signals.withColumn("_long", F.col(side) > 0)
     lng = overlap_counts(sides.where("_long"), keys, start, end, probes, time_col, end_inclusive=True)
@@ -97,6 +100,7 @@ def concurrent_bets(signals: DataFrame, keys=("symbol",), start="t0", end="t1",
 def size_from_concurrency(conc: DataFrame, keys=("symbol",)) -> DataFrame:
     """long/max(long) - short/max(short) per key (the maxima are one aggregate per key)."""
     keys = list(keys)
+    conc = cut_lineage(conc)
     mx = conc.groupBy(*keys).agg(F.max("long").alias("_ml"), F.max("short").alias("_ms"))
     d = conc.join(mx, keys)
     lp = F.when(F.col("_ml") > 0, F.col("long") / F.col("_ml")).otherwise(F.lit(0.0))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tessera.plans.sequence import cumulative, shift
 from tessera.plans.timejoin import interval_join, overlap_counts
+from tessera.session import cut_lineage
 
 
 def _filled(events: DataFrame, close: DataFrame, keys, time_col) -> DataFrame:
@@ -29,25 +30,26 @@ def num_concurrent(close: DataFrame, events: DataFrame, keys=("symbol",), time_c
     """Number of events alive at each close time (t0 <= t <= t1; open t1 runs to the last
     close), for close times between the first t0 and the last t1."""
     keys = list(keys)
-    ev = _filled(events, close, keys, time_col)
+    # the events feed three branches of the sweep: materialise them once
+    ev = cut_lineage(_filled(events, close, keys, time_col))
     span = ev.groupBy(*keys).agg(F.min("t0").alias("_a"), F.max("t1").alias("_b"))
     probes = close.select(*keys, time_col).join(span, keys).where(
         F.col(time_col).between(F.col("_a"), F.col("_b"))).drop("_a", "_b")
     c = overlap_counts(ev, keys, "t0", "t1", probes, time_col, end_inclusive=True)
-    return c.select(*keys, time_col, F.col("alive").cast("long").alias("c"))
+    return cut_lineage(c.select(*keys, time_col, F.col("alive").cast("long").alias("c")))
 
 
 def _prefix_lookup(series: DataFrame, events: DataFrame, keys, time_col, value: str, seq=None):
     """Σ value and count over close times in [t0, t1] per event via prefix sums."""
     order = [time_col] + ([seq] if seq else [])
-    pre = cumulative(series, keys, order, {"_cs": ("sum", value), "_cn": ("count", value)})
-    at = pre.select(*keys, time_col, "_cs", "_cn")
+    # the prefix table is looked up twice (at t0 and at t1): materialise it once
+    pre = cut_lineage(cumulative(series.select(*keys, time_col, value), keys, order,
+                                 {"_cs": ("sum", value), "_cn": ("count", value)}))
     # value strictly before t0 = prefix at t0 minus the row at t0
-    s0 = at.join(series.select(*keys, time_col, F.col(value).alias("_v0")), [*keys, time_col])
-    s0 = s0.select(*keys, F.col(time_col).alias("t0"),
-                   (F.col("_cs") - F.coalesce("_v0", F.lit(0.0))).alias("_s0"),
-                   (F.col("_cn") - F.when(F.col("_v0").isNotNull(), 1).otherwise(0)).alias("_n0"))
-    s1 = at.select(*keys, F.col(time_col).alias("t1"), F.col("_cs").alias("_s1"), F.col("_cn").alias("_n1"))
+    s0 = pre.select(*keys, F.col(time_col).alias("t0"),
+                    (F.coalesce("_cs", F.lit(0.0)) - F.coalesce(F.col(value), F.lit(0.0))).alias("_s0"),
+                    (F.col("_cn") - F.when(F.col(value).isNotNull(), 1).otherwise(0)).alias("_n0"))
+    s1 = pre.select(*keys, F.col(time_col).alias("t1"), F.col("_cs").alias("_s1"), F.col("_cn").alias("_n1"))
     return (events.join(s0, [*keys, "t0"], "left").join(s1, [*keys, "t1"], "left")
                   .withColumn("_sum", F.col("_s1") - F.col("_s0")).withColumn("_cnt", F.col("_n1") - F.col("_n0"))
                   .drop("_s0", "_s1", "_n0", "_n1"))

@@ -1622,7 +1622,8 @@ def q_primary(spark, sf):
     from tessera.operators.labels import get_bins, get_events, primary_scores
     tk, cus, vol, vb, _ = label_inputs(spark, sf)
     side = cus.select("symbol", "t0", F.col("side").cast("double").alias("side"))
-    ev = get_events(tk, cus, LABEL_PT_SL, vol, LABEL_MIN_RET, t1=vb, side=side)
+    from tessera.session import cut_lineage
+    ev = cut_lineage(get_events(tk, cus, LABEL_PT_SL, vol, LABEL_MIN_RET, t1=vb, side=side))
     return primary_scores(ev, get_bins(tk, ev, t1=vb))
 
 
