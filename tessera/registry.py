@@ -899,10 +899,23 @@ def q_bets_timing(spark, sf):
     return bets_timing(positions(spark, sf)).select("symbol", "time", "seq")
 
 
-@register("k2_holding_period")
+@register("k2_holding_period", f"""WITH RECURSIVE {POS_CTE},
+t AS (SELECT symbol, CAST(position AS DOUBLE) AS p, lag(CAST(position AS DOUBLE)) OVER w AS pp,
+             (epoch_us(time) - epoch_us(first_value(time) OVER w)) / 86400e6 AS td,
+             row_number() OVER w AS rn FROM pos WINDOW w AS (PARTITION BY symbol ORDER BY time, seq)),
+r AS (SELECT symbol, rn, CAST(0.0 AS DOUBLE) AS entry, CAST(NULL AS DOUBLE) AS dT, CAST(NULL AS DOUBLE) AS w FROM t WHERE rn = 1
+      UNION ALL
+      SELECT t.symbol, t.rn,
+        CASE WHEN (t.p - t.pp) * t.pp >= 0
+             THEN CASE WHEN t.p <> 0 THEN (r.entry * t.pp + t.td * (t.p - t.pp)) / t.p ELSE r.entry END
+             ELSE CASE WHEN t.p * t.pp < 0 THEN t.td ELSE r.entry END END,
+        CASE WHEN (t.p - t.pp) * t.pp < 0 THEN t.td - r.entry END,
+        CASE WHEN (t.p - t.pp) * t.pp < 0 THEN CASE WHEN t.p * t.pp < 0 THEN abs(t.pp) ELSE abs(t.p - t.pp) END END
+      FROM r JOIN t ON t.symbol = r.symbol AND t.rn = r.rn + 1)
+SELECT symbol, round(CASE WHEN sum(w) > 0 THEN sum(dT * w) / sum(w) END, 6) AS holding_days FROM r GROUP BY symbol""")
 def q_holding(spark, sf):
     from tessera.operators.stats import holding_period
-    return holding_period(positions(spark, sf))
+    return holding_period(positions(spark, sf)).select("symbol", r6("holding_days").alias("holding_days"))
 
 
 _HHI_SQL = """CASE WHEN {n} > 2 THEN ({q} / ({s} * {s}) - 1.0 / {n}) / (1.0 - 1.0 / {n}) END"""
@@ -1607,7 +1620,17 @@ def q_daily_dollar_bars(spark, sf):
 
 
 # ============================================================================ more labelling
-@register("l5_meta_features")
+@register("l5_meta_features", _label_sql() + """,
+rr AS (SELECT symbol, time, seq, (close - lag(close) OVER (PARTITION BY symbol ORDER BY time, seq)) / close AS r FROM ticks),
+rr2 AS (SELECT *, lag(r) OVER (PARTITION BY symbol ORDER BY time, seq) AS lg FROM rr WHERE r IS NOT NULL),
+ac AS (SELECT symbol, time, corr(r, lg) OVER (PARTITION BY symbol ORDER BY time, seq
+        ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS ac FROM rr2),
+x AS (SELECT ev.symbol, ev.t0, v.trgt AS vol, CASE WHEN isnan(ac.ac) THEN NULL ELSE ac.ac END AS autocorr, cus.side
+      FROM ev JOIN cus ON cus.symbol = ev.symbol AND cus.t0 = ev.t0
+      JOIN vol v ON v.symbol = ev.symbol AND v.time = ev.t0
+      JOIN ac ON ac.symbol = ev.symbol AND ac.time = ev.t0)
+SELECT symbol, t0, round(vol, 6) AS vol, round(autocorr, 6) AS autocorr, side FROM x
+WHERE vol IS NOT NULL AND autocorr IS NOT NULL AND side IS NOT NULL""")
 def q_meta_features(spark, sf):
     from tessera.operators.filters import bar_returns, rolling_autocorr
     from tessera.operators.labels import meta_features
