@@ -1609,7 +1609,33 @@ def q_imbalance_bars(spark, sf):
                     r6("close").alias("close"), r6("volume").alias("volume"), "tick_count")
 
 
-@register("b6_daily_dollar_bars")
+def _b6_sql() -> str:
+    return f"""WITH RECURSIVE {TRADES_CTE},
+d AS (SELECT symbol, CAST(ts AS DATE) AS date, sum(price * size) AS dv FROM trades GROUP BY ALL),
+{ewm_sql('d', 'symbol', 'date', 'dv', 0.4)},
+l AS (SELECT *, lag(e_mean) OVER (PARTITION BY symbol ORDER BY date) AS lg FROM e_f),
+th AS (SELECT symbol, date, coalesce(lg, first_value(lg IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date
+             ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) / 1000.0 AS thr FROM l),
+t AS (SELECT tr.symbol, CAST(tr.ts AS DATE) AS date, tr.ts, tr.seq, tr.price, tr.size, tr.price * tr.size AS m, th.thr,
+             row_number() OVER (PARTITION BY tr.symbol, CAST(tr.ts AS DATE) ORDER BY tr.ts, tr.seq) AS rn
+      FROM trades tr JOIN th ON th.symbol = tr.symbol AND th.date = CAST(tr.ts AS DATE) WHERE th.thr IS NOT NULL),
+r AS (SELECT symbol, date, rn, m AS cum, CAST(0 AS BIGINT) AS gid FROM t WHERE rn = 1
+      UNION ALL
+      SELECT t.symbol, t.date, t.rn, CASE WHEN r.cum >= t.thr THEN t.m ELSE r.cum + t.m END,
+             CASE WHEN r.cum >= t.thr THEN r.gid + 1 ELSE r.gid END
+      FROM r JOIN t ON t.symbol = r.symbol AND t.date = r.date AND t.rn = r.rn + 1),
+g AS (SELECT t.symbol, t.date, r.gid AS group_id, arg_max(t.ts, t.rn) AS time, arg_max(t.seq, t.rn) AS last_seq,
+             arg_min(t.price, t.rn) AS open, arg_max(t.price, t.rn) AS close, max(t.price) AS high, min(t.price) AS low,
+             sum(t.size) AS volume, stddev_samp(t.price) AS price_std, ln(max(t.price) / min(t.price)) AS log_range,
+             count(*) AS count
+      FROM t JOIN r USING (symbol, date, rn) GROUP BY t.symbol, t.date, r.gid),
+{ewm_sql('g', 'symbol', 'time, last_seq', 'price_std', 2 / 11, out='v')}
+SELECT symbol, date, group_id, time, round(open, 6) AS open, round(close, 6) AS close, round(high, 6) AS high,
+       round(low, 6) AS low, round(volume, 6) AS volume, round(price_std, 6) AS price_std, round(log_range, 6) AS log_range,
+       count, round(v_mean, 6) AS volatility FROM v_f"""
+
+
+@register("b6_daily_dollar_bars", _b6_sql())
 def q_daily_dollar_bars(spark, sf):
     from tessera.operators.bars import daily_dollar_bars
     b = daily_dollar_bars(trades_from_events(spark, sf))
