@@ -138,10 +138,11 @@ def primary_scores(events_with_side: DataFrame, bins: DataFrame, keys=("symbol",
     d = events_with_side.select(*keys, "t0", "side").join(bins.select(*keys, "t0", "bin"), [*keys, "t0"])
     pred = ((F.col("side") + 1) / 2).cast("int")
     y = F.col("bin")
+    tp = F.sum(((pred == 1) & (y == 1)).cast("double"))
     return d.groupBy(*keys).agg(
         F.avg((pred == y).cast("double")).alias("accuracy"),
-        (F.sum(((pred == 1) & (y == 1)).cast("double")) / F.sum((pred == 1).cast("double"))).alias("precision"),
-        (F.sum(((pred == 1) & (y == 1)).cast("double")) / F.sum((y == 1).cast("double"))).alias("recall"))
+        F.try_divide(tp, F.sum((pred == 1).cast("double"))).alias("precision"),
+        F.try_divide(tp, F.sum((y == 1).cast("double"))).alias("recall"))
 
 
 # --------------------------------------------------------------------------- L7

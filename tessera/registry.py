@@ -1666,14 +1666,35 @@ def q_meta_features(spark, sf):
     return x.select("symbol", "t0", r6("vol").alias("vol"), r6("autocorr").alias("autocorr"), "side")
 
 
-@register("l6_primary_scores")
+@register("l6_primary_scores", _label_sql() + f""",
+evs0 AS (SELECT ev0.*, CAST(c.side AS DOUBLE) AS side FROM ev0 JOIN cus c ON c.symbol = ev0.symbol AND c.t0 = ev0.t0),
+ps0 AS (SELECT evs0.*, k.close AS p0, lst.last FROM evs0 JOIN ticks k ON k.symbol = evs0.symbol AND k.time = evs0.t0
+        JOIN lst ON lst.symbol = evs0.symbol),
+tch AS (SELECT ps0.symbol, ps0.t0,
+          min(CASE WHEN (k.close / ps0.p0 - 1) * ps0.side > {LABEL_PT_SL[0]} * ps0.trgt THEN k.time END) AS pt,
+          min(CASE WHEN (k.close / ps0.p0 - 1) * ps0.side < -{LABEL_PT_SL[1]} * ps0.trgt THEN k.time END) AS sl
+        FROM ps0 JOIN ticks k ON k.symbol = ps0.symbol AND k.time BETWEEN ps0.t0 AND coalesce(ps0.t1, ps0.last)
+        GROUP BY ps0.symbol, ps0.t0),
+evs AS (SELECT evs0.symbol, evs0.t0, evs0.side, least(evs0.t1, tch.sl, tch.pt) AS t1 FROM evs0
+        LEFT JOIN tch ON tch.symbol = evs0.symbol AND tch.t0 = evs0.t0),
+bs AS (SELECT evs.symbol, evs.t0, evs.side, (k1.close / k0.close - 1) * evs.side AS ret FROM evs
+       JOIN ticks k0 ON k0.symbol = evs.symbol AND k0.time = evs.t0
+       JOIN ticks k1 ON k1.symbol = evs.symbol AND k1.time = evs.t1 WHERE evs.t1 IS NOT NULL),
+bb AS (SELECT *, CASE WHEN ret <= 0 THEN 0 ELSE CAST(sign(ret) AS INTEGER) END AS bin,
+              CAST((side + 1) / 2 AS INTEGER) AS pred FROM bs)
+SELECT symbol, round(avg(CAST(pred = bin AS DOUBLE)), 6) AS accuracy,
+       round(sum(CAST(pred = 1 AND bin = 1 AS DOUBLE)) / nullif(sum(CAST(pred = 1 AS DOUBLE)), 0), 6) AS precision,
+       round(sum(CAST(pred = 1 AND bin = 1 AS DOUBLE)) / nullif(sum(CAST(bin = 1 AS DOUBLE)), 0), 6) AS recall
+FROM bb GROUP BY symbol""")
 def q_primary(spark, sf):
     from tessera.operators.labels import get_bins, get_events, primary_scores
     tk, cus, vol, vb, _ = label_inputs(spark, sf)
     side = cus.select("symbol", "t0", F.col("side").cast("double").alias("side"))
     from tessera.session import cut_lineage
     ev = cut_lineage(get_events(tk, cus, LABEL_PT_SL, vol, LABEL_MIN_RET, t1=vb, side=side))
-    return primary_scores(ev, get_bins(tk, ev, t1=vb))
+    sc = primary_scores(ev, get_bins(tk, ev, t1=vb))
+    return sc.select("symbol", r6("accuracy").alias("accuracy"), r6("precision").alias("precision"),
+                     r6("recall").alias("recall"))
 
 
 @register("l7_barrier_mesh")
