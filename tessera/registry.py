@@ -1697,12 +1697,34 @@ def q_primary(spark, sf):
                      r6("recall").alias("recall"))
 
 
-@register("l7_barrier_mesh")
+MESH = (0.5, 1.0, 1.5, 2.0)
+MESH_HP = 20
+
+
+def _mesh_sql() -> str:
+    vals = ", ".join(f"({v!r})" for v in MESH)
+    return _label_sql() + f""",
+x AS (SELECT symbol, time, close, row_number() OVER (PARTITION BY symbol ORDER BY time, seq) - 1 AS pos,
+             close - lag(close) OVER (PARTITION BY symbol ORDER BY time, seq) AS dx FROM ticks),
+sg AS (SELECT symbol, stddev_samp(dx) AS sig FROM x GROUP BY symbol),
+st AS (SELECT x.symbol, x.pos AS p0, x.close AS v0 FROM cus JOIN x ON x.symbol = cus.symbol AND x.time = cus.t0),
+pth AS (SELECT st.symbol, st.p0, x.pos - st.p0 AS h, x.close - st.v0 AS cp FROM st
+        JOIN x ON x.symbol = st.symbol AND x.pos BETWEEN st.p0 + 1 AND st.p0 + {MESH_HP + 1}),
+fullp AS (SELECT symbol, p0 FROM pth GROUP BY symbol, p0 HAVING count(*) = {MESH_HP + 1}),
+mesh AS (SELECT a.v AS pt, b.v AS sl FROM (VALUES {vals}) a(v) CROSS JOIN (VALUES {vals}) b(v)),
+hits AS (SELECT p.symbol, p.p0, m.pt, m.sl, min(p.h) AS hx FROM pth p JOIN fullp USING (symbol, p0)
+         JOIN sg ON sg.symbol = p.symbol CROSS JOIN mesh m
+         WHERE p.cp > m.pt * sg.sig OR p.cp < -m.sl * sg.sig OR p.h > {MESH_HP} GROUP BY ALL),
+ex AS (SELECT hits.*, p.cp FROM hits JOIN pth p ON p.symbol = hits.symbol AND p.p0 = hits.p0 AND p.h = hits.hx)
+SELECT symbol, pt, sl, round(avg(cp), 6) AS mean, round(stddev_pop(cp), 6) AS std, count(*) AS n,
+       round(avg(cp) / stddev_pop(cp), 6) AS sharpe FROM ex GROUP BY symbol, pt, sl"""
+
+
+@register("l7_barrier_mesh", _mesh_sql())
 def q_mesh(spark, sf):
     from tessera.operators.labels import barrier_mesh
     tk, cus, _, _, _ = label_inputs(spark, sf)
-    grid = [0.5 * i for i in range(1, 5)]
-    m = barrier_mesh(tk, cus.select("symbol", F.col("t0").alias("time")), grid, grid, max_hp=20)
+    m = barrier_mesh(tk, cus.select("symbol", F.col("t0").alias("time")), MESH, MESH, max_hp=MESH_HP)
     return m.select("symbol", "pt", "sl", r6("mean").alias("mean"), r6("std").alias("std"), "n", r6("sharpe").alias("sharpe"))
 
 
