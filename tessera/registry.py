@@ -1567,7 +1567,7 @@ def q_ewm_std(spark, sf):
 
 
 # ============================================================================ imbalance inputs
-def _imb_sql() -> str:
+def _imb_ctes() -> str:
     return f"""WITH {TRADES_CTE},
 tr0 AS (SELECT *, lag(price) OVER (PARTITION BY symbol ORDER BY ts, seq) AS pp FROM trades),
 tr1 AS (SELECT *, CASE WHEN pp IS NULL THEN 1 ELSE nullif(CAST(sign(price - pp) AS INTEGER), 0) END AS s0 FROM tr0),
@@ -1579,12 +1579,16 @@ ti AS (SELECT *, floor((price_diff + 1) / 2) AS buy, floor((1 - price_diff) / 2)
 {ewm_sql('ti', 'symbol', 'ts, seq', 'sell', 2 / 1001, out='ps')},
 sd AS (SELECT *, symbol || ':' || CAST(price_diff AS VARCHAR) AS sk FROM ti),
 {ewm_sql('sd', 'sk', 'ts, seq', 'ld', 0.01, out='sl')},
-j AS (SELECT t.symbol, t.ts, t.seq, t.ld, pb.pb_mean AS pbuy, ps.ps_mean AS psell,
+j AS (SELECT t.symbol, t.ts, t.seq, t.ld, t.price, t.size, pb.pb_mean AS pbuy, ps.ps_mean AS psell,
              CASE WHEN t.price_diff = 1 THEN sl.sl_mean END AS b_ewm, CASE WHEN t.price_diff = -1 THEN sl.sl_mean END AS s_ewm
       FROM ti t JOIN pb_f pb USING (symbol, ts, seq) JOIN ps_f ps USING (symbol, ts, seq)
       JOIN sl_f sl ON sl.symbol = t.symbol AND sl.ts = t.ts AND sl.seq = t.seq),
 f AS (SELECT *, last_value(b_ewm IGNORE NULLS) OVER w AS buy_ewm, last_value(s_ewm IGNORE NULLS) OVER w AS sell_ewm
-      FROM j WINDOW w AS (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+      FROM j WINDOW w AS (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+
+def _imb_sql() -> str:
+    return _imb_ctes() + """
 SELECT symbol, ts, seq, round(pbuy, 6) AS pbuy_ewm, round(psell, 6) AS psell_ewm, round(ld, 6) AS log_dollars,
        round(buy_ewm, 6) AS buy_ewm, round(sell_ewm, 6) AS sell_ewm,
        round(coalesce(buy_ewm, 0.0) * pbuy + coalesce(sell_ewm, 0.0) * psell, 6) AS expected FROM f"""
@@ -1601,10 +1605,39 @@ def q_imbalance_thresholds(spark, sf):
                     r6("expected_log_dollars_exchanged").alias("expected"))
 
 
-@register("b14_imbalance_bars")
+IMB_START_LEN = 50.0
+
+
+def _b14_sql() -> str:
+    blen = IMB_START_LEN
+    n = "(r.n_after + 1)"
+    cum = "(r.cum_after + t.ld)"
+    close = f"({n} > 2 AND abs({cum}) >= (abs(t.e) + 0.1 * t.s) * r.blen_after)"
+    return "WITH RECURSIVE" + _imb_ctes()[len("WITH"):] + f""",
+f2 AS (SELECT symbol, ts, seq, price, size, ld,
+              coalesce(buy_ewm, 0.0) * pbuy + coalesce(sell_ewm, 0.0) * psell AS e FROM f),
+{ewm_sql('f2', 'symbol', 'ts, seq', 'ld', 0.01, out='ls')},
+t AS (SELECT symbol, ts, seq, price, size, ld, e, coalesce(sqrt(ls_var), 0.0) AS s,
+             row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS rn FROM ls_f),
+r AS (SELECT symbol, rn, CAST(0 AS BIGINT) AS gid, CAST(ld AS DOUBLE) AS cum_after, CAST(1 AS BIGINT) AS n_after,
+             CAST({blen!r} AS DOUBLE) AS blen_after, CAST(0 AS BIGINT) AS gid_after FROM t WHERE rn = 1
+      UNION ALL
+      SELECT t.symbol, t.rn, r.gid_after,
+             CASE WHEN {close} THEN 0.0 ELSE {cum} END,
+             CASE WHEN {close} THEN 0 ELSE {n} END,
+             CASE WHEN {close} THEN 0.1 * r.blen_after + 0.9 * {n} ELSE r.blen_after END,
+             CASE WHEN {close} THEN r.gid_after + 1 ELSE r.gid_after END
+      FROM r JOIN t ON t.symbol = r.symbol AND t.rn = r.rn + 1)
+SELECT t.symbol, r.gid AS "group", arg_max(t.ts, t.rn) AS time, round(arg_min(t.price, t.rn), 6) AS open,
+       round(max(t.price), 6) AS high, round(min(t.price), 6) AS low, round(arg_max(t.price, t.rn), 6) AS close,
+       round(sum(t.size), 6) AS volume, count(*) AS tick_count
+FROM t JOIN r USING (symbol, rn) GROUP BY t.symbol, r.gid"""
+
+
+@register("b14_imbalance_bars", _b14_sql())
 def q_imbalance_bars(spark, sf):
     from tessera.operators.bars import imbalance_bars
-    b = imbalance_bars(trades_from_events(spark, sf), 50.0)
+    b = imbalance_bars(trades_from_events(spark, sf), IMB_START_LEN)
     return b.select("symbol", "group", "time", r6("open").alias("open"), r6("high").alias("high"), r6("low").alias("low"),
                     r6("close").alias("close"), r6("volume").alias("volume"), "tick_count")
 
