@@ -1330,10 +1330,24 @@ def q_lz(spark, sf):
     return lempel_ziv(bar_codes(spark, sf, "quantile"))
 
 
-@register("n5_kontoyiannis")
+KONTO_WINDOW = 10
+
+
+@register("n5_kontoyiannis", bars_sql() + _CODES_SQL + f""",
+msg AS (SELECT symbol, string_agg(code, '' ORDER BY bar) AS m, count(*) AS n FROM q1 GROUP BY symbol),
+w AS (SELECT symbol, m, n, least({KONTO_WINDOW}, n // 2) AS win FROM msg),
+pts AS (SELECT symbol, m, n, win, unnest(range(win, n - win + 1)) AS i FROM w),
+ls AS (SELECT *, unnest(range(0, win)) AS l FROM pts),
+js AS (SELECT *, unnest(range(i - win, i)) AS j FROM ls),
+hit AS (SELECT symbol, n, win, i, l, bool_or(substr(m, j + 1, l + 1) = substr(m, i + 1, l + 1)) AS ok
+        FROM js GROUP BY symbol, n, win, i, l),
+ml AS (SELECT symbol, n, win, i, coalesce(max(CASE WHEN ok THEN least(l + 1, n - i) END), 0) + 1 AS L
+       FROM hit GROUP BY symbol, n, win, i)
+SELECT symbol, round(avg(log2(win + 1) / L), 6) AS h, round(1 - avg(log2(win + 1) / L) / log2(n), 6) AS r,
+       n, count(*) AS points FROM ml GROUP BY symbol, n""")
 def q_konto(spark, sf):
     from tessera.operators.entropy import kontoyiannis
-    k = kontoyiannis(bar_codes(spark, sf), 10)
+    k = kontoyiannis(bar_codes(spark, sf), KONTO_WINDOW)
     return k.select("symbol", r6("h").alias("h"), r6("r").alias("r"), "n", "points")
 
 
