@@ -1324,7 +1324,22 @@ def q_plugin(spark, sf):
     return plug_in_entropy(bar_codes(spark, sf), ENTROPY_W).select("symbol", r6("entropy").alias("entropy"))
 
 
-@register("n3_lempel_ziv")
+@register("n3_lempel_ziv", bars_sql() + _SRET_SQL + """,
+qe AS (SELECT symbol, quantile_cont(ret, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS edges FROM sret GROUP BY symbol),
+q2 AS (SELECT s.symbol, s.bar, chr(CAST(48 + len(list_filter(qe.edges, lambda x: x < s.ret)) AS INTEGER)) AS code
+       FROM sret s JOIN qe USING (symbol)),
+msg AS (SELECT symbol, string_agg(code, '' ORDER BY bar) AS m, count(*) AS n FROM q2 GROUP BY symbol),
+lz AS (SELECT symbol, m, n, 1 AS i, [substr(m, 1, 1)] AS lib FROM msg
+       UNION ALL
+       SELECT symbol, m, n,
+              coalesce(list_filter(range(i, n), lambda j: NOT list_contains(lib, substr(m, i + 1, j - i + 1)))[1], n - 1) + 1,
+              CASE WHEN list_filter(range(i, n), lambda j: NOT list_contains(lib, substr(m, i + 1, j - i + 1)))[1] IS NULL
+                   THEN lib
+                   ELSE list_append(lib, substr(m, i + 1,
+                        list_filter(range(i, n), lambda j: NOT list_contains(lib, substr(m, i + 1, j - i + 1)))[1] - i + 1))
+              END
+       FROM lz WHERE i < n)
+SELECT symbol, CAST(max(len(lib)) AS BIGINT) AS lz_size, max(n) AS n FROM lz GROUP BY symbol""")
 def q_lz(spark, sf):
     from tessera.operators.entropy import lempel_ziv
     return lempel_ziv(bar_codes(spark, sf, "quantile"))
