@@ -153,13 +153,13 @@ def q_tick_bars(spark, sf):
 d AS (SELECT symbol, CAST(ts AS DATE) AS date, sum(price * size) AS dv FROM trades GROUP BY ALL),
 {ewm_sql('d', 'symbol', 'date', 'dv', 0.4)},
 l AS (SELECT *, lag(e_mean) OVER (PARTITION BY symbol ORDER BY date) AS lg FROM e_f)
-SELECT symbol, date, round(dv, 6) AS dollar_volume,
+SELECT symbol, CAST(date AS VARCHAR) AS date, round(dv, 6) AS dollar_volume,
        round(coalesce(lg, first_value(lg IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date
              ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS daily_threshold FROM l""")
 def q_daily_threshold(spark, sf):
     from tessera.operators.bars import daily_dollar_volume
     d = daily_dollar_volume(trades_from_events(spark, sf))
-    return d.select("symbol", "date", r6("dollar_volume").alias("dollar_volume"),
+    return d.select("symbol", F.col("date").cast("string").alias("date"), r6("dollar_volume").alias("dollar_volume"),
                     r6("daily_threshold").alias("daily_threshold"))
 
 
@@ -215,12 +215,12 @@ k AS (SELECT *, CAST(floor(rel / 1800000000) AS INTEGER) AS k FROM m WHERE rel B
 u AS (SELECT symbol, bar, close, CAST(ny AS DATE) AS date,
              unnest([k, CASE WHEN rel % 1800000000 = 0 THEN k - 1 END]) AS interval_id FROM k),
 v AS (SELECT * FROM u WHERE interval_id BETWEEN 0 AND 12)
-SELECT symbol, bar, date, interval_id,
+SELECT symbol, bar, CAST(date AS VARCHAR) AS date, interval_id,
        round(stddev_samp(close) OVER (PARTITION BY symbol, date, interval_id), 6) AS std FROM v""")
 def q_interval_std(spark, sf):
     from tessera.operators.sessions import interval_close_std
     d = interval_close_std(series_bars(spark, sf), 30)
-    return d.select("symbol", "bar", "date", "interval_id", r6("std").alias("std"))
+    return d.select("symbol", "bar", F.col("date").cast("string").alias("date"), "interval_id", r6("std").alias("std"))
 
 
 @register("p6_weekly_bar_counts", bars_sql() + """,
@@ -228,13 +228,13 @@ c AS (SELECT symbol, CAST(date_trunc('week', time) AS DATE) + 6 AS week, count(*
 s AS (SELECT symbol, min(week) AS a, max(week) AS b FROM c GROUP BY symbol),
 w AS (SELECT symbol, CAST(unnest(generate_series(a, b, INTERVAL 7 DAY)) AS DATE) AS week FROM s),
 j AS (SELECT w.symbol, w.week, coalesce(c.n, 0) AS n FROM w LEFT JOIN c USING (symbol, week))
-SELECT symbol, week, n, round(CASE WHEN max(n) OVER (PARTITION BY symbol) > min(n) OVER (PARTITION BY symbol)
+SELECT symbol, CAST(week AS VARCHAR) AS week, n, round(CASE WHEN max(n) OVER (PARTITION BY symbol) > min(n) OVER (PARTITION BY symbol)
   THEN (n - min(n) OVER (PARTITION BY symbol)) / (max(n) OVER (PARTITION BY symbol) - min(n) OVER (PARTITION BY symbol))
   ELSE 0.0 END, 6) AS scaled FROM j""")
 def q_weekly_counts(spark, sf):
     from tessera.operators.sessions import weekly_bar_counts
     d = weekly_bar_counts(series_bars(spark, sf))
-    return d.select("symbol", "week", F.col("n").cast("long").alias("n"), r6("scaled").alias("scaled"))
+    return d.select("symbol", F.col("week").cast("string").alias("week"), F.col("n").cast("long").alias("n"), r6("scaled").alias("scaled"))
 
 
 _BAR_RET_SQL = """,
@@ -1692,7 +1692,7 @@ g AS (SELECT t.symbol, t.date, r.gid AS group_id, arg_max(t.ts, t.rn) AS time, a
              count(*) AS count
       FROM t JOIN r USING (symbol, date, rn) GROUP BY t.symbol, t.date, r.gid),
 {ewm_sql('g', 'symbol', 'time, last_seq', 'price_std', 2 / 11, out='v')}
-SELECT symbol, date, group_id, time, round(open, 6) AS open, round(close, 6) AS close, round(high, 6) AS high,
+SELECT symbol, CAST(date AS VARCHAR) AS date, group_id, time, round(open, 6) AS open, round(close, 6) AS close, round(high, 6) AS high,
        round(low, 6) AS low, round(volume, 6) AS volume, round(price_std, 6) AS price_std, round(log_range, 6) AS log_range,
        count, round(v_mean, 6) AS volatility FROM v_f"""
 
@@ -1701,7 +1701,7 @@ SELECT symbol, date, group_id, time, round(open, 6) AS open, round(close, 6) AS
 def q_daily_dollar_bars(spark, sf):
     from tessera.operators.bars import daily_dollar_bars
     b = daily_dollar_bars(trades_from_events(spark, sf))
-    return b.select("symbol", "date", "group_id", "time", r6("open").alias("open"), r6("close").alias("close"),
+    return b.select("symbol", F.col("date").cast("string").alias("date"), "group_id", "time", r6("open").alias("open"), r6("close").alias("close"),
                     r6("high").alias("high"), r6("low").alias("low"), r6("volume").alias("volume"),
                     r6("price_std").alias("price_std"), r6("log_range").alias("log_range"), "count",
                     r6("volatility").alias("volatility"))
@@ -1794,7 +1794,7 @@ def q_mesh(spark, sf):
 @register("s6_weekly_last_returns", """WITH br0 AS (SELECT p.p_brand AS asset, l.l_shipdate AS date,
           avg(l.l_extendedprice / l.l_quantity) AS price FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey GROUP BY ALL),
 br1 AS (SELECT *, price / lag(price) OVER (PARTITION BY asset ORDER BY date) - 1 AS ret FROM br0)
-SELECT asset, CAST(date_trunc('week', date) AS DATE) + 6 AS week, round(arg_max(ret, date), 6) AS ret
+SELECT asset, CAST(CAST(date_trunc('week', date) AS DATE) + 6 AS VARCHAR) AS week, round(arg_max(ret, date), 6) AS ret
 FROM br1 WHERE ret IS NOT NULL GROUP BY ALL""")
 def q_weekly(spark, sf):
     from tessera.sources.trades import weekly_last_returns
@@ -1803,4 +1803,4 @@ def q_weekly(spark, sf):
     px = (li.join(p, "l_partkey").groupBy(F.col("p_brand").alias("asset"), F.col("l_shipdate").alias("date"))
             .agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("price")))
     w = weekly_last_returns(px, keys=("asset",))
-    return w.select("asset", "week", r6("ret").alias("ret"))
+    return w.select("asset", F.col("week").cast("string").alias("week"), r6("ret").alias("ret"))
