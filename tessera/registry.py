@@ -714,7 +714,7 @@ def _adf_sql(src: str, key: str, order: str, x: str, regression: str = "c") -> s
                 lag({x}, 2) OVER (PARTITION BY {key} ORDER BY {order}) AS l2 FROM {src}),
 a2_{src} AS (SELECT {key}, v - l1 AS dy, l1, l1 - l2 AS dl FROM a1_{src} WHERE l2 IS NOT NULL),
 a3_{src} AS (SELECT {key}, {ms} FROM a2_{src} GROUP BY {key}),
-adf_{src} AS (SELECT {key}, {ex['t_0']} AS adf_stat, m_n AS nobs, {adf_crit_5pct_sql(regression, 'm_n')} AS crit_5pct
+adf_{src} AS (SELECT {key}, {ex['t_0']} AS adf_stat, CAST(m_n AS BIGINT) AS nobs, {adf_crit_5pct_sql(regression, 'm_n')} AS crit_5pct
               FROM a3_{src})"""
 
 
@@ -1445,7 +1445,7 @@ def q_embargo(spark, sf):
 
 
 @register("m3_purged_kfold", _label_sql() + _EV_ORDER_SQL + f"""
-SELECT f.fold, e.symbol, e.t0,
+SELECT CAST(f.fold AS INTEGER) AS fold, e.symbol, e.t0,
        CASE WHEN e.tfold = f.fold THEN 'test'
             WHEN e.t1 <= f.t0s THEN 'train'
             WHEN f.mi < e.n AND e.pos >= f.mi + CAST(floor(e.n * {CV_EMBARGO}) AS BIGINT) THEN 'train' END AS role
