@@ -85,3 +85,14 @@ def test_cusum_day_split_matches_loop(spark, make_trades):
                     exp.append((i + 1, 1))
             g = got[got.symbol == sym]
             assert list(g.side) == [s for _, s in exp]
+
+
+def test_imbalance_bars_daily_reset_stays_in_day(make_trades):
+    from tessera.operators.bars import imbalance_bars
+    rng = np.random.default_rng(8)
+    rows = [("A", i * 30, i, float(50 + rng.normal()), float(rng.integers(1, 9)), i // 48) for i in range(480)]
+    t = make_trades(rows)
+    whole = imbalance_bars(t, 10.0).toPandas()
+    daily = imbalance_bars(t, 10.0, daily_reset=True).toPandas()
+    assert whole.tick_count.sum() == 480 and daily.tick_count.sum() == 480
+    assert daily.time.dt.date.nunique() == 10
