@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.session import ensure_checkpoint_dir
 
-from . import mixing, sharding
+from . import mixing, sharding, warc_zstd
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -41,3 +41,13 @@ def op5_shards(spark, sf_dir):
     text = F.coalesce(F.col("text"), F.lit(""))
     return out.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"),
                       F.col("__shard").cast("int").alias("shard"), F.col("__shard_slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register("op10_warc_zstd", """WITH p AS (SELECT page_id, coalesce(html, '') AS x FROM pages),
+k AS (SELECT page_id, strlen(x) AS n, sha256(x) AS d FROM p),
+f AS (SELECT d, min(page_id) AS first_id FROM k WHERE n >= 100 GROUP BY d)
+SELECT page_id, n AS payload_bytes, k.d AS payload_digest, CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_id <> page_id THEN first_id END AS refers_to FROM k LEFT JOIN f ON k.d = f.d""")
+def op10_warc_zstd(spark, sf_dir):
+    """Pages written as WARC archives compressed by Zstandard, and the records read back from them."""
+    return warc_zstd.round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
