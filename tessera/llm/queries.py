@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.session import ensure_checkpoint_dir
 
-from . import mixing, sharding, warc_zstd
+from . import mixing, quality, sharding, warc_zstd
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -51,3 +51,11 @@ SELECT page_id, n AS payload_bytes, k.d AS payload_digest, CASE WHEN first_id <>
 def op10_warc_zstd(spark, sf_dir):
     """Pages written as WARC archives compressed by Zstandard, and the records read back from them."""
     return warc_zstd.round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register("op3_quality_rules")
+def op3_quality_rules(spark, sf_dir):
+    """Base counts and the line-first verdict for every document."""
+    out = quality.judge(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return out.select("doc_id", *[F.col("__quality_" + n).alias(n) for n in names], F.round("__quality_lost", 6).alias("lost_share"))
