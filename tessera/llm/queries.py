@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.session import ensure_checkpoint_dir
 
-from . import mixing, quality, sharding, warc_zstd
+from . import license_scan, mixing, quality, sharding, warc_zstd
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -59,3 +59,10 @@ def op3_quality_rules(spark, sf_dir):
     out = quality.judge(read(spark, sf_dir, "documents").select("doc_id", "text"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return out.select("doc_id", *[F.col("__quality_" + n).alias(n) for n in names], F.round("__quality_lost", 6).alias("lost_share"))
+
+
+@register("op6_license_scan")
+def op6_license_scan(spark, sf_dir):
+    """License phrases and notices in every document."""
+    out = license_scan.label(*license_scan.scan(read(spark, sf_dir, "documents")))
+    return out.select(F.col("doc").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", F.round("score", 6).alias("score"), "n_spans")
