@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.session import ensure_checkpoint_dir
 
-from . import license_scan, mixing, quality, sharding, warc_zstd
+from . import chat, license_scan, mixing, quality, sharding, warc_zstd
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -66,3 +66,18 @@ def op6_license_scan(spark, sf_dir):
     """License phrases and notices in every document."""
     out = license_scan.label(*license_scan.scan(read(spark, sf_dir, "documents")))
     return out.select(F.col("doc").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", F.round("score", 6).alias("score"), "n_spans")
+
+
+@register("op2_chat_snapshots", r"""WITH u AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos,
+             count(*) OVER (PARTITION BY conv_id) AS n,
+             md5(coalesce('r' || role, 'null') || chr(0) || coalesce('t' || text, 'null')) AS h,
+             '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS part FROM u),
+p AS (SELECT conv_id, pos, n, part, md5(string_agg(h, ',') OVER (PARTITION BY conv_id ORDER BY pos)) AS prefix FROM t),
+w AS (SELECT n, prefix, min(conv_id) AS conv_id, count(*) AS copies FROM p WHERE pos = n GROUP BY n, prefix),
+k AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.pos = w.n AND p.prefix = w.prefix AND p.n > w.n))
+SELECT p.conv_id, k.n AS n_turns, k.copies, (p.pos - 1) // 1024 AS piece, min(p.pos) - 1 AS first_turn, string_agg(p.part, '' ORDER BY p.pos) AS rendered
+FROM p JOIN k ON p.conv_id = k.conv_id GROUP BY p.conv_id, k.n, k.copies, (p.pos - 1) // 1024""")
+def op2_chat_snapshots(spark, sf_dir):
+    """Maximal conversations, rendered."""
+    return chat.render_chat(read(spark, sf_dir, "conversations"))
