@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.session import ensure_checkpoint_dir
 
-from . import chat, license_scan, mixing, quality, sharding, warc_zstd
+from . import chat, license_scan, mixing, quality, sharding, simhash, warc_zstd
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -81,3 +81,10 @@ FROM p JOIN k ON p.conv_id = k.conv_id GROUP BY p.conv_id, k.n, k.copies, (p.pos
 def op2_chat_snapshots(spark, sf_dir):
     """Maximal conversations, rendered."""
     return chat.render_chat(read(spark, sf_dir, "conversations"))
+
+
+@register("op1_simhash_dedup")
+def op1_simhash_dedup(spark, sf_dir):
+    """Fingerprint and near-duplicate component of every document: 3-word shingles, 2 bits at most."""
+    out = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "class_size")
