@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.session import ensure_checkpoint_dir
 
-from . import chat, license_scan, mixing, quality, sharding, simhash, warc_zstd
+from . import chat, license_scan, mixing, packing, quality, sharding, simhash, warc_zstd
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -88,3 +88,9 @@ def op1_simhash_dedup(spark, sf_dir):
     """Fingerprint and near-duplicate component of every document: 3-word shingles, 2 bits at most."""
     out = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "class_size")
+
+
+@register("op7_best_fit_packing")
+def op7_best_fit_packing(spark, sf_dir):
+    """Documents tokenized and packed into sequences of at most 2048 tokens."""
+    return packing.pack(packing.token_pieces(read(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
