@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.session import ensure_checkpoint_dir
 
-from . import chat, license_scan, mixing, packing, quality, sharding, simhash, warc_zstd
+from . import chat, license_scan, mixing, packing, pivot_search, quality, sharding, simhash, warc_zstd
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -94,3 +94,13 @@ def op1_simhash_dedup(spark, sf_dir):
 def op7_best_fit_packing(spark, sf_dir):
     """Documents tokenized and packed into sequences of at most 2048 tokens."""
     return packing.pack(packing.token_pieces(read(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+@register("op9_pivot_top_k", """WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""")
+def op9_pivot_top_k(spark, sf_dir):
+    """The 10 best inner products of every hundredth vector with all others."""
+    return pivot_search.top_k(read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
