@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.session import ensure_checkpoint_dir
 
-from . import chat, license_scan, mixing, packing, pivot_search, quality, sharding, simhash, warc_zstd
+from . import chat, interpolated_lm, license_scan, mixing, packing, pivot_search, quality, sharding, simhash, warc_zstd
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -104,3 +104,11 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""")
 def op9_pivot_top_k(spark, sf_dir):
     """The 10 best inner products of every hundredth vector with all others."""
     return pivot_search.top_k(read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+@register("op8_interpolated_lm")
+def op8_interpolated_lm(spark, sf_dir):
+    """Scores of all documents under a bigram model learned from six sevenths of them."""
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
+    out = interpolated_lm.score(read(spark, sf_dir, "documents"), ~held_out)
+    return out.select(F.col("id").alias("doc_id"), (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
