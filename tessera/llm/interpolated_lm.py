@@ -205,7 +205,7 @@ def learn(cells: dict[int, int], types: int, rounds: int = 200) -> np.ndarray:
         rows = key // (CELL * CELL) == max(k, 1)
         out[k] = em(rows) if rows.any() else every
     out[0, 0] = 0.0  # an unseen context has no bigram estimate
-    out = np.maximum(out, [0.0, 1e-9, 1e-9])
+    out = np.maximum(out, [0.0, 0.0, 1e-9])
     return out / out.sum(axis=1, keepdims=True)
 
 

@@ -3,9 +3,9 @@
 Texts and license templates become words. All rolling windows of k words of every text are joined, by their
 hashes, to the templates' (a table of fixed size, given by the caller, checked against `max_template_words` before it is
 broadcast). A match of text place i and template place j lies on diagonal i - j. Votes are summed by
-diagonal; in one text and template, diagonals at most `max_gap` apart whose places follow each other are
-merged (words were left out or put in); each merged span is then verified on the words themselves: the
-share of the template's words that stand there, in order along the diagonals, is its score.
+diagonal; in one text and template, neighbouring diagonals at most `max_gap` apart are merged (words were left
+out or put in); each merged span is then verified place by place, on matches of the words themselves: the
+share of the template's words that stand there, in the template's order, is its score.
 
 Everything is joins, windows and aggregates on matches, of which ordinary texts have none.
 
@@ -90,9 +90,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases:
     vote = hits.filter("place >= 0").groupBy(*by, "label", "base", "length", "place", "t_place").agg(F.lit(1).alias("one")).withColumn("diagonal", F.col("place") - F.col("t_place"))
     diagonals = vote.groupBy(*by, "label", "base", "length", "diagonal").agg(F.count("*").alias("votes"), F.min("place").alias("first"), (F.max("place") + (k - 1)).alias("last"))
     whole = diagonals.filter(F.col("base") & (F.col("votes") == F.col("length") - (k - 1))).select(*by, "label", "base", F.col("diagonal").alias("first"), "last", F.lit(1.0).alias("score"))
-    # Neighbouring diagonals make one span, in the order of their first places.
-    order = Window.partitionBy(*by).orderBy("first", "diagonal")
-    far = (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > max_gap) | (F.col("first") > F.lag("last").over(order) + max_gap + k)
+    # Neighbouring diagonals make one span: with words left out or put in, one copy of a template votes for several.
+    order = Window.partitionBy(*by).orderBy("diagonal")
+    far = F.col("diagonal") - F.lag("diagonal").over(order) > max_gap
     spans = diagonals.filter(~F.col("base")).withColumn("span", F.sum(F.when(far, 1).otherwise(0)).over(order))
     # Verified by place: a vote adds those of its k template words that lie beyond what the span has covered.
     placed = vote.filter(~F.col("base")).join(spans.select(*by, "diagonal", "span"), [*by, "diagonal"])

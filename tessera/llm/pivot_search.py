@@ -1,10 +1,11 @@
 """Exact top-k by inner product with pivot-table elimination.
 
 Vectors are scaled to integers. One coordinate more, sqrt(M^2 - |x|^2) with M the longest vector's length
-(0 for queries), turns the largest inner product into the smallest Euclidean distance. Distances of every
-vector to `pivots` data vectors are computed once and stored with it. For a query q and a pivot p the triangle
-inequality gives d(q, x) >= |d(q, p) - d(x, p)|; the largest of these bounds the score from above. Candidates are
-evaluated exactly in the order of their bounds, until the k-th score lies above the bounds of all that are left.
+(0 for queries, whose length does not matter), puts all on a sphere, where the largest inner product is the
+smallest angle d. The distances d of every vector to `pivots` data vectors are computed once and stored with it.
+For a query q and a pivot p the triangle inequality gives d(q, x) >= |d(q, p) - d(x, p)|; the largest of these
+lower bounds, over all pivots, bounds the score from above: M |q| cos(bound). Candidates are evaluated exactly in
+the order of their bounds, until the k-th score lies above the bounds of all that are left.
 
 Queries and candidates meet in blocks, (candidates / `block`) x (queries / `query_block`) groups of bounded
 size. A first round against one block gives each query a score that k candidates reach; further blocks begin
@@ -37,19 +38,19 @@ def scaled(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
 
 
 def distances(x: np.ndarray, x_more: np.ndarray, pivots: np.ndarray, p_more: np.ndarray) -> np.ndarray:
-    """Distances of rows to pivots, one further coordinate each."""
-    square = (x * x).sum(axis=1)[:, None] + (x_more * x_more)[:, None] + ((pivots * pivots).sum(axis=1) + p_more * p_more)[None, :] - 2 * (x @ pivots.T) - 2 * np.outer(x_more, p_more)
-    return np.sqrt(np.maximum(square, 0))
+    """Angles between rows and pivots, one further coordinate each; 0 with a vector of length 0."""
+    size = lambda v, more: np.sqrt((v * v).sum(axis=1) + more * more)
+    both = np.outer(size(x, x_more), size(pivots, p_more))
+    return np.arccos(np.clip(np.divide(x @ pivots.T + np.outer(x_more, p_more), both, out=np.ones_like(both), where=both > 0), -1, 1))
 
 
 def search(queries: np.ndarray, q_ids: np.ndarray, q_dist: np.ndarray, floor: np.ndarray, vecs: np.ndarray, ids: np.ndarray, dist: np.ndarray, longest: float, k: int):
     """For each query of a block, the k best candidates of a block that reach the query's floor: lists of
     (query's place, candidates' places, scores). `ids` rise."""
-    squares = (queries * queries).sum(axis=1)
-    slack = 1e-9 * (longest + (squares.max() if len(squares) else 0)) + 1e-3
+    reach_of = np.sqrt((queries * queries).sum(axis=1) * longest)
     for i in range(len(queries)):
         bound = np.abs(dist - q_dist[i]).max(axis=1) if len(ids) else np.zeros(0)
-        most = (longest + squares[i] - bound * bound) / 2 + slack
+        most = reach_of[i] * (np.cos(bound) + 1e-7) + 1  # the slack is far above the rounding of angles
         most[ids == q_ids[i]] = -np.inf
         least = floor[i]
         order = np.argsort(-most, kind="stable")
@@ -69,7 +70,8 @@ def search(queries: np.ndarray, q_ids: np.ndarray, q_dist: np.ndarray, floor: np
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     lists = column.combine_chunks()
-    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(lists), len(flat) // len(lists) if len(lists) else 0)
 
 
 def _meet(rows: DataFrame, longest: float, k: int) -> DataFrame:
@@ -99,7 +101,8 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
         raise ValueError(f"squared length {longest:.3g}: inner products would not be exact")
     padded = F.concat("vec", F.array_repeat(F.lit(0.0), F.lit(dim) - F.size("vec")))
     rows = rows.select("id", padded.alias("vec"))
-    chosen = np.array([r.vec for r in rows.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()]).reshape(-1, dim)
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
+    chosen = np.array([r.vec for r in sample], float).reshape(len(sample), dim)
     p_more = np.sqrt(np.maximum(longest - (chosen * chosen).sum(axis=1), 0))
 
     def measure(batches):
