@@ -31,7 +31,7 @@ def moment_names(k: int, prefix: str = "m") -> tuple[list[list[str]], list[str],
 
 
 def moment_aggs(xs: list[str], y: str, prefix: str = "m") -> list[tuple[str, str]]:
-    """(name, SQL sum expression) pairs for the moment sums of regressors ``xs`` and target ``y``."""
+    """(name, SQL of a row's term) pairs for the raw moment sums of regressors ``xs`` and target ``y``."""
     k = len(xs)
     out = []
     for i in range(k):
@@ -44,25 +44,34 @@ def moment_aggs(xs: list[str], y: str, prefix: str = "m") -> list[tuple[str, str
     return out
 
 
-def ols_exprs(k: int, prefix: str = "m") -> dict[str, str]:
-    """SQL expressions over the moment sums: ``beta_i``, ``var_i`` (σ²·(XᵀX)⁻¹_ii), ``t_i``, ``rss``."""
+def centred_aggs(xs: list[str], y: str, prefix: str = "m") -> list[tuple[str, str]]:
+    """(name, SQL aggregate) pairs for moment sums about the means, i.e. of a regression with a constant,
+    which is left out of ``xs``.  ``covar_pop`` merges centred sums, so a high level costs no digits."""
+    about = lambda a, b: f"covar_pop({a}, {b}) * count({a})"
+    k = len(xs)
+    out = [(f"{prefix}_xx_{i}_{j}", about(xs[i], xs[j])) for i in range(k) for j in range(i, k)]
+    out += [(f"{prefix}_xy_{i}", about(xs[i], y)) for i in range(k)]
+    return out + [(f"{prefix}_yy", about(y, y)), (f"{prefix}_n", f"count({y})")]
+
+
+def ols_exprs(k: int, prefix: str = "m", used: int | None = None) -> dict[str, str]:
+    """SQL expressions over the moment sums: ``beta_i``, ``var_i`` (σ²·(XᵀX)⁻¹_ii), ``t_i``, ``rss``,
+    ``s2`` and ``inv_i_j``.  ``used`` is the number of coefficients estimated (k, or more with centred sums);
+    a variance that rounding leaves at 0 or below has no t."""
     xx, xy, yy, n = moment_names(k, prefix)
     det = f"nullif({_det(xx)}, 0)"
     out = {}
-    betas = []
     for i in range(k):
         mi = [[xy[r] if c == i else xx[r][c] for c in range(k)] for r in range(k)]
-        b = f"({_det(mi)} / {det})"
-        betas.append(b)
-        out[f"beta_{i}"] = b
-    rss = f"({yy} - (" + " + ".join(f"{betas[i]} * {xy[i]}" for i in range(k)) + "))"
-    out["rss"] = rss
+        out[f"beta_{i}"] = f"({_det(mi)} / {det})"
+        for j in range(k):
+            minor = [[xx[r][c] for c in range(k) if c != i] for r in range(k) if r != j]
+            out[f"inv_{i}_{j}"] = f"({'-' if (i + j) % 2 else ''}{_det(minor) if minor else '1'} / {det})"
+    out["rss"] = f"({yy} - (" + " + ".join(f"{out[f'beta_{i}']} * {xy[i]}" for i in range(k)) + "))"
+    out["s2"] = f"({out['rss']} / nullif({n} - {used or k}, 0))"
     for i in range(k):
-        minor = [[xx[r][c] for c in range(k) if c != i] for r in range(k) if r != i]
-        cof = _det(minor) if minor else "1"
-        var = f"({rss} / nullif({n} - {k}, 0) * {cof} / {det})"
-        out[f"var_{i}"] = var
-        out[f"t_{i}"] = f"({betas[i]} / nullif(sqrt(greatest({var}, 0)), 0))"
+        var = out[f"var_{i}"] = f"({out['s2']} * {out[f'inv_{i}_{i}']})"
+        out[f"t_{i}"] = f"({out[f'beta_{i}']} / sqrt(CASE WHEN {var} > 0 THEN {var} END))"
     return out
 
 

@@ -8,21 +8,32 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.functions.ols import moment_aggs, ols_exprs
-from tessera.plans.sequence import POS, cumulative, shift, with_pos
+from tessera.functions.ols import centred_aggs, moment_aggs, ols_exprs
+from tessera.plans.sequence import POS, cumulative, join_keys, shift, with_pos
 from tessera.session import cut_lineage
 
 
 # --------------------------------------------------------------------------- X1
 def betas(df: DataFrame, y: str, xs: Sequence[str], keys=("symbol",)) -> DataFrame:
-    """OLS coefficients and their variances (σ²·(XᵀX)⁻¹ diagonal) per key, from one aggregate."""
-    keys = list(keys)
-    k = len(xs)
-    m = df.groupBy(*keys).agg(*[F.sum(F.expr(e)).alias(n) for n, e in moment_aggs(list(xs), y)])
-    ex = ols_exprs(k)
+    """OLS coefficients and their variances (σ²·(XᵀX)⁻¹ diagonal) per key, from one aggregate.  With a column
+    ``const`` among ``xs`` the sums are taken about the means, and its coefficient is what the means leave."""
+    keys, free = list(keys), [x for x in xs if x != "const"]
+    k = len(free)
+    if k == len(xs):
+        m = df.groupBy(*keys).agg(*[F.sum(F.expr(e)).alias(n) for n, e in moment_aggs(free, y)])
+        ex = ols_exprs(k)
+    else:
+        m = df.groupBy(*keys).agg(*[F.expr(e).alias(n) for n, e in centred_aggs(free, y)], *[F.avg(x).alias(f"_u{i}") for i, x in enumerate(free)], F.avg(y).alias("_uy"))
+        ex = ols_exprs(k, used=k + 1)
     cols = []
-    for i, name in enumerate(xs):
-        cols += [F.expr(ex[f"beta_{i}"]).alias(f"b_{name}"), F.expr(ex[f"var_{i}"]).alias(f"var_{name}")]
+    for name in xs:
+        if name in free:
+            i = free.index(name)
+            cols += [F.expr(ex[f"beta_{i}"]).alias(f"b_{name}"), F.expr(ex[f"var_{i}"]).alias(f"var_{name}")]
+        else:
+            spread = " + ".join(f"_u{i} * _u{j} * {ex[f'inv_{i}_{j}']}" for i in range(k) for j in range(k))
+            cols += [F.expr("_uy - (" + " + ".join(f"{ex[f'beta_{i}']} * _u{i}" for i in range(k)) + ")").alias("b_const"),
+                     F.expr(f"{ex['s2']} * (1.0 / m_n + {spread})").alias("var_const")]
     return m.select(*keys, *cols)
 
 
@@ -88,9 +99,12 @@ def bsadf(series: DataFrame, value: str, min_sl: int, constant: str = "c", lags:
     d = cut_lineage(adf_design(series, value, lags, constant, keys, order))
     xs = design_columns(lags, constant)
     k = len(xs)
-    n_rows = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    # with a constant the level may be shifted: about its mean the sums keep their digits
+    n_rows = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.avg("level").alias("_mean"))
     # design row index = POS - (lags + 1); _rpos counts design rows from the end (0 = last row)
-    d = d.join(n_rows, keys).withColumn("_rpos", F.col("_rows") - 1 - (F.col(POS) - F.lit(lags + 1))).drop(POS)
+    d = join_keys(d, n_rows, keys).withColumn("_rpos", F.col("_rows") - 1 - (F.col(POS) - F.lit(lags + 1))).drop(POS)
+    if constant != "nc":
+        d = d.withColumn("level", F.col("level") - F.col("_mean"))
     aggs = moment_aggs(xs, "y")
     for name, e in aggs:
         d = d.withColumn(f"_c_{name}", F.expr(e))
@@ -102,4 +116,4 @@ def bsadf(series: DataFrame, value: str, min_sl: int, constant: str = "c", lags:
     d = d.withColumn("_adf", F.expr(ex["t_0"]))
     last = series.groupBy(*keys).agg(F.max(F.struct(*order)).alias("_last"))
     res = d.groupBy(*keys).agg(F.max("_adf").alias("bsadf"), F.count(F.lit(1)).alias("starts"))
-    return res.join(last, keys).select(*keys, F.col(f"_last.{order[0]}").alias("time"), "bsadf", "starts")
+    return join_keys(res, last, keys).select(*keys, F.col(f"_last.{order[0]}").alias("time"), "bsadf", "starts")

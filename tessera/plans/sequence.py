@@ -48,6 +48,16 @@ def default_block(df: DataFrame, order: Sequence) -> Column:
     return F.floor(first / F.lit(DEFAULT_CHUNK_ROWS))
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where null equals null, the key columns once (the left side's)."""
+    r = right.select(*[F.col(c).alias(f"_jk_{c}") if c in keys else F.col(c) for c in right.columns])
+    on = None
+    for c in keys:
+        e = F.col(c).eqNullSafe(F.col(f"_jk_{c}"))
+        on = e if on is None else on & e
+    return left.join(r, on, how).drop(*[f"_jk_{c}" for c in keys])
+
+
 # --------------------------------------------------------------------------- positions
 def with_pos(df: DataFrame, keys: Sequence[str], order: Sequence, block: Column | None = None,
              pos: str = POS) -> DataFrame:
@@ -62,7 +72,7 @@ def with_pos(df: DataFrame, keys: Sequence[str], order: Sequence, block: Column
     counts = d.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
     counts = counts.select(*keys, BLOCK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return (d.join(counts, [*keys, BLOCK])
+    return (join_keys(d, counts, [*keys, BLOCK])
              .withColumn(pos, (F.col("_off") + F.col("_rn") - 1).cast("long"))
              .drop("_rn", "_off", BLOCK))
 
@@ -134,7 +144,7 @@ def shift(df: DataFrame, keys: Sequence[str], order: Sequence, cols: dict[str, s
     for src, dst in cols.items():
         d = d.withColumnRenamed(f"_sh_{dst}", dst) if dst not in df.columns else \
             d.withColumn(dst, F.col(f"_sh_{dst}")).drop(f"_sh_{dst}")
-    d = d.join(nb, [*keys, BLOCK], "left")
+    d = join_keys(d, nb, [*keys, BLOCK], "left")
     for src, dst in cols.items():
         d = d.withColumn(dst, F.when(F.col("_at_edge"), F.col(f"_nb.{dst}")).otherwise(F.col(dst)))
     return d.drop("_nb", "_at_edge", BLOCK)
@@ -168,7 +178,7 @@ def cumulative(df: DataFrame, keys: Sequence[str], order: Sequence, aggs: dict[s
         agg = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}[how]
         sel.append(agg(f"_tot_{name}").over(prior).alias(f"_pre_{name}"))
     tot = tot.select(*sel)
-    d = d.join(tot, [*keys, BLOCK], "left")
+    d = join_keys(d, tot, [*keys, BLOCK], "left")
     for name, (how, _) in aggs.items():
         v = combine[how](F.col(f"_pre_{name}"), F.col(f"_in_{name}"))
         if how == "sum" and not exclusive:
@@ -202,7 +212,7 @@ def fill(df: DataFrame, keys: Sequence[str], order: Sequence, cols: dict[str, st
     carry = per_block.select(*keys, BLOCK, *[
         (F.last if fwd else F.first)(f"_b_{dst}", ignorenulls=True).over(bframe).alias(f"_c_{dst}")
         for dst in cols.values()])
-    d = d.join(carry, [*keys, BLOCK], "left")
+    d = join_keys(d, carry, [*keys, BLOCK], "left")
     for dst in cols.values():
         d = d.withColumn(dst, F.coalesce(F.col(dst), F.col(f"_c_{dst}"))).drop(f"_c_{dst}")
     return d.drop(BLOCK)

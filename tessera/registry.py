@@ -658,21 +658,22 @@ MIN_FFD_GRID = tuple(round(0.1 * i, 1) for i in range(21))
 MIN_FFD_THRES = 0.01
 
 
-def _weights_values(w) -> str:
-    return ", ".join(f"({k}, {float(x)!r})" for k, x in enumerate(w))
+def _grid_weights_sql(ds, thres: float, name: str) -> str:
+    """Recursive CTE name(d, lag, w): the weights of each d until their size falls below ``thres``."""
+    values = ", ".join(f"(CAST({d!r} AS DOUBLE))" for d in ds)
+    return f"""{name}(d, lag, w) AS (SELECT v.d, 0, CAST(1.0 AS DOUBLE) FROM (VALUES {values}) v(d)
+  UNION ALL SELECT d, lag + 1, w * (lag - d) / (lag + 1) FROM {name} WHERE abs(w * (lag - d) / (lag + 1)) >= {thres})"""
 
 
 def _ffd_sql(d: float, thres: float, src: str = "ticks", tag: str = "") -> str:
-    from tessera.operators.fracdiff import weights_ffd
-    w = weights_ffd(d, thres)
-    return f"""fw{tag} AS (SELECT * FROM (VALUES {_weights_values(w)}) t(lag, w)),
+    return f"""{_grid_weights_sql([d], thres, f"fw{tag}")},
 fx{tag} AS (SELECT symbol, time, seq, close, row_number() OVER (PARTITION BY symbol ORDER BY time, seq) AS i FROM {src}),
 ffd{tag} AS (SELECT a.symbol, a.time, a.seq, a.i, a.close, sum(fw{tag}.w * b.close) AS ffd, count(*) AS n
         FROM fx{tag} a CROSS JOIN fw{tag} JOIN fx{tag} b ON b.symbol = a.symbol AND b.i = a.i - fw{tag}.lag
-        GROUP BY ALL HAVING count(*) = {len(w)})"""
+        GROUP BY ALL HAVING count(*) = (SELECT count(*) FROM fw{tag}))"""
 
 
-@register("d3_frac_diff_ffd", f"""WITH {TICKS_CTE},
+@register("d3_frac_diff_ffd", f"""WITH RECURSIVE {TICKS_CTE},
 {_ffd_sql(FFD_D, FFD_THRES)}
 SELECT symbol, time, seq, round(ffd, 6) AS ffd FROM ffd""")
 def q_ffd(spark, sf):
@@ -681,12 +682,11 @@ def q_ffd(spark, sf):
 
 
 def _fd_sql() -> str:
-    from tessera.operators.fracdiff import weights
-    w = weights(FD_D, 2200)
-    return f"""WITH {TICKS_CTE},
-w AS (SELECT * FROM (VALUES {_weights_values(w)}) t(lag, w)),
+    return f"""WITH RECURSIVE {TICKS_CTE},
 x AS (SELECT symbol, time, seq, close, row_number() OVER (PARTITION BY symbol ORDER BY time, seq) - 1 AS i,
              count(*) OVER (PARTITION BY symbol) AS n FROM ticks),
+mx AS (SELECT max(n) AS most FROM x),
+w(lag, w) AS (SELECT 0, CAST(1.0 AS DOUBLE) UNION ALL SELECT lag + 1, w * (lag - {FD_D}) / (lag + 1) FROM w, mx WHERE lag + 1 < most),
 nn AS (SELECT DISTINCT symbol, n FROM x),
 tail AS (SELECT nn.symbol, w.lag, sum(abs(w.w)) OVER (PARTITION BY nn.symbol ORDER BY w.lag DESC) AS t,
                 sum(abs(w.w)) OVER (PARTITION BY nn.symbol) AS tot
@@ -703,22 +703,29 @@ def q_fd(spark, sf):
     return frac_diff_expanding(ticks(spark, sf), FD_D, FD_THRES).select("symbol", "time", "seq", r6("fd").alias("fd"))
 
 
+def _two_regressors_sql(a: str, b: str, y: str, constant: bool) -> tuple[str, str, str]:
+    """(aggregates, coefficient of ``a``, its variance) of a regression of y on a and b, written out for two
+    regressors about their means (with a constant) or about zero."""
+    s = (lambda u, v: f"covar_pop({u}, {v}) * count(*)") if constant else (lambda u, v: f"sum({u} * {v})")
+    sums = f"{s(a, a)} AS saa, {s(a, b)} AS sab, {s(b, b)} AS sbb, {s(a, y)} AS say, {s(b, y)} AS sby, {s(y, y)} AS syy, count(*) AS nn"
+    det = "(saa * sbb - sab * sab)"
+    ba, bb = f"((say * sbb - sby * sab) / {det})", f"((sby * saa - say * sab) / {det})"
+    return sums, ba, f"((syy - {ba} * say - {bb} * sby) / (nn - {3 if constant else 2}) * sbb / {det})"
+
+
 def _adf_sql(src: str, key: str, order: str, x: str, regression: str = "c") -> str:
-    """CTE text producing adf_{src}(key cols, adf_stat, nobs, crit_5pct)."""
-    from tessera.functions.ols import adf_crit_5pct_sql, moment_aggs, ols_exprs
-    xs = ["l1", "dl"] + (["1.0"] if regression == "c" else [])
-    k = len(xs)
-    ms = ", ".join(f"sum({e}) AS {n}" for n, e in moment_aggs(xs, "dy"))
-    ex = ols_exprs(k)
+    """CTE text producing adf_{src}(key cols, adf_stat, nobs, crit_5pct); MacKinnon's 5% surface."""
+    sums, b, var = _two_regressors_sql("l1", "dl", "dy", regression == "c")
+    crit = ("-2.86154 - 2.8903 / nn - 4.234 / (nn * nn) - 40.040 / (1.0 * nn * nn * nn)" if regression == "c"
+            else "-1.94100 - 0.2686 / nn - 3.365 / (nn * nn) + 31.223 / (1.0 * nn * nn * nn)")
     return f"""a1_{src} AS (SELECT {key}, {x} AS v, lag({x}) OVER (PARTITION BY {key} ORDER BY {order}) AS l1,
                 lag({x}, 2) OVER (PARTITION BY {key} ORDER BY {order}) AS l2 FROM {src}),
 a2_{src} AS (SELECT {key}, v - l1 AS dy, l1, l1 - l2 AS dl FROM a1_{src} WHERE l2 IS NOT NULL),
-a3_{src} AS (SELECT {key}, {ms} FROM a2_{src} GROUP BY {key}),
-adf_{src} AS (SELECT {key}, {ex['t_0']} AS adf_stat, CAST(m_n AS BIGINT) AS nobs, {adf_crit_5pct_sql(regression, 'm_n')} AS crit_5pct
-              FROM a3_{src})"""
+a3_{src} AS (SELECT {key}, {sums} FROM a2_{src} GROUP BY {key}),
+adf_{src} AS (SELECT {key}, {b} / sqrt({var}) AS adf_stat, CAST(nn AS BIGINT) AS nobs, {crit} AS crit_5pct FROM a3_{src})"""
 
 
-@register("d5_adf", f"""WITH {TICKS_CTE},
+@register("d5_adf", f"""WITH RECURSIVE {TICKS_CTE},
 {_ffd_sql(FFD_D, FFD_THRES)},
 {_adf_sql('ffd', 'symbol', 'time, seq', 'ffd')}
 SELECT symbol, round(adf_stat, 6) AS adf_stat, nobs, round(crit_5pct, 6) AS crit_5pct FROM adf_ffd""")
@@ -730,17 +737,13 @@ def q_adf(spark, sf):
 
 
 def _min_ffd_sql() -> str:
-    from tessera.operators.fracdiff import weights_ffd
-    rows = []
-    for dv in MIN_FFD_GRID:
-        w = weights_ffd(dv, MIN_FFD_THRES)
-        rows += [f"({dv!r}, {k}, {float(x)!r}, {len(w)})" for k, x in enumerate(w)]
-    return f"""WITH {TICKS_CTE},
-fw AS (SELECT * FROM (VALUES {', '.join(rows)}) t(d, lag, w, nw)),
+    return f"""WITH RECURSIVE {TICKS_CTE},
+{_grid_weights_sql(MIN_FFD_GRID, MIN_FFD_THRES, "fw")},
+nw AS (SELECT d, count(*) AS nw FROM fw GROUP BY d),
 fx AS (SELECT symbol, time, seq, close, row_number() OVER (PARTITION BY symbol ORDER BY time, seq) AS i FROM ticks),
 ffd AS (SELECT a.symbol, fw.d, a.time, a.seq, sum(fw.w * b.close) AS ffd
-        FROM fx a CROSS JOIN fw JOIN fx b ON b.symbol = a.symbol AND b.i = a.i - fw.lag
-        GROUP BY a.symbol, fw.d, a.time, a.seq, fw.nw HAVING count(*) = fw.nw),
+        FROM fx a CROSS JOIN fw JOIN nw ON nw.d = fw.d JOIN fx b ON b.symbol = a.symbol AND b.i = a.i - fw.lag
+        GROUP BY a.symbol, fw.d, a.time, a.seq, nw.nw HAVING count(*) = nw.nw),
 {_adf_sql('ffd', 'symbol, d', 'time, seq', 'ffd')},
 best AS (SELECT symbol, min(d) AS min_d FROM adf_ffd WHERE adf_stat <= crit_5pct GROUP BY symbol)
 SELECT a.symbol, a.d, round(a.adf_stat, 6) AS adf_stat, a.nobs, a.adf_stat <= a.crit_5pct AS passes, b.min_d
@@ -760,7 +763,7 @@ def _ffd_pair(spark, sf):
                                                                      F.col("ffd").alias("y"), F.col("close").alias("x"))
 
 
-@register("d7_ffd_level_corr", f"""WITH {TICKS_CTE},
+@register("d7_ffd_level_corr", f"""WITH RECURSIVE {TICKS_CTE},
 {_ffd_sql(FFD_D, FFD_THRES)}
 SELECT symbol, round(corr(close, ffd), 6) AS corr FROM ffd GROUP BY symbol""")
 def q_ffd_corr(spark, sf):
@@ -768,7 +771,7 @@ def q_ffd_corr(spark, sf):
     return correlation(_ffd_pair(spark, sf)).select("symbol", r6("corr").alias("corr"))
 
 
-@register("d8_engle_granger", f"""WITH {TICKS_CTE},
+@register("d8_engle_granger", f"""WITH RECURSIVE {TICKS_CTE},
 {_ffd_sql(FFD_D, FFD_THRES)},
 fit AS (SELECT symbol, regr_slope(ffd, close) AS b, regr_intercept(ffd, close) AS a FROM ffd GROUP BY symbol),
 res AS (SELECT f.symbol, f.time, f.seq, f.ffd - fit.a - fit.b * f.close AS e FROM ffd f JOIN fit USING (symbol)),
@@ -779,7 +782,7 @@ def q_engle_granger(spark, sf):
     return engle_granger(_ffd_pair(spark, sf)).select("symbol", r6("eg_stat").alias("eg_stat"), "nobs")
 
 
-@register("d9_r_squared", f"""WITH {TICKS_CTE},
+@register("d9_r_squared", f"""WITH RECURSIVE {TICKS_CTE},
 {_ffd_sql(FFD_D, FFD_THRES)}
 SELECT symbol, round(regr_r2(ffd, close), 6) AS r2 FROM ffd GROUP BY symbol""")
 def q_r2(spark, sf):
@@ -788,12 +791,6 @@ def q_r2(spark, sf):
 
 
 # ============================================================================ structural breaks
-def _ols3():
-    from tessera.functions.ols import ols_exprs
-    return ols_exprs(3)
-
-
-_OLS3 = _ols3()
 SADF_MIN_SL = 20
 
 
@@ -811,12 +808,12 @@ def _log_bars(spark, sf):
     return series_bars(spark, sf).select("symbol", "bar", F.ln("close").alias("x"))
 
 
-@register("x1_betas", _logbars_sql() + """,
-m AS (SELECT symbol, sum(level * level) AS m_xx_0_0, sum(level * dx_1) AS m_xx_0_1, sum(level) AS m_xx_0_2,
-             sum(dx_1 * dx_1) AS m_xx_1_1, sum(dx_1) AS m_xx_1_2, sum(1.0) AS m_xx_2_2,
-             sum(level * y) AS m_xy_0, sum(dx_1 * y) AS m_xy_1, sum(y) AS m_xy_2, sum(y * y) AS m_yy,
-             count(*) AS m_n FROM design GROUP BY symbol)
-SELECT symbol, round(""" + _OLS3["beta_0"] + """, 6) AS b_level, round(""" + _OLS3["var_0"] + """, 6) AS var_level FROM m""")
+_X1_SUMS, _X1_B, _X1_VAR = _two_regressors_sql("level", "dx_1", "y", True)
+
+
+@register("x1_betas", _logbars_sql() + f""",
+m AS (SELECT symbol, {_X1_SUMS} FROM design GROUP BY symbol)
+SELECT symbol, round({_X1_B}, 6) AS b_level, round({_X1_VAR}, 6) AS var_level FROM m""")
 def q_betas(spark, sf):
     from tessera.operators.breaks import adf_design, betas
     d = adf_design(_log_bars(spark, sf), "x", 1, "c", order=("bar",))
@@ -842,15 +839,13 @@ def q_design(spark, sf):
 
 
 def _bsadf_sql() -> str:
-    from tessera.functions.ols import moment_aggs, ols_exprs
-    xs = ["level", "dx_1", "const"]
-    sums = ", ".join(f"sum({e}) OVER w AS {n}" for n, e in moment_aggs(xs, "y"))
+    sums, b, var = _two_regressors_sql("level", "dx_1", "y", True)
     return _logbars_sql() + f""",
 dn AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar) - 1 AS st,
               count(*) OVER (PARTITION BY symbol) AS rows FROM design),
-suf AS (SELECT symbol, st, rows, {sums} FROM dn
-        WINDOW w AS (PARTITION BY symbol ORDER BY st DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-bt AS (SELECT symbol, {ols_exprs(3)['t_0']} AS adf FROM suf WHERE st <= rows + 1 - {SADF_MIN_SL})
+suf AS (SELECT s.symbol, s.st, s.rows, {sums.replace("level", "d.level").replace("dx_1", "d.dx_1").replace("y)", "d.y)").replace("(y,", "(d.y,")}
+        FROM dn s JOIN dn d ON d.symbol = s.symbol AND d.st >= s.st GROUP BY s.symbol, s.st, s.rows),
+bt AS (SELECT symbol, {b} / sqrt(CASE WHEN {var} > 0 THEN {var} END) AS adf FROM suf WHERE st <= rows + 1 - {SADF_MIN_SL})
 SELECT symbol, round(max(adf), 6) AS bsadf, count(*) AS starts FROM bt GROUP BY symbol"""
 
 
