@@ -19,12 +19,14 @@ from tessera.session import cut_lineage
 
 # --------------------------------------------------------------------------- A1 / A2
 def covariance(returns: DataFrame, keys: Sequence[str] = (), date="date", asset="asset", ret="ret") -> DataFrame:
-    """Sample covariance and correlation of every asset pair over common dates (long form)."""
+    """Sample covariance and correlation of every asset pair over common dates (long form).  Pairs are joined
+    once, with a <= b; the other half of the table mirrors them."""
     keys = list(keys)
     a = returns.select(*keys, date, F.col(asset).alias("a"), F.col(ret).alias("ra"))
     b = returns.select(*keys, date, F.col(asset).alias("b"), F.col(ret).alias("rb"))
-    j = a.join(b, [*keys, date])
-    return j.groupBy(*keys, "a", "b").agg(F.covar_samp("ra", "rb").alias("cov"), F.corr("ra", "rb").alias("corr"))
+    half = a.join(b, [*keys, date]).where("a <= b").groupBy(*keys, "a", "b").agg(F.covar_samp("ra", "rb").alias("cov"), F.corr("ra", "rb").alias("corr"))
+    sides = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return half.select(*keys, F.explode(sides).alias("_s"), "cov", "corr").select(*keys, "_s.a", "_s.b", "cov", "corr")
 
 
 def correlation_distance(cov: DataFrame) -> DataFrame:
@@ -36,7 +38,7 @@ def correlation_distance(cov: DataFrame) -> DataFrame:
 def ivp_weights(cov: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Inverse-variance weights 1/σ²_i / Σ 1/σ²_j per universe."""
     keys = list(keys)
-    v = cov.where(F.col("a") == F.col("b")).select(*keys, F.col("a").alias("asset"), (1.0 / F.col("cov")).alias("_iv"))
+    v = cov.where(F.col("a") == F.col("b")).select(*keys, F.col("a").alias("asset"), F.try_divide(F.lit(1.0), F.col("cov")).alias("_iv"))
     tot = F.sum("_iv").over(W.partitionBy(*keys))  # one row per asset of the universe
     return v.select(*keys, "asset", (F.col("_iv") / tot).alias("weight"))
 
@@ -45,7 +47,7 @@ def cluster_variance(cov: DataFrame, clusters: DataFrame, keys: Sequence[str] =
     """wᵀΣw with w the IVP weights inside each cluster.  clusters: keys, cluster, asset."""
     keys = list(keys)
     cov = cut_lineage(cov)  # read three times
-    iv = cov.where(F.col("a") == F.col("b")).select(*keys, F.col("a").alias("asset"), (1.0 / F.col("cov")).alias("_iv"))
+    iv = cov.where(F.col("a") == F.col("b")).select(*keys, F.col("a").alias("asset"), F.try_divide(F.lit(1.0), F.col("cov")).alias("_iv"))
     c = clusters.join(iv, [*keys, "asset"])
     w = c.withColumn("w", F.col("_iv") / F.sum("_iv").over(W.partitionBy(*keys, "cluster")))  # one row per asset
     wa = w.select(*keys, "cluster", F.col("asset").alias("a"), F.col("w").alias("wa"))
@@ -62,12 +64,12 @@ def single_linkage(dist: np.ndarray) -> np.ndarray:
     id is written first."""
     x = np.asarray(dist, dtype=float)
     n = len(x)
-    d = np.sqrt(np.maximum(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1), 0.0))
+    to_row = lambda j: np.sqrt(((x - x[j]) ** 2).sum(axis=1))  # noqa: E731  one row of distances at a time
     in_tree = np.zeros(n, dtype=bool)
     best = np.full(n, np.inf)
     parent = np.full(n, -1)
     in_tree[0] = True
-    best[:] = d[0]
+    best[:] = to_row(0)
     parent[:] = 0
     edges = []
     for _ in range(n - 1):
@@ -75,8 +77,9 @@ def single_linkage(dist: np.ndarray) -> np.ndarray:
         j = int(np.argmin(cand))
         edges.append((float(cand[j]), int(parent[j]), j))
         in_tree[j] = True
-        upd = (~in_tree) & (d[j] < best)
-        best[upd] = d[j][upd]
+        near = to_row(j)
+        upd = (~in_tree) & (near < best)
+        best[upd] = near[upd]
         parent[upd] = j
     edges.sort(key=lambda e: e[0])
     comp = list(range(n))
@@ -117,25 +120,29 @@ def quasi_diag(link: np.ndarray) -> list[int]:
     return order
 
 
-def _cluster_var(cov: np.ndarray, items: list[int]) -> float:
-    c = cov[np.ix_(items, items)]
-    iv = 1.0 / np.diag(c)
-    w = iv / iv.sum()
-    return float(w @ c @ w)
-
-
 def recursive_bisection(cov: np.ndarray, order: list[int]) -> np.ndarray:
-    weights = pd.Series(1.0, index=order)
-    clusters = [order]
-    while clusters:
-        clusters = [c[j:k] for c in clusters for j, k in ((0, len(c) // 2), (len(c) // 2, len(c))) if len(c) > 1]
-        for i in range(0, len(clusters), 2):
-            c0, c1 = clusters[i], clusters[i + 1]
-            v0, v1 = _cluster_var(cov, c0), _cluster_var(cov, c1)
-            alpha = 1 - v0 / (v0 + v1)
-            weights[c0] *= alpha
-            weights[c1] *= 1 - alpha
-    return weights.sort_index().to_numpy()
+    """Risk-parity weights: the ordered assets are halved again and again, each half of a range getting the
+    other's share of the two halves' inverse-variance risk."""
+    c, n = cov[np.ix_(order, order)], len(order)
+    inverse = 1.0 / np.diag(c)
+
+    def risk(lo: int, hi: int) -> float:
+        w = inverse[lo:hi] / inverse[lo:hi].sum()
+        return float(w @ c[lo:hi, lo:hi] @ w)
+
+    share, ranges = np.ones(n), [(0, n)]
+    while ranges:
+        lo, hi = ranges.pop()
+        mid = (lo + hi) // 2
+        if mid == lo:
+            continue
+        left, right = risk(lo, mid), risk(mid, hi)
+        share[lo:mid] *= right / (left + right)
+        share[mid:hi] *= left / (left + right)
+        ranges += [(lo, mid), (mid, hi)]
+    out = np.empty(n)
+    out[order] = share
+    return out
 
 
 def hrp_numpy(cov: np.ndarray, corr: np.ndarray) -> np.ndarray:
@@ -184,28 +191,33 @@ def hrp_weights(cov: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 # --------------------------------------------------------------------------- A6
 def rolling_rebalance(returns: DataFrame, s_length: int, rebal: int, date="date", asset="asset", ret="ret") -> DataFrame:
     """Weights fitted on ``s_length`` dates, held for the next ``rebal`` dates, rolled forward by
-    ``rebal``: out-of-sample cumulative return of IVP and HRP per window.  Each return row is
-    copied into the windows that use it (s_length/rebal in-sample copies, one out-of-sample)."""
-    dates = returns.select(date).distinct()
-    dates = dates.withColumn("_i", F.row_number().over(W.orderBy(date)) - 1)  # one row per date: small
-    r = returns.join(dates, date)
+    ``rebal``: out-of-sample cumulative return of IVP and HRP per window, and over all windows up to and with
+    it (``total_hrp``, ``total_ivp``: the last row's is that of the whole run).  Each return row is copied into
+    the windows that use it (s_length/rebal in-sample copies, one out-of-sample)."""
+    from tessera.operators.stats import equity_curve, total_growth
+
+    returns = returns.select(F.col(date).alias("date"), F.col(asset).alias("asset"), F.col(ret).alias("ret"))
+    dates = returns.select("date").distinct()
+    dates = dates.withColumn("_i", F.row_number().over(W.orderBy("date")) - 1)  # one row per date: small
+    r = returns.join(dates, "date")
     ks = F.sequence(F.floor((F.col("_i") - s_length) / rebal).cast("int") + 1, F.floor(F.col("_i") / rebal).cast("int"))
     ins = r.withColumn("win", F.explode(ks)).where(
         (F.col("win") >= 0) & (F.col("_i") >= F.col("win") * rebal) & (F.col("_i") < F.col("win") * rebal + s_length))
     oos = r.withColumn("win", F.floor((F.col("_i") - s_length) / rebal).cast("int")).where(F.col("win") >= 0)
-    cov = covariance(ins, ["win"], date, asset, ret)
-    w = hrp_weights(cov, ["win"])
-    pr = oos.join(w, ["win", asset] if asset == "asset" else ["win"]).groupBy("win", date).agg(
-        F.sum(F.col("hrp") * F.col(ret)).alias("r_hrp"), F.sum(F.col("ivp") * F.col(ret)).alias("r_ivp"))
-    return pr.groupBy("win").agg(F.exp(F.sum(F.log1p("r_hrp"))).alias("cum_hrp"),
-                                 F.exp(F.sum(F.log1p("r_ivp"))).alias("cum_ivp"), F.count(F.lit(1)).alias("days"))
+    w = hrp_weights(covariance(ins, ["win"]), ["win"])
+    pr = oos.join(w, ["win", "asset"]).groupBy("win", "date").agg(
+        F.sum(F.col("hrp") * F.col("ret")).alias("r_hrp"), F.sum(F.col("ivp") * F.col("ret")).alias("r_ivp"))
+    per = cut_lineage(pr.groupBy("win").agg(total_growth("r_hrp").alias("cum_hrp"), total_growth("r_ivp").alias("cum_ivp"), F.count(F.lit(1)).alias("days")))
+    per = per.withColumns({"_one": F.lit(0), "_h": F.col("cum_hrp") - 1, "_v": F.col("cum_ivp") - 1})
+    per = equity_curve(equity_curve(per, ["_one"], ["win"], "_h", "total_hrp"), ["_one"], ["win"], "_v", "total_ivp")
+    return per.select("win", "cum_hrp", "cum_ivp", "days", "total_hrp", "total_ivp")
 
 
 # --------------------------------------------------------------------------- A7
-def pca_weights(cov: DataFrame, keys: Sequence[str] = (), risk_target: float = 1.0) -> DataFrame:
-    """Weights that put all risk on the smallest-variance principal direction (riskDist
-    default): eigenvectors of Σ (descending eigenvalues), loads = risk_target·sqrt(riskDist/λ).
-    Eigenvector signs are fixed so the largest-magnitude loading is positive."""
+def pca_weights(cov: DataFrame, keys: Sequence[str] = (), risk_target: float = 1.0, risk_dist: Sequence[float] | None = None) -> DataFrame:
+    """Weights whose risk is spread over the principal directions as ``risk_dist`` says (shares by falling
+    eigenvalue; by default all of it on the direction of least variance).  A direction of variance v with
+    share s is held at risk_target·sqrt(s/v); directions point so that their largest loading is positive."""
     keys = list(keys)
     d = cov if keys else cov.withColumn("_u", F.lit(0))
     gk = keys or ["_u"]
@@ -215,16 +227,18 @@ def pca_weights(cov: DataFrame, keys: Sequence[str] = (), risk_target: float = 1
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         assets, c, _ = _square(pdf)
-        e_val, e_vec = np.linalg.eigh(c)
-        idx = e_val.argsort()[::-1]
-        e_val, e_vec = e_val[idx], e_vec[:, idx]
-        for j in range(e_vec.shape[1]):
-            if e_vec[np.argmax(np.abs(e_vec[:, j])), j] < 0:
-                e_vec[:, j] *= -1
-        risk = np.zeros(len(e_val))
-        risk[-1] = 1.0
-        loads = risk_target * np.sqrt(risk / e_val)
-        out = pd.DataFrame({"asset": assets, "weight": e_vec @ loads})
+        variance, direction = np.linalg.eigh(c)  # rising variance
+        if risk_dist is None:
+            held = [(0, 1.0)]
+        else:
+            if len(risk_dist) != len(variance):
+                raise ValueError(f"{len(risk_dist)} risk shares for {len(variance)} assets")
+            held = [(len(variance) - 1 - k, share) for k, share in enumerate(risk_dist) if share]
+        weight = np.zeros(len(assets))
+        for k, share in held:
+            v = direction[:, k]
+            weight += np.sign(v[np.abs(v).argmax()]) * risk_target * np.sqrt(share / variance[k]) * v
+        out = pd.DataFrame({"asset": assets, "weight": weight})
         for k in gk:
             out[k] = pdf[k].iloc[0]
         return out[[f.name for f in schema.fields]]

@@ -1,8 +1,8 @@
 """Encodings and entropy features.
 
-A message is the ordered sequence of one-character codes of a key's series.  Words, matches
-and library sizes are computed from bounded slices of that sequence (halo frames), so no
-message is ever assembled whole in one row except by the grouped-map LZ library (N3).
+A message is the ordered sequence of one-character codes of a key's series.  Words and matches are computed
+from bounded slices of that sequence (halo frames); only the LZ library (N3) and the expanding-window entropy
+read a key's message as one group.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from tessera.plans.sequence import CHUNK, HALO, POS, halo_chunks
+from tessera.plans.sequence import CHUNK, HALO, POS, exact_quantiles, halo_chunks, join_keys, with_pos
 
 
 # --------------------------------------------------------------------------- Q1-Q3
@@ -22,12 +22,11 @@ def binary_code(x: Column) -> Column:
 
 
 def quantile_code(df: DataFrame, q: int = 10, keys=("symbol",), value="ret", out="code") -> DataFrame:
-    """pd.qcut codes: edges at the linear quantiles k/q (exact ``percentile``), right-closed bins,
+    """pd.qcut codes: edges at the exact linear quantiles k/q, right-closed bins,
     the minimum in bin 0; equal values share a bin.  Code = chr(48 + bin)."""
     keys = list(keys)
     inner = [k / q for k in range(1, q)]
-    edges = df.groupBy(*keys).agg(F.percentile(value, inner).alias("_e"))  # q-1 numbers per key
-    d = df.join(edges, keys)
+    d = join_keys(df, exact_quantiles(df, keys, value, inner, "_e"), keys, "left")  # q-1 numbers per key
     b = F.size(F.filter("_e", lambda e: e < F.col(value)))
     return d.withColumn(out, F.chr(F.lit(48) + b)).drop("_e")
 
@@ -37,9 +36,10 @@ def sigma_code(df: DataFrame, keys=("symbol",), value="ret", out="code") -> Data
     maximum, which can sit on the upper edge of the last bucket, is kept in that bucket."""
     keys = list(keys)
     st = df.groupBy(*keys).agg(F.min(value).alias("_mn"), F.max(value).alias("_mx"), F.stddev_samp(value).alias("_sd"))
-    d = df.join(st, keys)
-    nb = F.ceil((F.col("_mx") - F.col("_mn")) / F.col("_sd"))
-    i = F.least(F.floor((F.col(value) - F.col("_mn")) / F.col("_sd")), nb - 1)
+    d = join_keys(df, st, keys)
+    # without spread (one value, one row) everything is in bucket 0
+    nb = F.ceil(F.try_divide(F.col("_mx") - F.col("_mn"), F.col("_sd")))
+    i = F.greatest(F.lit(0), F.coalesce(F.least(F.floor(F.try_divide(F.col(value) - F.col("_mn"), F.col("_sd"))), nb - 1), F.lit(0)))
     return d.withColumn(out, F.chr(F.lit(48) + i.cast("int"))).drop("_mn", "_mx", "_sd")
 
 
@@ -61,7 +61,7 @@ def pmf(codes: DataFrame, w: int, keys=("symbol",), order: Sequence[str] = ("bar
     wd = words(codes, w, keys, order, code)
     c = wd.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
     tot = c.groupBy(*keys).agg(F.sum("n").alias("_t"))
-    return c.join(tot, keys).withColumn("p", F.col("n") / F.col("_t")).drop("_t")
+    return join_keys(c, tot, keys).withColumn("p", F.col("n") / F.col("_t")).drop("_t")
 
 
 def plug_in_entropy(codes: DataFrame, w: int, keys=("symbol",), order: Sequence[str] = ("bar",), code="code"):
@@ -72,26 +72,25 @@ def plug_in_entropy(codes: DataFrame, w: int, keys=("symbol",), order: Sequence[
 
 # --------------------------------------------------------------------------- N3
 def lempel_ziv(codes: DataFrame, keys=("symbol",), order: Sequence[str] = ("bar",), code="code") -> DataFrame:
-    """LZ word library size per key (the library is sequential in the message, so one grouped
-    map per key; its size is the complexity)."""
+    """LZ word library size per key.  Each new word is the shortest prefix of what is left that is not in the
+    library, which is a walk down a trie until a branch is missing.  The walk is sequential in the message by
+    definition, so a key is one group; it holds the key's codes and the trie."""
     keys = list(keys)
     d = codes.select(*keys, *order, code)
     key_fields = [f for f in d.schema.fields if f.name in keys]
     schema = T.StructType(key_fields + [T.StructField("lz_size", T.LongType()), T.StructField("n", T.LongType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        msg = "".join(pdf.sort_values(list(order), kind="stable")[code].tolist())
-        lib, i = {msg[0]}, 1
-        count = 1
-        while i < len(msg):
-            j = i
-            for j in range(i, len(msg)):
-                if msg[i:j + 1] not in lib:
-                    lib.add(msg[i:j + 1])
-                    count += 1
-                    break
-            i = j + 1
-        out = pd.DataFrame({"lz_size": [count], "n": [len(msg)]})
+        symbols = pdf.sort_values(list(order), kind="stable")[code].tolist()
+        branches, node, size = {}, 0, 0  # (node, symbol) -> node; 0 is the root
+        for symbol in symbols:
+            child = branches.get((node, symbol))
+            if child is None:
+                size += 1
+                branches[node, symbol] = size
+                child = 0
+            node = child
+        out = pd.DataFrame({"lz_size": [size], "n": [len(symbols)]})
         for k in keys:
             out[k] = pdf[k].iloc[0]
         return out[[f.name for f in schema.fields]]
@@ -100,41 +99,54 @@ def lempel_ziv(codes: DataFrame, keys=("symbol",), order: Sequence[str] = ("bar"
 
 
 # --------------------------------------------------------------------------- N4 / N5
-def _match_len(s: str, i: int, n: int) -> int:
-    """Longest l < n with s[i:i+1+l] equal to s[j:j+1+l] for some j in [i-n, i), plus one."""
-    best = 0
-    for l in range(n):
-        m1 = s[i:i + 1 + l]
-        for j in range(i - n, i):
-            if s[j:j + 1 + l] == m1:
-                best = len(m1)
-                break
+def match_lengths(code: np.ndarray, points: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """For each point, 1 + the longest match (at most its window) of what begins there with what begins at one
+    of its window's earlier places.  For one distance back, matches are runs of equal codes: their lengths are
+    the distances to the next unequal pair."""
+    n, best = len(code), np.zeros(len(points), np.int64)
+    for back in range(1, int(window.max(initial=0)) + 1):
+        unequal = np.flatnonzero(code[back:] != code[:-back])
+        use = np.flatnonzero((window >= back) & (points >= back))
+        at = points[use] - back
+        k = np.searchsorted(unequal, at)
+        stop = np.where(k < len(unequal), np.append(unequal, n)[np.minimum(k, len(unequal))], n - back)
+        best[use] = np.maximum(best[use], np.minimum(stop - at, window[use]))
     return best + 1
 
 
-@F.pandas_udf(T.IntegerType())
-def _match_len_udf(s: pd.Series, i: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([_match_len(a, int(b), int(c)) for a, b, c in zip(s, i, n)], dtype="int32")
+def kontoyiannis(codes: DataFrame, window: int | None, keys=("symbol",), order: Sequence[str] = ("bar",), code="code",
+                 chunk_rows: int = 1 << 14) -> DataFrame:
+    """Kontoyiannis entropy, h = mean(log2(window + 1) / L) with L the match length of what follows a point
+    against the codes before it; redundancy r = 1 - h/log2(n).
 
-
-def kontoyiannis(codes: DataFrame, window: int, keys=("symbol",), order: Sequence[str] = ("bar",), code="code"):
-    """Kontoyiannis entropy with a fixed window: for each point i in [window, n - window], the
-    match length of the look-ahead against the previous ``window`` codes; h = mean(log2(window+1)/L),
-    redundancy r = 1 - h/log2(n).  Each point sees only its own slice of 2·window codes."""
+    With a fixed window (at most half the message) the points are window .. n - window and each sees 2·window
+    codes: a chunk of points is one group, with that many codes around it.  With ``window=None`` the window
+    expands, the points are 1 .. n/2 and each sees all codes before it: a key is one group then."""
     keys = list(keys)
-    d = halo_chunks(codes, keys, list(order), before=window, after=window)
-    frame = W.partitionBy(*keys, CHUNK).orderBy(POS).rowsBetween(-window, window)
-    d = d.withColumn("_sl", F.array_join(F.collect_list(code).over(frame), "")).where(~F.col(HALO))
     n = codes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    d = d.join(n, keys)
-    wnd = F.least(F.lit(window), F.floor(F.col("_n") / 2)).cast("int")
-    d = d.where((F.col(POS) >= wnd) & (F.col(POS) <= F.col("_n") - wnd))
-    # slice starts at max(0, pos - window): the point sits at offset pos - start inside it
-    off = F.col(POS) - F.greatest(F.lit(0), F.col(POS) - F.lit(window))
-    d = d.withColumn("_L", _match_len_udf(F.col("_sl"), off, wnd))
-    return d.groupBy(*keys).agg(
-        F.avg(F.log2(wnd + 1) / F.col("_L")).alias("h"), F.first("_n").alias("n"), F.count(F.lit(1)).alias("points")
-    ).withColumn("r", 1 - F.col("h") / F.log2("n"))
+    if window is None:
+        d = with_pos(codes.select(*keys, *order, code), keys, list(order)).withColumns({CHUNK: F.lit(0).cast("long"), HALO: F.lit(False)})
+    else:
+        d = halo_chunks(codes.select(*keys, *order, code), keys, list(order), before=window, after=window, chunk_rows=max(chunk_rows, window))
+    d = join_keys(d.select(*keys, POS, CHUNK, HALO, F.col(code).alias("_code")), n, keys)
+    key_fields = [d.schema[c] for c in keys]
+    schema = T.StructType(key_fields + [T.StructField("_h", T.DoubleType()), T.StructField("_points", T.LongType()), T.StructField("_n", T.LongType())])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(POS)
+        size, first = int(pdf["_n"].iloc[0]), int(pdf[POS].iloc[0])
+        pos = pdf[POS].to_numpy()[~pdf[HALO].to_numpy(dtype=bool)]
+        w = np.minimum(size // 2, pos if window is None else np.full(len(pos), window))
+        use = (pos >= 1) & (pos <= size // 2) if window is None else (pos >= w) & (pos <= size - w)
+        found = match_lengths(pd.factorize(pdf["_code"])[0], pos[use] - first, w[use])
+        out = pd.DataFrame({"_h": [(np.log2(w[use] + 1) / found).sum()], "_points": [int(use.sum())], "_n": [size]})
+        for k in keys:
+            out[k] = pdf[k].iloc[0]
+        return out[schema.names]
+
+    parts = d.groupBy(*keys, CHUNK).applyInPandas(run, schema)
+    res = parts.groupBy(*keys).agg(F.try_divide(F.sum("_h"), F.sum("_points")).alias("h"), F.max("_n").alias("n"), F.sum("_points").alias("points"))
+    return res.withColumn("r", 1 - F.try_divide(F.col("h"), F.log2("n")))
 
 
 # --------------------------------------------------------------------------- N6

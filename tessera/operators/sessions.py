@@ -37,15 +37,12 @@ def regular_session(df: DataFrame, wall_col: str, start=(9, 30), end=(16, 0)) ->
 
 # --------------------------------------------------------------------------- P2
 def time_barriers(step: timedelta, start=(9, 30), stop=(16, 0)) -> list[int]:
-    """Barrier offsets (microseconds of day) from start to stop every ``step``; stop is always the
-    last barrier.  Requires more than two barriers and a last interval equal to ``step``."""
-    s, e, st = _hm_micros(start), _hm_micros(stop), int(step.total_seconds() * 1_000_000)
-    out = list(range(s, e, st)) + [e]
-    if len(out) <= 2:
-        raise ValueError("not enough barriers")
-    if out[-1] - out[-2] != st:
-        raise ValueError("last interval is not equal to step")
-    return out
+    """Barrier offsets (microseconds of day): the session in whole steps, of which it must hold two at least."""
+    first, width = _hm_micros(start), step // timedelta(microseconds=1)
+    steps, rest = divmod(_hm_micros(stop) - first, width)
+    if rest or steps < 2:
+        raise ValueError(f"a session from {start} to {stop} does not split into two or more steps of {step}")
+    return [first + k * width for k in range(steps + 1)]
 
 
 # --------------------------------------------------------------------------- P3

@@ -216,3 +216,24 @@ def fill(df: DataFrame, keys: Sequence[str], order: Sequence, cols: dict[str, st
     for dst in cols.values():
         d = d.withColumn(dst, F.coalesce(F.col(dst), F.col(f"_c_{dst}"))).drop(f"_c_{dst}")
     return d.drop(BLOCK)
+
+
+# --------------------------------------------------------------------------- quantiles
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], out: str) -> DataFrame:
+    """(keys, ``out``): the linearly interpolated quantiles of the non-null values of each key.
+
+    Values are ranked in blocks between approximate quantiles, so that no task sorts or holds a whole key; the
+    rows at the positions asked for are then picked by position."""
+    keys = list(keys)
+    d = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    splits = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", [k / 64 for k in range(1, 64)], 1000).alias("_s"))
+    d = join_keys(d, splits, keys)
+    ranked = with_pos(d, keys, ["_v"], block=F.size(F.filter("_s", lambda e: e < F.col("_v"))))
+    at = F.array(*[F.lit(float(p)) for p in probs])
+    asked = ranked.select(*keys, POS, "_v", "_n", F.posexplode(at).alias("_i", "_p")).withColumn("_at", F.col("_p") * (F.col("_n") - 1))
+    low, high = F.floor("_at"), F.ceil("_at")
+    asked = asked.where((F.col(POS) == low) | (F.col(POS) == high))
+    part = F.when(low == high, F.lit(1.0)).when(F.col(POS) == low, high - F.col("_at")).otherwise(F.col("_at") - low)
+    q = asked.groupBy(*keys, "_i").agg(F.sum(part * F.col("_v")).alias("_q"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_q"))), lambda x: x["_q"])
+    return q.groupBy(*keys).agg(listed.alias(out))

@@ -992,9 +992,13 @@ def q_equity(spark, sf):
 
 
 def _risk_sql() -> str:
-    def bs(p, sl, pt):
-        return f"((({pt}) - ({sl})) * ({p}) + ({sl})) / ((({pt}) - ({sl})) * sqrt(({p}) * (1 - ({p})))) * sqrt(freq)"
+    def bs(p, sl, pt, fq="freq"):
+        return f"((({pt}) - ({sl})) * ({p}) + ({sl})) / ((({pt}) - ({sl})) * sqrt(({p}) * (1 - ({p})))) * sqrt({fq})"
+    sr = bs('p', 'sl', 'pt')
     need = "((-(2 * freq * sl - 4.0 * (pt - sl)) * (pt - sl) + sqrt(pow((2 * freq * sl - 4.0 * (pt - sl)) * (pt - sl), 2) - 4 * (freq + 4.0) * pow(pt - sl, 2) * freq * sl * sl)) / (2.0 * (freq + 4.0) * pow(pt - sl, 2)))"
+
+    def scan(base, to, sharpe):
+        return f"list_filter(list_transform(range(100), lambda k: {base} * (1 + ({to} - 1) * k / 99.0)), lambda x: {sharpe} >= 2.0)[1]"
     return bars_sql() + _SRET_SQL + f""",
 st AS (SELECT a.*, b.freq FROM
         (SELECT symbol, avg(CAST(ret > 0 AS DOUBLE)) AS p, avg(CASE WHEN ret > 0 THEN ret END) AS pt,
@@ -1003,10 +1007,12 @@ st AS (SELECT a.*, b.freq FROM
               GROUP BY symbol) b USING (symbol)),
 k AS (SELECT *, {need} AS need FROM st)
 SELECT symbol, round(p, 6) AS p, round(pt, 6) AS pt, round(sl, 6) AS sl, round(freq, 6) AS freq,
-       round({bs('p', 'sl', 'pt')}, 6) AS sr,
-       round({bs('p * 1.01', 'sl', 'pt')} - {bs('p', 'sl', 'pt')}, 6) AS d_sr_p,
-       round({bs('p', 'sl', 'pt * 1.01')} - {bs('p', 'sl', 'pt')}, 6) AS d_sr_pt,
-       round({bs('p', 'sl * 1.01', 'pt')} - {bs('p', 'sl', 'pt')}, 6) AS d_sr_sl,
+       round({sr}, 6) AS sr,
+       round(100 * ({bs('p * 1.01', 'sl', 'pt')} / ({sr}) - 1), 6) AS sens_p,
+       round(100 * ({bs('p', 'sl', 'pt', 'freq * 1.01')} / ({sr}) - 1), 6) AS sens_freq,
+       round(100 * ({bs('p', 'sl', 'pt * 1.01')} / ({sr}) - 1), 6) AS sens_pt,
+       round(100 * ({bs('p', 'sl * 0.99', 'pt')} / ({sr}) - 1), 6) AS sens_sl,
+       round({scan('pt', 1.5, bs('p', 'sl', 'x'))}, 6) AS pt_needed, round({scan('sl', 0.5, bs('p', 'x', 'pt'))}, 6) AS sl_needed,
        round(need, 6) AS min_precision,
        round(pow(2.0 * (pt - sl), 2) * p * (1 - p) / pow((pt - sl) * p + sl, 2), 6) AS min_freq,
        round({_phi('((need - p) / (p * (1 - p)))')}, 6) AS prob_failure FROM k"""
@@ -1016,8 +1022,8 @@ SELECT symbol, round(p, 6) AS p, round(pt, 6) AS pt, round(sl, 6) AS sl, round(f
 def q_risk(spark, sf):
     from tessera.operators.stats import strategy_risk
     s = strategy_risk(strat_returns(spark, sf), 2.0)
-    return s.select("symbol", *[r6(c).alias(c) for c in ["p", "pt", "sl", "freq", "sr", "d_sr_p", "d_sr_pt", "d_sr_sl",
-                                                          "min_precision", "min_freq", "prob_failure"]])
+    return s.select("symbol", *[r6(c).alias(c) for c in ["p", "pt", "sl", "freq", "sr", "sens_p", "sens_freq", "sens_pt", "sens_sl",
+                                                          "pt_needed", "sl_needed", "min_precision", "min_freq", "prob_failure"]])
 
 
 @register("k10_probabilistic_sharpe", bars_sql() + _SRET_SQL + f""",
@@ -1361,6 +1367,22 @@ def q_konto(spark, sf):
     return k.select("symbol", r6("h").alias("h"), r6("r").alias("r"), "n", "points")
 
 
+@register("n5_kontoyiannis_expanding", bars_sql() + _CODES_SQL + """,
+msg AS (SELECT symbol, string_agg(code, '' ORDER BY bar) AS m, count(*) AS n FROM q1 GROUP BY symbol),
+pts AS (SELECT symbol, m, n, unnest(range(1, n // 2 + 1)) AS i FROM msg),
+cand AS (SELECT symbol, m, n, i, unnest(range(0, i)) AS j FROM pts),
+ml AS (SELECT symbol, n, i, 1 + max(least(i, list_aggregate(list_transform(range(0, least(i, 64)),
+         lambda l: CASE WHEN substr(m, j + 1, l + 1) = substr(m, i + 1, l + 1) THEN l + 1 ELSE 0 END), 'max'))) AS L
+       FROM cand WHERE substr(m, j + 1, 1) = substr(m, i + 1, 1) GROUP BY symbol, n, i),
+al AS (SELECT p.symbol, p.n, p.i, coalesce(ml.L, 1) AS L FROM pts p LEFT JOIN ml ON ml.symbol = p.symbol AND ml.i = p.i)
+SELECT symbol, round(avg(log2(i + 1) / L), 6) AS h, round(1 - avg(log2(i + 1) / L) / log2(n), 6) AS r, n, count(*) AS points
+FROM al GROUP BY symbol, n""")
+def q_konto_expanding(spark, sf):
+    from tessera.operators.entropy import kontoyiannis
+    k = kontoyiannis(bar_codes(spark, sf), None)
+    return k.select("symbol", r6("h").alias("h"), r6("r").alias("r"), "n", "points")
+
+
 @register("n6_ar1", bars_sql() + _SRET_SQL + """,
 xi AS (SELECT symbol, bar, ret, row_number() OVER (PARTITION BY symbol ORDER BY bar) AS i FROM sret)
 SELECT a.symbol, a.bar, round(sum(pow(0.5, a.i - b.i) * b.ret), 6) AS y
