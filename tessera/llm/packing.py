@@ -7,9 +7,10 @@ it moves a piece, swaps one of its pieces for a shorter one, or swaps two for on
 raises the sum of squared fills most; an emptied bin is gone. It ends when no exchange is left or when the
 room left in the block would not hold another bin. More rows make more blocks, not larger ones.
 
-Tokens. Text is split at spaces, tabs and line ends, and each distinct run is encoded once for a task, up to a
-bounded table; the tokenizer itself neither joins nor reads across white space, so the ids are those of the
-whole text (a tokenizer that does must set `whole`).
+Tokens. The default tokenizer lower-cases, drops white space and merges within words, numerals and runs of
+marks only. Texts of ASCII and Latin letters are split so, and each distinct run is encoded once for a task,
+up to a table of bounded size; other texts, other tokenizers and texts that may hold special tokens are
+encoded whole. The ids are the same (held against the tokenizer in the tests).
 
 Defined cases: a null or empty text is the end id alone; repeated rows are packed each; ties in length are
 ordered by row; an empty table gives an empty result. Extra columns are not read, and `pack` keeps them;
@@ -29,9 +30,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import shared_table
 
-#: Entries of a task's table of encoded runs; it starts again when full.
-TABLE_ENTRIES = 300_000
-_RUN = re.compile(r"[^ \t\n\r]+")
+#: Entries of a worker's table of encoded runs; it starts again when full.
+TABLE_ENTRIES = 1_000_000
+#: The default tokenizer's split, on lower-cased texts without `_ODD` characters. All letters
+#: outside ASCII that are left lie in Latin-1 and Latin Extended-A, and each lower-cases to one of them.
+_LATIN = "a-zß-öø-ſ"
+_RUN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^ \t-\r{_LATIN}0-9]+")
+_ODD = re.compile(r"[^\x00-\x7fÀ-ÖØ-öø-įı-ſ]|<\|")
 
 
 def vocabulary() -> str:
@@ -46,28 +51,29 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path), {}
 
 
-def encode(texts: list[str], path: str, whole: bool = False) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit numbers, without special tokens added."""
-    tokenizer, table = _tokenizer(path)
-    as_bytes = lambda xs: [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(xs, add_special_tokens=False)]
-    if whole:
-        return as_bytes(texts)
-    out = []
-    for text in texts:
-        runs = _RUN.findall(text)
-        new = list(set(runs).difference(table))
-        if new:
-            if len(table) + len(new) > TABLE_ENTRIES:
-                table.clear()
-                new = list(set(runs))
-            table.update(zip(new, as_bytes(new)))
-        out.append(b"".join(map(table.__getitem__, runs)))
-    return out
-
-
-def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, path: str | None = None, end_id: int = 0, whole: bool = False, ids: bool = False) -> DataFrame:
+def encode(texts: list[str], path: str | None = None) -> list[bytes]:
+    """Ids of each text as little-endian unsigned 32-bit numbers, without special tokens added; `path` None is
+    the default tokenizer."""
+    tokenizer, table = _tokenizer(path or vocabulary())
+    as_bytes = lambda e: np.array(e.ids, dtype="<u4").tobytes()
+    if path:
+        return [as_bytes(e) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    runs = [None if _ODD.search(t) else _RUN.findall(t.lower()) for t in texts]
+    new = set().union(*(r for r in runs if r)).difference(table)
+    if new:
+        if len(table) + len(new) > TABLE_ENTRIES:
+            table.clear()
+            new = set().union(*(r for r in runs if r))
+        new = list(new)
+        found = tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
+        data, of = as_bytes(found), np.array(found.word_ids)
+        ends = (np.searchsorted(of, np.arange(len(new)), side="right") * 4).tolist()
+        table.update(zip(new, map(data.__getitem__, map(slice, [0, *ends], ends))))
+    return [as_bytes(tokenizer.encode(t, add_special_tokens=False)) if r is None else b"".join(map(table.__getitem__, r)) for t, r in zip(texts, runs)]
+
+
+def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, path: str | None = None, end_id: int = 0, ids: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32) for each piece of each document, with the ids themselves if asked."""
-    path = path or vocabulary()
     kind = df.schema[id_col].dataType.simpleString()
     end = np.array([end_id], dtype="<u4").tobytes()
     names = ["id", "piece", "start", "length", "ids_crc32", *["ids"] * ids]
@@ -77,7 +83,7 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
                 rows = []
-                for k, data in enumerate(encode([x or "" for x in b.column(1).to_pylist()], path, whole)):
+                for k, data in enumerate(encode([x or "" for x in b.column(1).to_pylist()], path)):
                     data += end
                     for piece, lo in enumerate(range(0, len(data), 4 * capacity)):
                         cut = data[lo:lo + 4 * capacity]

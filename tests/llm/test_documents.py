@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest_llm import LOWER, WORD, awkward_rows, by_id
+from conftest_llm import LOWER, WORD, awkward_rows, by_id, prose
 from tessera.llm import interpolated_lm, license_scan, mixing, packing, quality, sharding, simhash
 
 
@@ -258,6 +258,18 @@ def test_pieces_are_whole_text_tokens(docs):
     assert got == want
 
 
+def test_encode_is_the_tokenizer():
+    """On plain, accented, odd and random texts, the ids of the split texts are the tokenizer's own."""
+    import random
+    r = random.Random(4)
+    marks = "aB éÉß İı ſŸ x's 'LL don't 1234 \t\x0b\x0c\x1c\x1f\x85\xa0\u2003 […]!? #<|endoftext|> <| ño Ñ ² ½ Ω ς Σ 漢 \u0301e\u0301 Ĳŀŉ ­-_"
+    texts = ["".join(r.choice(marks) for _ in range(r.randint(0, 60))) for _ in range(3000)] + ["", " ", "Ÿ" * 50, prose(1, 3000), "".join(map(chr, range(0x20, 0x180)))]
+    tokenizer = packing._tokenizer(packing.vocabulary())[0]
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert packing.encode(texts) == want
+    assert packing.encode(texts[:50], packing.vocabulary()) == want[:50]
+
+
 def test_pack(docs, clashing, no_docs):
     out = packing.pack(packing.token_pieces(clashing, capacity=128), capacity=128, block=16).collect()
     bins = collections.defaultdict(list)
