@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from tessera.plans import ewm as E
 from tessera.plans.segment import threshold_bars
-from tessera.plans.sequence import POS, fill, shift, with_pos
+from tessera.plans.sequence import POS, fill, join_keys, shift, with_pos
 from tessera.session import cut_lineage
 
 ORDER = ("ts", "seq")
@@ -32,7 +32,7 @@ def tick_bars(trades: DataFrame, freq: int, keys: Sequence[str] = ("symbol",), o
         F.max_by("ts", last).alias("time"), F.min_by("price", last).alias("open"),
         F.max("price").alias("high"), F.min("price").alias("low"),
         F.max_by("price", last).alias("close"), F.sum("size").alias("volume"))
-    return (bars.join(n, keys).where((F.col("bar") + 1) * F.lit(freq) < F.col("_n")).drop("_n"))
+    return (join_keys(bars, n, keys).where((F.col("bar") + 1) * F.lit(freq) < F.col("_n")).drop("_n"))
 
 
 # --------------------------------------------------------------------------- B2 / B3
@@ -47,7 +47,7 @@ def dollar_bars(trades: DataFrame, threshold: float, keys: Sequence[str] = ("sym
 # --------------------------------------------------------------------------- B4
 def daily_dollar_volume(trades: DataFrame, keys: Sequence[str] = ("symbol",), date_col=None, span: float = 4):
     """Daily dollar volume, its EWM mean (span 4) over days, shifted one day and back-filled:
-    day 1 therefore uses its own volume; a key with a single day gets a null threshold."""
+    day 1 therefore uses its own volume, and so does the only day of a key that has one."""
     keys = list(keys)
     date = date_col if date_col is not None else F.to_date("ts")
     daily = trades.groupBy(*keys, date.alias("date")).agg(F.sum(F.col("price") * F.col("size")).alias("dollar_volume"))
@@ -56,7 +56,7 @@ def daily_dollar_volume(trades: DataFrame, keys: Sequence[str] = ("symbol",), da
     w = W.partitionBy(*keys).orderBy("date")
     daily = daily.withColumn("_lag", F.lag("_ewm", 1).over(w))
     daily = daily.withColumn("daily_threshold", F.coalesce(
-        F.col("_lag"), F.first("_lag", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))))
+        F.col("_lag"), F.first("_lag", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)), F.col("_ewm")))
     return daily.select(*keys, "date", "dollar_volume", "daily_threshold")
 
 
@@ -69,7 +69,7 @@ def daily_dollar_bars(trades: DataFrame, keys: Sequence[str] = ("symbol",), divi
     and ``volatility`` = EWM mean (span 10) of price_std over the key's bars.  Tails are kept."""
     keys = list(keys)
     thr = daily_dollar_volume(trades, keys).select(*keys, "date", "daily_threshold")
-    d = trades.withColumn("date", F.to_date("ts")).join(thr, [*keys, "date"])
+    d = join_keys(trades.withColumn("date", F.to_date("ts")), thr, [*keys, "date"])
     key_fields = [f for f in d.schema.fields if f.name in keys]
     ts_type = d.schema["ts"].dataType
     schema = T.StructType(key_fields + [
@@ -90,14 +90,14 @@ def daily_dollar_bars(trades: DataFrame, keys: Sequence[str] = ("symbol",), divi
             "close": g["price"].last(), "high": g["price"].max(), "low": g["price"].min(),
             "volume": g["size"].sum(), "price_std": g["price"].std(ddof=1),
             "count": g["price"].size().astype(np.int64)})
-        res["log_range"] = np.log(res["high"] / res["low"])
+        res["log_range"] = np.log(res["high"] / res["low"].where(res["low"] > 0))
         res.index.name = "group_id"
         res = res.reset_index()
         for k in keys + ["date"]:
             res[k] = pdf[k].iloc[0]
         return res[[f.name for f in schema.fields]]
 
-    bars = d.where(F.col("daily_threshold").isNotNull()).groupBy(*keys, "date").applyInPandas(per_day, schema)
+    bars = d.groupBy(*keys, "date").applyInPandas(per_day, schema)
     bars = E.ewm(bars, keys, ["time", "last_seq"], "price_std", out_mean="volatility", span=vol_span)
     return bars.drop("last_seq")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import timedelta
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -24,6 +24,12 @@ def micros_of_day(ts: str | Column) -> Column:
     return secs.cast("long") * F.lit(1_000_000) + F.date_format(c, "SSSSSS").cast("long")
 
 
+def wall_micros(ts: str | Column) -> Column:
+    """Microseconds from 1970-01-01 00:00 on the same clock, independent of the session time zone."""
+    c = (F.col(ts) if isinstance(ts, str) else ts).cast("timestamp_ntz")
+    return F.datediff(F.to_date(c), F.lit(date(1970, 1, 1))).cast("long") * F.lit(86_400_000_000) + micros_of_day(c)
+
+
 def _hm_micros(hm: tuple[int, int]) -> int:
     return (hm[0] * 3600 + hm[1] * 60) * 1_000_000
 

@@ -1,13 +1,14 @@
 """Exponentially weighted mean / variance (E1, E2) as a chunked scan.
 
 adjust=True weights: at position i the row at position k <= i has weight (1-a)^(i-k).  Inside a
-chunk of ``C`` positions the running sums of x·(1-a)^(-j) (j = position inside the chunk) are plain
-window sums; multiplying back by (1-a)^j gives the decayed sums.  ``C`` is chosen so that
-(1-a)^(-2C) stays finite and (1-a)^C is below 1e-130, so the state entering a chunk is the previous
-chunk's final state alone (older chunks weigh less than 1e-130 relative).  The carry is an
-equi-join on ``(keys, chunk - 1)`` against a table with one row per chunk.
-
-Nulls keep their position and age the weights of earlier rows (pandas ``ignore_na=False``).
+chunk of ``C`` positions the running sums of weights, of values about the chunk's mean and of their squares
+are plain window sums of terms scaled by (1-a)^(-j), j the position inside the chunk, and scaled back.  ``C`` is
+chosen so that (1-a)^(-2C) stays finite and (1-a)^C is below 1e-130.  What enters a chunk is the state at the
+last value before it, wherever that lies: the state of the last chunk with values, joined with that of the
+one before it (anything older weighs less than 1e-130).  These tables have one row per chunk.
+
+Nulls keep their position and age the weights of earlier rows (pandas ``ignore_na=False``); however long a run
+of nulls is, mean and variance stay, as only ratios of weights count.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tessera.plans.sequence import CHUNK, POS, with_pos
+from tessera.plans.sequence import CHUNK, POS, join_keys, with_pos
 
 
 def alpha_of(span: float | None = None, alpha: float | None = None, com: float | None = None) -> float:
@@ -62,36 +63,42 @@ def ewm(df: DataFrame, keys: Sequence[str], order: Sequence, col: str, out_mean:
     g = F.exp(j * F.lit(lam))          # (1-a)^(-j)
     g2 = F.exp(j * F.lit(2 * lam))     # (1-a)^(-2j)
     ok = x.isNotNull() & ~F.isnan(x)
-    xv = F.when(ok, x)
+    d = d.withColumn("_xv", F.when(ok, x)).withColumn("_ref", F.avg("_xv").over(W.partitionBy(*keys, CHUNK)))
+    off = F.col("_xv") - F.col("_ref")
+    has = F.col("_xv").isNotNull()
     w = W.partitionBy(*keys, CHUNK).orderBy(POS).rowsBetween(W.unboundedPreceding, 0)
-    d = (d.withColumn("_s0", F.sum(F.when(ok, g)).over(w) / g)
-          .withColumn("_s1", F.sum(xv * g).over(w) / g)
-          .withColumn("_s2", F.sum(xv * xv * g).over(w) / g)
-          .withColumn("_q0", F.sum(F.when(ok, g2)).over(w) / g2)
-          .withColumn("_cnt", F.count(xv).over(w)))
-    # chunk-final state, shifted to the next chunk
-    last = F.struct(POS)
-    tail = d.groupBy(*keys, CHUNK).agg(
-        *[F.max_by(c, last).alias(f"_c{c}") for c in ("_s0", "_s1", "_s2", "_q0", "_cnt")],
-        F.max(POS).alias("_lastpos"))
-    tail = tail.withColumn(CHUNK, F.col(CHUNK) + 1)
-    d = d.join(tail, [*keys, CHUNK], "left")
-    dist = (F.col(POS) - F.col("_lastpos")).cast("double")
-    dec = F.exp(-dist * F.lit(lam))
-    dec2 = F.exp(-dist * F.lit(2 * lam))
-
-    def carried(s, c, f):
-        return F.coalesce(F.col(s), F.lit(0.0)) + F.coalesce(F.col(c) * f, F.lit(0.0))
-
-    S0 = carried("_s0", "_c_s0", dec)
-    S1 = carried("_s1", "_c_s1", dec)
-    S2 = carried("_s2", "_c_s2", dec)
-    Q0 = carried("_q0", "_c_q0", dec2)
-    N = F.coalesce(F.col("_cnt"), F.lit(0)) + F.coalesce(F.col("_c_cnt"), F.lit(0))
+    sums = {"_s0": F.sum(F.when(has, g)).over(w) / g, "_s1": F.sum(off * g).over(w) / g, "_s2": F.sum(off * off * g).over(w) / g,
+            "_q0": F.sum(F.when(has, g2)).over(w) / g2, "_cnt": F.count("_xv").over(w)}
+    d = d.withColumns(sums)
+    state = [*sums, "_ref", POS]
+
+    def aged(old, at, ref):
+        """Weights, values and squares of state ``old`` seen from position ``at`` about ``ref``."""
+        f = F.exp(-(at - old[POS]).cast("double") * F.lit(lam))
+        by = old["_ref"] - ref
+        return {"_s0": old["_s0"] * f, "_s1": (old["_s1"] + old["_s0"] * by) * f, "_s2": (old["_s2"] + 2 * by * old["_s1"] + old["_s0"] * by * by) * f,
+                "_q0": old["_q0"] * f * f, "_cnt": old["_cnt"]}
+
+    # the state at each chunk's last value, with what the last value before the chunk adds to it
+    last = F.max_by(F.struct(*state), F.when(has, F.col(POS))).alias("_own")
+    tail = d.groupBy(*keys, CHUNK).agg(last)
+    by_chunk = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    own = F.col("_own")
+    tail = tail.withColumn("_old", F.last("_own", ignorenulls=True).over(by_chunk))
+    older = aged(F.col("_old"), own[POS], own["_ref"])
+    joined = F.struct(*[(own[c] + F.coalesce(older[c], F.lit(0))).alias(c) for c in sums], own["_ref"].alias("_ref"), own[POS].alias(POS))
+    tail = tail.withColumn("_all", F.when(own.isNotNull(), joined))
+    tail = tail.select(*keys, CHUNK, F.last("_all", ignorenulls=True).over(by_chunk).alias("_in"))
+    d = join_keys(d, tail, [*keys, CHUNK], "left")
+    into = F.col("_in")
+    # before the chunk's first value the state that came in is kept as it is: scaling would lose it in the end
+    fresh = F.col("_cnt") == 0
+    came = aged(into, F.when(fresh, into[POS]).otherwise(F.col(POS)), F.coalesce("_ref", into["_ref"]))
+    S0, S1, S2, Q0, N = (F.coalesce(F.col(c), F.lit(0)) + F.coalesce(came[c], F.lit(0)) for c in sums)
     mean = F.when(S0 > 0, S1 / S0)
     enough = N >= F.lit(max(min_periods, 1))
     if out_mean:
-        d = d.withColumn(out_mean, F.when(enough, mean))
+        d = d.withColumn(out_mean, F.when(enough, mean + F.coalesce("_ref", into["_ref"])))
     if out_std or out_var:
         biased = S2 / S0 - mean * mean
         denom = S0 * S0 - Q0
@@ -101,8 +108,7 @@ def ewm(df: DataFrame, keys: Sequence[str], order: Sequence, col: str, out_mean:
             d = d.withColumn(out_var, var)
         if out_std:
             d = d.withColumn(out_std, F.sqrt(var))
-    drop = ["_s0", "_s1", "_s2", "_q0", "_cnt", "_c_s0", "_c_s1", "_c_s2", "_c_q0", "_c_cnt", "_lastpos", CHUNK]
-    d = d.drop(*drop)
+    d = d.drop(*sums, "_ref", "_xv", "_in", CHUNK)
     if not keep_pos and not has_pos:
         d = d.drop(POS)
     return d
@@ -123,7 +129,7 @@ def decayed_sum(df: DataFrame, keys: Sequence[str], order: Sequence, col: str, o
     w = W.partitionBy(*keys, CHUNK).orderBy(POS).rowsBetween(W.unboundedPreceding, 0)
     d = d.withColumn("_s", F.sum(F.coalesce(F.col(col).cast("double"), F.lit(0.0)) * g).over(w) / g)
     tail = d.groupBy(*keys, CHUNK).agg(F.max_by("_s", F.col(POS)).alias("_cs"), F.max(POS).alias("_lp"))
-    d = d.join(tail.withColumn(CHUNK, F.col(CHUNK) + 1), [*keys, CHUNK], "left")
+    d = join_keys(d, tail.withColumn(CHUNK, F.col(CHUNK) + 1), [*keys, CHUNK], "left")
     carry = F.coalesce(F.col("_cs") * F.exp(-(F.col(POS) - F.col("_lp")).cast("double") * F.lit(lam)), F.lit(0.0))
     d = d.withColumn(out, F.col("_s") + carry).drop("_s", "_cs", "_lp", CHUNK)
     return d if has_pos else d.drop(POS)

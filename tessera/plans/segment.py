@@ -122,7 +122,9 @@ def threshold_bars(df: DataFrame, keys: Sequence[str], measure, threshold: float
             out.append((b, c, off, prev))
             lo, hi = g["lo"].to_numpy(), g["hi"].to_numpy()
             hit = np.flatnonzero((lo <= c) & (c < hi))
-            r = g.iloc[int(hit[0])] if len(hit) else g.iloc[-1]
+            if not len(hit):
+                raise ValueError(f"no row of the block's table holds the running sum {c!r}")
+            r = g.iloc[int(hit[0])]
             if r["closes"] == 0:
                 c = c + float(r["total"])
             else:
@@ -250,4 +252,4 @@ def transfer_apply(rows, c: float) -> float:
     for lo, lc, hi, hc, live, v in rows:
         if (lo < c or (lo == c and lc)) and (c < hi or (c == hi and hc)):
             return c + v if live else v
-    return c  # unreachable for c in [0, h]
+    raise ValueError(f"no row of the transfer table holds {c!r}")

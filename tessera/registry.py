@@ -23,7 +23,7 @@ TICK_BAR_FREQ = 50
 TRADES_CTE = """trades AS (
   SELECT event_type AS symbol, ts, event_id AS seq, value AS price,
          CAST(json_extract_string(props, '$.k') AS DOUBLE) AS size
-  FROM events WHERE CAST(json_extract_string(props, '$.k') AS DOUBLE) > 0 AND value > 0)"""
+  FROM events WHERE CAST(json_extract_string(props, '$.k') AS DOUBLE) > 0)"""
 
 
 def register(name: str, sql: str | None = None):
@@ -1821,3 +1821,92 @@ def q_weekly(spark, sf):
             .agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("price")))
     w = weekly_last_returns(px, keys=("asset",))
     return w.select("asset", F.col("week").cast("string").alias("week"), r6("ret").alias("ret"))
+
+
+# ============================================================================ sources
+def raw_trades(spark, sf):
+    """Events as raw trades: nanosecond UTC epochs whose last three digits vary with the event."""
+    t = trades_from_events(spark, sf)
+    from tessera.operators.sessions import wall_micros
+    ns = wall_micros("ts") * 1000 + F.pmod(F.col("seq"), F.lit(1000))
+    return t.select("symbol", ns.alias("sip_timestamp"), "seq", "price", "size")
+
+
+def _scratch(spark, tag: str) -> str:
+    import uuid
+    from tessera.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+_RAW_CTE = TRADES_CTE + """,
+raw AS (SELECT symbol, epoch_us(ts) * 1000 + seq % 1000 AS sip_timestamp, seq, price, size, ts,
+               timezone('America/New_York', timezone('UTC', ts)) AS ny FROM trades)"""
+
+
+@register("s1_read_trades", f"""WITH {_RAW_CTE}
+SELECT symbol, seq, sip_timestamp, strftime(ny, '%Y-%m-%d %H:%M:%S.%f') AS ny, price, size FROM raw
+WHERE CAST(ny AS TIME) BETWEEN TIME '09:30:00' AND TIME '16:00:00'""")
+def q_read_trades(spark, sf):
+    """Raw trades written by symbol and date, read back, cut to the regular session."""
+    from tessera.sources.trades import ingest_trades, read_trade_parquets
+    path = _scratch(spark, "trades")
+    ingest_trades(raw_trades(spark, sf), path)
+    t = read_trade_parquets(spark, path)
+    return t.select("symbol", "seq", "sip_timestamp", F.date_format("ny_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ny"), "price", "size")
+
+
+@register("s2_ingest", f"""WITH {_RAW_CTE}
+SELECT symbol, CAST(CAST(ny AS DATE) AS VARCHAR) AS date, count(*) AS trades, sum(size) AS volume, day(CAST(ny AS DATE)) <= 10 AS skipped
+FROM raw GROUP BY ALL""")
+def q_ingest(spark, sf):
+    """A first batch of days, then all of them: what is there, and which pairs the second batch skipped."""
+    from tessera.plans.sequence import join_keys
+    from tessera.sources.trades import ingest_trades, read_trade_parquets, sip_to_ny
+    path, raw = _scratch(spark, "ingest"), raw_trades(spark, sf)
+    ingest_trades(raw.where(F.day(sip_to_ny(F.col("sip_timestamp"))) <= 10), path)
+    skipped = ingest_trades(raw, path).withColumn("skipped", F.lit(True))
+    there = read_trade_parquets(spark, path, session_only=False)
+    per = there.groupBy("symbol", F.to_date("ny_ts").alias("date")).agg(F.count(F.lit(1)).alias("trades"), F.sum("size").alias("volume"))
+    return join_keys(per, skipped, ["symbol", "date"], "left").select("symbol", F.col("date").cast("string").alias("date"), "trades", "volume", F.coalesce("skipped", F.lit(False)).alias("skipped"))
+
+
+@register("s3_backlog", f"""WITH {_RAW_CTE},
+d AS (SELECT symbol, CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS date FROM (SELECT DISTINCT symbol FROM raw)),
+have AS (SELECT DISTINCT symbol, CAST(ny AS DATE) AS date FROM raw WHERE day(CAST(ny AS DATE)) <= 10)
+SELECT d.symbol, CAST(d.date AS VARCHAR) AS date, epoch_us(timezone('UTC', timezone('America/New_York', CAST(d.date AS TIMESTAMP)))) * 1000 AS start_ns,
+       epoch_us(timezone('UTC', timezone('America/New_York', CAST(d.date + 1 AS TIMESTAMP)))) * 1000 AS end_ns
+FROM d ANTI JOIN have ON have.symbol = d.symbol AND have.date = d.date WHERE isodow(d.date) <= 5""")
+def q_backlog(spark, sf):
+    """Weekdays of January 2024 that are still to be ingested after its first ten days."""
+    from tessera.sources.trades import ingest_backlog, sip_to_ny
+    raw = raw_trades(spark, sf)
+    have = raw.select("symbol", F.to_date(sip_to_ny(F.col("sip_timestamp"))).alias("date")).where(F.day("date") <= 10).distinct()
+    out = ingest_backlog(spark, raw, 2024, 1, have)
+    return out.select("symbol", F.col("date").cast("string").alias("date"), "start_ns", "end_ns")
+
+
+@register("s4_epochs", f"""WITH {_RAW_CTE}
+SELECT seq, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS utc, strftime(ny, '%Y-%m-%d %H:%M:%S.%f') AS ny, epoch_us(ts) * 1000 AS back FROM raw""")
+def q_epochs(spark, sf):
+    """Nanosecond epochs to UTC and New York wall clocks, and back to whole microseconds."""
+    from tessera.sources.trades import ny_to_sip, sip_to_ny, sip_to_utc
+    ns = F.col("sip_timestamp")
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return raw_trades(spark, sf).select("seq", text(sip_to_utc(ns)).alias("utc"), text(sip_to_ny(ns)).alias("ny"), ny_to_sip(sip_to_ny(ns)).alias("back"))
+
+
+@register("s5_tick_csv", """SELECT round(value, 6) AS price, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS volume, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS datetime
+FROM events WHERE CAST(json_extract_string(props, '$.k') AS DOUBLE) > 0 AND ts >= TIMESTAMP '2024-01-05 00:00:00'""")
+def q_tick_csv(spark, sf):
+    """Events as CSV ticks, read and cleaned, written as clean CSV and read again."""
+    from tessera.sources.trades import read_clean_csv, read_tick_csv, write_tick_csv
+    src, dst = _scratch(spark, "csv"), _scratch(spark, "clean")
+    ts = F.col("ts").cast("timestamp_ntz")
+    # times without trailing zeros of the fraction, as the source writes them
+    clock = F.regexp_replace(F.date_format(ts, "H:mm:ss.SSSSSS"), r"\.?0+$", "")
+    clock = F.when(F.date_format(ts, "SSSSSS") == "000000", F.date_format(ts, "H:mm:ss")).otherwise(clock)
+    ev = table(spark, sf, "events").select(F.date_format(ts, "M/d/yyyy").alias("date"), clock.alias("time"), F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("double").alias("volume"))
+    ev.write.option("header", True).csv(src)
+    write_tick_csv(read_tick_csv(spark, src, "2024-01-05"), dst)
+    back = read_clean_csv(spark, dst)
+    return back.select(r6("price").alias("price"), "volume", F.date_format("datetime", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("datetime"))

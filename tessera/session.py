@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,26 +43,34 @@ def get_session(master: str | None = None, app: str = "tessera", shuffle_partiti
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
-    (tests, a laptop) fall back to a fresh local scratch folder."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder named by ``spark.checkpoint.dir``.  On one machine (tests, a laptop) a fresh scratch
+    folder stands in where it is unset; on a cluster that is an error, as executors share no local folder."""
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="tessera-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
 
 
+def _tables_path(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tessera-{spark.sparkContext.applicationId}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss).
+    """Write ``df`` as a Parquet table in the shared folder and read it back: it is computed once, later reads
+    take the columns they need, and a lost executor costs no more than the tasks that ran on it."""
+    spark = df.sparkSession
+    path = f"{_tables_path(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
-    The rows are persisted while the checkpoint is written: a reliable RDD checkpoint otherwise
-    computes its input twice (once for the action, once for the checkpoint files)."""
-    from pyspark import StorageLevel
 
-    ensure_checkpoint_dir(df.sparkSession)
-    held = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = held.checkpoint(eager=True)
-    held.unpersist(blocking=False)
-    return out
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the tables this application has written for ``cut_lineage``, once their readers are done."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_tables_path(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
