@@ -3,13 +3,14 @@
 * ST1 ``ingest_stream``: raw trade files -> de-duplicated (within the watermark) parquet,
   partitioned by symbol and date, with a checkpoint (exactly-once file sink).
 * ST2 ``live_threshold_bars``: volume / dollar bars with per-symbol state (running sum, OHLC,
-  counts) in ``applyInPandasWithState``; a bar is emitted when it closes.
+  counts) in ``applyInPandasWithState``; a bar is emitted when it closes, and on request when its day ends.
 * ST3 ``live_cusum``: CUSUM events with per-symbol state (sPos, sNeg, last value).
 * ST4 ``interval_stats_stream``: tumbling-window statistics per symbol with a watermark.
 
-Rows are taken in (ts, seq) order inside each micro-batch; rows older than the watermark are
-dropped by Spark before they reach the state.  With in-order input the drained stream equals the
-batch operators (B2/B3, F1).
+ST2 and ST3 take a symbol's rows in (ts, seq) order whatever order they arrive in: rows wait in the state until
+the watermark has passed them, so a row may come as late as the watermark allows; a row behind the watermark
+is dropped.  The drained stream therefore equals the batch operators (B2/B3, F1) on the rows that were not
+late; the newest rows stay in the state until later ones, of any symbol, move the watermark.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.operators.sessions import wall_micros
 from tessera.sources.trades import sip_to_ny, sip_to_ts
 
 
@@ -38,17 +40,59 @@ def ingest_stream(spark, src: str, schema: T.StructType, dst: str, checkpoint: s
 
 
 def _event_time(trades: DataFrame) -> DataFrame:
-    """Watermarks need TIMESTAMP; wall-clock NTZ times are read as UTC instants."""
-    return trades.withColumn("_et", F.col("ts").cast("timestamp"))
+    """Watermarks need TIMESTAMP: wall-clock NTZ times are counted as instants from 1970-01-01, whatever the
+    session's time zone."""
+    return trades.withColumn("_et", F.timestamp_micros(wall_micros("ts")))
+
+
+# --------------------------------------------------------------------------- rows in order
+WAITING = [T.StructField("w_us", T.ArrayType(T.LongType())), T.StructField("w_seq", T.ArrayType(T.LongType())),
+           T.StructField("w_price", T.ArrayType(T.DoubleType())), T.StructField("w_size", T.ArrayType(T.DoubleType()))]
+
+
+def _in_order(start: tuple, take, out_names: list[str]):
+    """Updater for ``applyInPandasWithState``: the state is ``start``'s fields and the rows that wait for the
+    watermark; ``take(key, fields, us, seq, price, size)`` gets the rows it has passed, sorted, and returns the
+    new fields and the rows to emit."""
+    def update(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        fields, waiting = (tuple(state.get)[:-4], tuple(state.get)[-4:]) if state.exists else (start, ([], [], [], []))
+        passed = state.getCurrentWatermarkMs() * 1000
+        # a key's rows come in several Arrow chunks: they are sorted as one
+        new = [] if state.hasTimedOut else [p[["_us", "seq", "price", "size"]] for p in pdfs]
+        rows = pd.DataFrame({"_us": waiting[0], "seq": waiting[1], "price": waiting[2], "size": waiting[3]})
+        if new:
+            fresh = pd.concat(new, ignore_index=True)
+            rows = pd.concat([rows, fresh[fresh["_us"] >= passed]], ignore_index=True) if len(rows) else fresh[fresh["_us"] >= passed]
+        rows = rows.sort_values(["_us", "seq"], kind="stable")
+        ready = rows["_us"].to_numpy(dtype="int64") < passed
+        cols = [rows[c].to_numpy(dtype=t) for c, t in (("_us", "int64"), ("seq", "int64"), ("price", float), ("size", float))]
+        fields, out = take(key, fields, *(c[ready] for c in cols))
+        left = [c[~ready].tolist() for c in cols]
+        state.update((*fields, *left))
+        if left[0]:
+            state.setTimeoutTimestamp(max(left[0][0] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=out_names)
+    return update
+
+
+def _stateful(trades: DataFrame, watermark: str, update, out: T.StructType, state: T.StructType) -> DataFrame:
+    t = _event_time(trades).withWatermark("_et", watermark)
+    t = t.withColumn("_us", F.unix_micros("_et")).select("symbol", "_et", "_us", "seq", "price", "size")
+    return t.groupBy("symbol").applyInPandasWithState(update, out, state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _wall(us: int | None) -> pd.Timestamp | None:
+    return None if us is None else pd.Timestamp(us, unit="us")
 
 
 # --------------------------------------------------------------------------- ST2
 BAR_STATE = T.StructType([
     T.StructField("cum", T.DoubleType()), T.StructField("bar", T.LongType()),
     T.StructField("open", T.DoubleType()), T.StructField("high", T.DoubleType()),
-    T.StructField("low", T.DoubleType()), T.StructField("volume", T.DoubleType()),
+    T.StructField("low", T.DoubleType()), T.StructField("close", T.DoubleType()), T.StructField("volume", T.DoubleType()),
     T.StructField("dollars", T.DoubleType()), T.StructField("ticks", T.LongType()),
-    T.StructField("prev_ts", T.TimestampNTZType()), T.StructField("start_ts", T.TimestampNTZType())])
+    T.StructField("prev_us", T.LongType()), T.StructField("last_us", T.LongType()), T.StructField("start_us", T.LongType()), *WAITING])
 
 BAR_OUT = T.StructType([
     T.StructField("symbol", T.StringType()), T.StructField("bar", T.LongType()),
@@ -58,76 +102,67 @@ BAR_OUT = T.StructType([
     T.StructField("dollars", T.DoubleType()), T.StructField("ticks", T.LongType()),
     T.StructField("start_ts", T.TimestampNTZType()), T.StructField("end_ts", T.TimestampNTZType())])
 
-
-def _bar_updater(threshold: float, dollar: bool):
-    def update(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            (cum, bar, op, hi, lo, vol, dol, n, prev_ts, start_ts) = state.get
-        else:
-            cum, bar, op, hi, lo, vol, dol, n, prev_ts, start_ts = 0.0, 0, None, None, None, 0.0, 0.0, 0, None, None
-        out = []
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["ts", "seq"], kind="stable")
-            for ts, px, sz in zip(pdf["ts"], pdf["price"].to_numpy(float), pdf["size"].to_numpy(float)):
-                if n == 0:
-                    op, hi, lo, start_ts = px, px, px, ts
-                hi, lo = max(hi, px), min(lo, px)
-                vol += sz
-                dol += px * sz
-                n += 1
-                cum += px * sz if dollar else sz
-                if cum >= threshold:
-                    out.append((key[0], bar, prev_ts, op, hi, lo, px, vol, dol, n, start_ts, ts))
-                    bar += 1
-                    cum, vol, dol, n = 0.0, 0.0, 0.0, 0
-                prev_ts = ts
-        state.update((cum, bar, op, hi, lo, vol, dol, n, prev_ts, start_ts))
-        if out:
-            yield pd.DataFrame(out, columns=[f.name for f in BAR_OUT.fields])
-    return update
+DAY_US = 86_400_000_000
 
 
-def live_threshold_bars(trades: DataFrame, threshold: float, dollar: bool = True, watermark: str = "1 hour"):
-    """Streaming volume / dollar bars per symbol (input: symbol, ts, seq, price, size)."""
-    t = _event_time(trades).withWatermark("_et", watermark)
-    return t.groupBy("symbol").applyInPandasWithState(
-        _bar_updater(float(threshold), dollar), BAR_OUT, BAR_STATE, "append", GroupStateTimeout.NoTimeout)
+def _bar_updater(threshold: float, dollar: bool, flush_days: bool):
+    def take(key, fields, us, seq, price, size):
+        cum, bar, op, hi, lo, cl, vol, dol, n, before, last, first = fields
+        out = []
+        for t, px, sz in zip(us.tolist(), price.tolist(), size.tolist()):
+            if flush_days and n and t // DAY_US != last // DAY_US:  # the day's last bar stays open no longer
+                out.append((key[0], bar, _wall(before), op, hi, lo, cl, vol, dol, n, _wall(first), _wall(last)))
+                bar, cum, n = bar + 1, 0.0, 0
+            if n == 0:
+                op, hi, lo, first, vol, dol = px, px, px, t, 0.0, 0.0
+            hi, lo, cl, vol, dol, n = max(hi, px), min(lo, px), px, vol + sz, dol + px * sz, n + 1
+            cum += px * sz if dollar else sz
+            before, last = last, t
+            if cum >= threshold:
+                out.append((key[0], bar, _wall(before), op, hi, lo, cl, vol, dol, n, _wall(first), _wall(t)))
+                bar, cum, n = bar + 1, 0.0, 0
+        return (cum, bar, op, hi, lo, cl, vol, dol, n, before, last, first), out
+
+    return _in_order((0.0, 0, None, None, None, None, 0.0, 0.0, 0, None, None, None), take, BAR_OUT.names)
+
+
+def live_threshold_bars(trades: DataFrame, threshold: float, dollar: bool = True, watermark: str = "1 hour", flush_days: bool = False):
+    """Streaming volume / dollar bars per symbol (input: symbol, ts, seq, price, size).  With ``flush_days`` the
+    bar that is open when a symbol's day ends is emitted with the next day's first row, and the next day begins a
+    new one."""
+    return _stateful(trades, watermark, _bar_updater(float(threshold), dollar, flush_days), BAR_OUT, BAR_STATE)
 
 
 # --------------------------------------------------------------------------- ST3
 CUSUM_STATE = T.StructType([T.StructField("pos", T.DoubleType()), T.StructField("neg", T.DoubleType()),
-                            T.StructField("last", T.DoubleType())])
+                            T.StructField("last", T.DoubleType()), T.StructField("last_us", T.LongType()), *WAITING])
 CUSUM_OUT = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("time", T.TimestampNTZType()),
                           T.StructField("side", T.IntegerType())])
 
 
 def _cusum_updater(h: float):
-    def update(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pos, neg, last = state.get if state.exists else (0.0, 0.0, None)
+    def take(key, fields, us, seq, price, size):
+        up, down, last, last_us = fields
         out = []
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["ts", "seq"], kind="stable").drop_duplicates("ts", keep="first")
-            for ts, x in zip(pdf["ts"], pdf["price"].to_numpy(float)):
-                if last is not None:
-                    dx = x - last
-                    pos, neg = max(0.0, pos + dx), min(0.0, neg + dx)
-                    if neg < -h:
-                        neg = 0.0
-                        out.append((key[0], ts, -1))
-                    elif pos > h:
-                        pos = 0.0
-                        out.append((key[0], ts, 1))
-                last = x
-        state.update((pos, neg, last))
-        if out:
-            yield pd.DataFrame(out, columns=["symbol", "time", "side"])
-    return update
+        for t, x in zip(us.tolist(), price.tolist()):
+            if t == last_us:  # the first row of a time counts
+                continue
+            if last is not None:
+                up, down = max(0.0, up + x - last), min(0.0, down + x - last)
+                if down < -h:
+                    down = 0.0
+                    out.append((key[0], _wall(t), -1))
+                elif up > h:
+                    up = 0.0
+                    out.append((key[0], _wall(t), 1))
+            last, last_us = x, t
+        return (up, down, last, last_us), out
+
+    return _in_order((0.0, 0.0, None, None), take, CUSUM_OUT.names)
 
 
 def live_cusum(trades: DataFrame, h: float, watermark: str = "1 hour"):
-    t = _event_time(trades).withWatermark("_et", watermark)
-    return t.groupBy("symbol").applyInPandasWithState(
-        _cusum_updater(float(h)), CUSUM_OUT, CUSUM_STATE, "append", GroupStateTimeout.NoTimeout)
+    return _stateful(trades, watermark, _cusum_updater(float(h)), CUSUM_OUT, CUSUM_STATE)
 
 
 # --------------------------------------------------------------------------- ST4
