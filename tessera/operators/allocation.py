@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
+from tessera.plans.sequence import cumulative
 from tessera.session import cut_lineage
 
 
@@ -192,7 +193,8 @@ def hrp_weights(cov: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def rolling_rebalance(returns: DataFrame, s_length: int, rebal: int, date="date", asset="asset", ret="ret") -> DataFrame:
     """Weights fitted on ``s_length`` dates, held for the next ``rebal`` dates, rolled forward by
     ``rebal``: out-of-sample cumulative return of IVP and HRP per window, and over all windows up to and with
-    it (``total_hrp``, ``total_ivp``: the last row's is that of the whole run).  Each return row is copied into
+    it (``total_hrp``, ``total_ivp``: the last row's is that of the whole run; their logarithms ``log_total_hrp`` and
+    ``log_total_ivp`` are there for growth beyond a double's range, null after a total loss).  Each return row is copied into
     the windows that use it (s_length/rebal in-sample copies, one out-of-sample)."""
     from tessera.operators.stats import equity_curve, total_growth
 
@@ -210,7 +212,10 @@ def rolling_rebalance(returns: DataFrame, s_length: int, rebal: int, date="date"
     per = cut_lineage(pr.groupBy("win").agg(total_growth("r_hrp").alias("cum_hrp"), total_growth("r_ivp").alias("cum_ivp"), F.count(F.lit(1)).alias("days")))
     per = per.withColumns({"_one": F.lit(0), "_h": F.col("cum_hrp") - 1, "_v": F.col("cum_ivp") - 1})
     per = equity_curve(equity_curve(per, ["_one"], ["win"], "_h", "total_hrp"), ["_one"], ["win"], "_v", "total_ivp")
-    return per.select("win", "cum_hrp", "cum_ivp", "days", "total_hrp", "total_ivp")
+    logs = {f"_l{c}": F.when(F.col(f"cum_{c}") > 0, F.ln(f"cum_{c}")).otherwise(F.lit(float("nan"))) for c in ("hrp", "ivp")}
+    per = cumulative(per.withColumns(logs), ["_one"], ["win"], {f"log_total_{c}": ("sum", f"_l{c}") for c in ("hrp", "ivp")})
+    whole = {f"log_total_{c}": F.nullif(F.col(f"log_total_{c}"), F.lit(float("nan"))) for c in ("hrp", "ivp")}
+    return per.withColumns(whole).select("win", "cum_hrp", "cum_ivp", "days", "total_hrp", "total_ivp", "log_total_hrp", "log_total_ivp")
 
 
 # --------------------------------------------------------------------------- A7

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.plans.sequence import POS, shift, with_pos
+from tessera.plans.sequence import POS, join_keys, shift, with_pos
 from tessera.plans.timejoin import asof, interval_join
 
 
@@ -102,18 +102,21 @@ def get_bins(close: DataFrame, events: DataFrame, t1: DataFrame | None = None, k
 
 # --------------------------------------------------------------------------- L4
 def drop_rare_labels(labels: DataFrame, min_pct: float = 0.05, keys: Sequence[str] = ()) -> DataFrame:
-    """Drop the rarest label while its share is <= min_pct and at least 3 labels remain (ties go
-    to the smallest label).  Each round is one small aggregate; k labels need at most k-2 rounds."""
-    out = labels
-    while True:
-        counts = out.groupBy("bin").count().collect()  # one row per distinct label
-        total = sum(r["count"] for r in counts)
-        if total == 0 or len(counts) < 3:
-            return out
-        rare = min(counts, key=lambda r: (r["count"], r["bin"]))
-        if rare["count"] / total > min_pct:
-            return out
-        out = out.where(F.col("bin") != rare["bin"])
+    """Drop the rarest label of each key while its share is <= min_pct and at least 3 labels remain (ties go
+    to the smallest label).  The counts (a row per key and label) decide; no round trips."""
+    keys = list(keys)
+    counts = labels.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("_n"))
+    # in the order of their dropping, a label goes if it and all rarer ones do: its share of what is left then
+    listed = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_n", "bin"))).alias("_l"))  # the labels of a key
+    step = lambda acc, x: F.struct(
+        (acc["go"] & (acc["left"] >= 3) & (x["_n"] <= F.lit(min_pct) * acc["total"])).alias("go"),
+        F.when(acc["go"] & (acc["left"] >= 3) & (x["_n"] <= F.lit(min_pct) * acc["total"]), acc["left"] - 1).otherwise(acc["left"]).alias("left"),
+        (acc["total"] - x["_n"]).alias("total"))
+    size = F.aggregate("_l", F.lit(0).cast("long"), lambda a, x: a + x["_n"])
+    start = F.struct(F.lit(True).alias("go"), F.size("_l").alias("left"), size.alias("total"))
+    kept = listed.withColumn("_k", F.aggregate("_l", start, step, lambda a: a["left"]))
+    stay = kept.select(*keys, F.explode(F.slice("_l", F.size("_l") - F.col("_k") + 1, F.col("_k"))).alias("_x")).select(*keys, F.col("_x.bin").alias("bin"))
+    return join_keys(labels, stay, [*keys, "bin"], "left_semi")
 
 
 # --------------------------------------------------------------------------- L5
@@ -125,9 +128,15 @@ def meta_features(vol: DataFrame, autocorr: DataFrame, events: DataFrame, keys=(
     v = vol.select(*keys, F.col(time_col).alias("t0"), "vol")
     a = autocorr.select(*keys, F.col(time_col).alias("t0"), "autocorr")
     s = events.select(*keys, "t0", "side")
+    # the first by seq where the tables have one, else by value: always the same row
+    tie = [c for c in ("seq",) if c in vol.columns]
+    if tie:
+        v = vol.select(*keys, F.col(time_col).alias("t0"), "vol", F.col("seq").alias("_tie"))
+    else:
+        v = v.withColumn("_tie", F.lit(0))
     x = v.join(a, [*keys, "t0"]).join(s, [*keys, "t0"]).dropna()
-    return x.groupBy(*keys, "t0").agg(F.first("vol").alias("vol"), F.first("autocorr").alias("autocorr"),
-                                      F.first("side").alias("side"))
+    first = F.min(F.struct("_tie", "vol", "autocorr", "side")).alias("_f")
+    return x.groupBy(*keys, "t0").agg(first).select(*keys, "t0", "_f.vol", "_f.autocorr", "_f.side")
 
 
 # --------------------------------------------------------------------------- L6
@@ -147,11 +156,13 @@ def primary_scores(events_with_side: DataFrame, bins: DataFrame, keys=("symbol",
 
 # --------------------------------------------------------------------------- L7
 def barrier_mesh(close: DataFrame, starts: DataFrame, r_pt: Sequence[float], r_sl: Sequence[float],
-                 max_hp: int = 100, keys=("symbol",), time_col="time", value="close", seq: str = "seq") -> DataFrame:
+                 max_hp: int = 100, keys=("symbol",), time_col="time", value="close", seq: str = "seq", whole_paths: bool = True) -> DataFrame:
     """Sharpe ratio of exit gains for each (profit-take, stop-loss) rule on recorded price paths.
     From each start, gain cP_h = p_{t0+h} - p_{t0}; the exit is the first h with cP_h > pt,
     cP_h < -sl or h > max_hp.  Thresholds are multiples of the key's std of one-step price changes.
-    Starts whose path is shorter than max_hp + 1 steps are left out.  The mesh is a constant-size
+    A path that ends before any exit has no gain to count: with ``whole_paths`` (the reference's simulated paths
+    are all whole) starts with less than max_hp + 1 steps ahead are left out; without, a start is left out only
+    if its recorded path meets no barrier, and ``n`` tells how many counted.  The mesh is a constant-size
     broadcast table; per start only ``max_hp + 1`` gains are kept."""
     keys = list(keys)
     c = with_pos(close.select(*keys, time_col, seq, value), keys, [time_col, seq])
@@ -163,7 +174,8 @@ def barrier_mesh(close: DataFrame, starts: DataFrame, r_pt: Sequence[float], r_s
     path = path.groupBy(*keys, "_p0").agg(
         F.count(F.lit(1)).alias("_n"),
         F.array_sort(F.collect_list(F.struct("h", (F.col(value) - F.col("_v0")).alias("cp")))).alias("_path"))
-    path = path.where(F.col("_n") == max_hp + 1)
+    if whole_paths:
+        path = path.where(F.col("_n") == max_hp + 1)
     diffs = shift(c, keys, [time_col, seq], {value: "_prev"}, 1)
     sig = diffs.groupBy(*keys).agg(F.stddev_samp(F.col(value) - F.col("_prev")).alias("_sig"))
     mesh = F.array(*[F.struct(F.lit(float(a)).alias("pt"), F.lit(float(b)).alias("sl")) for a in r_pt for b in r_sl])
@@ -171,8 +183,8 @@ def barrier_mesh(close: DataFrame, starts: DataFrame, r_pt: Sequence[float], r_s
     up = F.col("pt") * F.col("_sig")
     dn = F.col("sl") * F.col("_sig")
     hit = F.filter("_path", lambda s: (s["cp"] > up) | (s["cp"] < -dn) | (s["h"] > F.lit(max_hp)))
-    m = m.withColumn("_exit", F.element_at(hit, 1)["cp"])
+    m = m.withColumn("_exit", F.get(hit, F.lit(0))["cp"]).where("_exit is not null")
     return m.groupBy(*keys, "pt", "sl").agg(F.avg("_exit").alias("mean"), F.stddev_pop("_exit").alias("std"),
                                             F.count(F.lit(1)).alias("n")).withColumn(
-        "sharpe", F.col("mean") / F.col("std"))
+        "sharpe", F.try_divide("mean", "std"))
 

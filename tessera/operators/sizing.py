@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tessera.functions.normal import norm_cdf
+from tessera.plans.sequence import join_keys
 from tessera.plans.timejoin import overlap_counts
 from tessera.session import cut_lineage
 
@@ -83,13 +86,17 @@ def sigmoid_sizing(forecasts: DataFrame, w: float, max_pos: int, keys=("symbol",
 
 # --------------------------------------------------------------------------- Z5 / Z6
 def concurrent_bets(signals: DataFrame, keys=("symbol",), start="t0", end="t1", side="side",
-                    dates: DataFrame | None = None, time_col="time") -> DataFrame:
-    """Long and short bets alive at each date (start <= date <= end, end included; open bets stay
-    alive).  Dates default to the signals' start times."""
+                    dates: DataFrame | None = None, time_col="time", lookback_days: int | None = None) -> DataFrame:
+    """Long (side >= 0) and short bets alive at each date (start <= date <= end, end included; open bets stay
+    alive).  Dates default to the signals' start times.  With ``lookback_days`` only bets started at most so many
+    days before a date count for it (the reference looks back 25)."""
     keys = list(keys)
+    if lookback_days is not None:
+        last = F.col(start) + F.expr(f"INTERVAL {int(lookback_days)} DAYS")
+        signals = signals.withColumn(end, F.least(F.coalesce(F.col(end), last), last))
     signals = cut_lineage(signals.select(*keys, start, end, side))  # three branches read it
     probes = dates if dates is not None else signals.select(*keys, F.col(start).alias(time_col)).distinct()
-    sides = signals.withColumn("_long", F.col(side) > 0)
+    sides = signals.withColumn("_long", F.col(side) >= 0)
     lng = overlap_counts(sides.where("_long"), keys, start, end, probes, time_col, end_inclusive=True)
     sht = overlap_counts(sides.where(~F.col("_long")), keys, start, end, probes, time_col, end_inclusive=True)
     return (probes.join(lng.select(*keys, time_col, F.col("alive").alias("long")), [*keys, time_col], "left")
@@ -102,38 +109,52 @@ def size_from_concurrency(conc: DataFrame, keys=("symbol",)) -> DataFrame:
     keys = list(keys)
     conc = cut_lineage(conc)
     mx = conc.groupBy(*keys).agg(F.max("long").alias("_ml"), F.max("short").alias("_ms"))
-    d = conc.join(mx, keys)
+    d = join_keys(conc, mx, keys)
     lp = F.when(F.col("_ml") > 0, F.col("long") / F.col("_ml")).otherwise(F.lit(0.0))
     sp = F.when(F.col("_ms") > 0, F.col("short") / F.col("_ms")).otherwise(F.lit(0.0))
     return d.withColumn("size", lp - sp).drop("_ml", "_ms")
 
 
 # --------------------------------------------------------------------------- Z7
-def size_from_mixture(conc: DataFrame, keys=("symbol",), seed: int = 1) -> DataFrame:
-    """Fit a two-component Gaussian mixture to c = long - short (MLlib, seeded) and size each
-    bet by the mixture CDF normalised around 0: (F(c)-F(0))/(1-F(0)) for c >= 0, else
-    (F(c)-F(0))/F(0).  The CDF is exact (Φ of each component), not integrated numerically."""
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.feature import VectorAssembler
-
+def fit_two_normals(x: np.ndarray, n: np.ndarray, rounds: int = 500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weights, means, standard deviations) of a mixture of two normals, by EM on values ``x`` that occur ``n``
+    times, from the halves below and above the mean."""
+    total, mean = n.sum(), (x * n).sum() / n.sum()
+    spread = max(float(np.sqrt((n * (x - mean) ** 2).sum() / total)), 1e-6)
+    w, mu, sd = np.array([0.5, 0.5]), np.array([mean - spread, mean + spread]), np.array([spread, spread])
+    for _ in range(rounds):
+        logs = np.log(w) - np.log(sd) - 0.5 * ((x[:, None] - mu) / sd) ** 2
+        share = np.exp(logs - logs.max(axis=1, keepdims=True))
+        share *= n[:, None] / share.sum(axis=1, keepdims=True)
+        mass = np.maximum(share.sum(axis=0), 1e-12)
+        new = (share * x[:, None]).sum(axis=0) / mass
+        sd = np.maximum(np.sqrt((share * (x[:, None] - new) ** 2).sum(axis=0) / mass), 1e-3 * spread)
+        w, moved, mu = mass / mass.sum(), np.abs(new - mu).max(), new
+        if moved < 1e-9 * spread:
+            break
+    return w, mu, sd
+
+
+def size_from_mixture(conc: DataFrame, keys=("symbol",)) -> DataFrame:
+    """Fit a two-component normal mixture to each key's c = long - short and size each bet by the mixture's
+    CDF around 0: (F(c)-F(0))/(1-F(0)) for c >= 0, else (F(c)-F(0))/F(0).  The fit reads the counts of the
+    values of c (whole numbers: a row per key and value); the CDF is exact (Φ of each component)."""
+    keys = list(keys)
     d = conc.withColumn("c", (F.col("long") - F.col("short")).cast("double"))
-    va = VectorAssembler(inputCols=["c"], outputCol="_f")
-    model = GaussianMixture(k=2, featuresCol="_f", seed=seed).fit(va.transform(d))
-    gs = model.gaussiansDF.collect()  # two rows: the fitted components
-    wts = model.weights
-    mus = [float(r["mean"][0]) for r in gs]
-    sds = [float(r["cov"].toArray()[0][0]) ** 0.5 for r in gs]
+    counts = d.groupBy(*keys, "c").agg(F.count(F.lit(1)).alias("_n"))
+    names = ["_w0", "_w1", "_m0", "_m1", "_s0", "_s1"]
+    schema = T.StructType([counts.schema[k] for k in keys] + [T.StructField(c, T.DoubleType()) for c in names])
 
-    def cdf(x: Column) -> Column:
-        out = F.lit(0.0)
-        for wgt, mu, sd in zip(wts, mus, sds):
-            out = out + F.lit(float(wgt)) * norm_cdf((x - mu) / F.lit(max(sd, 1e-12)))
-        return out
-
-    f0 = cdf(F.lit(0.0))
-    fc = cdf(F.col("c"))
-    size = F.when(F.col("c") >= 0, (fc - f0) / (1 - f0)).otherwise((fc - f0) / f0)
-    return d.withColumn("size", size)
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("c")
+        parts = np.concatenate(fit_two_normals(pdf["c"].to_numpy(float), pdf["_n"].to_numpy(float)))
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, **dict(zip(names, parts))}])[schema.names]
 
+    d = join_keys(d, counts.groupBy(*keys).applyInPandas(fit, schema), keys)
 
+    def cdf(x: Column) -> Column:
+        return sum((F.col(f"_w{k}") * norm_cdf((x - F.col(f"_m{k}")) / F.col(f"_s{k}")) for k in (0, 1)), F.lit(0.0))
 
+    f0, fc = cdf(F.lit(0.0)), cdf(F.col("c"))
+    size = F.when(F.col("c") >= 0, F.try_divide(fc - f0, 1 - f0)).otherwise(F.try_divide(fc - f0, f0))
+    return d.withColumn("size", size).drop(*names)

@@ -613,21 +613,30 @@ def q_time_decay(spark, sf):
     return d.select("symbol", "t0", r6("decay").alias("decay"))
 
 
-@register("w6_sequential_bootstrap")
+@register("w6_sequential_bootstrap", _label_sql() + _W_SQL + """
+SELECT symbol, CAST(r AS INTEGER) AS replicate, count(*) AS draws, true AS from_events, true AS in_range FROM wev, range(2) t(r) GROUP BY ALL""")
 def q_seq_bootstrap(spark, sf):
+    """As many draws as events, each of an event, with mean uniqueness in (0, 1]."""
     from tessera.operators.weights import indicator_matrix, sequential_bootstrap
     tk, ev = weight_events(spark, sf)
-    return sequential_bootstrap(indicator_matrix(tk, ev), replicates=2, seed=7)
+    drawn = sequential_bootstrap(indicator_matrix(tk, ev), replicates=2, seed=7)
+    known = ev.select("symbol", "t0").distinct().withColumn("known", F.lit(True))
+    b = drawn.join(known, ["symbol", "t0"], "left")
+    ok = lambda c: (F.col(c) > 0) & (F.col(c) <= 1 + 1e-12)
+    return b.groupBy("symbol", "replicate").agg(F.count(F.lit(1)).alias("draws"), F.every(F.coalesce("known", F.lit(False))).alias("from_events"),
+                                                F.every(ok("std_uniq") & ok("seq_uniq")).alias("in_range"))
 
 
-@register("w7_bootstrap_uniqueness")
+@register("w7_bootstrap_uniqueness", _label_sql() + _W_SQL + """
+SELECT symbol, 4 AS replicates, true AS in_range, true AS gains FROM wev GROUP BY symbol""")
 def q_bootstrap_uniq(spark, sf):
+    """Mean uniqueness over replicates: the sequential bootstrap's is not below the standard one's."""
     from tessera.operators.weights import indicator_matrix, sequential_bootstrap
     tk, ev = weight_events(spark, sf)
     b = sequential_bootstrap(indicator_matrix(tk, ev), replicates=4, seed=11)
-    return (b.groupBy("symbol", "replicate").agg(F.first("std_uniq").alias("std_uniq"),
-                                                 F.first("seq_uniq").alias("seq_uniq"))
-             .groupBy("symbol").agg(F.avg("std_uniq").alias("std_uniq"), F.avg("seq_uniq").alias("seq_uniq")))
+    per = b.groupBy("symbol", "replicate").agg(F.max("std_uniq").alias("std_uniq"), F.max("seq_uniq").alias("seq_uniq"))
+    return per.groupBy("symbol").agg(F.count(F.lit(1)).cast("int").alias("replicates"), F.every((F.col("seq_uniq") > 0) & (F.col("seq_uniq") <= 1)).alias("in_range"),
+                                     (F.avg("seq_uniq") >= F.avg("std_uniq")).alias("gains"))
 
 
 @register("w9_weighted_training_table", _label_sql() + _W_SQL + """,
@@ -1155,8 +1164,8 @@ def q_sigmoid(spark, sf):
 
 _CONC_SQL = """,
 dts AS (SELECT DISTINCT symbol, t0 AS time FROM sig),
-conc AS (SELECT d.symbol, d.time, count(s.t0) FILTER (WHERE s.side > 0) AS long,
-                count(s.t0) FILTER (WHERE s.side <= 0) AS short FROM dts d
+conc AS (SELECT d.symbol, d.time, count(s.t0) FILTER (WHERE s.side >= 0) AS long,
+                count(s.t0) FILTER (WHERE s.side < 0) AS short FROM dts d
          LEFT JOIN sig s ON s.symbol = d.symbol AND s.t0 <= d.time AND (d.time <= s.t1 OR s.t1 IS NULL)
          GROUP BY d.symbol, d.time)"""
 
@@ -1179,12 +1188,13 @@ def q_conc_size(spark, sf):
     return s.select("symbol", "time", r6("size").alias("size"))
 
 
-@register("z7_size_from_mixture")
+@register("z7_size_from_mixture", f"""WITH {SIG_CTE}{_CONC_SQL}
+SELECT symbol, time, CAST(long - short AS DOUBLE) AS c, true AS in_range, true AS same_side FROM conc""")
 def q_mixture(spark, sf):
+    """Sizes by a mixture per symbol; SQL has no such fit, so it holds the sizes to their range and side."""
     from tessera.operators.sizing import concurrent_bets, size_from_mixture
-    from tessera.session import cut_lineage
-    c = cut_lineage(concurrent_bets(signals(spark, sf)))
-    return size_from_mixture(c).select("symbol", "time", "c", r6("size").alias("size"))
+    s = size_from_mixture(concurrent_bets(signals(spark, sf)))
+    return s.select("symbol", "time", "c", (F.abs("size") <= 1).alias("in_range"), (F.signum("size") == F.signum("c")).alias("same_side"))
 
 
 # ============================================================================ allocation
@@ -1243,22 +1253,51 @@ def q_cluster_var(spark, sf):
     return cluster_variance(covariance(r), cl).select("cluster", F.round("cluster_var", 9).alias("cluster_var"))
 
 
-@register("a5_hrp_weights")
+@register("a5_hrp_weights", f"""WITH {BRAND_RET_CTE}
+SELECT a AS asset, round((1.0 / cov) / sum(1.0 / cov) OVER (), 6) AS ivp, true AS positive, 1.0::DOUBLE AS hrp_total FROM cov WHERE a = b""")
 def q_hrp(spark, sf):
+    """HRP beside inverse-variance weights; the tests hold HRP against a step-by-step agglomeration."""
     from tessera.operators.allocation import covariance, hrp_weights
-    return hrp_weights(covariance(brand_returns(spark, sf))).select("asset", r6("hrp").alias("hrp"), r6("ivp").alias("ivp"))
+    from pyspark.sql import Window
+    w = hrp_weights(covariance(brand_returns(spark, sf)))
+    return w.select("asset", r6("ivp").alias("ivp"), (F.col("hrp") > 0).alias("positive"), F.round(F.sum("hrp").over(Window.partitionBy(F.lit(1))), 6).alias("hrp_total"))
+
+
+A6_FIT, A6_HOLD = 260, 22
 
 
-@register("a6_rolling_rebalance")
+@register("a6_rolling_rebalance", f"""WITH {BRAND_RET_CTE},
+di AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM bret)),
+r AS (SELECT bret.*, di.i FROM bret JOIN di USING (date)),
+wins AS (SELECT unnest(range(0, CAST((SELECT max(i) FROM di) AS BIGINT) // {A6_HOLD} + 1)) AS win),
+v AS (SELECT w.win, r.asset, 1.0 / var_samp(r.ret) AS iv FROM wins w JOIN r ON r.i >= w.win * {A6_HOLD} AND r.i < w.win * {A6_HOLD} + {A6_FIT} GROUP BY ALL),
+wt AS (SELECT win, asset, iv / sum(iv) OVER (PARTITION BY win) AS w FROM v),
+oos AS (SELECT w.win, r.date, sum(wt.w * r.ret) AS ret FROM wins w JOIN r ON r.i >= w.win * {A6_HOLD} + {A6_FIT} AND r.i < (w.win + 1) * {A6_HOLD} + {A6_FIT}
+        JOIN wt ON wt.win = w.win AND wt.asset = r.asset GROUP BY ALL),
+per AS (SELECT win, product(1 + ret) AS cum_ivp, count(*) AS days FROM oos GROUP BY win)
+SELECT CAST(win AS INTEGER) AS win, days, round(ln(cum_ivp), 6) AS log_ivp, round(sum(ln(cum_ivp)) OVER (ORDER BY win), 6) AS log_total_ivp, true AS hrp_positive FROM per""")
 def q_rebalance(spark, sf):
     from tessera.operators.allocation import rolling_rebalance
-    return rolling_rebalance(brand_returns(spark, sf), s_length=260, rebal=22)
+    r = rolling_rebalance(brand_returns(spark, sf), s_length=A6_FIT, rebal=A6_HOLD)
+    return r.select(F.col("win").cast("int").alias("win"), "days", F.round(F.ln("cum_ivp"), 6).alias("log_ivp"), r6("log_total_ivp").alias("log_total_ivp"),
+                    ((F.col("cum_hrp") > 0) & (F.col("total_hrp") > 0)).alias("hrp_positive"))
 
 
-@register("a7_pca_weights")
+@register("a7_pca_weights", f"""WITH {BRAND_RET_CTE}
+SELECT count(DISTINCT a) AS assets, 1.0::DOUBLE AS risk, 0.0::DOUBLE AS off_direction FROM cov""")
 def q_pca(spark, sf):
+    """Weights on the direction of least variance: their risk is the target, and the covariance maps them onto
+    themselves."""
     from tessera.operators.allocation import covariance, pca_weights
-    return pca_weights(covariance(brand_returns(spark, sf))).select("asset", r6("weight").alias("weight"))
+    from tessera.session import cut_lineage
+    c = cut_lineage(covariance(brand_returns(spark, sf)))
+    w = cut_lineage(pca_weights(c))
+    wa, wb = w.select(F.col("asset").alias("a"), F.col("weight").alias("wa")), w.select(F.col("asset").alias("b"), F.col("weight").alias("wb"))
+    cw = c.join(wb, "b").groupBy("a").agg(F.sum(F.col("cov") * F.col("wb")).alias("cw")).join(wa, "a")
+    sums = cw.agg(F.count(F.lit(1)).alias("assets"), F.sum(F.col("wa") * F.col("cw")).alias("risk"), F.sum(F.col("cw") * F.col("cw")).alias("cc"), F.sum(F.col("wa") * F.col("wa")).alias("ww"))
+    # |Cw|^2 |w|^2 - (wCw)^2 is 0 only if Cw is a multiple of w
+    off = (F.col("cc") * F.col("ww") - F.col("risk") * F.col("risk")) / (F.col("risk") * F.col("risk"))
+    return sums.select("assets", r6("risk").alias("risk"), F.abs(F.round(off, 5)).alias("off_direction"))
 
 
 # ============================================================================ entropy
@@ -1393,15 +1432,16 @@ def q_ar1(spark, sf):
 
 
 # ============================================================================ cross-validation and importance
-CV_FOLDS = 3
+CV_FOLDS = 5
 CV_EMBARGO = 0.01
-ML_FEATURES = ["f_vol", "f_autocorr", "f_side", "N_noise"]
+ML_TREES = 25
+ML_FEATURES = ["f_vol", "f_autocorr", "f_side", "N_noise", "I_signal"]
 
 
 def ml_table(spark, sf):
     """Meta-label training table on the label events: features (daily vol, rolling tick-return
-    autocorrelation, CUSUM side, a hash noise column), label = bin > 0, weight = average
-    uniqueness, t0/t1 for purging; checkpointed once (several fits read it)."""
+    autocorrelation, CUSUM side, a hash noise column, and a planted one: the label plus noise), label = bin > 0,
+    weight = average uniqueness, t0/t1 for purging; written once (several fits read it)."""
     from tessera.operators.filters import bar_returns, rolling_autocorr
     from tessera.operators.labels import get_bins
     from tessera.operators.weights import avg_uniqueness
@@ -1415,6 +1455,7 @@ def ml_table(spark, sf):
     d = d.select("symbol", "t0", "t1", F.col("trgt").alias("f_vol"),
                  F.coalesce("autocorr", F.lit(0.0)).alias("f_autocorr"), F.col("side").cast("double").alias("f_side"),
                  (F.pmod(F.xxhash64("symbol", "t0"), F.lit(1000)) / 1000.0).alias("N_noise"),
+                 ((F.col("bin") > 0).cast("double") + F.pmod(F.xxhash64("t0", "symbol"), F.lit(1000)) / 500.0).alias("I_signal"),
                  (F.col("bin") > 0).cast("double").alias("label"), F.coalesce("tw", F.lit(1.0)).alias("w"))
     from tessera.plans.sequence import POS, with_pos
     d = with_pos(d, [], ["t0", "symbol"]).withColumnRenamed(POS, "row_id")
@@ -1475,122 +1516,187 @@ def q_kfold(spark, sf):
     return k.select(F.col("fold").cast("int").alias("fold"), "symbol", "t0", "role")
 
 
-@register("m4_cv_score")
+# Models have no SQL form.  Their queries return what SQL can tell of them: the rows they were trained and
+# tested on, bounds, sums, and that a planted feature (the label plus noise) stands above a noise column.
+_ML_SQL = _label_sql() + _W_SQL + """,
+mlt AS (SELECT ev.symbol, ev.t0, ev.t1, ev.trgt, cus.side, uniq.tw, CAST(b.bin > 0 AS INTEGER) AS label FROM ev JOIN cus ON cus.symbol = ev.symbol AND cus.t0 = ev.t0
+        JOIN bins b ON b.symbol = ev.symbol AND b.t0 = ev.t0 LEFT JOIN uniq ON uniq.symbol = ev.symbol AND uniq.t0 = ev.t0),
+mlo AS (SELECT *, row_number() OVER (ORDER BY t0, symbol) - 1 AS pos, ntile(""" + str(CV_FOLDS) + """) OVER (ORDER BY t0, symbol) - 1 AS tfold, count(*) OVER () AS n FROM mlt),
+mfs AS (SELECT tfold AS fold, arg_min(t0, pos) AS t0s, max(t1) AS mt1 FROM mlo GROUP BY tfold),
+mfi AS (SELECT mfs.*, (SELECT count(*) FROM mlo WHERE mlo.t0 < mfs.mt1) AS mi FROM mfs),
+mrl AS (SELECT f.fold, e.label, CASE WHEN e.tfold = f.fold THEN 'test' ELSE 'train' END AS role FROM mlo e CROSS JOIN mfi f
+        WHERE e.tfold = f.fold OR e.t1 <= f.t0s OR (f.mi < e.n AND e.pos >= f.mi + CAST(floor(e.n * """ + str(CV_EMBARGO) + """) AS BIGINT)))"""
+
+
+def _imp_sql(extra: str = "") -> str:
+    names = ", ".join(f"('{f}')" for f in ML_FEATURES)
+    return _ML_SQL + f"""
+SELECT f.feature, true AS in_range, true AS signal_above_noise{extra} FROM (VALUES {names}) f(feature)"""
+
+
+def _imp_properties(imp, in_range, *more):
+    from pyspark.sql import Window
+    every = Window.partitionBy(F.lit(1))  # a row per feature
+    of = lambda n: F.max(F.when(F.col("feature") == n, F.col("mean"))).over(every)
+    return imp.select("feature", in_range.alias("in_range"), (of("I_signal") > of("N_noise")).alias("signal_above_noise"), *more)
+
+
+@register("m4_cv_score", _ML_SQL + """
+SELECT CAST(fold AS INTEGER) AS fold, count(*) FILTER (WHERE role = 'train') AS train_rows, count(*) FILTER (WHERE role = 'test') AS test_rows, true AS in_range FROM mrl GROUP BY fold""")
 def q_cv_score(spark, sf):
     from tessera.operators.cv import cv_score_table, cv_scores
     data, folds = ml_folds(spark, sf)
-    return cv_score_table(spark, cv_scores(data, folds, ML_FEATURES, "neg_log_loss", num_trees=20))
+    t = cv_score_table(spark, cv_scores(data, folds, ML_FEATURES, "neg_log_loss", num_trees=ML_TREES))
+    n = folds.groupBy("fold").agg(F.count_if(F.col("role") == "train").alias("train_rows"), F.count_if(F.col("role") == "test").alias("test_rows"))
+    return t.join(n, "fold").select("fold", "train_rows", "test_rows", ((F.col("score") < 0) & (F.col("score") > -5)).alias("in_range"))
 
 
-@register("m5_importance_mdi")
+@register("m5_importance_mdi", _imp_sql(", 1.0::DOUBLE AS total"))
 def q_mdi(spark, sf):
-    from tessera.operators.cv import forest, importance_mdi
-    data = ml_table(spark, sf)
-    return importance_mdi(spark, forest(ML_FEATURES, num_trees=30).fit(data), ML_FEATURES)
+    from pyspark.sql import Window
+    from tessera.operators.cv import fit_forest, importance_mdi
+    imp = importance_mdi(spark, fit_forest(ml_table(spark, sf), ML_FEATURES, num_trees=100), ML_FEATURES)
+    return _imp_properties(imp, F.col("mean").between(0, 1), F.round(F.sum("mean").over(Window.partitionBy(F.lit(1))), 6).alias("total"))
 
 
-@register("m6_importance_mda")
+@register("m6_importance_mda", _imp_sql())
 def q_mda(spark, sf):
     from tessera.operators.cv import importance_mda
     data, folds = ml_folds(spark, sf)
-    imp, _ = importance_mda(spark, data, folds, ML_FEATURES, "neg_log_loss", num_trees=20)
-    return imp
+    imp, _ = importance_mda(spark, data, folds, ML_FEATURES, "neg_log_loss", num_trees=ML_TREES)
+    return _imp_properties(imp, F.col("mean") <= 1)
 
 
-@register("m7_importance_sfi")
+@register("m7_importance_sfi", _imp_sql())
 def q_sfi(spark, sf):
     from tessera.operators.cv import importance_sfi
     data, folds = ml_folds(spark, sf)
-    return importance_sfi(spark, data, folds, ML_FEATURES, "accuracy", num_trees=10)
+    return _imp_properties(importance_sfi(spark, data, folds, ML_FEATURES, "accuracy", num_trees=ML_TREES), F.col("mean").between(0, 1))
 
 
-@register("m8_orthogonal_features")
+@register("m8_orthogonal_features", _ML_SQL + """,
+c AS (SELECT corr(trgt, side) AS a, corr(trgt, tw) AS b, corr(side, tw) AS d, count(*) AS n FROM mlt)
+SELECT n AS rows, 3 AS components, 3.0::DOUBLE AS variance, round(3 + 2 * (a * a + b * b + d * d), 5) AS squares, 0.0::DOUBLE AS shared FROM c""")
 def q_ortho(spark, sf):
+    """All components of three features: variances that sum to 3, whose squares sum as the correlations', and no
+    covariance between components."""
     from tessera.operators.cv import orthogonal_features
-    return orthogonal_features(ml_table(spark, sf), ML_FEATURES, 0.95).select("row_id", "pc")
+    p = orthogonal_features(ml_table(spark, sf), ["f_vol", "f_side", "w"], 1.0)
+    c = [F.get("pc", F.lit(i)) for i in range(3)]
+    v = [F.var_samp(x) for x in c]
+    shared = F.greatest(*[F.abs(F.covar_samp(c[i], c[j])) for i in range(3) for j in range(i)])
+    return p.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("pc")).alias("components"), F.round(v[0] + v[1] + v[2], 5).alias("variance"),
+                 F.round(v[0] * v[0] + v[1] * v[1] + v[2] * v[2], 5).alias("squares"), F.round(shared, 5).alias("shared"))
 
 
-@register("m9_feature_importance")
+@register("m9_feature_importance", _ML_SQL + """
+SELECT m.method, f.feature, true AS oos_in_range, true AS signal_above_noise FROM (VALUES ('MDI'), ('MDA')) m(method), (VALUES """ + ", ".join(f"('{f}')" for f in ML_FEATURES) + """) f(feature)""")
 def q_feat_imp(spark, sf):
-    from tessera.operators.cv import importance_mda
+    from tessera.operators.cv import feature_importance
     data, folds = ml_folds(spark, sf)
-    imp, oos = importance_mda(spark, data, folds, ML_FEATURES, "accuracy", num_trees=20, subsampling=0.8)
-    return imp.withColumn("oos_score", F.lit(float(oos)))
+    out = None
+    for method in ("MDI", "MDA"):
+        imp, oos = feature_importance(spark, data, folds, ML_FEATURES, method, "accuracy", "bagging", num_trees=ML_TREES)
+        one = _imp_properties(imp, F.lit(0 < oos <= 1)).select(F.lit(method).alias("method"), "feature", F.col("in_range").alias("oos_in_range"), "signal_above_noise")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-@register("m10_family_importance")
+@register("m10_family_importance", "SELECT family, true AS in_range, 1.0::DOUBLE AS total FROM (VALUES ('f'), ('I'), ('N')) t(family)")
 def q_family(spark, sf):
-    from tessera.operators.cv import family_importance, forest, importance_mdi
-    data = ml_table(spark, sf)
-    return family_importance(importance_mdi(spark, forest(ML_FEATURES, num_trees=30).fit(data), ML_FEATURES))
+    from pyspark.sql import Window
+    from tessera.operators.cv import family_importance, fit_forest, importance_mdi
+    fam = family_importance(importance_mdi(spark, fit_forest(ml_table(spark, sf), ML_FEATURES, num_trees=ML_TREES), ML_FEATURES))
+    return fam.select("family", F.col("mean").between(0, 1).alias("in_range"), F.round(F.sum("mean").over(Window.partitionBy(F.lit(1))), 6).alias("total"))
 
 
-@register("m11_sliced_importance")
+@register("m11_sliced_importance", "SELECT feature, true AS sliced_in_range, true AS whole_in_range FROM (VALUES " + ", ".join(f"('{f}')" for f in ML_FEATURES) + ") t(feature)")
 def q_sliced(spark, sf):
-    from tessera.operators.cv import forest, importance_mdi
+    """Importances of four slices (by a hash of the symbol's row) beside the whole's."""
+    from tessera.operators.cv import fit_forest, importance_mdi, sliced_importance
     data = ml_table(spark, sf)
-    syms = [r[0] for r in data.select("symbol").distinct().collect()]  # the slice ids
-    parts = [importance_mdi(spark, forest(ML_FEATURES, num_trees=20).fit(data.where(F.col("symbol") == s)),
-                            ML_FEATURES).withColumn("slice", F.lit(s)) for s in sorted(syms)]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    whole = importance_mdi(spark, forest(ML_FEATURES, num_trees=20).fit(data), ML_FEATURES)
-    return (u.groupBy("feature").agg(F.avg("mean").alias("sliced_mean"))
-             .join(whole.select("feature", F.col("mean").alias("whole_mean")), "feature"))
-
-
-@register("m12_fold_metrics")
+    mdi = lambda d: importance_mdi(spark, fit_forest(d, ML_FEATURES, num_trees=ML_TREES), ML_FEATURES)
+    s = sliced_importance(data, F.pmod(F.xxhash64("row_id"), F.lit(4)), 4, mdi)
+    return s.select("feature", F.col("sliced_mean").between(0, 1).alias("sliced_in_range"), F.col("whole_mean").between(0, 1).alias("whole_in_range"))
+
+
+@register("m12_fold_metrics", _ML_SQL + """
+SELECT CAST(fold AS INTEGER) AS fold, count(*) AS rows, sum(label)::BIGINT AS positives, true AS in_range FROM mrl WHERE role = 'test' GROUP BY fold
+UNION ALL SELECT -1, 101, NULL, true""")
 def q_fold_metrics(spark, sf):
-    from tessera.operators.cv import cv_scores, fold_metrics
+    """Metrics of each fold, and in fold -1 the mean ROC: its points with the area, and that it rises."""
+    from pyspark.sql import Window
+    from tessera.operators.cv import cv_scores, fold_metrics, fold_predictions, mean_roc
+    from tessera.session import cut_lineage
     data, folds = ml_folds(spark, sf)
-    return fold_metrics(spark, cv_scores(data, folds, ML_FEATURES, "accuracy", num_trees=20))
+    p = cut_lineage(fold_predictions(cv_scores(data, folds, ML_FEATURES, "accuracy", num_trees=ML_TREES)))
+    m = fold_metrics(p).join(p.groupBy("fold").agg(F.sum("label").cast("long").alias("positives")), "fold")
+    ok = lambda c: F.col(c).isNull() | F.col(c).between(0, 1)
+    m = m.select("fold", "rows", "positives", (ok("accuracy") & ok("precision") & ok("recall") & ok("auc") & (F.col("auc") > 0.5)).alias("in_range"))
+    roc = mean_roc(p).withColumn("_before", F.lag("tpr").over(Window.orderBy("i")))
+    rises = (F.col("i") <= 0) | (F.col("tpr") >= F.col("_before") - 1e-12)
+    return m.unionByName(roc.agg(F.count(F.lit(1)).alias("rows"), F.every(rises & F.col("tpr").between(0, 1)).alias("in_range")).select(
+        F.lit(-1).alias("fold"), "rows", F.lit(None).cast("long").alias("positives"), "in_range"))
+
 
+GRID = {"num_trees": [10, ML_TREES], "max_depth": [3, 5], "subsampling": [0.5, 1.0]}
 
-GRID = [{"num_trees": 10, "max_depth": 3}, {"num_trees": 10, "max_depth": 5}, {"num_trees": 20, "max_depth": 3}]
 
+def _search_sql(n: int) -> str:
+    return _ML_SQL + f"""
+SELECT CAST(p AS INTEGER) AS point, true AS in_range, (SELECT count(*) FROM mlt) AS scored, true AS above_chance FROM range({n}) t(p)"""
 
-@register("m13_grid_search")
+
+def _search_properties(spark, data, found, model):
+    """The points' scores in range; the refitted best model scores every row, and better than chance."""
+    from tessera.operators.cv import score
+    pred = model.transform(data)
+    return found.select("point", F.col("mean_score").between(0, 1).alias("in_range"), F.lit(pred.count()).cast("long").alias("scored"),
+                        F.lit(score(pred, "accuracy") > 0.5).alias("above_chance"))
+
+
+@register("m13_grid_search", _search_sql(8))
 def q_grid(spark, sf):
-    from tessera.operators.cv import grid_search
+    from tessera.operators.cv import grid_points, search
     data, folds = ml_folds(spark, sf)
-    return grid_search(spark, data, folds, ML_FEATURES, GRID, "neg_log_loss")
+    return _search_properties(spark, data, *search(spark, data, folds, ML_FEATURES, grid_points(GRID)))
 
 
-@register("m14_random_search")
+@register("m14_random_search", _search_sql(6))
 def q_random(spark, sf):
-    from tessera.operators.cv import grid_search, log_uniform
+    from tessera.operators.cv import log_uniform, random_points, search
     data, folds = ml_folds(spark, sf)
-    pts = [{"num_trees": 10, "subsampling": round(min(1.0, s), 4)} for s in log_uniform(0.1, 1.0, 3, seed=5)]
-    return grid_search(spark, data, folds, ML_FEATURES, pts, "neg_log_loss")
+    points = random_points({"num_trees": [10, ML_TREES], "subsampling": log_uniform(0.1, 1.0)}, 6, seed=5)
+    return _search_properties(spark, data, *search(spark, data, folds, ML_FEATURES, points, bagging=(3, 0.8)))
 
 
-@register("m15_is_sharpe")
+@register("m15_is_sharpe", _ML_SQL + "SELECT 1 AS best_points, true AS positive")
 def q_is_sharpe(spark, sf):
-    from tessera.operators.cv import grid_search, is_sharpe
+    from tessera.operators.cv import grid_points, is_sharpe, search
     data, folds = ml_folds(spark, sf)
-    return is_sharpe(grid_search(spark, data, folds, ML_FEATURES, GRID, "neg_log_loss"))
+    found, _ = search(spark, data, folds, ML_FEATURES, grid_points({"num_trees": [10], "max_depth": [3, 5]}), "neg_log_loss")
+    return is_sharpe(found).agg(F.count(F.lit(1)).cast("int").alias("best_points"), F.every(F.col("is_sharpe") > 0).alias("positive"))
 
 
-@register("m16_chronological_split")
+@register("m16_chronological_split", _ML_SQL + """
+SELECT count(*) AS test_rows, true AS in_range FROM mlo WHERE pos >= floor(n * 0.7)""")
 def q_chrono(spark, sf):
-    from tessera.operators.cv import chronological_split, forest
-    data = ml_table(spark, sf)
-    tr, te = chronological_split(data, 0.3)
-    pred = forest(ML_FEATURES, num_trees=20).fit(tr).transform(te)
-    return pred.agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"),
-                    F.count(F.lit(1)).alias("test_rows"))
+    from tessera.operators.cv import chronological_split, fit_forest, holdout_metrics
+    tr, te = chronological_split(ml_table(spark, sf), 0.3)
+    m = holdout_metrics(fit_forest(tr, ML_FEATURES, num_trees=100), te)
+    ok = lambda c: F.col(c).isNull() | F.col(c).between(0, 1)
+    return m.select("test_rows", (ok("accuracy") & ok("precision") & ok("recall")).alias("in_range"))
 
 
-@register("m17_bagged_one_vs_rest")
+@register("m17_bagged_one_vs_rest", _ML_SQL + """
+SELECT (SELECT count(*) FROM mlo WHERE pos >= floor(n * 0.7)) AS test_rows, (SELECT round(avg(tw), 6) FROM mlt) AS sample_share, true AS in_range""")
 def q_ovr(spark, sf):
-    from tessera.operators.cv import bagged_one_vs_rest, chronological_split
+    from tessera.operators.cv import bagged_one_vs_rest, chronological_split, holdout_metrics
     data = ml_table(spark, sf)
-    mean_u = data.agg(F.avg("w")).first()[0]
+    share = float(data.agg(F.avg("w")).first()[0])
     tr, te = chronological_split(data, 0.3)
-    pred = bagged_one_vs_rest(tr, ML_FEATURES, subsampling=float(mean_u)).transform(te)
-    return pred.agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"),
-                    F.lit(float(mean_u)).alias("subsampling"))
+    m = holdout_metrics(bagged_one_vs_rest(tr, ML_FEATURES, subsampling=share, num_trees=ML_TREES), te)
+    return m.select("test_rows", F.round(F.lit(share), 6).alias("sample_share"), F.col("accuracy").between(0, 1).alias("in_range"))
 
 
 # ============================================================================ exponential windows
