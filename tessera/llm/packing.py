@@ -36,7 +36,7 @@ TABLE_ENTRIES = 1_000_000
 #: outside ASCII that are left lie in Latin-1 and Latin Extended-A, and each lower-cases to one of them.
 _LATIN = "a-zß-öø-ſ"
 _RUN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^ \t-\r{_LATIN}0-9]+")
-_ODD = re.compile(r"[^\x00-\x7fÀ-ÖØ-öø-įı-ſ]|<\|")
+_ODD = re.compile(r"[^\x00-\x7fÀ-ÖØ-öø-įı-ſ]")
 
 
 def vocabulary() -> str:
@@ -58,7 +58,8 @@ def encode(texts: list[str], path: str | None = None) -> list[bytes]:
     as_bytes = lambda e: np.array(e.ids, dtype="<u4").tobytes()
     if path:
         return [as_bytes(e) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    runs = [None if _ODD.search(t) else _RUN.findall(t.lower()) for t in texts]
+    odd = lambda t: "<|" in t or not t.isascii() and _ODD.search(t)
+    runs = [None if odd(t) else _RUN.findall(t.lower()) for t in texts]
     new = set().union(*(r for r in runs if r)).difference(table)
     if new:
         if len(table) + len(new) > TABLE_ENTRIES:
@@ -87,7 +88,7 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     data += end
                     for piece, lo in enumerate(range(0, len(data), 4 * capacity)):
                         cut = data[lo:lo + 4 * capacity]
-                        rows.append((k, piece, lo // 4, len(cut) // 4, zlib.crc32(cut), np.frombuffer(cut, "<u4").astype(np.int32)))
+                        rows.append((k, piece, lo // 4, len(cut) // 4, zlib.crc32(cut), np.frombuffer(cut, "<u4").astype(np.int32) if ids else None))
                 k, *cols = zip(*rows)
                 arrays = [b.column(0).take(pa.array(k)), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:4])]
                 yield pa.RecordBatch.from_arrays(arrays + ([pa.array(list(cols[4]), pa.list_(pa.int32()))] if ids else []), names)
