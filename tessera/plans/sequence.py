@@ -21,6 +21,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tessera.session import cut_lineage
+
 POS = "_pos"
 CHUNK = "_chunk"
 HALO = "_halo"
@@ -227,6 +229,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     keys = list(keys)
     d = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     splits = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", [k / 64 for k in range(1, 64)], 1000).alias("_s"))
+    splits = cut_lineage(splits)  # approximate quantiles may differ when computed again, and are read twice
     d = join_keys(d, splits, keys)
     ranked = with_pos(d, keys, ["_v"], block=F.size(F.filter("_s", lambda e: e < F.col("_v"))))
     at = F.array(*[F.lit(float(p)) for p in probs])
