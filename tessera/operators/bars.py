@@ -37,11 +37,11 @@ def tick_bars(trades: DataFrame, freq: int, keys: Sequence[str] = ("symbol",), o
 
 # --------------------------------------------------------------------------- B2 / B3
 def volume_bars(trades: DataFrame, threshold: float, keys: Sequence[str] = ("symbol",), keep_tail=False):
-    return threshold_bars(trades, keys, F.col("size"), threshold, ORDER, keep_tail=keep_tail)
+    return threshold_bars(trades, keys, F.col("size"), threshold, ORDER, keep_tail=keep_tail).drop("last_seq", "price_std")
 
 
 def dollar_bars(trades: DataFrame, threshold: float, keys: Sequence[str] = ("symbol",), keep_tail=False):
-    return threshold_bars(trades, keys, F.col("price") * F.col("size"), threshold, ORDER, keep_tail=keep_tail)
+    return threshold_bars(trades, keys, F.col("price") * F.col("size"), threshold, ORDER, keep_tail=keep_tail).drop("last_seq", "price_std")
 
 
 # --------------------------------------------------------------------------- B4
@@ -64,63 +64,20 @@ def daily_dollar_volume(trades: DataFrame, keys: Sequence[str] = ("symbol",), da
 def daily_dollar_bars(trades: DataFrame, keys: Sequence[str] = ("symbol",), divisor: float = 1000.0,
                       vol_span: float = 10) -> DataFrame:
     """Dollar bars whose threshold is the day's adaptive dollar volume / 1000; the running sum
-    restarts with every bar and every day, so each (key, day) is one bounded grouped-map task.
-    Features: time (last tick), OHLC, volume, price_std (sample), log_range = ln(high/low), count,
-    and ``volatility`` = EWM mean (span 10) of price_std over the key's bars.  Tails are kept."""
+    restarts with every bar and every day: threshold bars of (key, day) series, a threshold for each.
+    Features: time (last tick), OHLC, volume, price_std (sample), log_range = ln(high/low) (null for a low that is
+    not positive), count, and ``volatility`` = EWM mean (span 10) of price_std over the key's bars.  Tails are
+    kept."""
     keys = list(keys)
     thr = daily_dollar_volume(trades, keys).select(*keys, "date", "daily_threshold")
     d = join_keys(trades.withColumn("date", F.to_date("ts")), thr, [*keys, "date"])
-    key_fields = [f for f in d.schema.fields if f.name in keys]
-    ts_type = d.schema["ts"].dataType
-    schema = T.StructType(key_fields + [
-        T.StructField("date", T.DateType()), T.StructField("group_id", T.LongType()),
-        T.StructField("time", ts_type), T.StructField("last_seq", T.LongType()),
-        T.StructField("open", T.DoubleType()), T.StructField("close", T.DoubleType()),
-        T.StructField("high", T.DoubleType()), T.StructField("low", T.DoubleType()),
-        T.StructField("volume", T.DoubleType()), T.StructField("price_std", T.DoubleType()),
-        T.StructField("log_range", T.DoubleType()), T.StructField("count", T.LongType())])
-
-    def per_day(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "seq"], kind="stable").reset_index(drop=True)
-        thr_v = float(pdf["daily_threshold"].iloc[0]) / divisor
-        gid = _reset_ids(pdf["price"].to_numpy() * pdf["size"].to_numpy(), thr_v)
-        g = pdf.groupby(gid, sort=True)
-        res = pd.DataFrame({
-            "time": g["ts"].last(), "last_seq": g["seq"].last(), "open": g["price"].first(),
-            "close": g["price"].last(), "high": g["price"].max(), "low": g["price"].min(),
-            "volume": g["size"].sum(), "price_std": g["price"].std(ddof=1),
-            "count": g["price"].size().astype(np.int64)})
-        res["log_range"] = np.log(res["high"] / res["low"].where(res["low"] > 0))
-        res.index.name = "group_id"
-        res = res.reset_index()
-        for k in keys + ["date"]:
-            res[k] = pdf[k].iloc[0]
-        return res[[f.name for f in schema.fields]]
-
-    bars = d.groupBy(*keys, "date").applyInPandas(per_day, schema)
+    bars = threshold_bars(d, [*keys, "date"], F.col("price") * F.col("size"), F.col("daily_threshold") / divisor, ORDER, keep_tail=True)
+    bars = bars.select(*keys, "date", F.col("bar").alias("group_id"), F.col("end_ts").alias("time"), "last_seq", "open", "close", "high", "low", "volume", "price_std",
+                       F.when(F.col("low") > 0, F.ln(F.col("high") / F.col("low"))).alias("log_range"), F.col("ticks").alias("count"))
     bars = E.ewm(bars, keys, ["time", "last_seq"], "price_std", out_mean="volatility", span=vol_span)
     return bars.drop("last_seq")
 
 
-def _reset_ids(v: np.ndarray, thr: float) -> np.ndarray:
-    """Bar id per tick for a running sum that restarts after reaching ``thr`` (closing tick
-    included in its bar).  Linear in the tick count: the next close is a ``searchsorted``."""
-    n = len(v)
-    L = np.cumsum(v)
-    ids = np.zeros(n, dtype=np.int64)
-    start, base, gid = 0, 0.0, 0
-    while start < n:
-        k = int(np.searchsorted(L, base + thr, side="left"))
-        if k >= n:
-            ids[start:] = gid
-            break
-        ids[start:k + 1] = gid
-        gid += 1
-        base = L[k]
-        start = k + 1
-    return ids
-
-
 # --------------------------------------------------------------------------- B7
 def tick_rule(trades: DataFrame, keys: Sequence[str] = ("symbol",), first_sign: int = 1,
               out: str = "price_diff") -> DataFrame:

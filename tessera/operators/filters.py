@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from tessera.plans import ewm as E
-from tessera.plans.sequence import CHUNK, HALO, POS, halo_chunks, shift, with_pos
+from tessera.plans.sequence import CHUNK, HALO, POS, halo_chunks, join_keys, shift, with_pos
 from tessera.plans.timejoin import asof
 from tessera.session import cut_lineage
 
@@ -45,7 +45,7 @@ def _cusum_day(x: np.ndarray, h: float, pos: float, neg: float):
 
 
 def cusum_events(series: DataFrame, h: float, keys: Sequence[str] = ("symbol",), time_col: str = "time",
-                 value: str = "close", seq: str | None = "seq") -> DataFrame:
+                 value: str = "close", seq: str | None = "seq", chunk_rows: int = 1 << 16) -> DataFrame:
     """Symmetric CUSUM filter on first differences of ``value``: sPos = max(0, sPos+Δ),
     sNeg = min(0, sNeg+Δ); an event when sNeg < -h (tested first) or sPos > h, and only the
     tripped side resets.  Duplicate times keep their first row.
@@ -53,23 +53,23 @@ def cusum_events(series: DataFrame, h: float, keys: Sequence[str] = ("symbol",),
     Both accumulators stay within [-h, h] between steps, so they never trip together: each side is
     an independent clamped accumulator whose day is summarised by a transfer table over its entry
     state (``clamped_transfer``: a live interval plus the concrete states that clamps and resets
-    collapse into, usually one row).  Pass 1 builds the tables per (key, day), pass 2 walks the
-    days of each key over those small tables, pass 3 rescans each (key, day) from its true entry
-    state and emits the events -- no task ever holds more than one day of one key."""
+    collapse into, usually one row).  Pass 1 builds the tables per (key, chunk of positions), pass 2 walks the
+    chunks of each key over those small tables, pass 3 rescans each (key, chunk) from its true entry
+    state and emits the events -- no task ever holds more than ``chunk_rows`` rows."""
     from tessera.plans.segment import clamped_transfer, transfer_apply
 
     keys = list(keys)
     order = [time_col] + ([seq] if seq else [])
     first = series.groupBy(*keys, time_col).agg(F.min_by(value, F.struct(*order)).alias("_x"))
-    d = shift(first, keys, [time_col], {"_x": "_prev"}, 1)
+    d = with_pos(shift(first, keys, [time_col], {"_x": "_prev"}, 1), keys, [time_col])
     d = d.withColumn("_dx", F.col("_x") - F.col("_prev")).where(F.col("_prev").isNotNull())
-    d = d.select(*keys, time_col, "_dx", F.to_date(time_col).alias("_day"))
+    d = d.select(*keys, time_col, "_dx", F.floor(F.col(POS) / chunk_rows).cast("long").alias("_part"))
     key_fields = [f for f in d.schema.fields if f.name in keys]
     hh = float(h)
 
-    # pass 1: transfer tables of both sides per (key, day)
+    # pass 1: transfer tables of both sides per (key, chunk)
     tschema = T.StructType(key_fields + [
-        T.StructField("_day", T.DateType()), T.StructField("side", T.IntegerType()),
+        T.StructField("_part", T.LongType()), T.StructField("side", T.IntegerType()),
         T.StructField("lo", T.DoubleType()), T.StructField("lo_closed", T.BooleanType()),
         T.StructField("hi", T.DoubleType()), T.StructField("hi_closed", T.BooleanType()),
         T.StructField("live", T.BooleanType()), T.StructField("v", T.DoubleType())])
@@ -78,32 +78,32 @@ def cusum_events(series: DataFrame, h: float, keys: Sequence[str] = ("symbol",),
         x = pdf.sort_values(time_col, kind="stable")["_dx"].to_numpy(dtype=np.float64)
         rows = [(1, *r) for r in clamped_transfer(x, hh)] + [(-1, *r) for r in clamped_transfer(-x, hh)]
         out = pd.DataFrame(rows, columns=["side", "lo", "lo_closed", "hi", "hi_closed", "live", "v"])
-        for k in keys + ["_day"]:
+        for k in keys + ["_part"]:
             out[k] = pdf[k].iloc[0]
         return out[[f.name for f in tschema.fields]]
 
-    tabs = d.groupBy(*keys, "_day").applyInPandas(tables, tschema)
+    tabs = d.groupBy(*keys, "_part").applyInPandas(tables, tschema)
 
-    # pass 2: entry states per day, walking the (small) tables of each key in day order
-    eschema = T.StructType(key_fields + [T.StructField("_day", T.DateType()),
+    # pass 2: entry states per chunk, walking the (small) tables of each key in order
+    eschema = T.StructType(key_fields + [T.StructField("_part", T.LongType()),
                                          T.StructField("_pos0", T.DoubleType()), T.StructField("_neg0", T.DoubleType())])
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         pos, negu = 0.0, 0.0
-        for day, g in pdf.groupby("_day", sort=True):
-            out.append((day, pos, -negu))
+        for part, g in pdf.groupby("_part", sort=True):
+            out.append((part, pos, -negu))
             rp = [tuple(r) for r in g[g.side == 1][["lo", "lo_closed", "hi", "hi_closed", "live", "v"]].itertuples(index=False)]
             rn = [tuple(r) for r in g[g.side == -1][["lo", "lo_closed", "hi", "hi_closed", "live", "v"]].itertuples(index=False)]
             pos, negu = transfer_apply(rp, pos), transfer_apply(rn, negu)
-        res = pd.DataFrame(out, columns=["_day", "_pos0", "_neg0"])
+        res = pd.DataFrame(out, columns=["_part", "_pos0", "_neg0"])
         for k in keys:
             res[k] = pdf[k].iloc[0]
         return res[[f.name for f in eschema.fields]]
 
     entries = tabs.groupBy(*keys).applyInPandas(walk, eschema)
 
-    # pass 3: events per (key, day) from the true entry state
+    # pass 3: events per (key, chunk) from the true entry state
     schema = T.StructType(key_fields + [T.StructField(time_col, d.schema[time_col].dataType),
                                         T.StructField("side", T.IntegerType())])
 
@@ -117,7 +117,7 @@ def cusum_events(series: DataFrame, h: float, keys: Sequence[str] = ("symbol",),
             out[k] = pdf[k].iloc[0]
         return out[[f.name for f in schema.fields]]
 
-    return d.join(entries, [*keys, "_day"]).groupBy(*keys, "_day").applyInPandas(scan, schema)
+    return join_keys(d, entries, [*keys, "_part"]).groupBy(*keys, "_part").applyInPandas(scan, schema)
 
 
 # --------------------------------------------------------------------------- F2 / F3

@@ -1,7 +1,7 @@
 """Triple-barrier labelling and meta-labelling.
 
 ``close`` is a series ``(keys..., time, close)`` with unique times per key; events are
-``(keys..., t0, ...)``.  Path scans are interval joins bucketed by day (no Cartesian product).
+``(keys..., t0, ...)``.  Path scans look at the ticks of the first hours whose price range meets a barrier.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.plans.sequence import POS, join_keys, shift, with_pos
-from tessera.plans.timejoin import asof, interval_join
+from tessera.plans.timejoin import asof
 
 
 # --------------------------------------------------------------------------- J2 / vertical barrier
@@ -33,19 +33,33 @@ def triple_barrier(close: DataFrame, events: DataFrame, pt_sl: Sequence[float],
     above pt_sl[0]·trgt; a zero factor disables that barrier.  events: keys, t0, t1, trgt, side."""
     keys = list(keys)
     tt = close.schema[time_col].dataType
+    hour = lambda c: F.date_trunc("hour", c).cast(tt)
     last = close.groupBy(*keys).agg(F.max(time_col).alias("_last"))  # one row per key
     pts = close.select(*keys, F.col(time_col).alias("_pt"), F.col(value).alias("_px"))
+    side = F.col("side").cast("double") if "side" in events.columns else F.lit(None).cast("double")
     ev = (events.join(last, keys, "left")
                 .join(pts.select(*keys, F.col("_pt").alias("t0"), F.col("_px").alias("_p0")), [*keys, "t0"], "left"))
-    j = interval_join(ev, pts, keys, "t0", "t1", "_pt", open_end=F.col("_last"))
-    side = F.coalesce(F.col("side").cast("double"), F.lit(1.0)) if "side" in events.columns else F.lit(1.0)
-    r = (F.try_divide(F.col("_px"), F.col("_p0")) - 1) * side
+    path = ["t0", "_p0", "_end", "trgt", "_s"]
+    ev = ev.select(*keys, "t0", "_p0", F.coalesce("t1", "_last").alias("_end"), "trgt", F.coalesce(side, F.lit(1.0)).alias("_s"))
+    ret = lambda px: (F.try_divide(px, F.col("_p0")) - 1) * F.col("_s")
     pt_w, sl_w = float(pt_sl[0]), float(pt_sl[1])
-    aggs = [F.min(F.when(r > F.lit(pt_w) * F.col("trgt"), F.col("_pt"))).alias("pt") if pt_w > 0
-            else F.lit(None).cast(tt).alias("pt"),
-            F.min(F.when(r < -F.lit(sl_w) * F.col("trgt"), F.col("_pt"))).alias("sl") if sl_w > 0
-            else F.lit(None).cast(tt).alias("sl")]
-    touched = j.groupBy(*keys, "t0").agg(*aggs)
+    over = lambda r: (r > F.lit(pt_w) * F.col("trgt")) if pt_w > 0 else F.lit(False)
+    under = lambda r: (r < -F.lit(sl_w) * F.col("trgt")) if sl_w > 0 else F.lit(False)
+    # an hour's lowest and highest price tell whether its ticks can touch a barrier
+    hours = pts.groupBy(*keys, hour("_pt").alias("_h")).agg(F.min("_px").alias("_lo"), F.max("_px").alias("_hi"))
+    spans = ev.withColumn("_h", F.explode(F.sequence(hour("t0"), hour("_end"), F.expr("INTERVAL 1 HOUR"))))
+    spans = spans.join(hours, [*keys, "_h"])
+    high, low = F.greatest(ret(F.col("_lo")), ret(F.col("_hi"))), F.least(ret(F.col("_lo")), ret(F.col("_hi")))
+    edge = (F.col("_h") == hour("t0")) | (F.col("_h") == hour("_end"))  # hours the path covers in part
+    first = lambda c: F.min(F.when(c & ~edge, F.col("_h")))
+    picked = spans.where(over(high) | under(low)).groupBy(*keys, *path).agg(
+        F.array_compact(F.array_distinct(F.array(first(over(high)), first(under(low)), F.min(F.when(edge, F.col("_h"))), F.max(F.when(edge, F.col("_h")))))).alias("_hs"))
+    # the ticks of the first such hours alone are read: whole hours hold a touch, the path's first and last may
+    ticks = picked.withColumn("_h", F.explode("_hs")).join(pts.withColumn("_h", hour("_pt")), [*keys, "_h"])
+    ticks = ticks.where((F.col("_pt") >= F.col("t0")) & (F.col("_pt") <= F.col("_end")))
+    r = ret(F.col("_px"))
+    aggs = [F.min(F.when(over(r), F.col("_pt"))).alias("pt"), F.min(F.when(under(r), F.col("_pt"))).alias("sl")]
+    touched = ticks.groupBy(*keys, "t0").agg(*aggs)
     return events.join(touched, [*keys, "t0"], "left")
 
 

@@ -1,23 +1,24 @@
 """Resetting accumulators ("R-scan") without a per-symbol task.
 
 Threshold bars close on the tick where the running sum of a non-negative measure reaches a
-threshold, then restart from zero.  The state entering a day is one number, the running sum ``c``
-carried from earlier days; inside the day the first close is the first tick ``j`` with
-``c + L[j] >= T`` (``L`` = running sum from the day's first tick) and every later close follows
-from that one.  So the whole day is summarised by a short table
+threshold, then restart from zero.  Ticks are cut into chunks of ``chunk_rows`` positions.  The state entering a
+chunk is one number, the running sum ``c`` carried from earlier ones; inside the chunk the first close is the
+first tick ``j`` with ``c + L[j] >= T`` (``L`` = running sum from the chunk's first tick) and every later close
+follows from that one.  So the whole chunk is summarised by a short table
 
-    c in [T - L[j], T - L[j-1])  ->  (closes in the day, carry out)
+    c in [T - L[j], T - L[j-1])  ->  (closes in the chunk, carry out)
 
-with one row per distinct chain (at most the number of ticks in the day's first bar), plus the
-"no close today" row.  The three passes are
+with one row per distinct chain (at most the number of ticks in the chunk's first bar), plus the
+"no close here" row.  The three passes are
 
-1. per (key, day), grouped map: build that table (numpy ``searchsorted`` and pointer doubling);
-2. per key, grouped map over the small tables, one row per candidate: walk the days in order and
-   pick each day's carry-in and bar offset;
-3. per (key, day), grouped map: label ticks with bar ids from the true carry-in and emit partial
-   bar aggregates; a final hash aggregate merges bars that span days.
+1. per (key, chunk), grouped map: build that table (numpy ``searchsorted`` and pointer doubling);
+2. per key, grouped map over the small tables, one row per candidate: walk the chunks in order and
+   pick each chunk's carry-in and bar offset;
+3. per (key, chunk), grouped map: label ticks with bar ids from the true carry-in and emit partial
+   bar aggregates; a final hash aggregate merges bars that span chunks.
 
-Nothing holds more than one day of one key, and pass 2 sees a handful of rows per day.
+No task of passes 1 and 3 holds more than ``chunk_rows`` ticks, however a key's ticks crowd into a day.  Pass 2
+reads one bar's ticks for each chunk: it is small as long as bars are shorter than chunks.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tessera.plans.sequence import BLOCK, default_block
+from tessera.plans.sequence import BLOCK, POS, join_keys, with_pos
 
 
 def _chains(L: np.ndarray, thr: float):
@@ -48,22 +49,34 @@ def _first_close(L: np.ndarray, thr: float, carry: float) -> int:
     return int(np.searchsorted(L, thr - carry, side="left"))
 
 
-def threshold_bars(df: DataFrame, keys: Sequence[str], measure, threshold: float,
+def _merged_std(parts):
+    """Sample standard deviation from (n, mean, squares about it) parts, merged pairwise."""
+    def add(a, b):
+        n = a["n"] + b["n"]
+        by = b["mean"] - a["mean"]
+        return F.struct(n.alias("n"), (a["mean"] + by * b["n"] / n).alias("mean"), (a["m2"] + b["m2"] + by * by * a["n"] * b["n"] / n).alias("m2"))
+
+    total = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.element_at(parts, 1), add)
+    return F.when(total["n"] > 1, F.sqrt(total["m2"] / (total["n"] - 1)))
+
+
+def threshold_bars(df: DataFrame, keys: Sequence[str], measure, threshold,
                    order: Sequence[str] = ("ts", "seq"), keep_tail: bool = False,
-                   block=None) -> DataFrame:
-    """Volume / dollar bars (B2, B3).  ``measure`` is a non-negative column (size, price*size).
+                   chunk_rows: int = 1 << 16) -> DataFrame:
+    """Volume / dollar bars (B2, B3).  ``measure`` is a non-negative column (size, price*size); ``threshold`` a
+    number, or a column that is constant within a key.
 
     Output: keys, ``bar`` (0-based), ``time`` (ts of the tick before the closing tick), ``open``,
     ``high``, ``low``, ``close``, ``volume`` (Σsize), ``dollars`` (Σprice·size), ``ticks``,
-    ``start_ts``, ``end_ts``.  The unfinished last bar is dropped unless ``keep_tail``."""
+    ``start_ts``, ``end_ts``, ``last_seq`` and ``price_std`` (sample).  The unfinished last bar is dropped unless ``keep_tail``."""
     keys = list(keys)
     ts_col, seq_col = order
-    thr = float(threshold)
     m = F.col(measure) if isinstance(measure, str) else measure
-    blk = block if block is not None else default_block(df, list(order))
-    base = df.select(*keys, F.col(ts_col).alias("ts"), F.col(seq_col).alias("seq"),
+    limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+    blk = F.floor(F.col(POS) / chunk_rows).cast("long")
+    base = with_pos(df, keys, list(order)).select(*keys, F.col(ts_col).alias("ts"), F.col(seq_col).alias("seq"),
                      F.col("price").cast("double").alias("price"), F.col("size").cast("double").alias("size"),
-                     m.cast("double").alias("_m"), blk.alias(BLOCK))
+                     m.cast("double").alias("_m"), limit.cast("double").alias("_thr"), blk.alias(BLOCK))
     key_schema = [f for f in base.schema.fields if f.name in keys]
     blk_field = base.schema[BLOCK]
     ts_type = base.schema["ts"].dataType
@@ -76,6 +89,7 @@ def threshold_bars(df: DataFrame, keys: Sequence[str], measure, threshold: float
 
     def day_table(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts", "seq"], kind="stable")
+        thr = float(pdf["_thr"].iloc[0])
         L = np.cumsum(pdf["_m"].to_numpy(dtype=np.float64))
         n = len(L)
         total = float(L[-1])
@@ -148,10 +162,12 @@ def threshold_bars(df: DataFrame, keys: Sequence[str], measure, threshold: float
         T.StructField("low", T.DoubleType()), T.StructField("volume", T.DoubleType()),
         T.StructField("dollars", T.DoubleType()), T.StructField("ticks", T.LongType()),
         T.StructField("closed", T.BooleanType()), T.StructField("time", ts_type),
+        T.StructField("mean", T.DoubleType()), T.StructField("m2", T.DoubleType()),
         T.StructField("bars_total", T.LongType())])
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts", "seq"], kind="stable").reset_index(drop=True)
+        thr = float(pdf["_thr"].iloc[0])
         L = np.cumsum(pdf["_m"].to_numpy(dtype=np.float64))
         n = len(L)
         c = float(pdf["carry_in"].iloc[0])
@@ -179,13 +195,14 @@ def threshold_bars(df: DataFrame, keys: Sequence[str], measure, threshold: float
             "high": g["price"].max(), "low": g["price"].min(),
             "volume": g["size"].sum(), "dollars": (pdf["price"] * pdf["size"]).groupby(pdf["bar"]).sum(),
             "ticks": g["price"].size().astype(np.int64), "closed": g["_close"].any(),
-            "time": g["_prev"].last()}).reset_index()
+            "time": g["_prev"].last(), "mean": g["price"].mean(),
+            "m2": (g["price"].var(ddof=0) * g["price"].size()).fillna(0.0)}).reset_index()
         for k in keys:
             res[k] = pdf[k].iloc[0]
         res["bars_total"] = int(pdf["bars_total"].iloc[0])
         return res[[f.name for f in part_schema.fields]]
 
-    labelled = base.join(carries, [*keys, BLOCK], "inner")
+    labelled = join_keys(base, carries, [*keys, BLOCK])
     parts = labelled.groupBy(*keys, BLOCK).applyInPandas(label, part_schema)
 
     first_key = F.struct("first_ts", "first_seq")
@@ -196,7 +213,10 @@ def threshold_bars(df: DataFrame, keys: Sequence[str], measure, threshold: float
         F.max_by("close", last_key).alias("close"), F.sum("volume").alias("volume"),
         F.sum("dollars").alias("dollars"), F.sum("ticks").alias("ticks"),
         F.min("first_ts").alias("start_ts"), F.max("last_ts").alias("end_ts"),
+        F.max(last_key)["last_seq"].alias("last_seq"),
+        F.collect_list(F.struct(F.col("ticks").cast("double").alias("n"), "mean", "m2")).alias("_std"),  # a part per chunk
         F.max("bars_total").alias("_bars_total"))
+    bars = bars.withColumn("price_std", _merged_std(F.col("_std"))).drop("_std")
     if not keep_tail:
         bars = bars.where(F.col("bar") < F.col("_bars_total"))
     return bars.drop("_bars_total")

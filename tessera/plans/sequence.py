@@ -4,7 +4,7 @@ A Spark window ``partitionBy(symbol).orderBy(ts)`` sends every row of a symbol t
 symbol holding a third of the data that task is the whole job.  Every ordered operator in this
 library is therefore written *two-level*:
 
-1. rank / accumulate inside a bounded block (a calendar day, or a chunk of ``chunk_rows`` positions),
+1. rank / accumulate inside a block (an hour, or a chunk of ``chunk_rows`` positions),
    with windows partitioned by ``(keys, block)``;
 2. carry what crosses block borders through a small per-block table (one row per key and block),
    whose own window runs over at most a few thousand rows per key;
@@ -40,12 +40,16 @@ def day_block(col: str | Column) -> Column:
 
 
 def default_block(df: DataFrame, order: Sequence) -> Column:
-    """Calendar day of the first ordering column when it is a time; otherwise 2^20-wide ranges."""
+    """Hour of the first ordering column when it is a time, year when it is a date; otherwise 2^20-wide ranges.
+    Windows over (key, block) sort with spilling, so a crowded hour costs time, not memory; Python groups are
+    cut by position (``chunk_rows``) and are bounded whatever the times."""
     first = order[0]
     if isinstance(first, str):
         dt = dict(df.dtypes).get(first, "")
-        if dt.startswith("timestamp") or dt == "date":
-            return F.to_date(F.col(first))
+        if dt.startswith("timestamp"):
+            return F.date_trunc("hour", F.col(first))
+        if dt == "date":
+            return F.year(F.col(first))
         return F.floor(F.col(first) / F.lit(DEFAULT_CHUNK_ROWS))
     return F.floor(first / F.lit(DEFAULT_CHUNK_ROWS))
 
@@ -193,7 +197,7 @@ def cumulative(df: DataFrame, keys: Sequence[str], order: Sequence, aggs: dict[s
 def fill(df: DataFrame, keys: Sequence[str], order: Sequence, cols: dict[str, str],
          direction: str = "forward", block: Column | None = None, strict: bool = False) -> DataFrame:
     """Two-level forward fill (last non-null at or before the row) or backward fill (first non-null
-    at or after).  ``strict`` excludes the current row.  Blocks default to calendar days."""
+    at or after).  ``strict`` excludes the current row.  Blocks as ``default_block``."""
     keys = list(keys)
     blk = block if block is not None else default_block(df, order)
     d = df.withColumn(BLOCK, blk)

@@ -1,7 +1,7 @@
 """Joins in time (J1-J4) without Cartesian products or whole-key windows.
 
 * as-of joins (J1 backward, J2 forward) are a union of query and data rows followed by a
-  two-level forward / backward fill (day blocks + per-day carry);
+  two-level forward / backward fill (hour blocks + per-block carry);
 * interval joins (J3) explode each interval over the day buckets it covers and equi-join on
   ``(keys, day)`` before the exact ``between`` filter;
 * overlap counting (J4) is a sweep: +1 at each start, -1 after each end, running sum.
@@ -39,7 +39,7 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str
     u = q.unionByName(r)
     order = ["_t", "_tie", *[f"_r{i}" for i in range(len(right_order))]]
     u = fill(u, keys, order, {f"_v_{d}": d for d in cols.values()},
-             "forward" if direction == "backward" else "backward", block=F.to_date("_t"))
+             "forward" if direction == "backward" else "backward")
     return u.where(F.col("_p").isNotNull()).select("_p.*", *cols.values())
 
 

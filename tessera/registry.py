@@ -490,9 +490,9 @@ def label_inputs(spark, sf):
     from tessera.operators.labels import get_bins, get_events, vertical_barrier
     from tessera.session import cut_lineage
     tk = ticks(spark, sf)
-    # shared intermediates are checkpointed once (reliable checkpoint in spark.checkpoint.dir)
+    # events and barriers are small and read several times: written once, in the shared folder
     cus = cut_lineage(cusum_events(tk, CUSUM_H).select("symbol", F.col("time").alias("t0"), "side"))
-    vol = cut_lineage(daily_vol(tk).select("symbol", "time", F.col("vol").alias("trgt")))
+    vol = daily_vol(tk).select("symbol", "time", F.col("vol").alias("trgt"))
     vb = cut_lineage(vertical_barrier(tk, cus.select("symbol", "t0"), LABEL_DAYS))
     ev = cut_lineage(get_events(tk, cus, LABEL_PT_SL, vol, LABEL_MIN_RET, t1=vb))
     return tk, cus, vol, vb, ev
