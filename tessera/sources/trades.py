@@ -70,9 +70,13 @@ def read_trade_parquets(spark: SparkSession, path: str, session_only: bool = Tru
     ``{ticker}/{YYYY}/{file}.parquet``, whose ticker is the symbol.  The used columns (pruned at the scan) give
     UTC ``ts`` and New York ``ny_ts``; without a ``seq`` column, ties are ordered by nanosecond, row of the file
     and file.  Optionally keeps the regular session (P1) and writes the result by symbol and date."""
-    raw = spark.read.option("mergeSchema", "false").parquet(path)
-    if "symbol" not in raw.columns:
-        raw = spark.read.option("mergeSchema", "false").option("recursiveFileLookup", "true").parquet(path)
+    reader = spark.read.option("mergeSchema", "false")
+    try:
+        raw = reader.parquet(path)
+    except AnalysisException as e:  # no files but in folders that are no partitions
+        if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        raw = reader.option("recursiveFileLookup", "true").parquet(path)
     file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
     if "symbol" in raw.columns:
         symbol = F.col("symbol").cast("string")
