@@ -87,7 +87,7 @@ def return_weights(close: DataFrame, events: DataFrame, keys=("symbol",), time_c
     keys = list(keys)
     ev = _filled(events, close, keys, time_col)
     lr = shift(close.select(*keys, time_col, seq, value), keys, [time_col, seq], {value: "_prev"}, 1)
-    lr = lr.withColumn("_r", F.ln(F.col(value) / F.col("_prev")))
+    lr = lr.withColumn("_r", F.ln(F.try_divide(value, "_prev")))  # a price of 0 has no log return
     c = num_concurrent(close, events, keys, time_col)
     x = lr.join(c, [*keys, time_col]).withColumn("_rc", F.when(F.col("c") > 0, F.col("_r") / F.col("c"))).select(*keys, time_col, "_rc")
     d = _prefix_lookup(x, ev, keys, time_col, "_rc")

@@ -173,7 +173,7 @@ def weekly_last_returns(prices: DataFrame, date_col: str = "date", keys=("symbol
     k = list(keys)
     d = prices.select(*k, F.col(date_col).alias("date"), F.col(value).alias("price"))
     d = shift(d, k, ["date"], {"price": "prev_price"}, 1)
-    d = d.withColumn("ret", F.col("price") / F.col("prev_price") - 1).where(F.col("ret").isNotNull())
+    d = d.withColumn("ret", F.try_divide("price", "prev_price") - 1).where(F.col("ret").isNotNull())
     week_end = F.date_add(F.date_trunc("week", F.col("date")).cast("date"), 6)
     return (d.groupBy(*k, week_end.alias("week"))
              .agg(F.max_by("ret", "date").alias("ret")))
