@@ -36,12 +36,13 @@ def tick_bars(trades: DataFrame, freq: int, keys: Sequence[str] = ("symbol",), o
 
 
 # --------------------------------------------------------------------------- B2 / B3
-def volume_bars(trades: DataFrame, threshold: float, keys: Sequence[str] = ("symbol",), keep_tail=False):
-    return threshold_bars(trades, keys, F.col("size"), threshold, ORDER, keep_tail=keep_tail).drop("last_seq", "price_std")
+def volume_bars(trades: DataFrame, threshold: float, keys: Sequence[str] = ("symbol",), keep_tail=False, **chunks):
+    """``chunks``: ``chunk_rows`` and ``long_bars`` of ``threshold_bars``."""
+    return threshold_bars(trades, keys, F.col("size"), threshold, ORDER, keep_tail=keep_tail, **chunks).drop("last_seq", "price_std")
 
 
-def dollar_bars(trades: DataFrame, threshold: float, keys: Sequence[str] = ("symbol",), keep_tail=False):
-    return threshold_bars(trades, keys, F.col("price") * F.col("size"), threshold, ORDER, keep_tail=keep_tail).drop("last_seq", "price_std")
+def dollar_bars(trades: DataFrame, threshold: float, keys: Sequence[str] = ("symbol",), keep_tail=False, **chunks):
+    return threshold_bars(trades, keys, F.col("price") * F.col("size"), threshold, ORDER, keep_tail=keep_tail, **chunks).drop("last_seq", "price_std")
 
 
 # --------------------------------------------------------------------------- B4

@@ -18,7 +18,10 @@ with one row per distinct chain (at most the number of ticks in the chunk's firs
    bar aggregates; a final hash aggregate merges bars that span chunks.
 
 No task of passes 1 and 3 holds more than ``chunk_rows`` ticks, however a key's ticks crowd into a day.  Pass 2
-reads one bar's ticks for each chunk: it is small as long as bars are shorter than chunks.
+reads one bar's ticks for each chunk: it is small as long as bars are shorter than chunks.  For bars that span
+chunks, ``long_bars`` leaves the rows of chunks below the threshold out of the tables: the walk stops where one of
+them closes a bar, that chunk alone is searched for the tick, and the walk goes on.  It takes a round of small
+jobs for each such bar of a key, and pass 2 a row for each chunk and bar.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tessera.plans.sequence import BLOCK, POS, join_keys, with_pos
+from tessera.session import cut_lineage
 
 
 def _chains(L: np.ndarray, thr: float):
@@ -62,7 +66,7 @@ def _merged_std(parts):
 
 def threshold_bars(df: DataFrame, keys: Sequence[str], measure, threshold,
                    order: Sequence[str] = ("ts", "seq"), keep_tail: bool = False,
-                   chunk_rows: int = 1 << 16) -> DataFrame:
+                   chunk_rows: int = 1 << 16, long_bars: bool = False) -> DataFrame:
     """Volume / dollar bars (B2, B3).  ``measure`` is a non-negative column (size, price*size); ``threshold`` a
     number, or a column that is constant within a key.
 
@@ -93,6 +97,9 @@ def threshold_bars(df: DataFrame, keys: Sequence[str], measure, threshold,
         L = np.cumsum(pdf["_m"].to_numpy(dtype=np.float64))
         n = len(L)
         total = float(L[-1])
+        if long_bars and total < thr:
+            rows = pd.DataFrame({"lo": [-np.inf], "hi": [thr - total], "closes": [0], "carry_out": [np.nan]})
+            return finish(rows, pdf, total)
         _, term, steps = _chains(L, thr)
         first = min(int(np.searchsorted(L, thr, side="left")), n - 1)  # candidate for c = 0
         j = np.arange(first + 1)
@@ -114,7 +121,10 @@ def threshold_bars(df: DataFrame, keys: Sequence[str], measure, threshold,
         if none_hi > 0:  # carry small enough that the day closes no bar
             rows = pd.concat([rows, pd.DataFrame({"lo": [-np.inf], "hi": [none_hi], "closes": [0],
                                                   "carry_out": [np.nan]})], ignore_index=True)
-        rows = rows[rows["hi"] > rows["lo"]]
+        return finish(rows[rows["hi"] > rows["lo"]], pdf, total)
+
+    def finish(rows: pd.DataFrame, pdf: pd.DataFrame, total: float) -> pd.DataFrame:
+        rows = rows.copy()
         for k in keys + [BLOCK]:
             rows[k] = pdf[k].iloc[0]
         rows["total"] = total
@@ -126,16 +136,19 @@ def threshold_bars(df: DataFrame, keys: Sequence[str], measure, threshold,
     # ---- pass 2: walk the days of each key over the small tables
     carry_schema = T.StructType(key_schema + [blk_field] + [
         T.StructField("carry_in", T.DoubleType()), T.StructField("bar_offset", T.LongType()),
-        T.StructField("prev_ts", ts_type), T.StructField("bars_total", T.LongType())])
+        T.StructField("prev_ts", ts_type), T.StructField("bars_total", T.LongType()), T.StructField("stopped", T.BooleanType())])
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([BLOCK, "lo"], kind="stable")
-        out = []
+        out, stopped = [], False
         c, off, prev = 0.0, 0, None
         for b, g in pdf.groupby(BLOCK, sort=True):
             out.append((b, c, off, prev))
             lo, hi = g["lo"].to_numpy(), g["hi"].to_numpy()
             hit = np.flatnonzero((lo <= c) & (c < hi))
+            if not len(hit) and long_bars:
+                stopped = True
+                break
             if not len(hit):
                 raise ValueError(f"no row of the block's table holds the running sum {c!r}")
             r = g.iloc[int(hit[0])]
@@ -149,9 +162,30 @@ def threshold_bars(df: DataFrame, keys: Sequence[str], measure, threshold,
         for k in keys:
             res[k] = pdf[k].iloc[0]
         res["bars_total"] = off
+        res["stopped"] = [False] * (len(res) - 1) + [stopped]
         return res[[f.name for f in carry_schema.fields]]
 
-    carries = summary.groupBy(*keys).applyInPandas(walk, carry_schema)
+    def close_in(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The table row of a chunk below the threshold for the one running sum that enters it and closes a bar."""
+        pdf = pdf.sort_values(["ts", "seq"], kind="stable")
+        L, c = np.cumsum(pdf["_m"].to_numpy(dtype=np.float64)), float(pdf["carry_in"].iloc[0])
+        j = min(_first_close(L, float(pdf["_thr"].iloc[0]), c), len(L) - 1)
+        rows = pd.DataFrame({"lo": [c], "hi": [np.nextafter(c, np.inf)], "closes": [1], "carry_out": [float(L[-1]) - L[j]]})
+        return finish(rows, pdf, float(L[-1]))
+
+    if long_bars:
+        summary = cut_lineage(summary)
+    while True:
+        carries = summary.groupBy(*keys).applyInPandas(walk, carry_schema)
+        if not long_bars:
+            break
+        carries = cut_lineage(carries)
+        at = carries.where("stopped").select(*keys, BLOCK, "carry_in")
+        if at.isEmpty():
+            break
+        found = join_keys(base, at, [*keys, BLOCK]).groupBy(*keys, BLOCK).applyInPandas(close_in, summary_schema)
+        summary = cut_lineage(summary.unionByName(found))
+    carries = carries.drop("stopped")
 
     # ---- pass 3: label ticks and emit partial bars per day
     part_schema = T.StructType(key_schema + [

@@ -123,9 +123,10 @@ def test_zero_prices_are_kept(spark):
     assert bars.dollar_bars(tr, 30.0).orderBy("bar").first().ticks == 4
 
 
-@pytest.mark.parametrize("chunk_rows", [5, 50, 1 << 16])
+@pytest.mark.parametrize("long_bars", [False, True])
+@pytest.mark.parametrize("chunk_rows", [5, 1 << 16])
 @pytest.mark.parametrize("threshold", [30.0, 400.0])
-def test_bars_and_cusum_of_one_crowded_hour(spark, chunk_rows, threshold):
+def test_bars_and_cusum_of_one_crowded_hour(spark, chunk_rows, threshold, long_bars):
     """Ten chunks of one symbol and hour equal the loop, and no group holds more rows than a chunk."""
     rng = np.random.default_rng(4)
     n = 50 if chunk_rows < 1 << 16 else 500
@@ -133,7 +134,7 @@ def test_bars_and_cusum_of_one_crowded_hour(spark, chunk_rows, threshold):
     t0 = dt.datetime(2024, 1, 2, 10)
     tr = spark.createDataFrame([("A", t0 + dt.timedelta(milliseconds=i), i, float(p), float(s)) for i, (p, s) in enumerate(zip(price, size))], "symbol string, ts timestamp_ntz, seq long, price double, size double")
     from tessera.plans.segment import threshold_bars
-    got = threshold_bars(tr, ["symbol"], F.col("price") * F.col("size"), threshold, chunk_rows=chunk_rows).orderBy("bar").collect()
+    got = threshold_bars(tr, ["symbol"], F.col("price") * F.col("size"), threshold, chunk_rows=chunk_rows, long_bars=long_bars).orderBy("bar").collect()
     want, cum, ticks = [], 0.0, []
     for i in range(n):
         cum += price[i] * size[i]
