@@ -7,8 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from tessera.plans import ewm as E
@@ -148,53 +147,62 @@ def imbalance_bars(trades: DataFrame, bar_starting_len: float, keys: Sequence[st
     """Imbalance bars.  A bar closes once it has more than 2 ticks and
     abs(Σ signed log dollars) >= (abs(expected) + 0.1·ewm_std)·bar_len; then
     bar_len <- 0.1·bar_len + 0.9·ticks.  The state (sum, ticks, bar_len) is sequential and not
-    summarisable, so the segmentation is a grouped map per key -- per (key, day) with
-    ``daily_reset`` for hot keys.  The EWM std of the signed log dollars (first value counts as 0)
-    and all other inputs are computed on Spark beforehand."""
+    summarisable, so a key's ticks pass one task in order -- those of a (key, day) with ``daily_reset`` for hot
+    keys.  They stream through it: the task holds one Arrow batch and the open bar.  The EWM std of the signed
+    log dollars (first value counts as 0) and all other inputs are computed on Spark beforehand; a tick without
+    log dollars (price 0) adds nothing to the sum."""
     keys = list(keys)
     d = cut_lineage(imbalance_thresholds(trades, keys, ewm=True, first_sign=first_sign))
     d = E.ewm(d, keys, list(ORDER), "log_dollars_exchanged", out_std="_ldstd", alpha=alpha)
     gkeys = keys + (["_day"] if daily_reset else [])
     if daily_reset:
         d = d.withColumn("_day", F.to_date("ts"))
-    d = d.select(*gkeys, "ts", "seq", "price", "size", "log_dollars_exchanged",
-                 "expected_log_dollars_exchanged", "_ldstd")
-    key_fields = [f for f in d.schema.fields if f.name in gkeys]
+    value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    need = F.abs(value("expected_log_dollars_exchanged")) + 0.1 * value("_ldstd")
+    d = d.select(*gkeys, "ts", "seq", F.col("price").cast("double").alias("price"), F.col("size").cast("double").alias("size"),
+                 value("log_dollars_exchanged").alias("_x"), need.alias("_need"), F.xxhash64(*gkeys).alias("_k"))
     ts_type = d.schema["ts"].dataType
-    schema = T.StructType(key_fields + [
+    schema = T.StructType([d.schema[k] for k in gkeys] + [
         T.StructField("group", T.LongType()), T.StructField("time", ts_type),
-        T.StructField("last_seq", T.LongType()),
         T.StructField("open", T.DoubleType()), T.StructField("close", T.DoubleType()),
         T.StructField("high", T.DoubleType()), T.StructField("low", T.DoubleType()),
         T.StructField("volume", T.DoubleType()), T.StructField("tick_count", T.LongType())])
 
-    def segment(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "seq"], kind="stable").reset_index(drop=True)
-        x = pdf["log_dollars_exchanged"].to_numpy(dtype=np.float64)
-        e = pdf["expected_log_dollars_exchanged"].to_numpy(dtype=np.float64)
-        s = np.nan_to_num(pdf["_ldstd"].to_numpy(dtype=np.float64), nan=0.0)
-        ids = np.empty(len(x), dtype=np.int64)
-        gid, size, cum, blen = 0, 0, 0.0, float(bar_starting_len)
-        for i in range(len(x)):
-            ids[i] = gid
-            size += 1
-            cum += x[i]
-            if size > 2 and abs(cum) >= (abs(e[i]) + 0.1 * s[i]) * blen:
-                cum = 0.0
-                blen = 0.1 * blen + 0.9 * size
-                gid += 1
-                size = 0
-        g = pdf.groupby(ids, sort=True)
-        res = pd.DataFrame({"time": g["ts"].last(), "last_seq": g["seq"].last(), "open": g["price"].first(),
-                            "close": g["price"].last(), "high": g["price"].max(), "low": g["price"].min(),
-                            "volume": g["size"].sum(), "tick_count": g["size"].size().astype(np.int64)})
-        res.index.name = "group"
-        res = res.reset_index()
-        for k in gkeys:
-            res[k] = pdf[k].iloc[0]
-        return res[[f.name for f in schema.fields]]
-
-    bars = d.groupBy(*gkeys).applyInPandas(segment, schema).drop("last_seq")
+    def segment(batches):
+        bar, number, length, total = None, 0, 0.0, 0.0  # bar: [time, open, close, high, low, volume, ticks]
+
+        def record(rows, like):
+            cols = [pa.array([r[0][i] for r in rows], like.schema.field(g).type) for i, g in enumerate(gkeys)]
+            rest = list(zip(*(r[1:] for r in rows)))
+            times = pa.array(rest[1], pa.int64()).cast(like.schema.field("ts").type)
+            return pa.RecordBatch.from_arrays([*cols, pa.array(rest[0], pa.int64()), times, *(pa.array(c, pa.float64()) for c in rest[2:7]), pa.array(rest[7], pa.int64())], schema.names)
+
+        values, mark, like = None, None, None
+        for b in batches:
+            like, out = b, []
+            of = b.column("_k").to_numpy()
+            cols = [b.column("ts").cast(pa.int64()).to_pylist()] + [b.column(c).to_pylist() for c in ("price", "size", "_x", "_need")]
+            for i, (ts, price, size, x, need) in enumerate(zip(*cols)):
+                if of[i] != mark or values is None:
+                    if bar:
+                        out.append((values, number, *bar))
+                    mark, values = of[i], tuple(b.column(g)[i].as_py() for g in gkeys)
+                    bar, number, length, total = None, 0, float(bar_starting_len), 0.0
+                if bar is None:
+                    bar = [ts, price, price, price, price, 0.0, 0]
+                bar[0], bar[2], bar[3], bar[4] = ts, price, max(bar[3], price), min(bar[4], price)
+                bar[5] += size
+                bar[6] += 1
+                total += x
+                if bar[6] > 2 and abs(total) >= need * length:
+                    out.append((values, number, *bar))
+                    length, total, number, bar = 0.1 * length + 0.9 * bar[6], 0.0, number + 1, None
+            if out:
+                yield record(out, b)
+        if bar:
+            yield record([(values, number, *bar)], like)
+
+    bars = d.repartition(*gkeys).sortWithinPartitions(*gkeys, "ts", "seq").mapInArrow(segment, schema)
     return bars.drop("_day") if daily_reset else bars
 
 
