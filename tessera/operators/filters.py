@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from tessera.plans import ewm as E
 from tessera.plans.sequence import CHUNK, HALO, POS, halo_chunks, join_keys, shift, with_pos
 from tessera.plans.timejoin import asof
-from tessera.session import cut_lineage
 
 
 def _rolling(df: DataFrame, keys, order, n: int) -> tuple[DataFrame, W]:
@@ -192,6 +191,13 @@ def ma_crossings(bars: DataFrame, window: int = 30, keys=("symbol",), order=("ti
     return d.where(F.col("side").isNotNull()).drop("_c2", "_m2", POS)
 
 
+def side_series(up: DataFrame, down: DataFrame, keys=("symbol",), time_col="time") -> DataFrame:
+    """(keys, time, side) over the times of two sets of signals, +1 where ``up`` has one, else -1."""
+    keys = list(keys)
+    both = up.select(*keys, time_col, F.lit(1).alias("side")).unionByName(down.select(*keys, time_col, F.lit(-1).alias("side")))
+    return both.groupBy(*keys, time_col).agg(F.max("side").alias("side"))
+
+
 # --------------------------------------------------------------------------- F10 / F11 / F12
 def rolling_autocorr(returns: DataFrame, window: int = 20, keys=("symbol",), order=("time", "seq"),
                      ret="ret", out="autocorr") -> DataFrame:
@@ -208,28 +214,19 @@ def rolling_autocorr(returns: DataFrame, window: int = 20, keys=("symbol",), ord
 
 def autocorr(returns: DataFrame, lags: Sequence[int] = (1,), keys=("symbol",), order=("time", "seq"),
              ret="ret", form: str = "pearson") -> DataFrame:
-    """Autocorrelation per key and lag.  ``pearson``: corr(r, r lagged k) over the overlapping
+    """Autocorrelation per key and lag (0 included).  ``pearson``: corr(r, r lagged k) over the overlapping
     pairs (pandas ``autocorr``); ``acf``: Σ(x-m)(x_lag-m)/Σ(x-m)² with the global mean (the
-    statsmodels form)."""
-    keys = list(keys)
-    d = cut_lineage(with_pos(returns.select(*keys, *order, ret), keys, list(order)))  # read once per lag
-    out = []
-    for k in lags:
-        lagged = d.select(*keys, (F.col(POS) + k).alias(POS), F.col(ret).alias("_lag"))
-        j = d.join(lagged, [*keys, POS], "left")  # equi-join on (key, position): spreads evenly
-        if form == "pearson":
-            agg = j.groupBy(*keys).agg(F.corr(ret, "_lag").alias("autocorr"))
-        else:
-            m = d.groupBy(*keys).agg(F.avg(ret).alias("_m"))
-            jj = j.join(m, keys)
-            agg = jj.groupBy(*keys).agg(
-                (F.sum((F.col(ret) - F.col("_m")) * (F.col("_lag") - F.col("_m")))
-                 / F.sum((F.col(ret) - F.col("_m")) * (F.col(ret) - F.col("_m")))).alias("autocorr"))
-        out.append(agg.withColumn("lag", F.lit(k)))
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return res
+    statsmodels form).  All lags come from one pass over chunks with the rows before them."""
+    keys, lags = list(keys), [int(k) for k in lags]
+    d = returns.select(*keys, *order, F.col(ret).alias("_r"))
+    if form == "acf":
+        d = join_keys(d, d.groupBy(*keys).agg(F.avg("_r").alias("_m")), keys).withColumn("_r", F.col("_r") - F.col("_m")).drop("_m")
+    d = halo_chunks(d, keys, list(order), before=max(lags))
+    w = W.partitionBy(*keys, CHUNK).orderBy(POS)
+    d = d.withColumns({f"_l{k}": F.lag("_r", k).over(w) if k else F.col("_r") for k in lags}).where(~F.col(HALO))
+    one = (lambda k: F.corr("_r", f"_l{k}")) if form == "pearson" else (lambda k: F.try_divide(F.sum(F.col("_r") * F.col(f"_l{k}")), F.sum(F.col("_r") * F.col("_r"))))
+    found = d.groupBy(*keys).agg(F.array(*[F.struct(F.lit(k).alias("lag"), one(k).alias("autocorr")) for k in lags]).alias("_a"))
+    return found.select(*keys, F.explode("_a").alias("_x")).select(*keys, "_x.autocorr", "_x.lag")
 
 
 # --------------------------------------------------------------------------- F13
@@ -256,12 +253,13 @@ def daily_vol(close: DataFrame, span: int = 20, keys=("symbol",), time_col="time
 
 
 # --------------------------------------------------------------------------- F15
-def basic_ml_table(bars: DataFrame, keys=("symbol",), order=("time", "seq"), close="close", vol="vol") -> DataFrame:
-    """Previous close and volatility as features, up/down of the next close as label.  The
-    reference also keeps the next close among the features, which leaks the label; it is left
-    out here."""
+def basic_ml_table(bars: DataFrame, keys=("symbol",), order=("time", "seq"), close="close", vol: str | None = None) -> DataFrame:
+    """Previous close and volatility (the column ``vol``, if named) as features, up/down of the next close as
+    label; rows that lack one are dropped.  The reference also keeps the next close among the features, which
+    leaks the label; it is left out here."""
     keys = list(keys)
     d = shift(bars, keys, list(order), {close: "prev_close"}, 1, keep_pos=True)
     d = shift(d, keys, list(order), {close: "_next"}, -1)
     d = d.withColumn("label", (F.col("_next") > F.col(close)).cast("int"))
-    return d.where(F.col("prev_close").isNotNull() & F.col("_next").isNotNull()).drop("_next", POS)
+    whole = F.col("prev_close").isNotNull() & F.col("_next").isNotNull()
+    return d.where(whole & F.col(vol).isNotNull() if vol else whole).drop("_next", POS)

@@ -367,7 +367,7 @@ def q_rolling_autocorr(spark, sf):
     return rolling_autocorr(r, 20, order=("bar",)).select("symbol", "bar", r6("autocorr").alias("autocorr"))
 
 
-ACF_LAGS = (1, 2, 3, 5, 10)
+ACF_LAGS = (0, 1, 2, 3, 5, 10)
 
 
 @register("f11_autocorr", bars_sql() + _BAR_RET_SQL + """,
@@ -382,7 +382,7 @@ def q_autocorr(spark, sf):
 @register("f12_acf", bars_sql() + _BAR_RET_SQL + """,
 m AS (SELECT *, avg(ret) OVER (PARTITION BY symbol) AS mu,
              row_number() OVER (PARTITION BY symbol ORDER BY bar) AS i FROM rets),
-lg AS (SELECT unnest([1, 2, 3, 5, 10]) AS lag),
+lg AS (SELECT unnest([0, 1, 2, 3, 5, 10]) AS lag),
 p AS (SELECT a.symbol, g.lag, sum((a.ret - a.mu) * (b.ret - b.mu)) AS num
       FROM m a CROSS JOIN lg g JOIN m b ON b.symbol = a.symbol AND b.i = a.i - g.lag GROUP BY ALL),
 q AS (SELECT symbol, sum((ret - mu) * (ret - mu)) AS den FROM m GROUP BY symbol)
@@ -415,6 +415,32 @@ def q_daily_vol(spark, sf):
     return daily_vol(ticks(spark, sf)).select("symbol", "time", "seq", r6("vol").alias("vol"))
 
 
+@register("f15_ml_table_with_vol", f"""WITH {TICKS_CTE},
+j AS (SELECT a.symbol, a.time, a.seq, a.close / b.close - 1 AS r
+      FROM ticks a ASOF JOIN ticks b ON a.symbol = b.symbol AND a.time - INTERVAL 1 DAY > b.time),
+{ewm_sql('j', 'symbol', 'time, seq', 'r', 2 / 21)},
+n AS (SELECT symbol, time, seq, close, lag(close) OVER w AS prev_close, lead(close) OVER w AS nx FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY time, seq))
+SELECT symbol, seq, round(n.prev_close, 6) AS prev_close, round(sqrt(e.e_var), 6) AS vol, CAST(nx > close AS INTEGER) AS label
+FROM n JOIN e_f e USING (symbol, time, seq) WHERE prev_close IS NOT NULL AND nx IS NOT NULL AND e_var IS NOT NULL""")
+def q_ml_with_vol(spark, sf):
+    """Previous close and daily volatility of every tick that has one."""
+    from tessera.operators.filters import basic_ml_table, daily_vol
+    tk = ticks(spark, sf)
+    vol = daily_vol(tk).select("symbol", "time", "seq", "vol")
+    d = basic_ml_table(tk.join(vol, ["symbol", "time", "seq"], "left"), vol="vol")
+    return d.select("symbol", "seq", r6("prev_close").alias("prev_close"), r6("vol").alias("vol"), F.col("label").cast("int").alias("label"))
+
+
+@register("f9_side_series", bars_sql() + _bb_sql(30, 1, 1.5, True) + """
+SELECT symbol, bar, CASE WHEN bool_or(open < b_upper AND close > b_upper) THEN 1 ELSE -1 END AS side FROM bb
+WHERE (open < b_upper AND close > b_upper) OR (open > b_lower AND close < b_lower) GROUP BY symbol, bar""")
+def q_side_series(spark, sf):
+    """Sides from band breakouts upwards and downwards."""
+    from tessera.operators.filters import band_breakouts, bollinger, side_series
+    d = bollinger(series_bars(spark, sf), 1.5, 30, min_periods=1, order=("bar",), first_std_zero=True)
+    return side_series(band_breakouts(d, "up"), band_breakouts(d, "down"), time_col="bar")
+
+
 @register("f15_basic_ml_table", bars_sql() + """,
 n AS (SELECT symbol, bar, close, lag(close) OVER w AS prev_close, lead(close) OVER w AS nx
       FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar))
