@@ -2,8 +2,8 @@
 
 * as-of joins (J1 backward, J2 forward) are a union of query and data rows followed by a
   two-level forward / backward fill (hour blocks + per-block carry);
-* interval joins (J3) explode each interval over the day buckets it covers and equi-join on
-  ``(keys, day)`` before the exact ``between`` filter;
+* interval joins (J3) explode each interval over the hour buckets it covers and equi-join on
+  ``(keys, hour)`` before the exact ``between`` filter;
 * overlap counting (J4) is a sweep: +1 at each start, -1 after each end, running sum.
 """
 
@@ -46,15 +46,17 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str
 def interval_join(intervals: DataFrame, points: DataFrame, keys: Sequence[str], start: str, end: str,
                   point_time: str, open_end: Column | None = None) -> DataFrame:
     """All (interval, point) pairs with start <= point_time <= end, both ends included.
-    Intervals are exploded over their calendar days and equi-joined with the points on
-    ``(keys, day)``; a null end is replaced by ``open_end`` (e.g. the key's last time)."""
+    Intervals are exploded over the hours they cover and equi-joined with the points on
+    ``(keys, hour)``: but for the two end hours, every pair formed is one asked for.  A null end is replaced by
+    ``open_end`` (e.g. the key's last time)."""
     keys = list(keys)
     e = F.coalesce(F.col(end), open_end) if open_end is not None else F.col(end)
     iv = intervals.withColumn("_end", e).where(F.col("_end").isNotNull())
-    iv = iv.withColumn("_day", F.explode(F.sequence(F.to_date(start), F.to_date("_end"))))
-    pt = points.withColumn("_day", F.to_date(point_time))
-    j = iv.join(pt, [*keys, "_day"])
-    return j.where((F.col(point_time) >= F.col(start)) & (F.col(point_time) <= F.col("_end"))).drop("_day", "_end")
+    hour = lambda c: F.date_trunc("hour", c).cast(points.schema[point_time].dataType)
+    iv = iv.withColumn("_hour", F.explode(F.sequence(hour(start), hour("_end"), F.expr("INTERVAL 1 HOUR"))))
+    pt = points.withColumn("_hour", hour(point_time))
+    j = iv.join(pt, [*keys, "_hour"])
+    return j.where((F.col(point_time) >= F.col(start)) & (F.col(point_time) <= F.col("_end"))).drop("_hour", "_end")
 
 
 def overlap_counts(intervals: DataFrame, keys: Sequence[str], start: str, end: str, times: DataFrame,
