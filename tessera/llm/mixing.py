@@ -56,8 +56,9 @@ def mix_decisions(df: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repea
     targets = shared_table(targets, "mix-targets").toDF("__mix_source", "__mix_source_size", "__mix_target")
     out = sized.join(targets, F.col(source_col).eqNullSafe(F.col("__mix_source")))
     rate = F.when(F.col("__mix_source_size") > 0, F.col("__mix_target") / F.col("__mix_source_size")).otherwise(F.lit(0.0))
-    # 53 bits of the hash as a number in [0, 1)
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 11) / F.lit(float(1 << 53))
+    # 52 bits of a hash of the document as a number in [0, 1)
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), F.col(text_col)).cast("binary"))
+    draw = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     copies = F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")
     return out.withColumn("__mix_copies", copies).withColumn("__mix_source_size", F.col("__mix_source_size").cast("long")).drop("__mix_source")
 

@@ -26,11 +26,23 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@register("op4_mix_sources")
+@register("op4_mix_sources", r"""WITH s AS (SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+q AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY source),
+k AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, 3.0::DOUBLE * source_size AS cap FROM q),
+o AS (SELECT *, cap / w AS ratio, row_number() OVER u AS m, coalesce(sum(cap) OVER (u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+             sum(w) OVER (u ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, sum(source_size) OVER () AS total
+      FROM k WINDOW u AS (ORDER BY cap / w, source)),
+v AS (SELECT (total - capped) / rest AS level FROM o WHERE (total - capped) / rest <= ratio ORDER BY m LIMIT 1),
+t AS (SELECT source, source_size, least(cap, w * v.level)::DOUBLE AS target FROM k, v),
+r AS (SELECT s.doc_id, s.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+             ('0x' || substr(md5(concat_ws(':', '17', s.doc_id::VARCHAR, s.text)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw
+      FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, round(target, 6) AS target, (floor(rate) + (draw < rate - floor(rate))::INTEGER)::BIGINT AS copies,
+       size * (floor(rate) + (draw < rate - floor(rate))::INTEGER)::BIGINT AS taken FROM r""")
 def op4_mix_sources(spark, sf_dir):
     """Documents mixed by weights 5, 2, 1 over their sources, three repeats at most."""
     out = mixing.mix_decisions(read(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("__mix_size").alias("size"), F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"),
+    return out.select("doc_id", F.col("__mix_size").alias("size"), F.col("__mix_source_size").alias("source_size"), F.round("__mix_target", 6).alias("target"),
                       (F.col("__mix_size") * F.col("__mix_copies")).alias("taken"), F.col("__mix_copies").alias("copies"))
 
 
@@ -53,7 +65,28 @@ def op10_warc_zstd(spark, sf_dir):
     return warc_zstd.round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-@register("op3_quality_rules")
+_WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+_BAD_LINE = r"""(len(regexp_extract_all(x, '[#*$%&|<>{}\\^~=_]')) > length(x) * 0.08
+  OR len(list_filter(WORDS, lambda w: regexp_matches(w, '[!?]{2,}$'))) * 100 > len(WORDS) * 20.0
+  OR len(regexp_extract_all(x, '[|»«›‹•·]')) + len(list_filter(WORDS, lambda w: w = '>')) >= 2
+  OR regexp_matches(x, 'MENU') OR (regexp_matches(x, 'BOILERPLATE') AND len(WORDS) <= 20))""".replace(
+    "WORDS", _WORDS.format("x")).replace("MENU", quality.MENU).replace("BOILERPLATE", quality.BOILERPLATE)
+
+
+@register("op3_quality_rules", f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines, {_WORDS.format("text")} AS words FROM d),
+w AS (SELECT doc_id, unnest(words) AS w, unnest(range(len(words))) AS i FROM l),
+g AS (SELECT doc_id, i, CASE WHEN lead(w, 4) OVER o IS NOT NULL THEN concat_ws(' ', w, lead(w) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o) END AS gram
+      FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT doc_id, i, CASE WHEN gram IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, gram) > 1 THEN 1 ELSE 0 END AS dup FROM g),
+r AS (SELECT doc_id, sum(cov)::BIGINT AS n_repeat_words FROM (SELECT doc_id, max(dup) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS cov FROM c) GROUP BY doc_id),
+f AS (SELECT doc_id, text, words, list_filter(lines, lambda x: len({_WORDS.format("x")}) > 0) AS spoken,
+             array_to_string(list_filter(lines, lambda x: len({_WORDS.format("x")}) = 0 OR NOT {_BAD_LINE}), chr(10)) AS clean FROM l),
+n AS (SELECT f.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+             len(spoken) - len(list_distinct(spoken)) AS n_dup_lines, coalesce(r.n_repeat_words, 0) AS n_repeat_words,
+             1 - length(clean)::DOUBLE / greatest(length(text), 1) AS lost FROM f LEFT JOIN r ON r.doc_id = f.doc_id),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM n)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost <= 0.4 AS kept, round(lost, 6) AS lost_share FROM b""")
 def op3_quality_rules(spark, sf_dir):
     """Base counts and the line-first verdict for every document."""
     out = quality.judge(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -61,7 +94,37 @@ def op3_quality_rules(spark, sf_dir):
     return out.select("doc_id", *[F.col("__quality_" + n).alias(n) for n in names], F.round("__quality_lost", 6).alias("lost_share"))
 
 
-@register("op6_license_scan")
+def _license_sql() -> str:
+    """The scan with phrases and notices as values; places, diagonals and spans are relational on both sides."""
+    quote = lambda t: t.replace("'", "''")
+    rows = [(f"phrase:{n}", n, "true", t) for n, t in license_scan.PHRASES.items()] + [(f"text:{n}", n, "false", t) for n, t in license_scan.TEMPLATES.items()]
+    values = ", ".join(f"('{a}', '{b}', {c}, '{quote(t)}')" for a, b, c, t in rows)
+    words = r"""regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+    grams = "unnest(list_transform(range(len(words) - 2), lambda i: concat_ws(' ', words[i + 1], words[i + 2], words[i + 3])))"
+    return f"""WITH d AS (SELECT doc_id, {words.format("coalesce(text, '')")} AS words FROM documents),
+g AS (SELECT doc_id, unnest(range(len(words) - 2)) AS place, {grams} AS gram FROM d),
+t AS (SELECT template, label, base, {words.format("text")} AS words FROM (VALUES {values}) v(template, label, base, text)),
+tg AS (SELECT template, label, base, len(words) AS length, unnest(range(len(words) - 2)) AS t_place, {grams} AS gram FROM t),
+vote AS (SELECT DISTINCT doc_id, template, label, base, length, place, t_place, place - t_place AS diagonal FROM g JOIN tg USING (gram)),
+diag AS (SELECT doc_id, template, label, base, length, diagonal, count(*) AS votes, min(place) AS first, max(place) + 2 AS last FROM vote GROUP BY ALL),
+whole AS (SELECT doc_id, template, label, base, diagonal AS first, last, 1.0::DOUBLE AS score FROM diag WHERE base AND votes = length - 2),
+far AS (SELECT doc_id, template, diagonal, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > 4 THEN 1 ELSE 0 END AS far FROM diag WHERE NOT base),
+span AS (SELECT doc_id, template, diagonal, sum(far) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM far),
+seen AS (SELECT v.*, s.span, least(3, greatest(0, t_place + 3 - coalesce(max(t_place + 3) OVER (PARTITION BY v.doc_id, v.template, s.span ORDER BY place, t_place
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS new FROM vote v JOIN span s ON s.doc_id = v.doc_id AND s.template = v.template AND s.diagonal = v.diagonal WHERE NOT v.base),
+merged AS (SELECT doc_id, template, label, base, min(place) AS first, max(place) + 2 AS last, sum(new)::DOUBLE / length AS score FROM seen GROUP BY doc_id, template, label, base, length, span HAVING sum(new)::DOUBLE / length >= 0.6),
+apart AS (SELECT *, CASE WHEN first > max(last) OVER (PARTITION BY doc_id ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS apart FROM merged),
+clustered AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id ORDER BY first, last ROWS UNBOUNDED PRECEDING) AS cluster FROM apart),
+best AS (SELECT *, max(score) OVER (PARTITION BY doc_id, cluster) AS best FROM clustered),
+spans AS (SELECT doc_id, label, base, first, score FROM whole UNION ALL SELECT doc_id, label, base, first, score FROM best WHERE score = best),
+found AS (SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(first) FILTER (WHERE base) AS first_word, max(first) FILTER (WHERE base) AS last_word,
+                 coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (WHERE base))), ','), '') AS base_labels,
+                 array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(score) AS score, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, len(d.words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       round(coalesce(score, 0.0), 6) AS score, coalesce(n_spans, 0) AS n_spans FROM d LEFT JOIN found ON found.doc_id = d.doc_id"""
+
+
+@register("op6_license_scan", _license_sql())
 def op6_license_scan(spark, sf_dir):
     """License phrases and notices in every document."""
     out = license_scan.label(*license_scan.scan(read(spark, sf_dir, "documents")))
