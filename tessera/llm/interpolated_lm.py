@@ -128,7 +128,7 @@ def requests(chunks: DataFrame, ranges: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for r in b.to_pylist():
+            for r in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
                 w, wn, g, gn, _, _ = grams(r["words"], r["tokens"], np.array(r["train"], bool), np.array(r["lengths"]))
                 wcut, gcut = ([0, *np.searchsorted(x, borders).tolist(), len(x)] for x in (w, g))
                 rows = [(k, r["chunk"], pack_sorted(w[a:c]), pack(wn[a:c]), pack_sorted(g[d:e]), pack(gn[d:e]))
@@ -210,7 +210,7 @@ def learn(cells: dict[int, int], types: int, rounds: int = 200) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- documents
-def score(df: DataFrame, is_training: Column, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = 1_500_000, range_keys: int = 500_000) -> DataFrame:
+def score(df: DataFrame, is_training: Column, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = 800_000, range_keys: int = 500_000) -> DataFrame:
     """(id, training, n_tokens, n_known, train_tokens, base_score, score), one row per row of `df`."""
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
