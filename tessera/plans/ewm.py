@@ -18,7 +18,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tessera.plans.sequence import CHUNK, POS, join_keys, with_pos
+from tessera.plans.sequence import CHUNK, KEY, POS, _blocked, _over_blocks, with_pos
 
 
 def alpha_of(span: float | None = None, alpha: float | None = None, com: float | None = None) -> float:
@@ -58,15 +58,15 @@ def ewm(df: DataFrame, keys: Sequence[str], order: Sequence, col: str, out_mean:
         return d.drop("_x") if keep_pos or has_pos else d.drop("_x", POS)
     C = chunk_rows_for(a)
     lam = -math.log1p(-a)
-    d = d.withColumn(CHUNK, F.floor(F.col(POS) / F.lit(C)).cast("long"))
+    d = _blocked(d, keys, F.floor(F.col(POS) / F.lit(C)).cast("long"), CHUNK)
     j = (F.col(POS) - F.col(CHUNK) * F.lit(C)).cast("double")
     g = F.exp(j * F.lit(lam))          # (1-a)^(-j)
     g2 = F.exp(j * F.lit(2 * lam))     # (1-a)^(-2j)
     ok = x.isNotNull() & ~F.isnan(x)
-    d = d.withColumn("_xv", F.when(ok, x)).withColumn("_ref", F.avg("_xv").over(W.partitionBy(*keys, CHUNK)))
+    d = d.withColumn("_xv", F.when(ok, x)).withColumn("_ref", F.avg("_xv").over(W.partitionBy(KEY)))
     off = F.col("_xv") - F.col("_ref")
     has = F.col("_xv").isNotNull()
-    w = W.partitionBy(*keys, CHUNK).orderBy(POS).rowsBetween(W.unboundedPreceding, 0)
+    w = W.partitionBy(KEY).orderBy(POS).rowsBetween(W.unboundedPreceding, 0)
     sums = {"_s0": F.sum(F.when(has, g)).over(w) / g, "_s1": F.sum(off * g).over(w) / g, "_s2": F.sum(off * off * g).over(w) / g,
             "_q0": F.sum(F.when(has, g2)).over(w) / g2, "_cnt": F.count("_xv").over(w)}
     d = d.withColumns(sums)
@@ -81,15 +81,15 @@ def ewm(df: DataFrame, keys: Sequence[str], order: Sequence, col: str, out_mean:
 
     # the state at each chunk's last value, with what the last value before the chunk adds to it
     last = F.max_by(F.struct(*state), F.when(has, F.col(POS))).alias("_own")
-    tail = d.groupBy(*keys, CHUNK).agg(last)
-    by_chunk = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    tail = d.groupBy(KEY).agg(last)
+    by_chunk = _over_blocks(keys, CHUNK).rowsBetween(W.unboundedPreceding, -1)
     own = F.col("_own")
     tail = tail.withColumn("_old", F.last("_own", ignorenulls=True).over(by_chunk))
     older = aged(F.col("_old"), own[POS], own["_ref"])
     joined = F.struct(*[(own[c] + F.coalesce(older[c], F.lit(0))).alias(c) for c in sums], own["_ref"].alias("_ref"), own[POS].alias(POS))
     tail = tail.withColumn("_all", F.when(own.isNotNull(), joined))
-    tail = tail.select(*keys, CHUNK, F.last("_all", ignorenulls=True).over(by_chunk).alias("_in"))
-    d = join_keys(d, tail, [*keys, CHUNK], "left")
+    tail = tail.select(KEY, F.last("_all", ignorenulls=True).over(by_chunk).alias("_in"))
+    d = d.join(tail, KEY, "left")
     into = F.col("_in")
     # before the chunk's first value the state that came in is kept as it is: scaling would lose it in the end
     fresh = F.col("_cnt") == 0
@@ -108,7 +108,7 @@ def ewm(df: DataFrame, keys: Sequence[str], order: Sequence, col: str, out_mean:
             d = d.withColumn(out_var, var)
         if out_std:
             d = d.withColumn(out_std, F.sqrt(var))
-    d = d.drop(*sums, "_ref", "_xv", "_in", CHUNK)
+    d = d.drop(*sums, "_ref", "_xv", "_in", CHUNK, KEY)
     if not keep_pos and not has_pos:
         d = d.drop(POS)
     return d
@@ -123,13 +123,14 @@ def decayed_sum(df: DataFrame, keys: Sequence[str], order: Sequence, col: str, o
     d = df if has_pos else with_pos(df, keys, order)
     C = chunk_rows_for(a)
     lam = -math.log(decay)
-    d = d.withColumn(CHUNK, F.floor(F.col(POS) / F.lit(C)).cast("long"))
+    d = _blocked(d, keys, F.floor(F.col(POS) / F.lit(C)).cast("long"), CHUNK)
     j = (F.col(POS) - F.col(CHUNK) * F.lit(C)).cast("double")
     g = F.exp(j * F.lit(lam))
-    w = W.partitionBy(*keys, CHUNK).orderBy(POS).rowsBetween(W.unboundedPreceding, 0)
+    w = W.partitionBy(KEY).orderBy(POS).rowsBetween(W.unboundedPreceding, 0)
     d = d.withColumn("_s", F.sum(F.coalesce(F.col(col).cast("double"), F.lit(0.0)) * g).over(w) / g)
-    tail = d.groupBy(*keys, CHUNK).agg(F.max_by("_s", F.col(POS)).alias("_cs"), F.max(POS).alias("_lp"))
-    d = join_keys(d, tail.withColumn(CHUNK, F.col(CHUNK) + 1), [*keys, CHUNK], "left")
+    tail = d.groupBy(KEY).agg(F.max_by("_s", F.col(POS)).alias("_cs"), F.max(POS).alias("_lp"))
+    following = F.struct(*[F.col(KEY)[k].alias(k) for k in keys], (F.col(KEY)[CHUNK] + 1).alias(CHUNK))
+    d = d.join(tail.withColumn(KEY, following), KEY, "left")
     carry = F.coalesce(F.col("_cs") * F.exp(-(F.col(POS) - F.col("_lp")).cast("double") * F.lit(lam)), F.lit(0.0))
-    d = d.withColumn(out, F.col("_s") + carry).drop("_s", "_cs", "_lp", CHUNK)
+    d = d.withColumn(out, F.col("_s") + carry).drop("_s", "_cs", "_lp", CHUNK, KEY)
     return d if has_pos else d.drop(POS)

@@ -27,6 +27,7 @@ POS = "_pos"
 CHUNK = "_chunk"
 HALO = "_halo"
 BLOCK = "_blk"
+KEY = "_key"
 DEFAULT_CHUNK_ROWS = 1 << 20
 
 
@@ -64,6 +65,18 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(r, on, how).drop(*[f"_jk_{c}" for c in keys])
 
 
+def _blocked(df: DataFrame, keys: Sequence[str], block: Column, name: str = BLOCK) -> DataFrame:
+    """``df`` with its block and ``KEY``, a struct of the keys and the block.  Structs are never null and compare
+    with null equal to null, so windows, aggregates and plain equi-joins on ``KEY`` keep rows with null keys and
+    share one partitioning."""
+    return df.withColumn(name, block).withColumn(KEY, F.struct(*keys, name))
+
+
+def _over_blocks(keys: Sequence[str], name: str = BLOCK):
+    """Window over the blocks of each key, for tables with one row per ``KEY``."""
+    return W.partitionBy(*[F.col(KEY)[k] for k in keys]).orderBy(F.col(KEY)[name])
+
+
 # --------------------------------------------------------------------------- positions
 def with_pos(df: DataFrame, keys: Sequence[str], order: Sequence, block: Column | None = None,
              pos: str = POS) -> DataFrame:
@@ -73,14 +86,14 @@ def with_pos(df: DataFrame, keys: Sequence[str], order: Sequence, block: Column
     prefix-summed per key and joined back.  ``order`` must be unique within a key."""
     keys = list(keys)
     blk = block if block is not None else default_block(df, order)
-    d = df.withColumn(BLOCK, blk)
-    d = d.withColumn("_rn", F.row_number().over(W.partitionBy(*keys, BLOCK).orderBy(*_cols(order))))
-    counts = d.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*keys).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.select(*keys, BLOCK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return (join_keys(d, counts, [*keys, BLOCK])
+    d = _blocked(df, keys, blk)
+    d = d.withColumn("_rn", F.row_number().over(W.partitionBy(KEY).orderBy(*_cols(order))))
+    counts = d.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"))
+    before = _over_blocks(keys).rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select(KEY, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return (d.join(counts, KEY)
              .withColumn(pos, (F.col("_off") + F.col("_rn") - 1).cast("long"))
-             .drop("_rn", "_off", BLOCK))
+             .drop("_rn", "_off", BLOCK, KEY))
 
 
 def key_sizes(df: DataFrame, keys: Sequence[str], name: str = "_n") -> DataFrame:
@@ -136,24 +149,24 @@ def shift(df: DataFrame, keys: Sequence[str], order: Sequence, cols: dict[str, s
             d = d.drop(POS)
         return d
     o = _cols(order)
-    d = df.withColumn(BLOCK, default_block(df, order))
-    w = W.partitionBy(*keys, BLOCK).orderBy(*o)
+    d = _blocked(df, keys, default_block(df, order))
+    w = W.partitionBy(KEY).orderBy(*o)
     vals = F.struct(*[F.col(src).alias(dst) for src, dst in cols.items()])
     edge = F.max_by(vals, F.struct(*o)) if k > 0 else F.min_by(vals, F.struct(*o))
     d = d.withColumn("_at_edge", (F.lag(F.lit(1)).over(w) if k > 0 else F.lead(F.lit(1)).over(w)).isNull())
     for src, dst in cols.items():
         d = d.withColumn(f"_sh_{dst}", F.lag(src, 1).over(w) if k > 0 else F.lead(src, 1).over(w))
     # the edge table is aggregated from the windowed frame, so both branches share one exchange
-    edges = d.groupBy(*keys, BLOCK).agg(edge.alias("_edge"))
-    bw = W.partitionBy(*keys).orderBy(BLOCK)  # one row per key and block
-    nb = edges.select(*keys, BLOCK, (F.lag("_edge").over(bw) if k > 0 else F.lead("_edge").over(bw)).alias("_nb"))
+    edges = d.groupBy(KEY).agg(edge.alias("_edge"))
+    bw = _over_blocks(keys)
+    nb = edges.select(KEY, (F.lag("_edge").over(bw) if k > 0 else F.lead("_edge").over(bw)).alias("_nb"))
     for src, dst in cols.items():
         d = d.withColumnRenamed(f"_sh_{dst}", dst) if dst not in df.columns else \
             d.withColumn(dst, F.col(f"_sh_{dst}")).drop(f"_sh_{dst}")
-    d = join_keys(d, nb, [*keys, BLOCK], "left")
+    d = d.join(nb, KEY, "left")
     for src, dst in cols.items():
         d = d.withColumn(dst, F.when(F.col("_at_edge"), F.col(f"_nb.{dst}")).otherwise(F.col(dst)))
-    return d.drop("_nb", "_at_edge", BLOCK)
+    return d.drop("_nb", "_at_edge", BLOCK, KEY)
 
 
 # --------------------------------------------------------------------------- cumulative
@@ -166,8 +179,8 @@ def cumulative(df: DataFrame, keys: Sequence[str], order: Sequence, aggs: dict[s
     unique within a key."""
     keys = list(keys)
     blk = block if block is not None else default_block(df, order)
-    d = df.withColumn(BLOCK, blk)
-    frame = (W.partitionBy(*keys, BLOCK).orderBy(*_cols(order))
+    d = _blocked(df, keys, blk)
+    frame = (W.partitionBy(KEY).orderBy(*_cols(order))
              .rowsBetween(W.unboundedPreceding, -1 if exclusive else 0))
     totals = []
     combine = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
@@ -177,20 +190,20 @@ def cumulative(df: DataFrame, keys: Sequence[str], order: Sequence, aggs: dict[s
     for name, (how, col) in aggs.items():
         d = d.withColumn(f"_in_{name}", fn[how](col).over(frame))
         totals.append(fn[how](col).alias(f"_tot_{name}"))
-    tot = d.groupBy(*keys, BLOCK).agg(*totals)
-    prior = W.partitionBy(*keys).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
-    sel = [*keys, BLOCK]
+    tot = d.groupBy(KEY).agg(*totals)
+    prior = _over_blocks(keys).rowsBetween(W.unboundedPreceding, -1)
+    sel = [KEY]
     for name, (how, _) in aggs.items():
         agg = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}[how]
         sel.append(agg(f"_tot_{name}").over(prior).alias(f"_pre_{name}"))
     tot = tot.select(*sel)
-    d = join_keys(d, tot, [*keys, BLOCK], "left")
+    d = d.join(tot, KEY, "left")
     for name, (how, _) in aggs.items():
         v = combine[how](F.col(f"_pre_{name}"), F.col(f"_in_{name}"))
         if how == "sum" and not exclusive:
             v = F.when(F.col(f"_pre_{name}").isNull() & F.col(f"_in_{name}").isNull(), F.lit(None)).otherwise(v)
         d = d.withColumn(name, v).drop(f"_pre_{name}", f"_in_{name}")
-    return d.drop(BLOCK)
+    return d.drop(BLOCK, KEY)
 
 
 # --------------------------------------------------------------------------- fills
@@ -200,10 +213,10 @@ def fill(df: DataFrame, keys: Sequence[str], order: Sequence, cols: dict[str, st
     at or after).  ``strict`` excludes the current row.  Blocks as ``default_block``."""
     keys = list(keys)
     blk = block if block is not None else default_block(df, order)
-    d = df.withColumn(BLOCK, blk)
+    d = _blocked(df, keys, blk)
     o = _cols(order)
     fwd = direction == "forward"
-    w = W.partitionBy(*keys, BLOCK).orderBy(*o)
+    w = W.partitionBy(KEY).orderBy(*o)
     frame = (w.rowsBetween(W.unboundedPreceding, -1 if strict else 0) if fwd
              else w.rowsBetween(1 if strict else 0, W.unboundedFollowing))
     ordkey = F.struct(*o)
@@ -212,16 +225,16 @@ def fill(df: DataFrame, keys: Sequence[str], order: Sequence, cols: dict[str, st
         d = d.withColumn(dst, (F.last if fwd else F.first)(src, ignorenulls=True).over(frame))
         pick = F.max_by if fwd else F.min_by
         aggs.append(pick(F.col(src), F.when(F.col(src).isNotNull(), ordkey)).alias(f"_b_{dst}"))
-    per_block = d.groupBy(*keys, BLOCK).agg(*aggs)
-    bw = W.partitionBy(*keys).orderBy(BLOCK)
+    per_block = d.groupBy(KEY).agg(*aggs)
+    bw = _over_blocks(keys)
     bframe = (bw.rowsBetween(W.unboundedPreceding, -1) if fwd else bw.rowsBetween(1, W.unboundedFollowing))
-    carry = per_block.select(*keys, BLOCK, *[
+    carry = per_block.select(KEY, *[
         (F.last if fwd else F.first)(f"_b_{dst}", ignorenulls=True).over(bframe).alias(f"_c_{dst}")
         for dst in cols.values()])
-    d = join_keys(d, carry, [*keys, BLOCK], "left")
+    d = d.join(carry, KEY, "left")
     for dst in cols.values():
         d = d.withColumn(dst, F.coalesce(F.col(dst), F.col(f"_c_{dst}"))).drop(f"_c_{dst}")
-    return d.drop(BLOCK)
+    return d.drop(BLOCK, KEY)
 
 
 # --------------------------------------------------------------------------- quantiles
