@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import WORD
 
 SYMBOLS = r"[#*$%&|<>{}\\^~=_]"
-SEPARATORS = r"[|»«›‹•·]|(?<![^\x20\x09-\x0D])>(?![^\x20\x09-\x0D])"
+SEPARATORS = r"[|»«›‹•·]|>(?<![^\x20\x09-\x0D]>)(?![^\x20\x09-\x0D])"
 MENU = r"(?i)^\W*(?:(?:home|menu|search|log ?in|log ?out|sign ?in|sign ?up|register|next|previous|share|print|contact|about|help|back|top|skip to content|site ?map|follow us|tweet|faq)\W*)+$"
 BOILERPLATE = r"(?i)all rights reserved|(?:privacy|cookie) policy|terms (?:of (?:use|service)|and conditions)|(?:we|site) uses? cookies|accept (?:all )?cookies|javascript|lorem ipsum|click here|subscribe to|copyright ©|powered by"
 MARKS = r"[!?]{2,}(?=[\x20\x09-\x0D]|$)"
