@@ -31,7 +31,7 @@ def bad_line(line: Column, max_symbol_share: float = 0.08, max_marks: float = 20
     words = F.regexp_count(line, F.lit(WORD))
     symbols = F.regexp_count(line, F.lit(SYMBOLS))
     return ((symbols > F.length(line) * max_symbol_share)
-            | (F.regexp_count(line, F.lit(MARKS)) * 100 > words * max_marks)
+            | (line.rlike(MARKS) & (F.regexp_count(line, F.lit(MARKS)) * 100 > words * max_marks))  # few lines are counted
             | (F.regexp_count(line, F.lit(SEPARATORS)) >= min_separators)
             | line.rlike(MENU)
             | (line.rlike(BOILERPLATE) & (words <= max_boilerplate_words)))
