@@ -84,7 +84,8 @@ def judge(df: DataFrame, text_col: str = "text", min_words: int = 10, max_repeat
 
 def clean(df: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", **rules) -> DataFrame:
     """The documents that stay, with their texts cleaned; `chars_col`, if there is one, follows the text."""
-    out = judge(df, text_col, **rules).filter("__quality_kept")
+    # the row number keeps the filter above the projection, which would be computed twice otherwise
+    out = judge(df, text_col, **rules).withColumn("__quality_row", F.monotonically_increasing_id()).filter("__quality_kept and __quality_row >= 0")
     new = {text_col: F.col("__quality_clean")}
     if chars_col and chars_col in df.columns:
         new[chars_col] = F.length("__quality_clean").cast(df.schema[chars_col].dataType)
