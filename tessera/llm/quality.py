@@ -3,7 +3,8 @@
 Each line with a word is tested by three rules, and goes if it fails one:
 - punctuation: symbols `SYMBOLS` make up more than `max_symbol_share` of its characters, or its words end in
   repeated marks (`!!`, `??`) more often than `max_marks` times in a hundred words;
-- navigation: it holds `min_separators` menu separators or more, or consists of menu words alone;
+- navigation: it holds `min_separators` menu separators or more and more than `max_separators` in a hundred
+  words, or consists of menu words alone; quotations in « » or ‹ › and values in bars (|x|) are no separators;
 - boilerplate: it holds one of the phrases `BOILERPLATE`, and no more than `max_boilerplate_words` words.
 Lines without a word stay. A document is rejected if its whole text fails the base rules (too few words, too
 many words in repeated 5-word windows) or if the lines that went held more than `max_lost_share` of its
@@ -21,18 +22,21 @@ from .common import WORD
 
 SYMBOLS = r"[#*$%&|<>{}\\^~=_]"
 SEPARATORS = r"[|»«›‹•·]|>(?<![^\x20\x09-\x0D]>)(?![^\x20\x09-\x0D])"
+#: Pairs of marks that stand in prose, without another mark between them.
+PAIRED = r"«[^|»«›‹•·]*»|»[^|»«›‹•·]*«|‹[^|»«›‹•·]*›|›[^|»«›‹•·]*‹|(?<![^\x20\x09-\x0D(])\|[^|\x20\x09-\x0D]+\|(?=[\x20\x09-\x0D.,;:!?)]|$)"
 MENU = r"(?i)^\W*(?:(?:home|menu|search|log ?in|log ?out|sign ?in|sign ?up|register|next|previous|share|print|contact|about|help|back|top|skip to content|site ?map|follow us|tweet|faq)\W*)+$"
 BOILERPLATE = r"(?i)all rights reserved|(?:privacy|cookie) policy|terms (?:of (?:use|service)|and conditions)|(?:we|site) uses? cookies|accept (?:all )?cookies|javascript|lorem ipsum|click here|subscribe to|copyright ©|powered by"
 MARKS = r"[!?]{2,}(?=[\x20\x09-\x0D]|$)"
 
 
-def bad_line(line: Column, max_symbol_share: float = 0.08, max_marks: float = 20.0, min_separators: int = 2, max_boilerplate_words: int = 20) -> Column:
+def bad_line(line: Column, max_symbol_share: float = 0.08, max_marks: float = 20.0, min_separators: int = 2, max_boilerplate_words: int = 20, max_separators: float = 5.0) -> Column:
     """Whether a line goes."""
     words = F.regexp_count(line, F.lit(WORD))
     symbols = F.regexp_count(line, F.lit(SYMBOLS))
+    separators = F.regexp_count(F.regexp_replace(line, PAIRED, ""), F.lit(SEPARATORS))
     return ((symbols > F.length(line) * max_symbol_share)
             | (line.rlike(MARKS) & (F.regexp_count(line, F.lit(MARKS)) * 100 > words * max_marks))  # few lines are counted
-            | (F.regexp_count(line, F.lit(SEPARATORS)) >= min_separators)
+            | ((F.regexp_count(line, F.lit(SEPARATORS)) >= min_separators) & (separators >= min_separators) & (separators * 100 > words * max_separators))
             | line.rlike(MENU)
             | (line.rlike(BOILERPLATE) & (words <= max_boilerplate_words)))
 

@@ -119,6 +119,18 @@ def test_quality_lines(spark):
         assert (out[i]["__quality_kept"], out[i]["__quality_clean"] == text) == (kept, whole), i
 
 
+def test_quality_separators_in_clean_text(spark):
+    long = " ".join(f"Sentence {i} says thing {7 * i} of it, number {9 * i} too." for i in range(200))
+    extra = [" « une citation »", " where |x| is small and |y|, too,", " • one thing • another thing", " »ein Zitat« und ‹noch eins›", " a | b | c"]
+    cases = [(i, long[:900] + x + long[900:], True) for i, x in enumerate(extra)] + [(10, long + "".join(extra), True)]
+    cases += [(11, "Il a dit « oui, demain » et le reste du monde a bien ri.", True), (12, "Here the value |x| is less than one, as anyone can see.", True)]
+    cases += [(20, "Shop » Garden » Tools » Spades and forks for small hands of all ages", False), (21, "« Older posts of this long blog | Newer posts of this long blog »", False),
+              (22, "One | Two | Three | Four | Five | Six | Seven | Eight | Nine | Ten", False), (23, "News|Sport|Weather|Travel and all the other things we have written", False)]
+    out = {r.doc_id: r for r in quality.judge(spark.createDataFrame([c[:2] for c in cases], "doc_id int, text string")).collect()}
+    for i, text, kept in cases:
+        assert (out[i]["__quality_kept"], out[i]["__quality_clean"]) == (kept, text if kept else ""), i
+
+
 def test_quality_clean_keeps_columns(clashing, no_docs):
     out = quality.clean(clashing)
     assert out.columns == clashing.columns and all(r.n_chars == len(r.text) for r in out.collect())
