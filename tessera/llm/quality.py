@@ -24,7 +24,12 @@ SYMBOLS = r"[#*$%&|<>{}\\^~=_]"
 SEPARATORS = r"[|»«›‹•·]|>(?<![^\x20\x09-\x0D]>)(?![^\x20\x09-\x0D])"
 #: Pairs of marks that stand in prose, without another mark between them.
 PAIRED = r"«[^|»«›‹•·]*»|»[^|»«›‹•·]*«|‹[^|»«›‹•·]*›|›[^|»«›‹•·]*‹|(?<![^\x20\x09-\x0D(])\|[^|\x20\x09-\x0D]+\|(?=[\x20\x09-\x0D.,;:!?)]|$)"
-MENU = r"(?i)^\W*(?:(?:home|menu|search|log ?in|log ?out|sign ?in|sign ?up|register|next|previous|share|print|contact|about|help|back|top|skip to content|site ?map|follow us|tweet|faq)\W*)+$"
+MENU_WORDS = r"home|menu|search|log ?in|log ?out|sign ?in|sign ?up|register|next|previous|share|print|contact|about|help|back|top|skip to content|site ?map|follow us|tweet|faq"
+#: For the SQL, whose \W has ASCII only.
+MENU = rf"(?i)^\W*(?:(?:{MENU_WORDS})\W*)+$"
+#: Letters of all scripts are words. Possessive, so Java loops over the words and does not call itself for each;
+#: no menu word begins another, so nothing is lost by that.
+MENU_LINE = rf"(?i)^[^\p{{L}}\p{{N}}_]*+(?:(?:{MENU_WORDS})[^\p{{L}}\p{{N}}_]*+)++$"
 BOILERPLATE = r"(?i)all rights reserved|(?:privacy|cookie) policy|terms (?:of (?:use|service)|and conditions)|(?:we|site) uses? cookies|accept (?:all )?cookies|javascript|lorem ipsum|click here|subscribe to|copyright ©|powered by"
 MARKS = r"[!?]{2,}(?=[\x20\x09-\x0D]|$)"
 
@@ -37,7 +42,7 @@ def bad_line(line: Column, max_symbol_share: float = 0.08, max_marks: float = 20
     return ((symbols > F.length(line) * max_symbol_share)
             | (line.rlike(MARKS) & (F.regexp_count(line, F.lit(MARKS)) * 100 > words * max_marks))  # few lines are counted
             | ((F.regexp_count(line, F.lit(SEPARATORS)) >= min_separators) & (separators >= min_separators) & (separators * 100 > words * max_separators))
-            | line.rlike(MENU)
+            | line.rlike(MENU_LINE)
             | (line.rlike(BOILERPLATE) & (words <= max_boilerplate_words)))
 
 

@@ -131,6 +131,17 @@ def test_quality_separators_in_clean_text(spark):
         assert (out[i]["__quality_kept"], out[i]["__quality_clean"]) == (kept, text if kept else ""), i
 
 
+def test_quality_menu_words_of_all_scripts_and_lengths(spark):
+    rest = " и это всё что надо знать о кнопке в углу экрана"
+    cases = [(1, "Нажмите кнопку Help, чтобы открыть окно" + rest, True), (2, "Πατήστε το Help για να ανοίξει το νέο παράθυρο σε αυτή την οθόνη", True),
+             (3, "اضغط على زر Home ثم انتظر حتى تظهر لك الصفحة الأولى كلها", True), (4, "点击 Help 按钮 然后 等待 窗口 打开 再 选择 一个 文件 保存", True)]
+    cases += [(10 + i, " ".join(["Home", "Sign in", "About", "Skip to content", "Help"] * n) + end, False) for i, (n, end) in enumerate([(4, " »"), (4, " \U0001f3e0\ufe0f"), (20_000, ""), (20_000, " •")])]
+    out = {r.doc_id: r for r in quality.judge(spark.createDataFrame([c[:2] for c in cases], "doc_id int, text string")).collect()}
+    for i, text, whole in cases:
+        assert out[i]["__quality_clean"] == (text if whole else ""), i
+        assert out[i]["__quality_kept"] == whole, i
+
+
 def test_quality_clean_keeps_columns(clashing, no_docs):
     out = quality.clean(clashing)
     assert out.columns == clashing.columns and all(r.n_chars == len(r.text) for r in out.collect())
