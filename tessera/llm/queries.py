@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.session import ensure_checkpoint_dir
 
-from . import chat, interpolated_lm, license_scan, mixing, packing, pivot_search, quality, sharding, simhash, warc_zstd
+from . import chat, divergence, interpolated_lm, license_scan, mixing, packing, pivot_search, quality, sharding, simhash, vector_codes, warc_zstd
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -175,3 +175,57 @@ def op8_interpolated_lm(spark, sf_dir):
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
     out = interpolated_lm.score(read(spark, sf_dir, "documents"), ~held_out)
     return out.select(F.col("id").alias("doc_id"), (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@register("op11_source_divergence", r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+w AS (SELECT r, lang, source, unnest(words) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM w GROUP BY lang, source, term),
+k AS (SELECT lang, term FROM c GROUP BY lang, term HAVING sum(docs) >= 3),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+u AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang, source) + count(*) OVER (PARTITION BY lang, source)) AS p FROM u),
+l AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang)) AS q
+      FROM (SELECT lang, term, sum(n) AS n FROM u GROUP BY lang, term)),
+f AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(s.value, 0) AS value FROM g JOIN g h ON h.lang = g.lang AND h.source <> g.source
+      LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY a.lang, a.source, b.source) s
+      ON s.lang = g.lang AND s.source = g.source AND s.item = h.source
+      UNION ALL SELECT p.lang, p.source, 'term', p.term, ((p - q) * (p - q)) // q FROM p JOIN l ON l.lang = p.lang AND l.term = p.term WHERE n > 0 AND p > q),
+r AS (SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM f)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 200""")
+def op11_source_divergence(spark, sf_dir):
+    """Divergence of every source from the others of its language, and its 200 most overused terms."""
+    return divergence.divergences(read(spark, sf_dir, "documents"))
+
+
+def _codes_sql() -> str:
+    """Two rounds of moved codebooks, written out."""
+    assign = lambda cb: f"""SELECT r, part, min([list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, k]) AS best
+  FROM p JOIN {cb} USING (part) GROUP BY r, part"""
+    move = lambda cb, a: f"""SELECT b.part, b.k, coalesce(m.c, b.c) AS c FROM {cb} b LEFT JOIN (SELECT part, k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS c
+  FROM (SELECT part, best[2] AS k, j, sum(x[j + 1])::BIGINT AS s, count(*) AS n FROM {a} JOIN p USING (r, part), range((SELECT dim // 16 FROM size)) q(j) GROUP BY part, best[2], j) GROUP BY part, k) m
+  ON m.part = b.part AND m.k = b.k"""
+    return f"""WITH v AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+size AS (SELECT max(len(e)) AS dim FROM v),
+p AS (SELECT r, part::INTEGER AS part, e[part * (dim // 16) + 1 : (part + 1) * (dim // 16)] AS x FROM v, size, range(16) t(part)),
+f AS (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, e) - 1 AS k FROM v),
+b0 AS (SELECT part, k, x AS c FROM p JOIN f USING (r) WHERE k < 64),
+a0 AS ({assign("b0")}),
+b1 AS ({move("b0", "a0")}),
+a1 AS ({assign("b1")}),
+b2 AS ({move("b1", "a1")}),
+a2 AS ({assign("b2")}),
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, k)) AS codebooks_sha256 FROM b2),
+o AS (SELECT r, string_agg(lower(lpad(to_hex(best[2]), 2, '0')), '' ORDER BY part) AS code, sum(best[1])::BIGINT AS error FROM a2 GROUP BY r)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM o JOIN v USING (r), h"""
+
+
+@register("op12_vector_codes", _codes_sql())
+def op12_vector_codes(spark, sf_dir):
+    """Product codes of all vectors: 16 parts, 64 entries each, two rounds."""
+    coded, codebooks = vector_codes.compress(read(spark, sf_dir, "embeddings"))
+    out = vector_codes.with_label_error(coded)
+    code = F.array_join(F.transform("__vc_code", lambda c: F.lower(F.lpad(F.hex(c.cast("long")), 2, "0"))), "")
+    return out.select("vec_id", code.alias("code"), F.col("__vc_error").alias("error"), F.col("__vc_label_error").alias("label_error"), F.lit(vector_codes.digest(codebooks)).alias("codebooks_sha256"))
