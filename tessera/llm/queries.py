@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.session import ensure_checkpoint_dir
 
-from . import chat, divergence, interpolated_lm, license_scan, mixing, packing, pivot_search, quality, sharding, simhash, vector_codes, warc_zstd
+from . import chat, divergence, interpolated_lm, license_scan, mixing, packing, pivot_search, quality, sharding, simhash, toxicity, vector_codes, warc_zstd
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -229,3 +229,13 @@ def op12_vector_codes(spark, sf_dir):
     out = vector_codes.with_label_error(coded)
     code = F.array_join(F.transform("__vc_code", lambda c: F.lower(F.lpad(F.hex(c.cast("long")), 2, "0"))), "")
     return out.select("vec_id", code.alias("code"), F.col("__vc_error").alias("error"), F.col("__vc_label_error").alias("label_error"), F.lit(vector_codes.digest(codebooks)).alias("codebooks_sha256"))
+
+
+@register("op13_toxicity")
+def op13_toxicity(spark, sf_dir):
+    """Toxicity of every document, learned from the labels of four fifths of the ids."""
+    fold = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")) % 5
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, read(spark, sf_dir, "labels"), fold != 0)
+    out = toxicity.score(docs.withColumnRenamed("doc_id", "id"), model)
+    return out.select(F.col("id").alias("doc_id"), (fold == 0).alias("held_out"), F.col("__tox_score").alias("score"), (F.col("__tox_score") >= 0.5).cast("int").alias("predicted"))
