@@ -202,7 +202,7 @@ def places_of(rows: DataFrame, gram: int, places: dict[int, int]) -> DataFrame:
     return rows.mapInArrow(run, "row long, label double, places array<int>")
 
 
-def learn(df: DataFrame, labels: DataFrame, may_learn: Column, max_rows: int = 50_000, max_terms: int = 1 << 16, min_rows: int = 5, min_ratio: float = 15.0,
+def learn(df: DataFrame, labels: DataFrame, may_learn: Column, max_rows: int = 20_000, max_terms: int = 1 << 16, min_rows: int = 5, min_ratio: float = 15.0,
           gram: int = 4, factors: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **fit_options) -> Model:
     """The machine learned from `labels` (id, label) of rows of `df`; `may_learn` is a condition on `id`."""
     rows = labelled_rows(df, labels, may_learn, max_rows, id_col, text_col, label_col)
