@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from tessera.plans.sequence import cumulative
+from tessera.plans.sequence import cumulative, join_keys
 from tessera.session import cut_lineage
 
 
@@ -25,7 +25,7 @@ def covariance(returns: DataFrame, keys: Sequence[str] = (), date="date", asset=
     keys = list(keys)
     a = returns.select(*keys, date, F.col(asset).alias("a"), F.col(ret).alias("ra"))
     b = returns.select(*keys, date, F.col(asset).alias("b"), F.col(ret).alias("rb"))
-    half = a.join(b, [*keys, date]).where("a <= b").groupBy(*keys, "a", "b").agg(F.covar_samp("ra", "rb").alias("cov"), F.corr("ra", "rb").alias("corr"))
+    half = join_keys(a, b, [*keys, date]).where("a <= b").groupBy(*keys, "a", "b").agg(F.covar_samp("ra", "rb").alias("cov"), F.corr("ra", "rb").alias("corr"))
     sides = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
     return half.select(*keys, F.explode(sides).alias("_s"), "cov", "corr").select(*keys, "_s.a", "_s.b", "cov", "corr")
 
@@ -49,11 +49,11 @@ def cluster_variance(cov: DataFrame, clusters: DataFrame, keys: Sequence[str] =
     keys = list(keys)
     cov = cut_lineage(cov)  # read three times
     iv = cov.where(F.col("a") == F.col("b")).select(*keys, F.col("a").alias("asset"), F.try_divide(F.lit(1.0), F.col("cov")).alias("_iv"))
-    c = clusters.join(iv, [*keys, "asset"])
+    c = join_keys(clusters, iv, [*keys, "asset"])
     w = c.withColumn("w", F.col("_iv") / F.sum("_iv").over(W.partitionBy(*keys, "cluster")))  # one row per asset
     wa = w.select(*keys, "cluster", F.col("asset").alias("a"), F.col("w").alias("wa"))
     wb = w.select(*keys, "cluster", F.col("asset").alias("b"), F.col("w").alias("wb"))
-    j = cov.join(wa, [*keys, "a"]).join(wb, [*keys, "cluster", "b"])
+    j = join_keys(join_keys(cov, wa, [*keys, "a"]), wb, [*keys, "cluster", "b"])
     return j.groupBy(*keys, "cluster").agg(F.sum(F.col("wa") * F.col("cov") * F.col("wb")).alias("cluster_var"))
 
 

@@ -255,7 +255,7 @@ def engle_granger(a: DataFrame, keys=("symbol",), order: Sequence[str] = ("time"
     keys = list(keys)
     a = cut_lineage(a.select(*keys, *order, y, x))
     fit = a.groupBy(*keys).agg(F.regr_slope(y, x).alias("_b"), F.regr_intercept(y, x).alias("_a"))
-    r = a.join(fit, keys).withColumn("_e", F.col(y) - F.col("_a") - F.col("_b") * F.col(x))
+    r = join_keys(a, fit, keys).withColumn("_e", F.col(y) - F.col("_a") - F.col("_b") * F.col(x))
     out = adf(r.select(*keys, *order, "_e"), keys, order, "_e", regression="n")
     return out.withColumnRenamed("adf_stat", "eg_stat")
 

@@ -1,7 +1,8 @@
 """Triple-barrier labelling and meta-labelling.
 
 ``close`` is a series ``(keys..., time, close)`` with unique times per key; events are
-``(keys..., t0, ...)``.  Path scans look at the ticks of the first hours whose price range meets a barrier.
+``(keys..., t0, ...)``.  Barriers, vertical barriers and prices are found by ``plans.pathindex``; pass ``index`` to
+build it once for several of them.
 """
 
 from __future__ import annotations
@@ -10,95 +11,82 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from tessera.plans.pathindex import PathIndex, first_touches, locate, path_index
 from tessera.plans.sequence import POS, join_keys, shift, with_pos
-from tessera.plans.timejoin import asof
 
 
 # --------------------------------------------------------------------------- J2 / vertical barrier
 def vertical_barrier(close: DataFrame, t_events: DataFrame, num_days: int, keys=("symbol",), time_col="time",
-                     event_time="t0") -> DataFrame:
-    """t1 = first close time at or after t0 + num_days (forward as-of); null past the end."""
-    keys = list(keys)
-    right = close.select(*keys, F.col(time_col).alias("_rt"))
-    return asof(t_events, right.withColumn("_t1", F.col("_rt")), keys,
-                F.col(event_time) + F.expr(f"INTERVAL {int(num_days)} DAYS"), "_rt", {"_t1": "t1"},
-                direction="forward", inclusive=True)
+                     event_time="t0", value="close", index: PathIndex | None = None) -> DataFrame:
+    """t1 = first close time at or after t0 + num_days (forward as-of); null past the end.  ``index`` is that of
+    ``close``, if there is one already (``path_index``)."""
+    index = index or path_index(close, keys, time_col, value)
+    return locate(index, t_events, F.col(event_time) + F.expr(f"INTERVAL {int(num_days)} DAYS"), {"time": "t1"})
 
 
 # --------------------------------------------------------------------------- L1
 def triple_barrier(close: DataFrame, events: DataFrame, pt_sl: Sequence[float], keys=("symbol",),
-                   time_col="time", value="close") -> DataFrame:
+                   time_col="time", value="close", index: PathIndex | None = None) -> DataFrame:
     """First stop-loss and profit-taking touch on the path [t0, t1] (t1 null: to the last close).
     Path return = (close/close[t0] - 1)·side; sl touch when below -pt_sl[1]·trgt, pt touch when
-    above pt_sl[0]·trgt; a zero factor disables that barrier.  events: keys, t0, t1, trgt, side."""
+    above pt_sl[0]·trgt; a zero factor disables that barrier.  events: keys, t0, t1, trgt, side, one for each
+    (keys, t0).  An event whose t0 has no close touches nothing.
+
+    The first touch at or after t0 is searched by ``path_index``; one behind t1 does not count."""
     keys = list(keys)
-    tt = close.schema[time_col].dataType
-    hour = lambda c: F.date_trunc("hour", c).cast(tt)
-    last = close.groupBy(*keys).agg(F.max(time_col).alias("_last"))  # one row per key
-    pts = close.select(*keys, F.col(time_col).alias("_pt"), F.col(value).alias("_px"))
+    index = index or path_index(close, keys, time_col, value)
     side = F.col("side").cast("double") if "side" in events.columns else F.lit(None).cast("double")
-    ev = (events.join(last, keys, "left")
-                .join(pts.select(*keys, F.col("_pt").alias("t0"), F.col("_px").alias("_p0")), [*keys, "t0"], "left"))
-    path = ["t0", "_p0", "_end", "trgt", "_s"]
-    ev = ev.select(*keys, "t0", "_p0", F.coalesce("t1", "_last").alias("_end"), "trgt", F.coalesce(side, F.lit(1.0)).alias("_s"))
+    own = locate(index, events.select(*keys, "t0", "t1", "trgt", F.coalesce(side, F.lit(1.0)).alias("_s")), F.col("t0"),
+                 {"pos": "_p", "time": "_pt", "value": "_p0"})
+    asks = own.where((F.col("_pt") == F.col("t0")) & F.col("_p0").isNotNull()).drop("_pt")
     ret = lambda px: (F.try_divide(px, F.col("_p0")) - 1) * F.col("_s")
     pt_w, sl_w = float(pt_sl[0]), float(pt_sl[1])
-    over = lambda r: (r > F.lit(pt_w) * F.col("trgt")) if pt_w > 0 else F.lit(False)
-    under = lambda r: (r < -F.lit(sl_w) * F.col("trgt")) if sl_w > 0 else F.lit(False)
-    # an hour's lowest and highest price tell whether its ticks can touch a barrier
-    hours = pts.groupBy(*keys, hour("_pt").alias("_h")).agg(F.min("_px").alias("_lo"), F.max("_px").alias("_hi"))
-    spans = ev.withColumn("_h", F.explode(F.sequence(hour("t0"), hour("_end"), F.expr("INTERVAL 1 HOUR"))))
-    spans = spans.join(hours, [*keys, "_h"])
-    high, low = F.greatest(ret(F.col("_lo")), ret(F.col("_hi"))), F.least(ret(F.col("_lo")), ret(F.col("_hi")))
-    edge = (F.col("_h") == hour("t0")) | (F.col("_h") == hour("_end"))  # hours the path covers in part
-    first = lambda c: F.min(F.when(c & ~edge, F.col("_h")))
-    picked = spans.where(over(high) | under(low)).groupBy(*keys, *path).agg(
-        F.array_compact(F.array_distinct(F.array(first(over(high)), first(under(low)), F.min(F.when(edge, F.col("_h"))), F.max(F.when(edge, F.col("_h")))))).alias("_hs"))
-    # the ticks of the first such hours alone are read: whole hours hold a touch, the path's first and last may
-    ticks = picked.withColumn("_h", F.explode("_hs")).join(pts.withColumn("_h", hour("_pt")), [*keys, "_h"])
-    ticks = ticks.where((F.col("_pt") >= F.col("t0")) & (F.col("_pt") <= F.col("_end")))
-    r = ret(F.col("_px"))
-    aggs = [F.min(F.when(over(r), F.col("_pt"))).alias("pt"), F.min(F.when(under(r), F.col("_pt"))).alias("sl")]
-    touched = ticks.groupBy(*keys, "t0").agg(*aggs)
-    return events.join(touched, [*keys, "t0"], "left")
+    # the return rises with the price, or falls with it
+    best = lambda lo, hi: ret(F.when(F.col("_rises"), hi).otherwise(lo))
+    worst = lambda lo, hi: ret(F.when(F.col("_rises"), lo).otherwise(hi))
+    asks = asks.withColumns({"_rises": F.col("_s") * F.col("_p0") >= 0, "_pt": F.lit(pt_w) * F.col("trgt"), "_sl": -F.lit(sl_w) * F.col("trgt")})
+    over = lambda lo, hi: (best(lo, hi) > F.col("_pt")) if pt_w > 0 else F.lit(False)
+    under = lambda lo, hi: (worst(lo, hi) < F.col("_sl")) if sl_w > 0 else F.lit(False)
+    found = first_touches(index, asks, "_p", over, under, ("pt", "sl"))
+    in_time = lambda c: F.when(F.col("t1").isNull() | (F.col(c) <= F.col("t1")), F.col(c)).alias(c)
+    return join_keys(events, found.select(*keys, "t0", in_time("pt"), in_time("sl")), [*keys, "t0"], "left")
 
 
 # --------------------------------------------------------------------------- L2
 def get_events(close: DataFrame, t_events: DataFrame, pt_sl: Sequence[float], trgt: DataFrame, min_ret: float,
                t1: DataFrame | None = None, side: DataFrame | None = None, keys=("symbol",), time_col="time",
-               value="close") -> DataFrame:
+               value="close", index: PathIndex | None = None) -> DataFrame:
     """Events with trgt > min_ret at the seed times, their vertical barrier t1 (optional) and side
     (optional), and t1 replaced by the earliest of (t1, sl touch, pt touch).  Without side both
     barrier widths are pt_sl[0].  trgt: keys, time, trgt.  t1: keys, t0, t1.  side: keys, t0, side."""
     keys = list(keys)
-    ev = t_events.select(*keys, F.col("t0")).join(
-        trgt.select(*keys, F.col(time_col).alias("t0"), "trgt"), [*keys, "t0"]).where(F.col("trgt") > min_ret)
+    ev = join_keys(t_events.select(*keys, F.col("t0")), trgt.select(*keys, F.col(time_col).alias("t0"), "trgt"), [*keys, "t0"])
+    ev = ev.where(F.col("trgt") > min_ret)
     if t1 is not None:
-        ev = ev.join(t1.select(*keys, "t0", "t1"), [*keys, "t0"], "left")
+        ev = join_keys(ev, t1.select(*keys, "t0", "t1"), [*keys, "t0"], "left")
     else:
         ev = ev.withColumn("t1", F.lit(None).cast(close.schema[time_col].dataType))
     if side is None:
         ev = ev.withColumn("side", F.lit(1.0))
         widths = [pt_sl[0], pt_sl[0]]
     else:
-        ev = ev.join(side.select(*keys, "t0", "side"), [*keys, "t0"], "left")
+        ev = join_keys(ev, side.select(*keys, "t0", "side"), [*keys, "t0"], "left")
         widths = list(pt_sl[:2])
-    touched = triple_barrier(close, ev, widths, keys, time_col, value)
+    touched = triple_barrier(close, ev, widths, keys, time_col, value, index)
     out = touched.withColumn("t1", F.least("t1", "sl", "pt")).drop("sl", "pt")
     return out if side is not None else out.drop("side")
 
 
 # --------------------------------------------------------------------------- L3
 def get_bins(close: DataFrame, events: DataFrame, t1: DataFrame | None = None, keys=("symbol",),
-             time_col="time", value="close") -> DataFrame:
+             time_col="time", value="close", index: PathIndex | None = None) -> DataFrame:
     """ret = close at t1 / close at t0 - 1 (first close at or after each time), times side when
     given; bin = sign(ret); with side, ret <= 0 gives 0; without side, bin is 0 whenever the
     event's t1 equals any vertical-barrier time of the key."""
     keys = list(keys)
     ev = events.where(F.col("t1").isNotNull())
-    px = close.select(*keys, F.col(time_col).alias("_rt"), F.col(value).alias("_px"))
-    a = asof(ev, px, keys, "t0", "_rt", {"_px": "_p0"}, direction="forward")
-    a = asof(a, px.withColumnRenamed("_px", "_px1"), keys, "t1", "_rt", {"_px1": "_p1"}, direction="forward")
+    index = index or path_index(close, keys, time_col, value)
+    a = locate(index, locate(index, ev, F.col("t0"), {"value": "_p0"}), F.col("t1"), {"value": "_p1"})
     ret = F.try_divide(F.col("_p1"), F.col("_p0")) - 1
     has_side = "side" in events.columns
     if has_side:
@@ -109,7 +97,7 @@ def get_bins(close: DataFrame, events: DataFrame, t1: DataFrame | None = None, k
     elif t1 is not None:
         vb = t1.select(*keys, F.col("t1").alias("_vt")).where(F.col("_vt").isNotNull()).distinct()
         vb = vb.withColumnRenamed("_vt", "t1").withColumn("_v", F.lit(True))
-        a = a.join(vb, [*keys, "t1"], "left").withColumn(
+        a = join_keys(a, vb, [*keys, "t1"], "left").withColumn(
             "bin", F.when(F.col("_v"), F.lit(0)).otherwise(F.col("bin"))).drop("_v")
     return a.select(*keys, "t0", "ret", "bin")
 
@@ -148,7 +136,7 @@ def meta_features(vol: DataFrame, autocorr: DataFrame, events: DataFrame, keys=(
         v = vol.select(*keys, F.col(time_col).alias("t0"), "vol", F.col("seq").alias("_tie"))
     else:
         v = v.withColumn("_tie", F.lit(0))
-    x = v.join(a, [*keys, "t0"]).join(s, [*keys, "t0"]).dropna()
+    x = join_keys(join_keys(v, a, [*keys, "t0"]), s, [*keys, "t0"]).dropna(subset=["vol", "autocorr", "side"])
     first = F.min(F.struct("_tie", "vol", "autocorr", "side")).alias("_f")
     return x.groupBy(*keys, "t0").agg(first).select(*keys, "t0", "_f.vol", "_f.autocorr", "_f.side")
 
@@ -158,7 +146,7 @@ def primary_scores(events_with_side: DataFrame, bins: DataFrame, keys=("symbol",
     """Accuracy, precision and recall of the primary model: predicted = (side+1)/2 against the
     meta-label bin in {0, 1}."""
     keys = list(keys)
-    d = events_with_side.select(*keys, "t0", "side").join(bins.select(*keys, "t0", "bin"), [*keys, "t0"])
+    d = join_keys(events_with_side.select(*keys, "t0", "side"), bins.select(*keys, "t0", "bin"), [*keys, "t0"])
     pred = ((F.col("side") + 1) / 2).cast("int")
     y = F.col("bin")
     tp = F.sum(((pred == 1) & (y == 1)).cast("double"))
@@ -180,11 +168,10 @@ def barrier_mesh(close: DataFrame, starts: DataFrame, r_pt: Sequence[float], r_s
     broadcast table; per start only ``max_hp + 1`` gains are kept."""
     keys = list(keys)
     c = with_pos(close.select(*keys, time_col, seq, value), keys, [time_col, seq])
-    st = starts.select(*keys, F.col(time_col)).join(c, [*keys, time_col]).select(*keys, F.col(POS).alias("_p0"),
-                                                                                F.col(value).alias("_v0"))
+    st = join_keys(starts.select(*keys, F.col(time_col)), c, [*keys, time_col]).select(*keys, F.col(POS).alias("_p0"), F.col(value).alias("_v0"))
     steps = st.withColumn("h", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(max_hp + 1).cast("long"))))
     steps = steps.withColumn(POS, F.col("_p0") + F.col("h"))
-    path = steps.join(c.select(*keys, POS, value), [*keys, POS])
+    path = join_keys(steps, c.select(*keys, POS, value), [*keys, POS])
     path = path.groupBy(*keys, "_p0").agg(
         F.count(F.lit(1)).alias("_n"),
         F.array_sort(F.collect_list(F.struct("h", (F.col(value) - F.col("_v0")).alias("cp")))).alias("_path"))
@@ -193,7 +180,7 @@ def barrier_mesh(close: DataFrame, starts: DataFrame, r_pt: Sequence[float], r_s
     diffs = shift(c, keys, [time_col, seq], {value: "_prev"}, 1)
     sig = diffs.groupBy(*keys).agg(F.stddev_samp(F.col(value) - F.col("_prev")).alias("_sig"))
     mesh = F.array(*[F.struct(F.lit(float(a)).alias("pt"), F.lit(float(b)).alias("sl")) for a in r_pt for b in r_sl])
-    m = path.join(sig, keys).withColumn("_m", F.explode(mesh)).select("*", "_m.*").drop("_m")  # rules per start
+    m = join_keys(path, sig, keys).withColumn("_m", F.explode(mesh)).select("*", "_m.*").drop("_m")  # rules per start
     up = F.col("pt") * F.col("_sig")
     dn = F.col("sl") * F.col("_sig")
     hit = F.filter("_path", lambda s: (s["cp"] > up) | (s["cp"] < -dn) | (s["h"] > F.lit(max_hp)))

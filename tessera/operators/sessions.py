@@ -7,6 +7,8 @@ from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tessera.plans.sequence import join_keys
+
 NY = "America/New_York"
 
 
@@ -96,7 +98,7 @@ def weekly_bar_counts(bars: DataFrame, keys: Sequence[str] = ("symbol",), time_c
     counts = bars.groupBy(*keys, wk.alias("week")).agg(F.count(F.lit(1)).alias("n"))
     span = counts.groupBy(*keys).agg(F.min("week").alias("_a"), F.max("week").alias("_b"))
     weeks = span.select(*keys, F.explode(F.sequence("_a", "_b", F.expr("interval 7 days"))).alias("week"))
-    d = weeks.join(counts, [*keys, "week"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    d = join_keys(weeks, counts, [*keys, "week"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     w = W.partitionBy(*keys)  # one row per key and week: small
     lo, hi = F.min("n").over(w), F.max("n").over(w)
     return d.withColumn("scaled", F.when(hi > lo, (F.col("n") - lo) / (hi - lo)).otherwise(F.lit(0.0)))

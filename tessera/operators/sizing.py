@@ -99,9 +99,9 @@ def concurrent_bets(signals: DataFrame, keys=("symbol",), start="t0", end="t1",
     sides = signals.withColumn("_long", F.col(side) >= 0)
     lng = overlap_counts(sides.where("_long"), keys, start, end, probes, time_col, end_inclusive=True)
     sht = overlap_counts(sides.where(~F.col("_long")), keys, start, end, probes, time_col, end_inclusive=True)
-    return (probes.join(lng.select(*keys, time_col, F.col("alive").alias("long")), [*keys, time_col], "left")
-                  .join(sht.select(*keys, time_col, F.col("alive").alias("short")), [*keys, time_col], "left")
-                  .fillna(0, ["long", "short"]))
+    both = join_keys(probes, lng.select(*keys, time_col, F.col("alive").alias("long")), [*keys, time_col], "left")
+    both = join_keys(both, sht.select(*keys, time_col, F.col("alive").alias("short")), [*keys, time_col], "left")
+    return both.fillna(0, ["long", "short"])
 
 
 def size_from_concurrency(conc: DataFrame, keys=("symbol",)) -> DataFrame:

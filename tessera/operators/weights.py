@@ -15,14 +15,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tessera.plans.sequence import cumulative, shift
+from tessera.plans.sequence import cumulative, join_keys, shift
 from tessera.plans.timejoin import interval_join, overlap_counts
 from tessera.session import cut_lineage
 
 
 def _filled(events: DataFrame, close: DataFrame, keys, time_col) -> DataFrame:
     last = close.groupBy(*keys).agg(F.max(time_col).alias("_last"))  # one row per key
-    return events.join(last, keys, "left").withColumn("t1", F.coalesce("t1", "_last")).drop("_last")
+    return join_keys(events, last, keys, "left").withColumn("t1", F.coalesce("t1", "_last")).drop("_last")
 
 
 # --------------------------------------------------------------------------- W1
@@ -33,7 +33,7 @@ def num_concurrent(close: DataFrame, events: DataFrame, keys=("symbol",), time_c
     # the events feed three branches of the sweep: materialise them once
     ev = cut_lineage(_filled(events, close, keys, time_col))
     span = ev.groupBy(*keys).agg(F.min("t0").alias("_a"), F.max("t1").alias("_b"))
-    probes = close.select(*keys, time_col).join(span, keys).where(
+    probes = join_keys(close.select(*keys, time_col), span, keys).where(
         F.col(time_col).between(F.col("_a"), F.col("_b"))).drop("_a", "_b")
     c = overlap_counts(ev, keys, "t0", "t1", probes, time_col, end_inclusive=True)
     return cut_lineage(c.select(*keys, time_col, F.col("alive").cast("long").alias("c")))
@@ -50,7 +50,7 @@ def _prefix_lookup(series: DataFrame, events: DataFrame, keys, time_col, value:
                     (F.coalesce("_cs", F.lit(0.0)) - F.coalesce(F.col(value), F.lit(0.0))).alias("_s0"),
                     (F.col("_cn") - F.when(F.col(value).isNotNull(), 1).otherwise(0)).alias("_n0"))
     s1 = pre.select(*keys, F.col(time_col).alias("t1"), F.col("_cs").alias("_s1"), F.col("_cn").alias("_n1"))
-    return (events.join(s0, [*keys, "t0"], "left").join(s1, [*keys, "t1"], "left")
+    return (join_keys(join_keys(events, s0, [*keys, "t0"], "left"), s1, [*keys, "t1"], "left")
                   .withColumn("_sum", F.col("_s1") - F.col("_s0")).withColumn("_cnt", F.col("_n1") - F.col("_n0"))
                   .drop("_s0", "_s1", "_n0", "_n1"))
 
@@ -76,7 +76,7 @@ def indicator_matrix(close: DataFrame, events: DataFrame, keys=("symbol",), time
 def avg_uniqueness_from_indicator(ind: DataFrame, keys=("symbol",), time_col="time") -> DataFrame:
     keys = list(keys)
     c = ind.groupBy(*keys, time_col).agg(F.count(F.lit(1)).alias("_c"))
-    return (ind.join(c, [*keys, time_col]).groupBy(*keys, "t0")
+    return (join_keys(ind, c, [*keys, time_col]).groupBy(*keys, "t0")
                .agg(F.avg(1.0 / F.col("_c")).alias("avg_uniqueness")))
 
 
@@ -89,7 +89,7 @@ def return_weights(close: DataFrame, events: DataFrame, keys=("symbol",), time_c
     lr = shift(close.select(*keys, time_col, seq, value), keys, [time_col, seq], {value: "_prev"}, 1)
     lr = lr.withColumn("_r", F.ln(F.try_divide(value, "_prev")))  # a price of 0 has no log return
     c = num_concurrent(close, events, keys, time_col)
-    x = lr.join(c, [*keys, time_col]).withColumn("_rc", F.when(F.col("c") > 0, F.col("_r") / F.col("c"))).select(*keys, time_col, "_rc")
+    x = join_keys(lr, c, [*keys, time_col]).withColumn("_rc", F.when(F.col("c") > 0, F.col("_r") / F.col("c"))).select(*keys, time_col, "_rc")
     d = _prefix_lookup(x, ev, keys, time_col, "_rc")
     return d.withColumn("w", F.abs("_sum")).drop("_sum", "_cnt")
 
@@ -101,7 +101,7 @@ def time_decay(tw: DataFrame, clf_last_w: float = 1.0, keys=("symbol",), time_co
     keys = list(keys)
     d = cumulative(tw, keys, [time_col], {"_cum": ("sum", value)})
     tot = tw.groupBy(*keys).agg(F.sum(value).alias("_tot"))
-    d = d.join(tot, keys)
+    d = join_keys(d, tot, keys)
     if clf_last_w >= 0:
         slope = (1.0 - clf_last_w) / F.col("_tot")
     else:
@@ -171,6 +171,7 @@ def sequential_bootstrap(ind: DataFrame, replicates: int = 1, sample_length: int
 # --------------------------------------------------------------------------- W9
 def weighted_training_table(features: DataFrame, weights: DataFrame, labels: DataFrame,
                             on: Sequence[str] = ("symbol", "t0")) -> DataFrame:
-    """features ⟕ weights ⟕ labels on (key, t0), rows with any null dropped."""
+    """features ⟕ weights ⟕ labels on (key, t0), rows with any null but in the key dropped."""
     on = list(on)
-    return features.join(weights, on, "left").join(labels, on, "left").dropna()
+    full = join_keys(join_keys(features, weights, on, "left"), labels, on, "left")
+    return full.dropna(subset=[c for c in full.columns if c not in on])

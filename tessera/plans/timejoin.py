@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.plans.sequence import cumulative, fill
+from tessera.plans.sequence import cumulative, fill, join_keys
 
 
 def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str | Column, right_time: str,
@@ -55,7 +55,7 @@ def interval_join(intervals: DataFrame, points: DataFrame, keys: Sequence[str],
     hour = lambda c: F.date_trunc("hour", c).cast(points.schema[point_time].dataType)
     iv = iv.withColumn("_hour", F.explode(F.sequence(hour(start), hour("_end"), F.expr("INTERVAL 1 HOUR"))))
     pt = points.withColumn("_hour", hour(point_time))
-    j = iv.join(pt, [*keys, "_hour"])
+    j = join_keys(iv, pt, [*keys, "_hour"])
     return j.where((F.col(point_time) >= F.col(start)) & (F.col(point_time) <= F.col("_end"))).drop("_hour", "_end")
 
 

@@ -512,33 +512,36 @@ bins AS (SELECT symbol, t0, ret,
 
 
 def label_inputs(spark, sf):
+    """(ticks, CUSUM events, targets, vertical barriers, events, index of the ticks)."""
     from tessera.operators.filters import cusum_events, daily_vol
-    from tessera.operators.labels import get_bins, get_events, vertical_barrier
+    from tessera.operators.labels import get_events, vertical_barrier
+    from tessera.plans.pathindex import path_index
     from tessera.session import cut_lineage
     tk = ticks(spark, sf)
     # events and barriers are small and read several times: written once, in the shared folder
     cus = cut_lineage(cusum_events(tk, CUSUM_H).select("symbol", F.col("time").alias("t0"), "side"))
     vol = daily_vol(tk).select("symbol", "time", F.col("vol").alias("trgt"))
-    vb = cut_lineage(vertical_barrier(tk, cus.select("symbol", "t0"), LABEL_DAYS))
-    ev = cut_lineage(get_events(tk, cus, LABEL_PT_SL, vol, LABEL_MIN_RET, t1=vb))
-    return tk, cus, vol, vb, ev
+    index = path_index(tk, ["symbol"], "time", "close")
+    vb = vertical_barrier(tk, cus.select("symbol", "t0"), LABEL_DAYS, index=index)
+    ev = cut_lineage(get_events(tk, cus, LABEL_PT_SL, vol, LABEL_MIN_RET, t1=vb, index=index))
+    return tk, cus, vol, vb, ev, index
 
 
 @register("l1_triple_barrier", _label_sql() + f"""
 SELECT symbol, t0, pt, sl FROM touch""")
 def q_triple_barrier(spark, sf):
     from tessera.operators.labels import triple_barrier
-    tk, cus, vol, vb, _ = label_inputs(spark, sf)
+    tk, cus, vol, vb, _, ix = label_inputs(spark, sf)
     ev = cus.select("symbol", "t0").join(vol.withColumnRenamed("time", "t0"), ["symbol", "t0"]) \
             .where(F.col("trgt") > LABEL_MIN_RET).join(vb.select("symbol", "t0", "t1"), ["symbol", "t0"])
     w = LABEL_PT_SL[0]
-    return triple_barrier(tk, ev, [w, w]).select("symbol", "t0", "pt", "sl")
+    return triple_barrier(tk, ev, [w, w], index=ix).select("symbol", "t0", "pt", "sl")
 
 
 @register("l2_events", _label_sql() + """
 SELECT symbol, t0, t1, round(trgt, 6) AS trgt FROM ev""")
 def q_events(spark, sf):
-    _, _, _, _, ev = label_inputs(spark, sf)
+    _, _, _, _, ev, ix = label_inputs(spark, sf)
     return ev.select("symbol", "t0", "t1", r6("trgt").alias("trgt"))
 
 
@@ -546,8 +549,8 @@ def q_events(spark, sf):
 SELECT symbol, t0, round(ret, 6) AS ret, bin FROM bins""")
 def q_bins(spark, sf):
     from tessera.operators.labels import get_bins
-    tk, _, _, vb, ev = label_inputs(spark, sf)
-    return get_bins(tk, ev, t1=vb).select("symbol", "t0", r6("ret").alias("ret"), F.col("bin").cast("int"))
+    tk, _, _, vb, ev, ix = label_inputs(spark, sf)
+    return get_bins(tk, ev, t1=vb, index=ix).select("symbol", "t0", r6("ret").alias("ret"), F.col("bin").cast("int"))
 
 
 @register("l4_drop_labels", _label_sql() + """,
@@ -559,8 +562,8 @@ WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.rk = 1 AND s.k >= 3 AND s.share <= 0.0
 def q_drop_labels(spark, sf):
     # at most one round can fire on {-1, 0, 1}; the oracle encodes exactly that round
     from tessera.operators.labels import drop_rare_labels, get_bins
-    tk, _, _, vb, ev = label_inputs(spark, sf)
-    return drop_rare_labels(get_bins(tk, ev, t1=vb), 0.05).select("symbol", "t0", F.col("bin").cast("int"))
+    tk, _, _, vb, ev, ix = label_inputs(spark, sf)
+    return drop_rare_labels(get_bins(tk, ev, t1=vb, index=ix), 0.05).select("symbol", "t0", F.col("bin").cast("int"))
 
 
 # ============================================================================ weights
@@ -577,7 +580,7 @@ uniq AS (SELECT w.symbol, w.t0, avg(1.0 / c.c) AS tw FROM wev w JOIN conc c ON c
 
 
 def weight_events(spark, sf):
-    tk, _, _, _, ev = label_inputs(spark, sf)
+    tk, _, _, _, ev, ix = label_inputs(spark, sf)
     return tk, ev.select("symbol", "t0", "t1")
 
 
@@ -678,11 +681,11 @@ WHERE v.trgt IS NOT NULL AND rw.w IS NOT NULL AND b.bin IS NOT NULL""")
 def q_weighted_table(spark, sf):
     from tessera.operators.labels import get_bins
     from tessera.operators.weights import return_weights, weighted_training_table
-    tk, cus, vol, vb, ev = label_inputs(spark, sf)
+    tk, cus, vol, vb, ev, ix = label_inputs(spark, sf)
     feats = vol.join(cus.select("symbol", F.col("t0").alias("time")), ["symbol", "time"]) \
                .select("symbol", F.col("time").alias("t0"), r6("trgt").alias("vol"))
     w = return_weights(tk, ev.select("symbol", "t0", "t1")).select("symbol", "t0", r6("w").alias("w"))
-    b = get_bins(tk, ev, t1=vb).select("symbol", "t0", F.col("bin").cast("int"))
+    b = get_bins(tk, ev, t1=vb, index=ix).select("symbol", "t0", F.col("bin").cast("int"))
     return weighted_training_table(feats, w, b).select("symbol", "t0", "vol", "w", "bin")
 
 
@@ -1151,7 +1154,7 @@ def q_signal_prob(spark, sf):
     from tessera.operators.bars import tick_rule
     from tessera.operators.sizing import signal_from_probability
     from tessera.plans import ewm as E
-    tk, _, _, _, ev = label_inputs(spark, sf)
+    tk, _, _, _, ev, ix = label_inputs(spark, sf)
     tr = tick_rule(trades_from_events(spark, sf)).select("symbol", F.col("ts").alias("time"), "seq",
                                                          F.floor((F.col("price_diff") + 1) / 2).cast("double").alias("buy"))
     pb = E.ewm(tr, ["symbol"], ["time", "seq"], "buy", out_mean="pbuy", span=1000)
@@ -1472,9 +1475,9 @@ def ml_table(spark, sf):
     from tessera.operators.labels import get_bins
     from tessera.operators.weights import avg_uniqueness
     from tessera.session import cut_lineage
-    tk, cus, vol, vb, ev = label_inputs(spark, sf)
+    tk, cus, vol, vb, ev, ix = label_inputs(spark, sf)
     ac = rolling_autocorr(bar_returns(tk), 20).select("symbol", F.col("time").alias("t0"), "autocorr")
-    b = get_bins(tk, ev, t1=vb).select("symbol", "t0", "bin")
+    b = get_bins(tk, ev, t1=vb, index=ix).select("symbol", "t0", "bin")
     w = avg_uniqueness(tk, ev.select("symbol", "t0", "t1")).select("symbol", "t0", "tw")
     d = (ev.join(cus, ["symbol", "t0"]).join(ac, ["symbol", "t0"], "left").join(b, ["symbol", "t0"])
            .join(w, ["symbol", "t0"], "left"))
@@ -1508,7 +1511,7 @@ SELECT symbol, t0 FROM evo WHERE NOT EXISTS (SELECT 1 FROM tt WHERE evo.t0 <= tt
 def q_purge(spark, sf):
     from tessera.operators.cv import purge_train
     from tessera.plans.sequence import POS, with_pos
-    _, _, _, _, ev = label_inputs(spark, sf)
+    _, _, _, _, ev, ix = label_inputs(spark, sf)
     d = with_pos(ev.select("symbol", "t0", "t1"), [], ["t0", "symbol"])
     n = d.count()
     q, r = divmod(n, CV_FOLDS)
@@ -1524,7 +1527,7 @@ st AS (SELECT CAST(floor(count(*) * {CV_EMBARGO}) AS BIGINT) AS step, max(time)
 SELECT a.time, coalesce(b.time, st.last) AS embargo FROM ti a CROSS JOIN st LEFT JOIN ti b ON b.i = a.i + st.step""")
 def q_embargo(spark, sf):
     from tessera.operators.cv import embargo_times
-    _, _, _, _, ev = label_inputs(spark, sf)
+    _, _, _, _, ev, ix = label_inputs(spark, sf)
     return embargo_times(ev.select(F.col("t0").alias("time")), CV_EMBARGO)
 
 
@@ -1537,7 +1540,7 @@ FROM evo e CROSS JOIN fsi f
 WHERE e.tfold = f.fold OR e.t1 <= f.t0s OR (f.mi < e.n AND e.pos >= f.mi + CAST(floor(e.n * {CV_EMBARGO}) AS BIGINT))""")
 def q_kfold(spark, sf):
     from tessera.operators.cv import purged_kfold
-    _, _, _, _, ev = label_inputs(spark, sf)
+    _, _, _, _, ev, ix = label_inputs(spark, sf)
     k = purged_kfold(ev.select("symbol", "t0", "t1"), CV_FOLDS, CV_EMBARGO)
     return k.select(F.col("fold").cast("int").alias("fold"), "symbol", "t0", "role")
 
@@ -1871,7 +1874,7 @@ WHERE vol IS NOT NULL AND autocorr IS NOT NULL AND side IS NOT NULL""")
 def q_meta_features(spark, sf):
     from tessera.operators.filters import bar_returns, rolling_autocorr
     from tessera.operators.labels import meta_features
-    tk, cus, vol, _, ev = label_inputs(spark, sf)
+    tk, cus, vol, _, ev, ix = label_inputs(spark, sf)
     ac = rolling_autocorr(bar_returns(tk), 20)
     x = meta_features(vol.withColumnRenamed("trgt", "vol"), ac, ev.join(cus, ["symbol", "t0"]))
     return x.select("symbol", "t0", r6("vol").alias("vol"), r6("autocorr").alias("autocorr"), "side")
@@ -1899,11 +1902,11 @@ SELECT symbol, round(avg(CAST(pred = bin AS DOUBLE)), 6) AS accuracy,
 FROM bb GROUP BY symbol""")
 def q_primary(spark, sf):
     from tessera.operators.labels import get_bins, get_events, primary_scores
-    tk, cus, vol, vb, _ = label_inputs(spark, sf)
+    tk, cus, vol, vb, _, ix = label_inputs(spark, sf)
     side = cus.select("symbol", "t0", F.col("side").cast("double").alias("side"))
     from tessera.session import cut_lineage
-    ev = cut_lineage(get_events(tk, cus, LABEL_PT_SL, vol, LABEL_MIN_RET, t1=vb, side=side))
-    sc = primary_scores(ev, get_bins(tk, ev, t1=vb))
+    ev = cut_lineage(get_events(tk, cus, LABEL_PT_SL, vol, LABEL_MIN_RET, t1=vb, side=side, index=ix))
+    sc = primary_scores(ev, get_bins(tk, ev, t1=vb, index=ix))
     return sc.select("symbol", r6("accuracy").alias("accuracy"), r6("precision").alias("precision"),
                      r6("recall").alias("recall"))
 
@@ -1934,7 +1937,7 @@ SELECT symbol, pt, sl, round(avg(cp), 6) AS mean, round(stddev_pop(cp), 6) AS st
 @register("l7_barrier_mesh", _mesh_sql())
 def q_mesh(spark, sf):
     from tessera.operators.labels import barrier_mesh
-    tk, cus, _, _, _ = label_inputs(spark, sf)
+    tk, cus, _, _, _, ix = label_inputs(spark, sf)
     m = barrier_mesh(tk, cus.select("symbol", F.col("t0").alias("time")), MESH, MESH, max_hp=MESH_HP)
     return m.select("symbol", "pt", "sl", r6("mean").alias("mean"), r6("std").alias("std"), "n", r6("sharpe").alias("sharpe"))
 

@@ -1,12 +1,12 @@
 """Operators on awkward series: empty, one row, null and repeated values, duplicate times, a null symbol.  The
-result does not depend on how the rows are partitioned."""
+result does not depend on how the rows are partitioned, and a null symbol is a symbol like any other."""
 import datetime as dt
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
-from tessera.operators import bars, breaks, entropy, filters, fracdiff, labels, sizing, stats, weights
+from tessera.operators import allocation, bars, breaks, entropy, filters, fracdiff, labels, sessions, sizing, stats, weights
 from tessera.plans import ewm as E
 
 TRADES = "symbol string, ts timestamp_ntz, seq long, price double, size double"
@@ -17,12 +17,13 @@ def rows():
     rng = np.random.default_rng(21)
     t0 = dt.datetime(2024, 1, 2, 9, 40)
     out = []
+    walks = {s: (50 + rng.normal(0, 0.4, 70).cumsum().round(2), rng.integers(1, 9, 70)) for s in ("A", "B")}
     for s in ("A", "B", None):
-        px = 50 + rng.normal(0, 0.4, 70).cumsum().round(2)
+        px, size = walks[s or "A"]
         for i in range(70):
             # two rows share each fifth time; days 1 and 2; equal prices; one price of 0
             t = t0 + dt.timedelta(days=i // 40, minutes=13 * (i - (i % 5 == 4)))
-            out.append((s, t, i, 0.0 if s == "B" and i == 33 else float(px[i - (i % 7 == 3)]), float(rng.integers(1, 9))))
+            out.append((s, t, i, 0.0 if s == "B" and i == 33 else float(px[i - (i % 7 == 3)]), float(size[i])))
     return out + [("ONE", t0, 0, 7.0, 1.0), ("NULL", t0, 0, None, 1.0), ("NULL", t0 + dt.timedelta(hours=1), 1, 3.0, 2.0), ("NULL", t0 + dt.timedelta(hours=2), 2, None, None)]
 
 
@@ -98,11 +99,14 @@ OPERATORS = {
 }
 
 
-def values(df):
-    def plain(v):
+def plain(rows):
+    def one(v):
         return None if isinstance(v, float) and np.isnan(v) else round(v, 7) + 0.0 if isinstance(v, float) else str(v)
-    cols = sorted(df.columns)
-    return sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=str)
+    return sorted((tuple((c, one(r[c])) for c in sorted(r.__fields__)) for r in rows), key=str)
+
+
+def values(df):
+    return plain(df.collect())
 
 
 @pytest.fixture(scope="module")
@@ -110,9 +114,36 @@ def trades(spark):
     return spark.createDataFrame(rows(), TRADES).cache()
 
 
-@pytest.mark.parametrize("name", OPERATORS)
+MORE = {
+    "weekly_bar_counts": lambda t: sessions.weekly_bar_counts(close(t)),
+    "indicator_matrix": lambda t: weights.indicator_matrix(unique_times(t), events(t)),
+    "avg_uniqueness_from_indicator": lambda t: weights.avg_uniqueness_from_indicator(weights.indicator_matrix(unique_times(t), events(t))),
+    "time_decay": lambda t: weights.time_decay(weights.avg_uniqueness(unique_times(t), events(t)), 0.5),
+    "weighted_training_table": lambda t: weights.weighted_training_table(events(t), events(t).select("symbol", "t0", F.lit(2.0).alias("w")), events(t).select("symbol", "t0", F.lit(1).alias("bin"))),
+    "get_events": lambda t: labels.get_events(unique_times(t), events(t).select("symbol", "t0"), [1.0, 1.0], unique_times(t).select("symbol", "time", F.lit(0.01).alias("trgt")), 0.0,
+                                              t1=events(t), side=events(t).select("symbol", "t0", F.lit(-1.0).alias("side"))),
+    "get_bins": lambda t: labels.get_bins(unique_times(t), events(t), t1=events(t).where("t1 < '2024-01-02 15:00:00'")),
+    "meta_features": lambda t: labels.meta_features(close(t).withColumnRenamed("close", "vol"), unique_times(t).select("symbol", "time", F.lit(0.3).alias("autocorr")), events(t).withColumn("side", F.lit(1))),
+    "primary_scores": lambda t: labels.primary_scores(events(t).withColumn("side", F.lit(1)), events(t).withColumn("bin", F.lit(1))),
+    "barrier_mesh": lambda t: labels.barrier_mesh(unique_times(t), unique_times(t).where("seq % 9 = 0").select("symbol", "time"), [0.5, 1.0], [0.5, 1.0], max_hp=20),
+    "engle_granger": lambda t: fracdiff.engle_granger(close(t).select("symbol", "time", "seq", F.col("close").alias("y"), F.sin("seq").alias("x"))),
+    "covariance": lambda t: allocation.covariance(unique_times(t).select("symbol", F.col("time").alias("date"), F.lit("x").alias("asset"), F.col("close").alias("ret")), keys=("symbol",)),
+    "cluster_variance": lambda t: allocation.cluster_variance(allocation.covariance(two_assets(t), keys=("symbol",)), two_assets(t).select("symbol", F.lit("c").alias("cluster"), "asset").distinct(), keys=("symbol",)),
+}
+
+
+def two_assets(t):
+    u = unique_times(t).select("symbol", F.col("time").alias("date"), F.explode(F.array(F.lit("x"), F.lit("y"))).alias("asset"), "close", "seq")
+    return u.select("symbol", "date", "asset", F.when(F.col("asset") == "x", F.col("close")).otherwise(F.col("close") * F.sin("seq")).alias("ret"))
+
+
+@pytest.mark.parametrize("name", [*OPERATORS, *MORE])
 def test_awkward_series(spark, trades, name):
-    run = OPERATORS[name]
-    one, many = values(run(trades.coalesce(1))), values(run(trades.repartition(7, "seq")))
+    run = {**OPERATORS, **MORE}[name]
+    out = run(trades.coalesce(1)).collect()
+    one, many = plain(out), values(run(trades.repartition(7, "seq")))
     assert one == many and one
     assert run(trades.limit(0)).count() == 0
+    # the series without a name is A's
+    own = lambda key: plain([Row(**{c: v for c, v in r.asDict().items() if c != "symbol"}) for r in out if r["symbol"] == key])
+    assert own("A") == own(None) and own("A")
