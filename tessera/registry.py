@@ -2045,3 +2045,66 @@ def q_tick_csv(spark, sf):
     write_tick_csv(read_tick_csv(spark, src, "2024-01-05"), dst)
     back = read_clean_csv(spark, dst)
     return back.select(r6("price").alias("price"), "volume", F.date_format("datetime", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("datetime"))
+
+
+# ============================================================================ streams
+STREAM_SLOT_US = 300_000_000  # slots of 5 minutes, behind a watermark of 1 hour
+_STREAM_END = """(SELECT epoch_ms(max(ts)) * 1000 - 3600000000 FROM events WHERE CAST(json_extract_string(props, '$.k') AS DOUBLE) > 0)"""
+#: The trades of the slots that the watermark has passed.
+PASSED_CTE = TRADES_CTE[:-1] + f" AND epoch_us(ts) < {_STREAM_END} // {STREAM_SLOT_US} * {STREAM_SLOT_US})"
+
+
+def trade_stream(spark, sf):
+    """The trades of ``trades_from_events`` as a stream of files."""
+    schema = table(spark, sf, "events").schema
+    ev = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")  # a pattern takes a file or a folder
+    ev = ev.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"),
+                   F.get_json_object("props", "$.k").cast("double").alias("size"))
+    return ev.where(F.col("size") > 0)
+
+
+def drain(spark, stream):
+    """What a stream emits for the files that are there, through a file sink in the shared folder."""
+    path = _scratch(spark, "stream")
+    q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+@register("st1_ingest", f"""WITH {TRADES_CTE}
+SELECT symbol, CAST(CAST(timezone('America/New_York', timezone('UTC', ts)) AS DATE) AS VARCHAR) AS date, epoch_us(ts) * 1000 AS sip_timestamp, seq, round(price, 6) AS price, size FROM trades""")
+def q_ingest_stream(spark, sf):
+    """Trades landed by the streaming ingest, and landed again by a second stream: once each."""
+    from tessera.operators.sessions import wall_micros
+    from tessera.streaming.live import ingest
+    raw = trade_stream(spark, sf).select("symbol", (wall_micros("ts") * 1000).alias("sip_timestamp"), "seq", "price", "size")
+    path = _scratch(spark, "landed")
+    for k in range(2):
+        ingest(raw, f"{path}/trades", f"{path}/checkpoint{k}").awaitTermination()
+    out = spark.read.schema("sip_timestamp long, seq long, price double, size double, symbol string, date date").parquet(f"{path}/trades")
+    return out.select("symbol", F.col("date").cast("string").alias("date"), "sip_timestamp", "seq", r6("price").alias("price"), "size")
+
+
+@register("st2_live_bars", _threshold_bar_sql("price * size", DOLLAR_BAR_THRESHOLD).replace(TRADES_CTE, PASSED_CTE))
+def q_live_bars(spark, sf):
+    """Dollar bars of the stream, drained."""
+    from tessera.streaming.live import live_threshold_bars
+    return _bar_cols(drain(spark, live_threshold_bars(trade_stream(spark, sf), DOLLAR_BAR_THRESHOLD, watermark="1 hour", slot="5 minutes")))
+
+
+@register("st3_live_cusum", ORACLE["f1_cusum_events"].replace(TRADES_CTE, PASSED_CTE))
+def q_live_cusum(spark, sf):
+    """CUSUM events of the stream, drained."""
+    from tessera.streaming.live import live_cusum
+    return drain(spark, live_cusum(trade_stream(spark, sf), CUSUM_H, watermark="1 hour", slot="5 minutes"))
+
+
+@register("st4_interval_stats", f"""WITH {TRADES_CTE},
+w AS (SELECT *, epoch_us(ts) // 1800000000 * 1800000000 AS s FROM trades)
+SELECT symbol, strftime(make_timestamp(s), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS ticks, sum(size) AS volume, round(avg(price), 6) AS mean, round(stddev_samp(price), 6) AS std,
+       first(price ORDER BY ts, seq) AS open, last(price ORDER BY ts, seq) AS close FROM w WHERE s + 1800000000 <= {_STREAM_END} GROUP BY symbol, s""")
+def q_interval_stats(spark, sf):
+    """Half-hour statistics of the stream, drained."""
+    from tessera.streaming.live import interval_stats_stream
+    out = drain(spark, interval_stats_stream(trade_stream(spark, sf), 30, watermark="1 hour"))
+    return out.select("symbol", F.date_format(F.col("start"), "yyyy-MM-dd HH:mm:ss").alias("start"), "ticks", "volume", r6("mean").alias("mean"), r6("std").alias("std"), "open", "close")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F, types as T
 
 from tessera.operators.bars import dollar_bars
 from tessera.operators.filters import cusum_events
-from tessera.streaming.live import ingest_stream, interval_stats_stream, live_cusum, live_threshold_bars
+from tessera.streaming.live import ingest_stream, interval_stats_stream, land, live_cusum, live_threshold_bars
 
 SCHEMA = "symbol string, ts timestamp_ntz, seq long, price double, size double"
 
@@ -58,7 +58,7 @@ def small_arrow_chunks(spark):
 
 def test_live_bars_out_of_order_equal_batch(spark, shuffled, small_arrow_chunks):
     batch, src = shuffled
-    live = _drain(spark, live_threshold_bars(_read(spark, src), 2000.0, watermark="8 hours"), "live_bars").where("symbol <> 'Z'").orderBy("symbol", "bar").toPandas()
+    live = _drain(spark, live_threshold_bars(_read(spark, src), 2000.0, watermark="8 hours", slot="37 minutes"), "live_bars").where("symbol <> 'Z'").orderBy("symbol", "bar").toPandas()
     exp = dollar_bars(batch, 2000.0).orderBy("symbol", "bar").toPandas()
     assert len(live) == len(exp) > 0
     assert list(live.ticks) == list(exp.ticks) and list(live.end_ts) == list(exp.end_ts)
@@ -86,18 +86,40 @@ def test_live_bars_end_with_the_day(spark, make_trades):
     assert (live.start_ts.dt.date == live.end_ts.dt.date).all()
 
 
-def test_ingest_stream(spark):
+RAW = T.StructType([T.StructField(n, t()) for n, t in (("symbol", T.StringType), ("sip_timestamp", T.LongType), ("seq", T.LongType), ("price", T.DoubleType), ("size", T.DoubleType))])
+NS = int(dt.datetime(2024, 1, 2, 15, tzinfo=dt.timezone.utc).timestamp()) * 10**9
+
+
+def _raw(symbol, i, hours=0.0):
+    return symbol, NS + i * 10**9 + int(hours * 3600) * 10**9, i, 1.0 + i, 2.0
+
+
+def test_ingest_keeps_late_trades_once(spark):
+    """Three landings; the third holds rows 18 hours and a year behind the newest, and copies of old rows."""
     root = tempfile.mkdtemp(prefix="tessera-stream-")
-    schema = T.StructType.fromDDL("symbol string, sip_timestamp long, seq long, price double, size double")
-    ns = int(dt.datetime(2024, 1, 2, 15, tzinfo=dt.timezone.utc).timestamp()) * 10**9
-    rows = [("A", ns + i * 10**9, i, 1.0 + i, 2.0) for i in range(50)]
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{root}/src/a")
-    run = lambda: ingest_stream(spark, f"{root}/src/*", schema, f"{root}/dst", f"{root}/ckpt").awaitTermination()
-    run()
-    spark.createDataFrame(rows[40:] + [("B", ns, 0, 5.0, 1.0)], schema).coalesce(1).write.parquet(f"{root}/src/b")
-    run()  # what was there already is not written again
+    landed = [[_raw("A", i) for i in range(50)], [_raw("A", i) for i in range(40, 50)] + [_raw("B", 0), _raw("A", 0, 48)],
+              [_raw("A", 100 + i, -18) for i in range(5)] * 2 + [_raw(None, 7, -24 * 365), _raw("A", 3), _raw("A", 0, 48)]]
+    for k, rows in enumerate(landed):
+        spark.createDataFrame(rows, RAW).coalesce(1).write.parquet(f"{root}/src/{k}")
+        ingest_stream(spark, f"{root}/src/*", RAW, f"{root}/dst", f"{root}/ckpt").awaitTermination()
     out = spark.read.parquet(f"{root}/dst")
-    assert out.count() == 51 and {(r.symbol, str(r.date)) for r in out.collect()} == {("A", "2024-01-02"), ("B", "2024-01-02")}
+    assert sorted((str(r.symbol), r.sip_timestamp, r.seq) for r in out.collect()) == sorted({(str(s), t, q) for rows in landed for s, t, q, _, _ in rows})
+    assert {str(r.date) for r in out.where("symbol = 'A'").collect()} == {"2024-01-01", "2024-01-02", "2024-01-04"}
+
+
+def test_a_batch_lands_once(spark):
+    """A batch that is run again, before or after its marker was set, adds nothing."""
+    root = tempfile.mkdtemp(prefix="tessera-stream-")
+    batch = spark.createDataFrame([_raw("A", i) for i in range(9)] * 2, RAW).withColumns({"ts": F.lit(None).cast("timestamp"), "date": F.lit("2024-01-02").cast("date")})
+    count = lambda: spark.read.parquet(f"{root}/dst").count()
+    land(batch, 4, f"{root}/dst", f"{root}/a")
+    assert count() == 9
+    land(batch, 4, f"{root}/dst", f"{root}/lost-marker")
+    assert count() == 9
+    land(batch.withColumn("seq", F.col("seq") + 100), 4, f"{root}/dst", f"{root}/a")  # the marker says that batch 4 is done
+    assert count() == 9
+    land(batch.withColumn("date", F.lit(None).cast("date")), 5, f"{root}/dst", f"{root}/a")
+    assert count() == 18
 
 
 def test_interval_stats_stream(spark, make_trades):
