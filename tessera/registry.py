@@ -2048,7 +2048,7 @@ def q_tick_csv(spark, sf):
 
 
 # ============================================================================ streams
-STREAM_SLOT_US = 300_000_000  # slots of 5 minutes, behind a watermark of 1 hour
+STREAM_SLOT_US = 3_600_000_000  # slots of an hour, behind a watermark of 1 hour
 _STREAM_END = """(SELECT epoch_ms(max(ts)) * 1000 - 3600000000 FROM events WHERE CAST(json_extract_string(props, '$.k') AS DOUBLE) > 0)"""
 #: The trades of the slots that the watermark has passed.
 PASSED_CTE = TRADES_CTE[:-1] + f" AND epoch_us(ts) < {_STREAM_END} // {STREAM_SLOT_US} * {STREAM_SLOT_US})"
@@ -2089,14 +2089,14 @@ def q_ingest_stream(spark, sf):
 def q_live_bars(spark, sf):
     """Dollar bars of the stream, drained."""
     from tessera.streaming.live import live_threshold_bars
-    return _bar_cols(drain(spark, live_threshold_bars(trade_stream(spark, sf), DOLLAR_BAR_THRESHOLD, watermark="1 hour", slot="5 minutes")))
+    return _bar_cols(drain(spark, live_threshold_bars(trade_stream(spark, sf), DOLLAR_BAR_THRESHOLD, watermark="1 hour", slot="1 hour")))
 
 
 @register("st3_live_cusum", ORACLE["f1_cusum_events"].replace(TRADES_CTE, PASSED_CTE))
 def q_live_cusum(spark, sf):
     """CUSUM events of the stream, drained."""
     from tessera.streaming.live import live_cusum
-    return drain(spark, live_cusum(trade_stream(spark, sf), CUSUM_H, watermark="1 hour", slot="5 minutes"))
+    return drain(spark, live_cusum(trade_stream(spark, sf), CUSUM_H, watermark="1 hour", slot="1 hour"))
 
 
 @register("st4_interval_stats", f"""WITH {TRADES_CTE},

@@ -8,7 +8,7 @@
 * ST4 ``interval_stats_stream``: tumbling-window statistics per symbol with a watermark.
 
 ST2 and ST3 take a symbol's rows in (ts, seq) order whatever order they arrive in: rows wait in the state, by
-time slots of ``slot``, until the watermark has passed their slot's end and a timer takes them, so a row may come as
+time slots of ``slot`` (each costs a few calls to the state store: choose hours to replay months), until the watermark has passed their slot's end and a timer takes them, so a row may come as
 late as the watermark allows; a row behind the watermark is dropped.  Only the slots that get rows are written.
 The drained stream equals the batch operators (B2/B3, F1) on the rows that were not late; the newest
 slots stay in the state until later rows, of any symbol, move the watermark.
@@ -101,8 +101,9 @@ class InOrder(StatefulProcessor):
         for slot, part in new.groupby(new["us"] // self.slot_us):
             at = (int(slot),)
             cols = [part[c].tolist() for c in ("us", "seq", "price", "size")]
-            if self.waiting.containsKey(at):
-                cols = [[*old, *more] for old, more in zip(self.waiting.getValue(at), cols)]
+            held = self.waiting.getValue(at)
+            if held is not None:
+                cols = [[*old, *more] for old, more in zip(held, cols)]
             else:
                 self.handle.registerTimer((int(slot) + 1) * self.slot_us // 1000)
             self.waiting.updateValue(at, tuple(cols))
