@@ -4,8 +4,8 @@ Documents become token ids with an end id; ids beyond the capacity are cut into
 piece is a sequence. The rests are dealt by a uniform hash into blocks of about `block` pieces, each packed by
 one task: best fit decreasing first, then exchanges between underfull bins. The emptiest bin gives to others:
 it moves a piece, swaps one of its pieces for a shorter one, or swaps two for one, always by the exchange that
-raises the sum of squared fills most; an emptied bin is gone. It ends when no exchange is left or when the
-room left in the block would not hold another bin. More rows make more blocks, not larger ones.
+raises the sum of squared fills most; an emptied bin is gone. It ends when a pass over all bins finds no exchange or
+when the room left in the block would not hold another bin. More rows make more blocks, not larger ones.
 
 Tokens. The default tokenizer lower-cases, drops white space and merges within words, numerals and runs of
 marks only. Texts of ASCII and Latin letters are split so, and each distinct run is encoded once for a task,
@@ -20,6 +20,7 @@ names that begin with `__pack_` are reserved.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import zlib
 
@@ -121,10 +122,13 @@ def exchange(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray
     """Local search from a packing; bins that end up empty have no piece."""
     bins = bins.copy()
     fill = np.bincount(bins, weights=lengths).astype(np.int64) if len(bins) else np.zeros(0, np.int64)
-    stuck = fill >= capacity
+    stuck, changed = fill >= capacity, False
     none = np.int64(-1)
     while True:
         live = (fill > 0) & (fill < capacity)
+        if changed and not (live & ~stuck).any():
+            # bins without an exchange may have one since others changed: once more over all of them
+            stuck, changed = fill >= capacity, False
         if (capacity - fill[live]).sum() < capacity or not (live & ~stuck).any():
             return bins
         giver = int(np.argmin(np.where(live & ~stuck, fill, capacity + 1)))
@@ -136,9 +140,10 @@ def exchange(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray
             own = np.flatnonzero(bins == giver)
             best = (0, None, None, None)
             give = [(int(lengths[i]), (i,)) for i in own]
-            # one piece of each length, and one pair of each sum
+            # one piece of each length, and one pair of each sum: a pair has two pieces of a length at most
             give = list({n: g for n, g in give}.items())
-            pairs = {int(lengths[i] + lengths[j]): (i, j) for k, i in enumerate(own[:64]) for j in own[k + 1:64]}
+            two = [i for _, group in itertools.groupby(own[np.argsort(lengths[own], kind="stable")].tolist(), lambda i: lengths[i]) for i in itertools.islice(group, 2)]
+            pairs = {int(lengths[i] + lengths[j]): (i, j) for i, j in itertools.combinations(two, 2)}
             for n, g in give:  # move
                 ok = capacity - fill[others] >= n
                 gain = np.where(ok, n * (fill[others] - fill[giver] + n), 0)
@@ -153,6 +158,7 @@ def exchange(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray
                 stuck[giver] = True
                 break
             _, gone, k, to = best
+            changed = True
             more = int(lengths[list(gone)].sum()) - (0 if k < 0 else int(m[k]))
             bins[list(gone)] = to
             fill[to] += more
@@ -181,21 +187,22 @@ def pack_block(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarr
 
 # ---------------------------------------------------------------- all rows
 def pack(pieces: DataFrame, capacity: int = 2048, length_col: str = "length", block: int = 8192) -> DataFrame:
-    """`pieces` with `sequence_id` and `offset`; lengths from 1 to `capacity`."""
+    """`pieces` with `sequence_id` and `offset`; lengths from 1 to `capacity`. Lengths alone go to the packing
+    tasks; what else a piece holds, such as its ids, is moved once, by row."""
     row = "__pack_row"
     table = shared_table(pieces.withColumn(row, F.monotonically_increasing_id()), "pack-pieces")
-    rest = table.filter(F.col(length_col) < capacity)
+    rest = table.filter(F.col(length_col) < capacity).select(row, F.col(length_col).cast("long").alias("length"))
     blocks = max(1, -(-rest.count() // block))
-    keyed = rest.withColumn("__pack_block", F.pmod(F.xxhash64(row), F.lit(blocks)))
-    schema = keyed.drop("__pack_block", row).schema.add("sequence_id", "long").add("offset", "long")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(row, ignore_index=True)
-        bins, offset = pack_block(group[length_col].to_numpy(np.int64), capacity)
+        bins, offset = pack_block(group["length"].to_numpy(np.int64), capacity)
         # the first piece's row names a sequence
-        name = group.groupby(bins)[row].transform("min")
-        return group.drop(columns=["__pack_block", row]).assign(sequence_id=name, offset=offset)
-
-    packed = keyed.groupBy("__pack_block").applyInPandas(run, schema)
-    full = table.filter(F.col(length_col) == capacity).withColumn("sequence_id", F.col(row)).withColumn("offset", F.lit(0).cast("long")).drop(row)
-    return full.unionByName(packed)
+        return pd.DataFrame({row: group[row], "sequence_id": group.groupby(bins)[row].transform("min"), "offset": offset})
+
+    packed = rest.withColumn("__pack_block", F.pmod(F.xxhash64(row), F.lit(blocks))).groupBy("__pack_block").applyInPandas(run, f"{row} long, sequence_id long, offset long")
+    packed = shared_table(packed, "pack-places").withColumnRenamed(row, "__pack_of")
+    out = table.join(packed.hint("shuffle_hash"), F.col(row) == F.col("__pack_of"), "left")
+    # a full piece is a sequence
+    full = {"sequence_id": F.coalesce("sequence_id", row), "offset": F.coalesce("offset", F.lit(0).cast("long"))}
+    return out.withColumns(full).drop(row, "__pack_of")

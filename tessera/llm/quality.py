@@ -25,8 +25,6 @@ SEPARATORS = r"[|»«›‹•·]|>(?<![^\x20\x09-\x0D]>)(?![^\x20\x09-\x0D])"
 #: Pairs of marks that stand in prose, without another mark between them.
 PAIRED = r"«[^|»«›‹•·]*»|»[^|»«›‹•·]*«|‹[^|»«›‹•·]*›|›[^|»«›‹•·]*‹|(?<![^\x20\x09-\x0D(])\|[^|\x20\x09-\x0D]+\|(?=[\x20\x09-\x0D.,;:!?)]|$)"
 MENU_WORDS = r"home|menu|search|log ?in|log ?out|sign ?in|sign ?up|register|next|previous|share|print|contact|about|help|back|top|skip to content|site ?map|follow us|tweet|faq"
-#: For the SQL, whose \W has ASCII only.
-MENU = rf"(?i)^\W*(?:(?:{MENU_WORDS})\W*)+$"
 #: Letters of all scripts are words. Possessive, so Java loops over the words and does not call itself for each;
 #: no menu word begins another, so nothing is lost by that.
 MENU_LINE = rf"(?i)^[^\p{{L}}\p{{N}}_]*+(?:(?:{MENU_WORDS})[^\p{{L}}\p{{N}}_]*+)++$"

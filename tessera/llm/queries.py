@@ -68,9 +68,15 @@ def op10_warc_zstd(spark, sf_dir):
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 _BAD_LINE = r"""(len(regexp_extract_all(x, '[#*$%&|<>{}\\^~=_]')) > length(x) * 0.08
   OR len(list_filter(WORDS, lambda w: regexp_matches(w, '[!?]{2,}$'))) * 100 > len(WORDS) * 20.0
-  OR len(regexp_extract_all(x, '[|»«›‹•·]')) + len(list_filter(WORDS, lambda w: w = '>')) >= 2
-  OR regexp_matches(x, 'MENU') OR (regexp_matches(x, 'BOILERPLATE') AND len(WORDS) <= 20))""".replace(
-    "WORDS", _WORDS.format("x")).replace("MENU", quality.MENU).replace("BOILERPLATE", quality.BOILERPLATE)
+  OR greatest(SEPARATORS * 100 - len(WORDS) * 5, 0) * greatest(SEPARATORS - 1, 0) > 0
+  OR regexp_matches(x, 'MENU') OR (regexp_matches(x, 'BOILERPLATE') AND len(WORDS) <= 20))"""
+#: A line without its quotations and barred values. White space is doubled, as neighbouring values share it, and a barred
+#: value leaves chr(1) until the quotations are gone.
+_BARE = r"""regexp_replace(regexp_replace(regexp_replace(x, '([\x20\x09-\x0D])', '\1\1', 'g'), '(^|[\x20\x09-\x0D(])\|[^|\x20\x09-\x0D]+\|([\x20\x09-\x0D.,;:!?)]|$)', '\1' || chr(1) || '\2', 'g'),
+  '«[^|»«›‹•·\x01]*»|»[^|»«›‹•·\x01]*«|‹[^|»«›‹•·\x01]*›|›[^|»«›‹•·\x01]*‹', '', 'g')"""
+_SEPARATORS = f"(len(regexp_extract_all({_BARE}, '[|»«›‹•·]')) + len(list_filter({_WORDS.format(_BARE)}, lambda w: w = '>')))"
+_BAD_LINE = (_BAD_LINE.replace("SEPARATORS", _SEPARATORS).replace("WORDS", _WORDS.format("x")).replace("BOILERPLATE", quality.BOILERPLATE)
+             .replace("MENU", quality.MENU_LINE.replace("*+", "*").replace("++", "+")))
 
 
 @register("op3_quality_rules", f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -159,10 +165,10 @@ def op7_best_fit_packing(spark, sf_dir):
     return packing.pack(packing.token_pieces(read(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
-@register("op9_pivot_top_k", """WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+@register("op9_pivot_top_k", """WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""")
 def op9_pivot_top_k(spark, sf_dir):
     """The 10 best inner products of every hundredth vector with all others."""

@@ -45,10 +45,21 @@ def communication_matrix(counts: list[int], sizes: list[int], seed: int) -> np.n
 def _hypergeometric(rng, good: int, bad: int, n: int) -> int:
     if good + bad < 1_000_000_000:
         return int(rng.hypergeometric(good, bad, n)) if n else 0
-    # the normal law's rounding, kept within the possible range: exact sums, and no test tells the laws apart at this size
-    p, t = good / (good + bad), good + bad
-    x = rng.normal(n * p, (n * p * (1 - p) * (t - n) / max(1, t - 1)) ** 0.5)
-    return int(min(max(round(x), n - bad, 0), n, good))
+    return tabled_draw(float(rng.random()), good, bad, n)
+
+
+def tabled_draw(u: float, good: int, bad: int, n: int) -> int:
+    """The draw that `u` in [0, 1) stands for, by the law's own table: each number's chance follows from its
+    neighbour's, outward from the mode. Beyond the 14 standard deviations tabled chances are less than a double's step."""
+    t = good + bad
+    mode = (n + 1) * (good + 1) // (t + 2)
+    reach = int(14 * (n * (good / t) * (bad / t) * ((t - n) / max(1, t - 1))) ** 0.5) + 60
+    low, high = max(0, n - bad, mode - reach), min(n, good, mode + reach)
+    k = np.arange(low, high, dtype=np.float64)
+    # chance of k + 1 over that of k
+    step = np.log(good - k) + np.log(n - k) - np.log(k + 1) - np.log(bad - n + k + 1)
+    chance = np.exp(np.concatenate(([0.0], np.cumsum(step))) - step[:mode - low].sum())
+    return low + int(np.searchsorted(np.cumsum(chance), u * chance.sum(), side="right"))
 
 
 def assign_shards(df: DataFrame, shards: int, seed: int = 11) -> DataFrame:

@@ -90,6 +90,25 @@ def test_thresholds_cover_the_radius():
 
 
 # ------------------------------------------------------------- quality rules
+def test_quality_sql_has_the_same_rules(spark, tmp_path):
+    """Lines that the rules tell apart by pairs, neighbours, scripts and lengths, by Spark and by DuckDB."""
+    import duckdb
+    from tessera.llm import queries
+    long = "word " * 400
+    lines = ["Il dit « oui » puis « non » et partit", "a |x| |y| b", "(|x|). |y|, z", "Home | About | Help | Contact", "Home » Shop » Shoes", "a > b > c", "a>b>c d", "one • two • three",
+             long + "« quoted » and |x|", long + "| a | b |", "Нажмите кнопку Help", "Help", "  home - LOGIN / Site Map!", "»so« und »so« gesagt", "‹a› ›b‹ c", "« open | only", "| a | b | c | d |",
+             "x |a b| y", "» » »", "> > >", "|x| > |y| > z", "«|x|» a", "All rights reserved.", "What!! Now!! Go!!", "a#b$c%d", "\t|x|\t|y|\r", "", "plain line of words that stays, with a mark | or so", "|a|b|c|", "·"]
+    rows = [(i, "Plain words make up this line, and they say a thing or two more.\n" * k + x) for i, x in enumerate(lines) for k in (0, 1, 2)]
+    rows = [(n, t) for n, (_, t) in enumerate(rows)] + [(9000, "\n".join(lines)), (9001, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(queries.ORACLE["op3_quality_rules"]).fetchall()
+    names = [d[0] for d in con.description]
+    got = queries.QUERIES["op3_quality_rules"](spark, str(tmp_path)).select(names).collect()
+    assert {r[0]: tuple(r) for r in got} == {r[0]: r for r in want} and len(got) == len(rows)
+
+
 def slow_quality(text):
     text = text or ""
     w = WORD.findall(text)
@@ -222,7 +241,32 @@ def test_communication_matrix():
         seen += m
     assert np.allclose(seen / 400, np.outer(counts, sizes) / 23, atol=0.25)
     big = sharding.communication_matrix([3_000_000_000, 5], [1_500_000_003, 1_500_000_002], 1)
-    assert big.sum(axis=1).tolist() == [3_000_000_000, 5]
+    assert big.sum(axis=1).tolist() == [3_000_000_000, 5] and big.sum(axis=0).tolist() == [1_500_000_003, 1_500_000_002]
+
+
+@pytest.mark.parametrize("good,bad,n", [(3, 4, 5), (30, 50, 20), (1, 200, 7), (0, 9, 4), (9, 0, 4), (40, 40, 80), (500, 300, 250)])
+def test_tabled_draw_is_the_exact_law(good, bad, n):
+    """The number that u stands for is the law's own inverse, by whole numbers."""
+    from fractions import Fraction
+    total, below = math.comb(good + bad, n), 0
+    for k in range(max(0, n - bad), min(n, good) + 1):
+        weight = math.comb(good, k) * math.comb(bad, n - k)
+        middle = float(Fraction(2 * below + weight, 2 * total))
+        if weight / total > 1e-12:
+            assert sharding.tabled_draw(middle, good, bad, n) == k
+        below += weight
+
+
+def test_draws_from_large_urns():
+    """Beyond 10^9 rows: mean and variance of the law, and sums that hold."""
+    good, bad, n = 4 * 10**11, 6 * 10**11, 10**6
+    u = np.random.default_rng(2).random(3000)
+    x = np.array([sharding.tabled_draw(v, good, bad, n) for v in u])
+    assert abs(x.mean() - 4 * 10**5) < 6 * (240_000 / 3000) ** 0.5 and abs(x.var() / 240_000 - 1) < 0.15
+    counts = [10**10, 1, 7 * 10**9, 0]
+    sizes = [sum(counts) // 3 + (k < sum(counts) % 3) for k in range(3)]
+    m = sharding.communication_matrix(counts, sizes, 5)
+    assert m.sum(axis=1).tolist() == counts and m.sum(axis=0).tolist() == sizes and (m >= 0).all()
 
 
 def test_shards_are_uniform(spark):
@@ -317,6 +361,39 @@ def test_local_search(lengths):
     assert fill.max() <= 100 and fill.sum() == lengths.sum() and len(set(last.tolist())) <= len(set(first.tolist()))
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_local_search_ends_when_no_exchange_is_left(seed):
+    rng = np.random.default_rng(seed)
+    lengths = rng.integers(500, 900, 60) if seed % 2 else rng.integers(3, 30, 900)
+    capacity = 2048 if seed % 2 else 200
+    last = packing.exchange(lengths, packing.best_fit(lengths, capacity), capacity)
+    again = packing.exchange(lengths, last, capacity)
+    squares = lambda bins: int((np.bincount(bins, weights=lengths) ** 2).sum())
+    assert squares(again) == squares(last)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_no_exchange_is_overlooked(seed):
+    """Bins of some hundred short pieces: by brute force over all pieces, nothing that is left raises the squares."""
+    import itertools
+    rng = np.random.default_rng(seed)
+    capacity, lengths = 700, np.concatenate((rng.choice([3, 4, 6, 7, 9, 11], 500), rng.integers(200, 340, 4)))
+    bins = rng.integers(0, 9, len(lengths))
+    while np.bincount(bins, weights=lengths).max() > capacity:
+        bins = rng.integers(0, 9, len(lengths))
+    last = packing.exchange(lengths, bins, capacity)
+    fill = np.bincount(last, weights=lengths, minlength=9).astype(int)
+    live = [b for b in range(9) if 0 < fill[b] < capacity]
+    assert fill.max() <= capacity and fill.sum() == lengths.sum()
+    if sum(capacity - fill[b] for b in live) >= capacity:
+        for g, r in itertools.permutations(live, 2):
+            own, theirs = ([int(x) for x in lengths[last == b]] for b in (g, r))
+            give = set(own) | {a + b for a, b in itertools.combinations(own, 2)}
+            for n, m in [(n, 0) for n in set(own)] + [(n, m) for n in give for m in set(theirs)]:
+                more = n - m
+                assert not (0 < more <= capacity - fill[r] and more * (fill[r] - fill[g] + more) > 0)
+
+
 def test_local_search_saves_bins():
     saved = 0
     for seed in range(6):

@@ -1,5 +1,6 @@
 """Conversations, vectors, pages and the pipeline."""
 import collections
+import zlib
 import hashlib
 import os
 
@@ -56,15 +57,15 @@ def test_chat_empty_and_native(spark):
 def test_top_k(spark):
     rng = np.random.default_rng(5)
     rows = [(i, rng.normal(size=6).round(2).tolist()) for i in range(300)] + [(1000 + i, [0.5, 0.5, 0.0, 0.0, 0.0, 0.0]) for i in range(90)]
-    rows += [(400, None), (500, [1.0, None, 0.0]), (501, [float("nan")] * 6), (502, [float("inf")] * 6), (None, [9.0] * 6), (503, [2.0]), (600, []), (7, rows[7][1]), (600, [0.1] * 6)]
+    rows += [(400, None), (500, [1.0, None, 0.0]), (501, [float("nan")] * 6), (502, [float("inf")] * 6), (None, [9.0] * 6), (503, [2.0]), (600, []), (7, rows[7][1]), (600, [0.1] * 6), (700, rows[100][1]), (None, [9.0] * 6)] + [rows[100]] * 12
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"id": F.lit("x"), "score": F.lit(1)})
-    valid = {(i, tuple(int(np.floor(1024 * float(np.float32(x)))) for x in v) + (0,) * (6 - len(v))) for i, v in rows
-             if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    valid = [(i, tuple(int(np.floor(1024 * float(np.float32(x)))) for x in v) + (0,) * (6 - len(v))) for i, v in rows
+             if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q, a in valid:
-        if q % 100 == 0:
-            best = sorted((-sum(x * y for x, y in zip(a, b)), c) for c, b in valid if c != q)[:10]
-            want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
+    for n, (q, a) in enumerate(valid):
+        if q is not None and q % 100 == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, b)), c is None, c) for m, (c, b) in enumerate(valid) if m != n)[:10]
+            want += [(q, r + 1, c, -s) for r, (s, _, c) in enumerate(best)]
     for block in (4096, 50):
         got = pivot_search.top_k(df, F.col("id") % 100 == 0, block=block, query_block=2, pivots=7)
         assert collections.Counter(tuple(r) for r in got.collect()) == collections.Counter(want)
@@ -186,7 +187,17 @@ def test_pipeline_stages(spark, tmp_path):
     copies = collections.Counter(r.doc_id for r in three.collect())
     assert copies == collections.Counter({r.doc_id: r["__mix_copies"] for r in mixing.mix_decisions(two).collect() if r["__mix_copies"]})
     four = stage["best_fit_packing"](spark, three, str(tmp_path))
-    assert four.count() == sum(-(-len(whole_ids(r.text)) // 2048) for r in three.collect())
+    # every copy's tokens, whole, in sequences without gaps
+    pieces = four.collect()
+    want = collections.Counter((r.doc_id, p, tuple(ids[lo:lo + 2048])) for r in three.collect() for ids in [whole_ids(r.text)] for p, lo in enumerate(range(0, len(ids), 2048)))
+    assert collections.Counter((r.doc_id, r.piece, tuple(r.ids)) for r in pieces) == want
+    assert all(r.start == 2048 * r.piece and r.length == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in pieces)
+    sequences = collections.defaultdict(list)
+    for r in pieces:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for held in sequences.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(held)]).tolist()]
+        assert [o for o, _ in sorted(held)] == ends[:-1] and ends[-1] <= 2048
     assert C.run(spark, str(tmp_path)).count() == four.count()
 
 
