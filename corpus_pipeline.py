@@ -6,7 +6,7 @@ next one's docs. All but the last return the columns of documents; their decisio
 1. quality_rules: rejected documents go; kept ones go on without the lines that failed a rule, n_chars following.
 2. simhash_dedup: of each near-duplicate component the document with the smallest doc_id stays, one row of it.
 3. mix_sources: each document is repeated, or left out, as its source's repetition rate says.
-4. best_fit_packing: one row per token piece, with its sequence and offset.
+4. best_fit_packing: one row per token piece, with its ids, its sequence and its offset there.
 
 Null, empty and very long texts, repeated rows, empty tables and extra columns are treated as each operator says.
 """
@@ -32,7 +32,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.token_pieces(docs, capacity=2048), capacity=2048).withColumnRenamed("id", "doc_id")
+    return packing.pack(packing.token_pieces(docs, capacity=2048, ids=True), capacity=2048).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [("quality_rules", quality_rules), ("simhash_dedup", simhash_dedup), ("mix_sources", mix_sources), ("best_fit_packing", best_fit_packing)]
