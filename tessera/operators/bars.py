@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from tessera.plans import ewm as E
 from tessera.plans.segment import threshold_bars
-from tessera.plans.sequence import POS, fill, join_keys, shift, with_pos
+from tessera.plans.sequence import CHUNK, HALO, KEY, POS, fill, halo_chunks, join_keys, shift, with_pos
 from tessera.session import cut_lineage
 
 ORDER = ("ts", "seq")
@@ -142,15 +143,53 @@ def imbalance_thresholds(trades: DataFrame, keys: Sequence[str] = ("symbol",), e
 
 
 # --------------------------------------------------------------------------- B13 / B14
+#: What a bar carries on: expected length, signed sum, ticks, open, high, low, volume.
+IMB_STATE = ("length", "total", "ticks", "open", "high", "low", "volume")
+
+
+def _imbalance_chunk(price: np.ndarray, size: np.ndarray, x: np.ndarray, need: np.ndarray, state: Sequence[float]):
+    """Bars that close in a run of ticks, from the state before it: (rows closing, their states, state after).
+
+    The sum runs on in the order of the ticks, so a bar has the same sum wherever a chunk cuts it."""
+    length, total, ticks, first, high, low, volume = state
+    at, closed, ends = 0, [], []
+    while at < len(x):
+        lo, step, end = at, max(64, int(2 * length)), None
+        while lo < len(x) and end is None:
+            hi = min(len(x), lo + step)
+            run = np.cumsum(np.concatenate(([total], x[lo:hi])))[1:]
+            n = ticks + np.arange(1, hi - lo + 1)
+            hit = (n > 2) & (np.abs(run) >= need[lo:hi] * length)
+            k = int(hit.argmax())
+            if hit[k]:
+                end, total, ticks = lo + k, float(run[k]), float(n[k])
+            else:
+                total, ticks, lo, step = float(run[-1]), float(n[-1]), hi, 2 * step
+        stop = len(x) if end is None else end + 1
+        own = price[at:stop]
+        first, high, low = (first, max(high, own.max()), min(low, own.min())) if np.isfinite(first) else (own[0], own.max(), own.min())
+        volume = float(np.cumsum(np.concatenate(([volume], size[at:stop])))[-1])
+        at = stop
+        if end is not None:
+            ends.append(end)
+            closed.append((length, total, ticks, float(first), float(high), float(low), volume))
+            length, total, ticks, first, high, low, volume = 0.1 * length + 0.9 * ticks, 0.0, 0.0, np.inf, np.inf, np.inf, 0.0
+    return ends, closed, (length, total, ticks, float(first), float(high), float(low), volume)
+
+
 def imbalance_bars(trades: DataFrame, bar_starting_len: float, keys: Sequence[str] = ("symbol",),
-                   first_sign: int = 1, alpha: float = 0.01, daily_reset: bool = False) -> DataFrame:
+                   first_sign: int = 1, alpha: float = 0.01, daily_reset: bool = False, chunk_rows: int = 1 << 16, warm_rows: int = 1 << 12) -> DataFrame:
     """Imbalance bars.  A bar closes once it has more than 2 ticks and
     abs(Σ signed log dollars) >= (abs(expected) + 0.1·ewm_std)·bar_len; then
-    bar_len <- 0.1·bar_len + 0.9·ticks.  The state (sum, ticks, bar_len) is sequential and not
-    summarisable, so a key's ticks pass one task in order -- those of a (key, day) with ``daily_reset`` for hot
-    keys.  They stream through it: the task holds one Arrow batch and the open bar.  The EWM std of the signed
-    log dollars (first value counts as 0) and all other inputs are computed on Spark beforehand; a tick without
-    log dollars (price 0) adds nothing to the sum."""
+    bar_len <- 0.1·bar_len + 0.9·ticks.  The EWM std of the signed log dollars (first value counts as 0) and all
+    other inputs are computed beforehand; a tick without log dollars (price 0) adds nothing to the sum.  The bar that is
+    open at the end is the last.
+
+    A key is cut into chunks of ``chunk_rows`` positions that run side by side.  Each begins ``warm_rows`` ticks
+    early with a fresh bar: a bar that closes with the true one forgets the rest but for a tenth of the difference
+    of lengths, so the state is soon the true one to the last bit.  A chunk that did not begin with the state its
+    predecessor ended with runs again from that state, with all such chunks at once, until every state
+    fits: then all are true, as the first is.  No task holds more than a chunk and its warm rows."""
     keys = list(keys)
     d = cut_lineage(imbalance_thresholds(trades, keys, ewm=True, first_sign=first_sign))
     d = E.ewm(d, keys, list(ORDER), "log_dollars_exchanged", out_std="_ldstd", alpha=alpha)
@@ -160,49 +199,48 @@ def imbalance_bars(trades: DataFrame, bar_starting_len: float, keys: Sequence[st
     value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
     need = F.abs(value("expected_log_dollars_exchanged")) + 0.1 * value("_ldstd")
     d = d.select(*gkeys, "ts", "seq", F.col("price").cast("double").alias("price"), F.col("size").cast("double").alias("size"),
-                 value("log_dollars_exchanged").alias("_x"), need.alias("_need"), F.xxhash64(*gkeys).alias("_k"))
+                 value("log_dollars_exchanged").alias("_x"), need.alias("_need"))
+    warm = halo_chunks(d, gkeys, list(ORDER), before=min(warm_rows, chunk_rows), chunk_rows=chunk_rows)
+    warm = cut_lineage(warm.withColumn(KEY, F.struct(*gkeys, CHUNK)).select(KEY, POS, HALO, "ts", "price", "size", "_x", "_need"))
     ts_type = d.schema["ts"].dataType
-    schema = T.StructType([d.schema[k] for k in gkeys] + [
-        T.StructField("group", T.LongType()), T.StructField("time", ts_type),
-        T.StructField("open", T.DoubleType()), T.StructField("close", T.DoubleType()),
-        T.StructField("high", T.DoubleType()), T.StructField("low", T.DoubleType()),
-        T.StructField("volume", T.DoubleType()), T.StructField("tick_count", T.LongType())])
-
-    def segment(batches):
-        bar, number, length, total = None, 0, 0.0, 0.0  # bar: [time, open, close, high, low, volume, ticks]
-
-        def record(rows, like):
-            cols = [pa.array([r[0][i] for r in rows], like.schema.field(g).type) for i, g in enumerate(gkeys)]
-            rest = list(zip(*(r[1:] for r in rows)))
-            times = pa.array(rest[1], pa.int64()).cast(like.schema.field("ts").type)
-            return pa.RecordBatch.from_arrays([*cols, pa.array(rest[0], pa.int64()), times, *(pa.array(c, pa.float64()) for c in rest[2:7]), pa.array(rest[7], pa.int64())], schema.names)
-
-        values, mark, like = None, None, None
-        for b in batches:
-            like, out = b, []
-            of = b.column("_k").to_numpy()
-            cols = [b.column("ts").cast(pa.int64()).to_pylist()] + [b.column(c).to_pylist() for c in ("price", "size", "_x", "_need")]
-            for i, (ts, price, size, x, need) in enumerate(zip(*cols)):
-                if of[i] != mark or values is None:
-                    if bar:
-                        out.append((values, number, *bar))
-                    mark, values = of[i], tuple(b.column(g)[i].as_py() for g in gkeys)
-                    bar, number, length, total = None, 0, float(bar_starting_len), 0.0
-                if bar is None:
-                    bar = [ts, price, price, price, price, 0.0, 0]
-                bar[0], bar[2], bar[3], bar[4] = ts, price, max(bar[3], price), min(bar[4], price)
-                bar[5] += size
-                bar[6] += 1
-                total += x
-                if bar[6] > 2 and abs(total) >= need * length:
-                    out.append((values, number, *bar))
-                    length, total, number, bar = 0.1 * length + 0.9 * bar[6], 0.0, number + 1, None
-            if out:
-                yield record(out, b)
-        if bar:
-            yield record([(values, number, *bar)], like)
-
-    bars = d.repartition(*gkeys).sortWithinPartitions(*gkeys, "ts", "seq").mapInArrow(segment, schema)
+    # a row for each bar that closes in the chunk, and one (n null) for its states
+    schema = T.StructType([warm.schema[KEY], T.StructField("n", T.LongType()), T.StructField("time", ts_type), T.StructField("close", T.DoubleType()),
+                           T.StructField("state", T.ArrayType(T.DoubleType())), T.StructField("entry", T.ArrayType(T.DoubleType())), T.StructField("closed", T.LongType())])
+    fresh = (float(bar_starting_len), 0.0, 0.0, np.inf, np.inf, np.inf, 0.0)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(POS)
+        given = table.column("entry")[0].as_py() if "entry" in table.column_names else None
+        halo = table.column(HALO).to_numpy()
+        cols = [table.column(c).to_numpy() for c in ("price", "size", "_x", "_need")]
+        entry = given or _imbalance_chunk(*(c[halo] for c in cols), fresh)[2]
+        ends, closed, state = _imbalance_chunk(*(c[~halo] for c in cols), entry)
+        own = table.filter(pa.array(~halo))
+        # behind a key's last chunk there are warm rows alone
+        at = pa.array([*ends, own.num_rows - 1], pa.int64()) if own.num_rows else pa.array([], pa.int64())
+        k = len(at)
+        return pa.table([own.column(KEY).take(at), pa.array([*range(len(ends)), None][:k], pa.int64()), own.column("ts").take(at), own.column("price").take(at),
+                         pa.array([*closed, state][:k], pa.list_(pa.float64())), pa.array([*[None] * len(ends), list(entry)][:k], pa.list_(pa.float64())),
+                         pa.array([*[None] * len(ends), len(ends)][:k], pa.int64())], schema.names)
+
+    found = cut_lineage(warm.groupBy(KEY).applyInArrow(run, schema))
+    over = W.partitionBy(*[F.col(KEY)[k] for k in gkeys]).orderBy(F.col(KEY)[CHUNK])  # one row per chunk
+    while True:
+        states = found.where("n is null")
+        wrong = states.withColumn("ended", F.lag("state").over(over)).where("ended is not null and ended <> entry").select(F.col(KEY).alias("_again"), "ended")
+        wrong = cut_lineage(wrong)
+        if wrong.isEmpty():
+            break
+        rows = warm.where(~F.col(HALO)).join(wrong.withColumnRenamed("ended", "entry"), F.col(KEY) == F.col("_again")).drop("_again")
+        again = rows.groupBy(KEY).applyInArrow(run, schema)
+        found = cut_lineage(found.join(wrong, F.col(KEY) == F.col("_again"), "left_anti").unionByName(again))
+    states = found.where("n is null")
+    before = states.select(F.col(KEY).alias("_of"), F.coalesce(F.sum("closed").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+                           F.lead("closed").over(over).isNull().alias("_last"))
+    bars = found.join(before, F.col(KEY) == F.col("_of")).where("n is not null or (_last and state[2] > 0)")
+    part = lambda name: F.col("state")[IMB_STATE.index(name)]
+    bars = bars.select(*[F.col(KEY)[k].alias(k) for k in gkeys], (F.col("_before") + F.coalesce("n", "closed")).alias("group"), "time", part("open").alias("open"), "close",
+                       part("high").alias("high"), part("low").alias("low"), part("volume").alias("volume"), part("ticks").cast("long").alias("tick_count"))
     return bars.drop("_day") if daily_reset else bars
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -97,3 +98,54 @@ def test_imbalance_bars_daily_reset_stays_in_day(make_trades):
     assert whole.tick_count.sum() == 480 and daily.tick_count.sum() == 480
     days = t.select(F.to_date("ts").alias("d")).distinct().count()
     assert len(daily) >= days  # every day closes its own bars (the last one as a tail)
+
+
+def _imbalance_loop(rows, start, needs):
+    """Bars of one key, tick by tick; rows (ts, price, size, x)."""
+    out, bar, length, total = [], None, float(start), 0.0
+    for (t, px, sz, x), need in zip(rows, needs):
+        if bar is None:
+            bar = [t, px, px, px, px, 0.0, 0]
+        bar = [t, bar[1], px, max(bar[3], px), min(bar[4], px), bar[5] + sz, bar[6] + 1]
+        total += x
+        if bar[6] > 2 and abs(total) >= need * length:
+            out.append(bar)
+            length, total, bar = 0.1 * length + 0.9 * bar[6], 0.0, None
+    return out + ([bar] if bar else [])
+
+
+@pytest.mark.parametrize("warm", [0, 16, 128])
+def test_imbalance_bars_over_many_chunks(spark, make_trades, warm):
+    """One symbol of ten chunks and more, another of one: the bars of a single pass, whatever the warm rows."""
+    from tessera.operators.bars import ORDER, imbalance_bars, imbalance_thresholds
+    from tessera.plans import ewm as E
+    rng = np.random.default_rng(3)
+    t = make_trades([(s, i, i, float(np.round(20 + rng.normal(0, 0.3), 2)), float(rng.integers(1, 9))) for s, n in (("A", 1350), (None, 1350), ("B", 60), ("C", 128)) for i in range(n)])
+    got = {}
+    for r in imbalance_bars(t, 5.0, chunk_rows=128, warm_rows=warm).collect():
+        got.setdefault(r.symbol, []).append((r.group, r.time, r.open, r.close, r.high, r.low, r.volume, r.tick_count))
+    d = E.ewm(imbalance_thresholds(t, ewm=True), ["symbol"], list(ORDER), "log_dollars_exchanged", out_std="_sd", alpha=0.01).toPandas().sort_values(["ts", "seq"])
+    assert set(got) == {"A", "B", "C", None}
+    for s, bars in got.items():
+        own = d[d.symbol.isna()] if s is None else d[d.symbol == s]
+        x = own.log_dollars_exchanged.fillna(0.0)
+        need = own.expected_log_dollars_exchanged.fillna(0.0).abs() + 0.1 * own["_sd"].fillna(0.0)
+        want = _imbalance_loop(list(zip(own.ts, own.price, own["size"], x)), 5.0, list(need))
+        assert [b[0] for b in sorted(bars)] == list(range(len(want)))
+        assert [tuple(b[1:]) for b in sorted(bars)] == [tuple(w) for w in want] and len(want) > (20 if s in ("A", None) else 0)
+
+
+def test_a_chunk_carries_bars_on():
+    """A run of ticks cut anywhere, state handed on, gives the bars of one run."""
+    from tessera.operators.bars import _imbalance_chunk
+    rng = np.random.default_rng(8)
+    cols = [rng.uniform(5, 9, 700), rng.integers(1, 5, 700).astype(float), rng.normal(0, 1, 700), rng.uniform(0, 0.4, 700)]
+    fresh = (6.0, 0.0, 0.0, np.inf, np.inf, np.inf, 0.0)
+    whole = _imbalance_chunk(*cols, fresh)
+    for cuts in ([1, 2, 3], [350], [10, 200, 201, 699], list(range(1, 700, 7))):
+        ends, closed, state = [], [], fresh
+        for a, b in zip([0, *cuts], [*cuts, 700]):
+            e, c, state = _imbalance_chunk(*(x[a:b] for x in cols), state)
+            ends += [a + k for k in e]
+            closed += c
+        assert (ends, closed, state) == whole
