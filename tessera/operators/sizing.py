@@ -77,9 +77,10 @@ def sigmoid_sizing(forecasts: DataFrame, w: float, max_pos: int, keys=("symbol",
     sgn = F.when(F.col("target_pos") >= F.col("pos"), 1).otherwise(-1)
     lo = F.abs(F.col("pos") + sgn)
     hi = F.abs(F.col("target_pos") + 1)
-    steps = F.when(hi > lo, F.sequence(lo, hi - 1))
-    total = F.aggregate(F.coalesce(steps, F.array().cast("array<int>")), F.lit(0.0),
-                        lambda acc, j: acc + inv_price(F.col(forecast), F.lit(w), j / F.lit(float(max_pos))))
+    # the inverse price of a step is the forecast less a number of the step alone: their sums up to each step are constants
+    m = np.arange(max_pos) / max_pos
+    sums = F.lit(np.concatenate(([0.0], np.cumsum(m * np.sqrt(w / (1 - m * m))))).tolist())
+    total = F.when(hi > lo, (hi - lo) * F.col(forecast) - (F.get(sums, hi) - F.get(sums, lo))).otherwise(F.lit(0.0))
     return d.withColumn("limit_price", F.when(F.col("target_pos") != F.col("pos"),
                                               total / (F.col("target_pos") - F.col("pos"))))
 
