@@ -167,7 +167,9 @@ def divergences(df: DataFrame, lang_col: str = "lang", source_col: str = "source
     left = kept.join(langs.select("lang", "shards"), "lang").select("lang", shard.alias("shard"), "term", "uses")
     right = groups.join(langs, "lang").select("lang", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"), "source", (F.col("n") + F.col("v")).alias("total"), (F.col("lang_n") + F.col("v")).alias("lang_total"))
     found = left.groupBy("lang", "shard").cogroup(right.groupBy("lang", "shard")).applyInArrow(lambda a, b: shard_rows(a, b, top), "lang string, source string, part string, item string, value long")
-    # a pair's value is the sum over the shards; a term is in one shard
-    found = shared_table(found, "divergence-found").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
+    found = shared_table(found, "divergence-found")
+    # a pair's value is the sum over the shards; a term is in one shard, and most leave before they are exchanged
+    pairs = found.filter("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
     rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
-    return found.withColumn("rank", rank).filter((F.col("part") == "pair") | (F.col("rank") <= top))
+    terms = found.filter("part = 'term'").withColumn("rank", rank).filter(F.col("rank") <= top)
+    return pairs.withColumn("rank", rank).unionByName(terms)
