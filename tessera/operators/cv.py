@@ -2,16 +2,19 @@
 
 Fold membership is data (a ``(fold, row, role)`` table built with positions, a constant-size
 fold table and equi/range filters); models are MLlib estimators fitted per fold with
-``weightCol``.  The fold loop is a short driver loop over k fits — each fit is a distributed job.
+``weightCol``.  Fits are distributed jobs, a few of them at the same time, and read one table of all folds.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 import random
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -131,20 +134,39 @@ def score(pred: DataFrame, scoring: str, label="label", weight="w") -> float:
     return -value if scoring == "neg_log_loss" else value
 
 
+#: Fits that run at the same time; each is a series of Spark jobs, and most are small.
+PARALLELISM = 4
+
+
+def together(spark, jobs: Sequence, parallelism: int = PARALLELISM) -> list:
+    """Results of ``jobs`` (functions) in their order, some of them running at the same time."""
+    if min(parallelism, len(jobs)) < 2:
+        return [job() for job in jobs]
+    with ThreadPool(min(parallelism, len(jobs))) as pool:
+        return pool.map(lambda job: job(), [inheritable_thread_target(spark)(job) for job in jobs], chunksize=1)
+
+
+def fold_table(data: DataFrame, folds: DataFrame, key="row_id") -> DataFrame:
+    """``data`` once for each fold that a row has a role in (``_fold``, ``_role``), written once for all fits."""
+    return cut_lineage(data.join(folds.select(key, F.col("fold").alias("_fold"), F.col("role").alias("_role")), key))
+
+
 def cv_scores(data: DataFrame, folds: DataFrame, features: Sequence[str], scoring="neg_log_loss",
-              key="row_id", label="label", weight="w", fit=None, **model_args) -> list[tuple[int, float, object, DataFrame]]:
+              key="row_id", label="label", weight="w", fit=None, table: DataFrame | None = None, parallelism: int = PARALLELISM,
+              **model_args) -> list[tuple[int, float, object, DataFrame]]:
     """M4: fit on each fold's purged training rows, score its test rows.  ``fit(rows)`` makes a model; by
-    default ``fit_forest`` with ``model_args``."""
+    default ``fit_forest`` with ``model_args``.  Folds are fitted at the same time; ``table`` is their
+    ``fold_table``, if there is one already."""
     fit = fit or (lambda rows: fit_forest(rows, features, label, weight, **model_args))
-    out = []
-    k = folds.agg(F.max("fold")).first()[0] + 1
-    for i in range(k):
-        fi = folds.where(F.col("fold") == i)
-        tr = data.join(fi.where("role = 'train'").select(key), key)
-        te = data.join(fi.where("role = 'test'").select(key), key)
-        model = fit(tr)
-        out.append((i, score(model.transform(te), scoring, label, weight), model, te))
-    return out
+    table = fold_table(data, folds, key) if table is None else table
+
+    def one(i):
+        rows = lambda role: table.where((F.col("_fold") == i) & (F.col("_role") == role)).drop("_fold", "_role")
+        model, te = fit(rows("train")), rows("test")
+        return i, score(model.transform(te), scoring, label, weight), model, te
+
+    k = table.agg(F.max("_fold")).first()[0] + 1
+    return together(data.sparkSession, [functools.partial(one, i) for i in range(k)], parallelism)
 
 
 def cv_score_table(spark, scores) -> DataFrame:
@@ -184,20 +206,23 @@ def importance_mda(spark, data, folds, features, scoring="neg_log_loss", key="ro
                    seed=0, **model_args) -> tuple[DataFrame, float]:
     """Mean decrease accuracy: per fold, the score after permuting one feature in the test rows,
     relative to -score_perm (log-loss) or 1 - score_perm; mean and standard error over folds."""
-    rows = []
     base = cv_scores(data, folds, features, scoring, key, label, weight, **model_args)
-    for i, s0, model, te in base:
-        for f in features:
-            s1 = score(model.transform(permute_column(te, f, key, seed + i)), scoring, label, weight)
-            room = -s1 if scoring == "neg_log_loss" else 1.0 - s1
-            rows.append((f, float((s0 - s1) / room) if room else None))
+
+    def one(i, s0, model, te, f):
+        s1 = score(model.transform(permute_column(te, f, key, seed + i)), scoring, label, weight)
+        room = -s1 if scoring == "neg_log_loss" else 1.0 - s1
+        return f, float((s0 - s1) / room) if room else None
+
+    rows = together(spark, [functools.partial(one, *fold, f) for fold in base for f in features])
     return _mean_std(spark.createDataFrame(rows, "feature string, imp double")), sum(s for _, s, _, _ in base) / len(base)
 
 
 # --------------------------------------------------------------------------- M7
 def importance_sfi(spark, data, folds, features, scoring="neg_log_loss", **kw) -> DataFrame:
     """Single-feature importance: the purged CV score of a model on each feature alone."""
-    rows = [(f, float(s)) for f in features for _, s, _, _ in cv_scores(data, folds, [f], scoring, **kw)]
+    table = fold_table(data, folds, kw.get("key", "row_id"))
+    one = lambda f: [(f, float(s)) for _, s, _, _ in cv_scores(data, folds, [f], scoring, table=table, parallelism=1, **kw)]
+    rows = [r for found in together(spark, [functools.partial(one, f) for f in features]) for r in found]
     return _mean_std(spark.createDataFrame(rows, "feature string, imp double"))
 
 
@@ -251,11 +276,10 @@ def sliced_importance(data: DataFrame, slice_of, slices: int, importance) -> Dat
     """Mean over ``slices`` slices (``slice_of``: a column from 0) of the importances ``importance(rows)`` finds in
     each, beside that of the whole: (feature, sliced_mean, whole_mean).  A slice is fitted like the whole, by
     distributed jobs; slices are a parameter, not the data's keys."""
-    parts = None
-    for k in range(slices):
-        one = importance(data.where(slice_of == k)).select("feature", "mean")
-        parts = one if parts is None else parts.unionByName(one)
-    whole = importance(data).select("feature", F.col("mean").alias("whole_mean"))
+    rows = [data.where(slice_of == k) for k in range(slices)] + [data]
+    *ones, whole = together(data.sparkSession, [functools.partial(importance, r) for r in rows])
+    parts = functools.reduce(DataFrame.unionByName, [one.select("feature", "mean") for one in ones])
+    whole = whole.select("feature", F.col("mean").alias("whole_mean"))
     return parts.groupBy("feature").agg(F.avg("mean").alias("sliced_mean")).join(whole, "feature")
 
 
@@ -357,11 +381,14 @@ def search(spark, data, folds, features, points: Sequence[dict], scoring: str |
     if scoring is None:
         classes = {r[0] for r in data.select(label).distinct().limit(3).collect()}
         scoring = "f1" if classes == {0, 1} else "neg_log_loss"
-    rows = []
-    for gi, params in enumerate(points):
-        sc = [s for _, s, _, _ in cv_scores(data, folds, features, scoring, label=label, weight=weight, **{**kw, **params})]
+    table = fold_table(data, folds, kw.get("key", "row_id"))
+
+    def one(gi, params):
+        sc = [s for _, s, _, _ in cv_scores(data, folds, features, scoring, label=label, weight=weight, table=table, parallelism=1, **{**kw, **params})]
         mean = sum(sc) / len(sc)
-        rows.append((gi, str(params), float(mean), float((sum((x - mean) ** 2 for x in sc) / len(sc)) ** 0.5)))
+        return gi, str(params), float(mean), float((sum((x - mean) ** 2 for x in sc) / len(sc)) ** 0.5)
+
+    rows = together(spark, [functools.partial(one, gi, params) for gi, params in enumerate(points)])
     best = points[max(range(len(rows)), key=lambda g: (rows[g][2], -g))]
     fit = lambda d: fit_forest(d, features, label, weight, **{**kw, **best})
     model = Bagged([fit(data.sample(fraction=bagging[1], seed=k)) for k in range(bagging[0])]) if bagging else fit(data)
