@@ -11,8 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.plans.pathindex import PathIndex, first_touches, locate, path_index
-from tessera.plans.sequence import POS, join_keys, shift, with_pos
+from tessera.plans.pathindex import FAN, PathIndex, blocks, first_touches, locate, path_index
+from tessera.plans.sequence import KEY, POS, join_keys, shift, with_pos
 
 
 # --------------------------------------------------------------------------- J2 / vertical barrier
@@ -164,19 +164,21 @@ def barrier_mesh(close: DataFrame, starts: DataFrame, r_pt: Sequence[float], r_s
     cP_h < -sl or h > max_hp.  Thresholds are multiples of the key's std of one-step price changes.
     A path that ends before any exit has no gain to count: with ``whole_paths`` (the reference's simulated paths
     are all whole) starts with less than max_hp + 1 steps ahead are left out; without, a start is left out only
-    if its recorded path meets no barrier, and ``n`` tells how many counted.  The mesh is a constant-size
-    broadcast table; per start only ``max_hp + 1`` gains are kept."""
+    if its recorded path meets no barrier, and ``n`` tells how many counted.  The mesh is a constant array.  A start
+    reads the blocks of prices that its path covers, ``max_hp / FAN + 2`` rows, and holds ``max_hp + 1`` gains."""
     keys = list(keys)
     c = with_pos(close.select(*keys, time_col, seq, value), keys, [time_col, seq])
     st = join_keys(starts.select(*keys, F.col(time_col)), c, [*keys, time_col]).select(*keys, F.col(POS).alias("_p0"), F.col(value).alias("_v0"))
-    steps = st.withColumn("h", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(max_hp + 1).cast("long"))))
-    steps = steps.withColumn(POS, F.col("_p0") + F.col("h"))
-    path = join_keys(steps, c.select(*keys, POS, value), [*keys, POS])
-    path = path.groupBy(*keys, "_p0").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.array_sort(F.collect_list(F.struct("h", (F.col(value) - F.col("_v0")).alias("cp")))).alias("_path"))
-    if whole_paths:
-        path = path.where(F.col("_n") == max_hp + 1)
+    prices = blocks(c.select(*keys, F.col(POS).alias("_i"), F.col(value).cast("double").alias("_item")), keys, FAN)
+    covered = F.sequence(F.floor((F.col("_p0") + 1) / F.lit(FAN)), F.floor((F.col("_p0") + F.lit(max_hp + 1)) / F.lit(FAN)))
+    read = st.withColumn("_b", F.explode(covered)).withColumn(KEY, F.struct(*keys, "_b")).join(prices, KEY)
+    path = read.groupBy(*keys, "_p0", "_v0").agg(F.array_sort(F.collect_list(F.struct("_b", "_items"))).alias("_l"))
+    # the start's own block may lie before the path, so a start at the end of a key reads nothing and goes
+    skip = (F.col("_p0") + 1 - F.col("_l")[0]["_b"] * FAN).cast("int")
+    ahead = F.slice(F.flatten(F.transform("_l", lambda x: x["_items"])), skip + 1, max_hp + 1)
+    path = path.withColumn("_ahead", ahead).withColumn("_n", F.size("_ahead")).where(F.col("_n") == max_hp + 1 if whole_paths else F.col("_n") > 0)
+    steps = F.transform("_ahead", lambda x, i: F.struct((i + 1).cast("long").alias("h"), (x - F.col("_v0")).alias("cp")))
+    path = path.select(*keys, "_p0", steps.alias("_path"))
     diffs = shift(c, keys, [time_col, seq], {value: "_prev"}, 1)
     sig = diffs.groupBy(*keys).agg(F.stddev_samp(F.col(value) - F.col("_prev")).alias("_sig"))
     mesh = F.array(*[F.struct(F.lit(float(a)).alias("pt"), F.lit(float(b)).alias("sl")) for a in r_pt for b in r_sl])

@@ -33,17 +33,18 @@ def path_index(series: DataFrame, keys: Sequence[str], time_col: str, value: str
     keys = list(keys)
     d = with_pos(series.select(*keys, F.col(time_col).alias("_t"), F.col(value).cast("double").alias("_v")), keys, ["_t"])
     item = F.struct(F.col("_t").alias("last"), F.col("_v").alias("lo"), F.col("_v").alias("hi"))
-    levels = [_level(d.select(*keys, F.col(POS).alias("_i"), item.alias("_item")), keys, fan)]
+    levels = [blocks(d.select(*keys, F.col(POS).alias("_i"), item.alias("_item")), keys, fan)]
     top = levels[0].agg(F.max(f"{KEY}._b")).first()[0] or 0
     while top:
         below = levels[-1]
         item = F.struct(*[f(F.col("_items")[n]).alias(n) for f, n in ((F.array_max, "last"), (F.array_min, "lo"), (F.array_max, "hi"))])
-        levels.append(_level(below.select(*[F.col(f"{KEY}.{k}") for k in keys], F.col(f"{KEY}._b").alias("_i"), item.alias("_item")), keys, fan))
+        levels.append(blocks(below.select(*[F.col(f"{KEY}.{k}") for k in keys], F.col(f"{KEY}._b").alias("_i"), item.alias("_item")), keys, fan))
         top //= fan
     return PathIndex(levels, keys, fan)
 
 
-def _level(items: DataFrame, keys: list[str], fan: int) -> DataFrame:
+def blocks(items: DataFrame, keys: Sequence[str], fan: int) -> DataFrame:
+    """(KEY, _items): numbered items (keys, _i, _item) in blocks of ``fan``, written once."""
     block = F.struct(*keys, F.floor(F.col("_i") / F.lit(fan)).alias("_b")).alias(KEY)
     listed = items.groupBy(block).agg(F.array_sort(F.collect_list(F.struct("_i", "_item"))).alias("_l"))  # fan items
     return cut_lineage(listed.select(KEY, F.transform("_l", lambda x: x["_item"]).alias("_items")))
@@ -73,8 +74,8 @@ def first_touches(index: PathIndex, asks: DataFrame, pos: str, above: Callable[[
     d = asks.withColumns({"_up": F.lit(None).cast("long"), "_dn": F.lit(None).cast("long")})
     for k, level in reversed(list(enumerate(index.levels))):
         own = lambda j: F.floor(F.col(pos) / F.lit(fan ** j))
-        blocks = F.array_distinct(F.array_compact(F.array(own(k + 1), "_up", "_dn")))
-        d = d.withColumn("_b", F.explode(blocks)).withColumn(KEY, F.struct(*index.keys, "_b")).join(level, KEY)
+        asked = F.array_distinct(F.array_compact(F.array(own(k + 1), "_up", "_dn")))
+        d = d.withColumn("_b", F.explode(asked)).withColumn(KEY, F.struct(*index.keys, "_b")).join(level, KEY)
         child = lambda i: F.col("_b") * fan + i
         later = (lambda i: child(i) > own(k)) if k else (lambda i: child(i) >= F.col(pos))
 
