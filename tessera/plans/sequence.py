@@ -35,11 +35,6 @@ def _cols(order: Sequence) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-def day_block(col: str | Column) -> Column:
-    c = F.col(col) if isinstance(col, str) else col
-    return F.to_date(c)
-
-
 def default_block(df: DataFrame, order: Sequence) -> Column:
     """Hour of the first ordering column when it is a time, year when it is a date; otherwise 2^20-wide ranges.
     Windows over (key, block) sort with spilling, so a crowded hour costs time, not memory; Python groups are
@@ -96,10 +91,6 @@ def with_pos(df: DataFrame, keys: Sequence[str], order: Sequence, block: Column
              .drop("_rn", "_off", BLOCK, KEY))
 
 
-def key_sizes(df: DataFrame, keys: Sequence[str], name: str = "_n") -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-
-
 # --------------------------------------------------------------------------- halo windows
 def halo_chunks(df: DataFrame, keys: Sequence[str], order: Sequence, before: int = 0, after: int = 0,
                 chunk_rows: int = DEFAULT_CHUNK_ROWS, has_pos: bool = False) -> DataFrame:

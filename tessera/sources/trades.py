@@ -12,9 +12,10 @@ from __future__ import annotations
 import datetime as _dt
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from tessera.operators.sessions import NY, regular_session, wall_micros
+from tessera.session import cut_lineage
 
 TRADE_COLUMNS = ["symbol", "ts", "seq", "price", "size"]
 
@@ -68,8 +69,8 @@ def read_trade_parquets(spark: SparkSession, path: str, session_only: bool = Tru
                         dst: str | None = None) -> DataFrame:
     """Read raw trade parquet: a folder partitioned by ``symbol=``, files that hold ``symbol``, or files at
     ``{ticker}/{YYYY}/{file}.parquet``, whose ticker is the symbol.  The used columns (pruned at the scan) give
-    UTC ``ts`` and New York ``ny_ts``; without a ``seq`` column, ties are ordered by nanosecond, row of the file
-    and file.  Optionally keeps the regular session (P1) and writes the result by symbol and date."""
+    UTC ``ts`` and New York ``ny_ts``; without a ``seq`` column, ties are ordered by nanosecond, file
+    and row of the file.  Optionally keeps the regular session (P1) and writes the result by symbol and date."""
     reader = spark.read.option("mergeSchema", "false")
     try:
         raw = reader.parquet(path)
@@ -83,10 +84,15 @@ def read_trade_parquets(spark: SparkSession, path: str, session_only: bool = Tru
     else:
         ticker = F.url_decode(F.regexp_extract(file, r"([^/]+)/\d{4}/[^/]+$", 1))
         symbol = F.when(ticker != "", ticker).otherwise(F.raise_error(F.concat(F.lit("no ticker in the path "), file)).cast("string"))
-    # 10 bits of nanoseconds, 43 of the file's row, 10 of the file
-    tie = F.pmod("sip_timestamp", F.lit(1000)) * F.lit(1 << 53) + row * F.lit(1 << 10) + F.pmod(F.xxhash64(file), F.lit(1 << 10))
-    seq = F.col("seq").cast("long") if "seq" in raw.columns else tie
-    df = raw.select("sip_timestamp", F.col("price").cast("double").alias("price"), F.col("size").cast("double").alias("size"), symbol.alias("symbol"), seq.alias("seq"))
+    seq = [F.col("seq").cast("long").alias("seq")] if "seq" in raw.columns else [file.alias("_file"), row.alias("_row")]
+    df = raw.select("sip_timestamp", F.col("price").cast("double").alias("price"), F.col("size").cast("double").alias("size"), symbol.alias("symbol"), *seq)
+    if "seq" not in raw.columns:
+        # files are numbered by name, so that no two rows share a number: 10 bits of nanoseconds, 20 of the file, 33 of its row
+        files = raw.select(file.alias("_file")).distinct()
+        files = cut_lineage(files.withColumn("_n", F.row_number().over(W.orderBy("_file")) - 1))  # a row per file
+        fits = (F.col("_n") < 1 << 20) & (F.col("_row") < F.lit(1 << 33))
+        tie = F.pmod("sip_timestamp", F.lit(1000)) * F.lit(1 << 53) + F.col("_n").cast("long") * F.lit(1 << 33) + F.col("_row")
+        df = df.join(files, "_file").withColumn("seq", F.when(fits, tie).otherwise(F.raise_error(F.lit("too many files, or rows in a file, to number")).cast("long"))).drop("_file", "_row", "_n")
     df = df.withColumn("ts", sip_to_ts(F.col("sip_timestamp"))).withColumn("ny_ts", sip_to_ny(F.col("sip_timestamp")))
     if session_only:
         df = regular_session(df, "ny_ts")

@@ -29,6 +29,16 @@ def test_ingest_is_idempotent_and_read_back(spark):
     assert set(r.symbol for r in back.collect()) == {"A", "B"}
 
 
+def test_rows_of_many_files_have_their_own_numbers(spark):
+    """Rows of one nanosecond in 120 files: ordered by file and row, no number twice."""
+    root = tempfile.mkdtemp(prefix="tessera-files-")
+    t = ns(2024, 1, 2, 10, 0)
+    df = spark.range(360).select(F.lit("A").alias("symbol"), F.lit(t).alias("sip_timestamp"), F.col("id").cast("double").alias("price"), F.lit(1.0).alias("size"))
+    df.repartitionByRange(120, "price").sortWithinPartitions("price").write.parquet(f"{root}/raw")
+    out = read_trade_parquets(spark, f"{root}/raw").orderBy("ts", "seq").collect()
+    assert len(out) == 360 == len({r.seq for r in out}) and [r.price for r in out] == [float(k) for k in range(360)]
+
+
 def test_backlog_weekdays_minus_existing(spark):
     syms = spark.createDataFrame([("A",)], "symbol string")
     have = spark.createDataFrame([("A", dt.date(2024, 1, 2))], "symbol string, date date")
