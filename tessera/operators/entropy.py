@@ -114,6 +114,56 @@ def match_lengths(code: np.ndarray, points: np.ndarray, window: np.ndarray) -> n
     return best + 1
 
 
+def _ranks(code: np.ndarray) -> list[np.ndarray]:
+    """Ranks of the suffixes by their first 1, 2, 4, ... codes, until they are told apart (a suffix that ends comes first)."""
+    found = [np.unique(code, return_inverse=True)[1].astype(np.int64) + 1]
+    width, n = 1, len(code)
+    while found[-1].max(initial=0) < n:
+        rank = found[-1]
+        pair = rank * (n + 1)
+        pair[:n - width] += rank[width:]
+        order = np.argsort(pair, kind="stable")
+        new = np.empty(n, np.int64)
+        new[order] = np.cumsum(np.concatenate([[1], (np.diff(pair[order]) != 0).astype(np.int64)]))
+        found.append(new)
+        width *= 2
+    return [r.astype(np.int32) for r in found]
+
+
+def _common(ranks: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Lengths of the common prefixes of the suffixes at ``i`` and at ``j`` (below 0: none), i > j."""
+    n, use = len(ranks[0]), j >= 0
+    x, y = np.where(use, i, n), np.where(use, j, n)
+    for k in range(len(ranks) - 1, -1, -1):
+        # equal ranks of the first 2^k codes: both suffixes have that many, or they would be the same suffix
+        fits = (x < n) & (y < n)
+        same = fits & (ranks[k][np.minimum(x, n - 1)] == ranks[k][np.minimum(y, n - 1)])
+        x, y = x + (same << k), y + (same << k)
+    return np.where(use, x - i, 0)
+
+
+def match_lengths_expanding(code: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """``match_lengths`` where a point's window is all that lies before it (at most as many codes match).
+
+    The suffixes in sorted order: the longest match of a point is with the nearest one on either side that begins
+    before it.  n log n numbers are held."""
+    n = len(code)
+    if not len(points):
+        return np.zeros(0, np.int64)
+    ranks = _ranks(code)
+    order = np.empty(n, np.int64)
+    order[ranks[-1] - 1] = np.arange(n)
+    left, right, stack = [-1] * n, [-1] * n, []
+    for at in order.tolist():
+        while stack and stack[-1] > at:
+            right[stack.pop()] = at
+        if stack:
+            left[at] = stack[-1]
+        stack.append(at)
+    best = np.maximum(_common(ranks, points, np.asarray(left)[points]), _common(ranks, points, np.asarray(right)[points]))
+    return np.minimum(best, points) + 1
+
+
 def kontoyiannis(codes: DataFrame, window: int | None, keys=("symbol",), order: Sequence[str] = ("bar",), code="code",
                  chunk_rows: int = 1 << 14) -> DataFrame:
     """Kontoyiannis entropy, h = mean(log2(window + 1) / L) with L the match length of what follows a point
@@ -121,7 +171,8 @@ def kontoyiannis(codes: DataFrame, window: int | None, keys=("symbol",), order:
 
     With a fixed window (at most half the message) the points are window .. n - window and each sees 2·window
     codes: a chunk of points is one group, with that many codes around it.  With ``window=None`` the window
-    expands, the points are 1 .. n/2 and each sees all codes before it: a key is one group then."""
+    expands, the points are 1 .. n/2 and each sees all codes before it: a key is one group then, and its suffixes are sorted
+once (``match_lengths_expanding``)."""
     keys = list(keys)
     n = codes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     if window is None:
@@ -138,7 +189,8 @@ def kontoyiannis(codes: DataFrame, window: int | None, keys=("symbol",), order:
         pos = pdf[POS].to_numpy()[~pdf[HALO].to_numpy(dtype=bool)]
         w = np.minimum(size // 2, pos if window is None else np.full(len(pos), window))
         use = (pos >= 1) & (pos <= size // 2) if window is None else (pos >= w) & (pos <= size - w)
-        found = match_lengths(pd.factorize(pdf["_code"])[0], pos[use] - first, w[use])
+        codes = pd.factorize(pdf["_code"])[0]
+        found = match_lengths_expanding(codes, pos[use] - first) if window is None else match_lengths(codes, pos[use] - first, w[use])
         out = pd.DataFrame({"_h": [(np.log2(w[use] + 1) / found).sum()], "_points": [int(use.sum())], "_n": [size]})
         for k in keys:
             out[k] = pdf[k].iloc[0]
