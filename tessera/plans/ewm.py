@@ -69,7 +69,6 @@ def ewm(df: DataFrame, keys: Sequence[str], order: Sequence, col: str, out_mean:
     w = W.partitionBy(KEY).orderBy(POS).rowsBetween(W.unboundedPreceding, 0)
     sums = {"_s0": F.sum(F.when(has, g)).over(w) / g, "_s1": F.sum(off * g).over(w) / g, "_s2": F.sum(off * off * g).over(w) / g,
             "_q0": F.sum(F.when(has, g2)).over(w) / g2, "_cnt": F.count("_xv").over(w)}
-    d = d.withColumns(sums)
     state = [*sums, "_ref", POS]
 
     def aged(old, at, ref):
@@ -79,9 +78,14 @@ def ewm(df: DataFrame, keys: Sequence[str], order: Sequence, col: str, out_mean:
         return {"_s0": old["_s0"] * f, "_s1": (old["_s1"] + old["_s0"] * by) * f, "_s2": (old["_s2"] + 2 * by * old["_s1"] + old["_s0"] * by * by) * f,
                 "_q0": old["_q0"] * f * f, "_cnt": old["_cnt"]}
 
-    # the state at each chunk's last value, with what the last value before the chunk adds to it
-    last = F.max_by(F.struct(*state), F.when(has, F.col(POS))).alias("_own")
-    tail = d.groupBy(KEY).agg(last)
+    # the state at each chunk's last value, with what the last value before the chunk adds to it; plain sums, so that the
+    # running ones are computed once
+    at = F.when(has, F.col(POS))
+    whole = d.groupBy(KEY).agg(F.sum(F.when(has, g)).alias("_s0"), F.sum(off * g).alias("_s1"), F.sum(off * off * g).alias("_s2"), F.sum(F.when(has, g2)).alias("_q0"),
+                               F.count("_xv").alias("_cnt"), F.max("_ref").alias("_ref"), F.max(at).alias(POS), F.max(F.when(has, g)).alias("_g"))
+    ended = [F.col("_s0") / F.col("_g"), F.col("_s1") / F.col("_g"), F.col("_s2") / F.col("_g"), F.col("_q0") / (F.col("_g") * F.col("_g")), F.col("_cnt"), F.col("_ref"), F.col(POS)]
+    tail = whole.select(KEY, F.when(F.col(POS).isNotNull(), F.struct(*[c.alias(name) for c, name in zip(ended, state)])).alias("_own"))
+    d = d.withColumns(sums)
     by_chunk = _over_blocks(keys, CHUNK).rowsBetween(W.unboundedPreceding, -1)
     own = F.col("_own")
     tail = tail.withColumn("_old", F.last("_own", ignorenulls=True).over(by_chunk))
