@@ -204,8 +204,10 @@ def rolling_autocorr(returns: DataFrame, window: int = 20, keys=("symbol",), ord
     """corr(r, r lagged one row) over the last ``window`` rows, min_periods 1 (pairs with a
     missing lag are skipped); NaN from constant windows becomes null."""
     keys = list(keys)
-    d = shift(returns, keys, list(order), {ret: "_lag"}, 1, keep_pos=True)
-    d = halo_chunks(d, keys, list(order), before=window - 1, has_pos=True)
+    # chunks of few rows: the frames are long work, which is dealt to more tasks
+    rows = max(1 << 16, window)
+    d = shift(returns, keys, list(order), {ret: "_lag"}, 1, chunk_rows=rows, keep_pos=True)
+    d = halo_chunks(d, keys, list(order), before=window - 1, chunk_rows=rows, has_pos=True)
     w = W.partitionBy(*keys, CHUNK).orderBy(POS).rowsBetween(-(window - 1), 0)
     c = F.corr(ret, "_lag").over(w)
     d = d.withColumn(out, F.when(~F.isnan(c), c))
