@@ -75,17 +75,21 @@ def first_touches(index: PathIndex, asks: DataFrame, pos: str, above: Callable[[
     for k, level in reversed(list(enumerate(index.levels))):
         own = lambda j: F.floor(F.col(pos) / F.lit(fan ** j))
         asked = F.array_distinct(F.array_compact(F.array(own(k + 1), "_up", "_dn")))
-        d = d.withColumn("_b", F.explode(asked)).withColumn(KEY, F.struct(*index.keys, "_b")).join(level, KEY)
-        child = lambda i: F.col("_b") * fan + i
-        later = (lambda i: child(i) > own(k)) if k else (lambda i: child(i) >= F.col(pos))
-
-        def first(hits, what):
-            return F.min(F.array_min(F.transform("_items", lambda x, i: F.when(later(i) & hits(x["lo"], x["hi"]), what(x, i)))))
-
-        block = lambda x, i: child(i)
-        found = [first(above, block).alias("_up"), first(below, block).alias("_dn")]
+        d = d.withColumn("_b", F.explode(asked))
+        # the first item that counts, and what is looked for in the block: a touch is in the own one or in that found above
+        mine = F.col("_b") == own(k + 1)
+        d = d.withColumns({"_from": (own(k) - F.col("_b") * fan + (1 if k else 0)), "_base": F.col("_b") * fan,
+                           "_ask_up": mine | F.col("_b").eqNullSafe(F.col("_up")), "_ask_dn": mine | F.col("_b").eqNullSafe(F.col("_dn"))})
+        d = d.withColumn(KEY, F.struct(*index.keys, "_b")).join(level, KEY)
+
+        def first(wanted, hits, what):
+            item = lambda x, i: F.when((i >= F.col("_from")) & hits(x["lo"], x["hi"]), what(x, i))
+            return F.min(F.when(F.col(wanted), F.array_min(F.transform("_items", item))))
+
+        block = lambda x, i: F.col("_base") + i
+        found = [first("_ask_up", above, block).alias("_up"), first("_ask_dn", below, block).alias("_dn")]
         if not k:
             when = lambda x, i: x["last"]
-            found = [first(above, when).alias(out[0]), first(below, when).alias(out[1])]
+            found = [first("_ask_up", above, when).alias(out[0]), first("_ask_dn", below, when).alias(out[1])]
         d = d.groupBy(*cols).agg(*found)
     return d

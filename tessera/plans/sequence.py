@@ -101,19 +101,16 @@ def halo_chunks(df: DataFrame, keys: Sequence[str], order: Sequence, before: int
     if before > chunk_rows or after > chunk_rows:
         raise ValueError("halo reach must not exceed chunk_rows")
     d = df if has_pos else with_pos(df, keys, order)
-    d = d.withColumn(CHUNK, F.floor(F.col(POS) / F.lit(chunk_rows)).cast("long"))
-    parts = [d.withColumn(HALO, F.lit(False))]
-    local = F.col(POS) - F.col(CHUNK) * F.lit(chunk_rows)
+    c = F.floor(F.col(POS) / F.lit(chunk_rows)).cast("long")
+    local = F.col(POS) - c * F.lit(chunk_rows)
+    place = lambda at, halo: F.array(F.struct(at.alias(CHUNK), F.lit(halo).alias(HALO)))
+    # a row is written for each chunk that reads it, in one pass over the rows
+    places = place(c, False)
     if before > 0:
-        parts.append(d.where(local >= chunk_rows - before)
-                      .withColumn(CHUNK, F.col(CHUNK) + 1).withColumn(HALO, F.lit(True)))
+        places = F.when(local >= chunk_rows - before, F.concat(places, place(c + 1, True))).otherwise(places)
     if after > 0:
-        parts.append(d.where((local < after) & (F.col(CHUNK) > 0))
-                      .withColumn(CHUNK, F.col(CHUNK) - 1).withColumn(HALO, F.lit(True)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        places = F.when((local < after) & (c > 0), F.concat(places, place(c - 1, True))).otherwise(places)
+    return d.withColumn("_place", F.explode(places)).select(*d.columns, F.col("_place")[CHUNK].alias(CHUNK), F.col("_place")[HALO].alias(HALO))
 
 
 def chunk_window(keys: Sequence[str]):

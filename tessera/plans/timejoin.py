@@ -66,16 +66,16 @@ def overlap_counts(intervals: DataFrame, keys: Sequence[str], start: str, end: s
     Values are accumulated as DECIMAL(38, 18): a running sum of +v / -v over a long series must not
     drift, and an exact sum makes the result independent of the order of additions."""
     keys = list(keys)
-    v = F.col(value).cast("decimal(38,18)") if value else F.lit(1).cast("decimal(38,18)")
-    plus = intervals.select(*keys, F.col(start).alias("_t"), F.lit(0).alias("_k"), F.lit(1).alias("_dc"),
-                            v.alias("_dv"))
+    of = lambda c: [c.cast("decimal(38,18)").alias("_dv")] if value else []
+    plus = intervals.select(*keys, F.col(start).alias("_t"), F.lit(0).alias("_k"), F.lit(1).alias("_dc"), *of(F.col(value or start)))
     # an interval ending at e leaves after every time <= e (inclusive) or before e (exclusive)
     minus = intervals.where(F.col(end).isNotNull()).select(
         *keys, F.col(end).alias("_t"), F.lit(2 if end_inclusive else -1).alias("_k"),
-        F.lit(-1).alias("_dc"), (-v).alias("_dv"))
-    probes = times.select(*keys, F.col(time_col).alias("_t"), F.lit(1).alias("_k"), F.lit(0).alias("_dc"),
-                          F.lit(0).cast("decimal(38,18)").alias("_dv"))
+        F.lit(-1).alias("_dc"), *of(-F.col(value).cast("decimal(38,18)") if value else F.lit(0)))
+    probes = times.select(*keys, F.col(time_col).alias("_t"), F.lit(1).alias("_k"), F.lit(0).alias("_dc"), *of(F.lit(0)))
     u = plus.unionByName(minus).unionByName(probes)
-    u = cumulative(u, keys, ["_t", "_k"], {"alive": ("sum", "_dc"), "alive_sum": ("sum", "_dv")})
+    sums = {"alive": ("sum", "_dc"), **({"alive_sum": ("sum", "_dv")} if value else {})}
+    u = cumulative(u, keys, ["_t", "_k"], sums)
+    # without values each interval counts 1, and the sum is the count
     return u.where(F.col("_k") == 1).select(*keys, F.col("_t").alias(time_col), "alive",
-                                             F.col("alive_sum").cast("double").alias("alive_sum")).distinct()
+                                             F.col("alive_sum" if value else "alive").cast("double").alias("alive_sum")).distinct()
