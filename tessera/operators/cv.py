@@ -147,8 +147,9 @@ def together(spark, jobs: Sequence, parallelism: int = PARALLELISM) -> list:
 
 
 def fold_table(data: DataFrame, folds: DataFrame, key="row_id") -> DataFrame:
-    """``data`` once for each fold that a row has a role in (``_fold``, ``_role``), written once for all fits."""
-    return cut_lineage(data.join(folds.select(key, F.col("fold").alias("_fold"), F.col("role").alias("_role")), key))
+    """``data`` once for each fold that a row has a role in (``_fold``, ``_role``), written once for all fits.  The
+    rows of a fold and role are kept apart: a fit, which reads its rows several times, reads no others."""
+    return cut_lineage(data.join(folds.select(key, F.col("fold").alias("_fold"), F.col("role").alias("_role")), key), ["_fold", "_role"])
 
 
 def cv_scores(data: DataFrame, folds: DataFrame, features: Sequence[str], scoring="neg_log_loss",

@@ -93,3 +93,11 @@ def test_weekly_counts_by_hand(spark):
     bars = spark.createDataFrame([("A", dt.datetime.fromisoformat(d)) for d in days], "symbol string, time timestamp_ntz")
     out = [(str(r.week), r.n, round(r.scaled, 6)) for r in sessions.weekly_bar_counts(bars).orderBy("week").collect()]
     assert out == [("2024-01-07", 2, 0.666667), ("2024-01-14", 1, 0.333333), ("2024-01-21", 0, 0.0), ("2024-01-28", 3, 1.0)]
+
+
+def test_a_fit_reads_the_rows_of_its_fold_alone(spark, data):
+    table = cv.fold_table(data, cv.purged_kfold(data, 3))
+    files = lambda d: {r[0] for r in d.select(F.input_file_name()).distinct().collect()}
+    parts = [files(table.where((F.col("_fold") == i) & (F.col("_role") == r))) for i in range(3) for r in ("train", "test")]
+    assert sum(map(len, parts)) == len(set().union(*parts)) and table.count() == cv.purged_kfold(data, 3).count()
+    assert dict(table.dtypes)["_fold"] == "int" and dict(table.dtypes)["_role"] == "string"
