@@ -30,14 +30,17 @@ def triple_barrier(close: DataFrame, events: DataFrame, pt_sl: Sequence[float],
     """First stop-loss and profit-taking touch on the path [t0, t1] (t1 null: to the last close).
     Path return = (close/close[t0] - 1)·side; sl touch when below -pt_sl[1]·trgt, pt touch when
     above pt_sl[0]·trgt; a zero factor disables that barrier.  events: keys, t0, t1, trgt, side, one for each
-    (keys, t0).  An event whose t0 has no close touches nothing.
+    (keys, t0).  An event whose t0 has no close touches nothing.  Events at one t0, as targets of several ticks at that
+    time give, share the earliest touch of any of them, a row for each event.
 
     The first touch at or after t0 is searched by ``path_index``; one behind t1 does not count."""
     keys = list(keys)
     index = index or path_index(close, keys, time_col, value)
     side = F.col("side").cast("double") if "side" in events.columns else F.lit(None).cast("double")
-    own = locate(index, events.select(*keys, "t0", "t1", "trgt", F.coalesce(side, F.lit(1.0)).alias("_s")), F.col("t0"),
-                 {"pos": "_p", "time": "_pt", "value": "_p0"})
+    asked = events.select(*keys, "t0", "t1", "trgt", F.coalesce(side, F.lit(1.0)).alias("_s"))
+    # of several targets the smallest is touched first; NaN stands above all numbers and is asked for itself
+    asked = asked.groupBy(*keys, "t0", "t1", "_s", F.isnan("trgt").alias("_nan")).agg(F.min("trgt").alias("trgt")).drop("_nan")
+    own = locate(index, asked, F.col("t0"), {"pos": "_p", "time": "_pt", "value": "_p0"})
     asks = own.where((F.col("_pt") == F.col("t0")) & F.col("_p0").isNotNull()).drop("_pt")
     ret = lambda px: (F.try_divide(px, F.col("_p0")) - 1) * F.col("_s")
     pt_w, sl_w = float(pt_sl[0]), float(pt_sl[1])
@@ -48,8 +51,8 @@ def triple_barrier(close: DataFrame, events: DataFrame, pt_sl: Sequence[float],
     over = lambda lo, hi: (best(lo, hi) > F.col("_pt")) if pt_w > 0 else F.lit(False)
     under = lambda lo, hi: (worst(lo, hi) < F.col("_sl")) if sl_w > 0 else F.lit(False)
     found = first_touches(index, asks, "_p", over, under, ("pt", "sl"))
-    in_time = lambda c: F.when(F.col("t1").isNull() | (F.col(c) <= F.col("t1")), F.col(c)).alias(c)
-    return join_keys(events, found.select(*keys, "t0", in_time("pt"), in_time("sl")), [*keys, "t0"], "left")
+    in_time = lambda c: F.min(F.when(F.col("t1").isNull() | (F.col(c) <= F.col("t1")), F.col(c))).alias(c)
+    return join_keys(events, found.groupBy(*keys, "t0").agg(in_time("pt"), in_time("sl")), [*keys, "t0"], "left")
 
 
 # --------------------------------------------------------------------------- L2

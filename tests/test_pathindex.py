@@ -61,6 +61,19 @@ def test_touches(spark, fan, pt, sl):
     assert {(r.symbol, r.t0): (r.pt, r.sl) for r in out.collect()} == slow(rows, events, pt, sl)
 
 
+def test_targets_at_one_start(spark):
+    """Three ticks at each time give three targets: an event has a row for each of them, not for each pair of them."""
+    rows, close = series(spark, 120, dt.timedelta(minutes=7), symbols=("A",))
+    close = close.crossJoin(spark.range(3).withColumnRenamed("id", "_copy")).drop("_copy")
+    trgt = [(s, t, [0.05, 0.002, 0.03][k], t + dt.timedelta(hours=2)) for s, t, _ in rows[:100:10] for k in range(3)]
+    trgt += [("A", rows[5][1], None, rows[15][1]), ("A", rows[5][1], 0.01, rows[15][1])]
+    ev = spark.createDataFrame([(s, t, t1, g, 1.0) for s, t, g, t1 in trgt], EVENTS)
+    out = triple_barrier(close, ev, [1.0, 1.0]).collect()
+    smallest = slow(rows, [(s, t, t1, 0.01 if t == rows[5][1] else 0.002, 1.0) for s, t, g, t1 in trgt], 1.0, 1.0)
+    assert sorted((r.t0, r.trgt or 0.0) for r in out) == sorted((t, g or 0.0) for _, t, g, _ in trgt)
+    assert {(r.symbol, r.t0, r.pt, r.sl) for r in out} == {(*k, *v) for k, v in smallest.items()}
+
+
 def test_ten_years_of_open_paths(spark):
     """Two hundred open events over ten years of daily rows: blocks are read, not hours."""
     rows, close = series(spark, 3650, dt.timedelta(days=1), symbols=("A",))
