@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from tessera.plans.pathindex import blocks
 from tessera.plans.sequence import KEY, POS, cumulative, join_keys, shift, with_pos
@@ -82,17 +82,28 @@ def indicator_matrix(close: DataFrame, events: DataFrame, keys=("symbol",), time
     if runs:
         return r
     # blocks of closes: an event reads those that its run covers, and no close but two blocks' that is not its own
+    r = cut_lineage(r)
     placed = with_pos(close.select(*keys, time_col).where(F.col(time_col).isNotNull()), keys, [time_col])
     bars = blocks(placed.select(*keys, F.col(POS).alias("_i"), F.col(time_col).alias("_item")), keys, MATRIX_BLOCK)
     at = lambda c: F.floor(F.col(c) / F.lit(MATRIX_BLOCK))
+    # a task reads few bytes and writes many pairs: the number of tasks follows the pairs
+    tasks = _pair_tasks(r.sparkSession, r.agg(F.sum(F.col("_last") - F.col("_first") + 1)).first()[0] or 0)
     r = r.withColumn("_b", F.explode(F.sequence(at("_first"), at("_last")))).withColumn(KEY, F.struct(*keys, "_b"))
     low = F.greatest(F.col("_first") - F.col("_b") * MATRIX_BLOCK, F.lit(0)).cast("int")
     high = F.least(F.col("_last") - F.col("_b") * MATRIX_BLOCK, F.lit(MATRIX_BLOCK - 1)).cast("int")
-    own = r.select(*keys, "t0", KEY, low.alias("_low"), high.alias("_high")).join(bars, KEY)
+    asked = r.select(*keys, "t0", KEY, low.alias("_low"), high.alias("_high")).repartition(tasks, KEY)
+    # merged: the few bytes of the runs' table say nothing of the rows it is exploded to, and those are not to be broadcast
+    own = asked.hint("merge").join(bars.repartition(tasks, KEY), KEY)
     return own.select(*keys, "t0", F.explode(F.slice("_items", F.col("_low") + 1, F.col("_high") - F.col("_low") + 1)).alias(time_col))
 
 
-MATRIX_BLOCK = 256  # closes in a block
+MATRIX_BLOCK = 1024  # closes in a block
+
+
+def _pair_tasks(spark: SparkSession, pairs: int) -> int:
+    """Tasks for ``pairs`` rows: one for 1 million, up to the session's number; more than that for 16 million each."""
+    session = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(-(-pairs // 1_000_000), max(session, -(-pairs // 16_000_000))))
 
 
 def _event_runs(close: DataFrame, ev: DataFrame, keys, time_col) -> DataFrame:

@@ -7,6 +7,8 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tessera.operators import weights
 
 BASE = dt.datetime(2024, 1, 2, 10)
@@ -51,6 +53,16 @@ def test_matrix_in_pairs(series):
     assert listed(weights.indicator_matrix(c, e).collect()) == listed(pairs(close, events))
 
 
+def test_pairs_are_dealt_by_their_number(spark):
+    """Three thousand events over a thousand closes each: the input is small, the pairs are 3 million and stand in several tasks."""
+    when = F.timestamp_micros(F.col("id") * 1_000_000).cast("timestamp_ntz")
+    close = spark.range(20_000).select(F.lit("A").alias("symbol"), when.alias("time"))
+    e = spark.range(3_000).withColumn("id", F.col("id") * 6).select(F.lit("A").alias("symbol"), when.alias("t0"), (when + F.expr("INTERVAL 999 SECONDS")).alias("t1"))
+    ind = weights.indicator_matrix(close, e).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
+    assert sum(r.n for r in ind) == 3_000_000
+    assert len(ind) > 1 and max(r.n for r in ind) < 2_500_000
+
+
 def test_uniqueness_from_runs(series):
     c, e, close, events = series
     ones = pairs(close, events)
